@@ -28,11 +28,12 @@ FAN = 20_000
 
 
 def exact_dedup(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None, bound: int | None = None
+    docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None, bound: int | None = None, only_kept: bool = False
 ) -> DataFrame:
     """carry and ``keep_id, group_size, kept, text_sha256``, one row for each row of docs.
 
-    carry: columns of docs that are returned (default: the key only); text may be one of them."""
+    carry: columns of docs that are returned (default: the key only); text may be one of them.
+    only_kept: the rows that stay, with the columns of carry alone."""
     carry = [key] if carry is None else carry
     rows = docs.count()
     bound = bound or max(BOUND, rows // FAN)
@@ -83,6 +84,8 @@ def exact_dedup(
     back = {c: F.col(f"_m._row.c{i}") for i, c in enumerate(carry) if c != text}
     if text in carry:
         back[text] = F.when(~F.col("_m._row.none"), F.coalesce("_m._row.own", "_norm"))
+    if only_kept:
+        return out.where(F.col("_here") & (F.col("_at") == 0)).select(*[back[c].alias(c) for c in carry])
     return out.select(
         *[back[c].alias(c) for c in carry],
         "keep_id", "group_size", (F.col("_here") & (F.col("_at") == 0)).alias("kept"), F.col("_sha").alias("text_sha256"),

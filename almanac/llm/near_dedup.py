@@ -9,8 +9,8 @@
    confirmed on the full sets, and the links make components.
 4. Round two, only for buckets that still hold several components: every class outside the bucket's
    largest component against all classes of the bucket, in blocks of bounded size; what sketches don't
-   drop is confirmed on full sets. So no bucket's pairs are left out, and those inside a component
-   are never made.
+   drop is confirmed on full sets inside its block. So no bucket's pairs are left out, those inside
+   a component are never made, and only links leave a block.
 5. Components of the links by smallest label, with pointer jumping.
 
 A pair at the threshold is missed by all 25 bands of 5 samples with a chance under 5e-7, and by
@@ -148,16 +148,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def crossing(buckets: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Pairs a < b that share a bucket but no component and that sketches don't tell apart.
+def crossing(buckets: DataFrame, labels: DataFrame, sets: DataFrame, most: int, percent: int) -> DataFrame:
+    """Links a < b between components that share a bucket: for each class outside the bucket's largest
+    component, one confirmed link to each component that it has links with there.
 
-    buckets: bucket, id, sketch. Rows are all classes of a bucket in blocks, columns those outside its
-    largest component in blocks; a cell holds one block of each."""
-    told = cut(
-        buckets.join(labels, "id", "left").select("bucket", "id", "sketch", F.coalesce("label", "id").alias("label"))
-    )
+    buckets: bucket, head, id, sketch. Rows are all classes of a bucket in blocks, columns those outside
+    its largest component in blocks; a cell holds one block of each. Pairs with the head are known
+    already. Full sets are brought to a cell only for classes that sketches leave a partner there."""
+    import pandas as pd
+
+    told = cut(buckets.join(labels, "id", "left").select("bucket", "head", "id", "sketch", F.coalesce("label", "id").alias("label")))
     sizes = told.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    open_ = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    open_ = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1 and all > 2")
     cells = told.join(
         open_.select(
             "bucket", F.col("top.label").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("rows"),
@@ -167,23 +169,60 @@ def crossing(buckets: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     )
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    row_side = cells.select("bucket", "id", "sketch", "label", F.lit(False).alias("is_column"), deal("rows").alias("r"), spread("columns").alias("c"))
-    column_side = cells.where("label != main").select("bucket", "id", "sketch", "label", F.lit(True).alias("is_column"), spread("rows").alias("r"), deal("columns").alias("c"))
-
-    def run(cell):
-        import pandas as pd
-
-        left, right = cell[~cell["is_column"]], cell[cell["is_column"]]
-        out = []
-        if len(left) and len(right):
-            x, y = np.stack(left["sketch"].to_list()).view(np.uint64), np.stack(right["sketch"].to_list()).view(np.uint64)
-            a, la = left["id"].to_numpy(), left["label"].to_numpy()
-            for i, (b, lb) in enumerate(zip(right["id"], right["label"], strict=True)):
-                hit = (np.bitwise_count(x ^ y[i]).sum(axis=1) <= most) & (la != lb)
-                out += [(min(b, k), max(b, k)) for k in a[hit].tolist()]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
-
-    return row_side.union(column_side).groupBy("bucket", "r", "c").applyInPandas(run, "a long, b long").distinct()
+    shown = ["bucket", "head", "id", "sketch", "label"]
+    row_side = cells.select(*shown, F.lit(False).alias("is_column"), deal("rows").alias("r"), spread("columns").alias("c"))
+    column_side = cells.where("label != main").select(*shown, F.lit(True).alias("is_column"), spread("rows").alias("r"), deal("columns").alias("c"))
+
+    def partners(frame):
+        """(cell's rows, a column, places among the rows that its sketch leaves), as places in frame."""
+        if not len(frame):
+            return
+        key = [frame[x].to_numpy() for x in ("is_column", "c", "r", "bucket")]
+        order = np.lexsort(key)
+        new = np.any([np.diff(x[order]) != 0 for x in key[1:]], axis=0)
+        edges = np.concatenate([[0], np.flatnonzero(new) + 1, [len(order)]])
+        sketch = np.stack(frame["sketch"].to_list()).view(np.uint64)
+        head, ids, label = (frame[x].to_numpy() for x in ("head", "id", "label"))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            cell = order[lo:hi]
+            split = int(np.searchsorted(key[0][cell], True))
+            left, right = cell[:split], cell[split:]
+            left, right = left[ids[left] != head[left]], right[ids[right] != head[right]]
+            step = max(1, 65_536 // max(1, len(left)))
+            for i in range(0, len(right) * (len(left) > 0), step):
+                some = right[i : i + step]
+                flipped = np.bitwise_count(sketch[left][None] ^ sketch[some][:, None]).sum(axis=2)
+                near = (flipped <= most) & (label[left][None] != label[some][:, None])
+                for k in np.flatnonzero(near.any(axis=1)):
+                    yield left, some[k], np.flatnonzero(near[k])
+
+    def left_over(frame):
+        keep = np.zeros(len(frame), bool)
+        for left, column, hit in partners(frame):
+            keep[left[hit]] = keep[column] = True
+        return frame[keep]
+
+    def confirm(frame):
+        ids, label, out = frame["id"].to_numpy(), frame["label"].to_numpy(), set()
+        items = [np.frombuffer(x, np.uint64) for x in frame["items"]]
+        size = np.array([len(x) for x in items])
+        for left, column, hit in partners(frame):
+            mine, others = items[column], left[hit]
+            flat = np.concatenate([items[k] for k in others])
+            at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+            shared = np.add.reduceat((mine[at] == flat).astype(np.int64), np.cumsum(size[others]) - size[others])
+            linked = others[100 * shared >= percent * (size[others] + len(mine) - shared)]
+            b = int(ids[column])
+            for k in linked[np.unique(label[linked], return_index=True)[1]]:
+                out.add((min(b, int(ids[k])), max(b, int(ids[k]))))
+        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+
+    # many small cells share a group, so that none costs a call; a group holds whole cells
+    groups = max(int(told.sparkSession.conf.get("spark.sql.shuffle.partitions")), told.count() // 20_000)
+    dealt = lambda df: df.repartition(groups, "g").groupBy("g")
+    both = row_side.union(column_side).withColumn("g", F.pmod(F.xxhash64("bucket", "r", "c"), F.lit(groups)).cast("int"))
+    rest = dealt(both).applyInPandas(left_over, both.schema)
+    return dealt(rest.join(sets, "id")).applyInPandas(confirm, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key: str = "doc_id", width: int = SHINGLE) -> DataFrame:
@@ -218,8 +257,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
 
     links = cut(confirmed(first, sets, percent))
     labels = components(links)
-    rest = crossing(buckets.select("bucket", "id").join(sketches, "id"), labels, most)
-    more = cut(confirmed(rest, sets, percent))
+    more = cut(crossing(buckets.join(sketches, "id"), labels, sets, most, percent))
     if more.limit(1).count():
         labels = components(links.union(more))
 
@@ -232,6 +270,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
 
 
 def near_dedup(docs: DataFrame, percent: int = 85, text: str = "text", key: str = "doc_id", width: int = SHINGLE) -> DataFrame:
-    """docs without those that a document with a smaller id stands for."""
+    """docs without those that a document with a smaller id stands for; rows with a null id stay."""
     gone = near_duplicates(docs, percent, text, key, width).where(~F.col("kept")).select(key)
     return docs.join(gone.distinct(), key, "left_anti").select(docs.columns)
