@@ -30,7 +30,7 @@ from .common import per_text, small_batches
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words and pairs that a worker remembers before it starts anew.
-REMEMBER = 200_000
+REMEMBER = 400_000
 
 
 class Pieces:
@@ -52,7 +52,7 @@ class Pieces:
                 self.raw[i] = name.replace(MARK, " ").encode()
         self.longest = max(map(len, self.ids))
         self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """The characters of a short text after all merges, best score first, then leftmost."""
@@ -68,19 +68,16 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def joins(self, a: int, b: int) -> bool:
-        """Whether piece b may follow piece a."""
-        key = (a, b)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= REMEMBER:
-                self.pairs.clear()
-            x, y = self.names[a], self.names[b]
-            known = self.pairs[key] = self.merged(x + y) == [x, y]
+        """Whether piece b may follow piece a; remembered."""
+        if len(self.pairs) >= REMEMBER:
+            self.pairs.clear()
+        x, y = self.names[a], self.names[b]
+        known = self.pairs[a << 32 | b] = self.merged(x + y) == [x, y]
         return known
 
     def learn(self, words: list[str]) -> None:
         """Encodes sorted distinct words into ``self.words``."""
-        ids, scores, longest, joins = self.ids, self.scores, self.longest, self.joins
+        piece, pair, scores, longest, joins = self.ids.get, self.pairs.get, self.scores, self.longest, self.joins
         # for each prefix length of the current word: last piece (-1: bytes), where it starts, score so far
         last, begin, total = [-2], [0], [0.0]
         before = ""
@@ -90,17 +87,20 @@ class Pieces:
                 shared += 1
             del last[shared + 1 :], begin[shared + 1 :], total[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                got, start, best = -1, end - 1, None
-                for i in range(max(0, end - longest), end):
-                    p = ids.get(word[i:end])
-                    if p is not None and (last[i] < 0 or joins(last[i], p)):
-                        s = total[i] + scores[p]
-                        if best is None or s > best:
-                            got, start, best = p, i, s
-                        break  # the open transition is the only one
-                last.append(got)
-                begin.append(start)
-                total.append(total[start] if best is None else best)
+                for i in range(end - longest if end > longest else 0, end):
+                    p = piece(word[i:end])
+                    if p is not None:
+                        a = last[i]
+                        if a < 0:
+                            break
+                        known = pair(a << 32 | p)
+                        if joins(a, p) if known is None else known:
+                            break  # the open transition is the only one
+                else:
+                    i, p = end - 1, -1
+                last.append(p)
+                begin.append(i)
+                total.append(total[i] + scores[p] if p >= 0 else total[i])
             before = word
             out, end = [], len(word)
             while end:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, small_batches
+from .common import cut, per_text, small_batches
 from .words import chunks, mix, spans
 
 PER_CLASS, MAX_CHARS = 2500, 20_000
@@ -198,7 +198,8 @@ class Network:
         hit = np.flatnonzero(w == top[x.doc])
         return top, hit[np.searchsorted(x.doc[hit], np.arange(x.docs))]
 
-    def train(self, texts: list, labels: np.ndarray) -> Network:
+    def train(self, texts: list, labels: np.ndarray, totals: tuple[int, int] | None = None) -> Network:
+        """totals: labelled rows of class 0 and 1 that the sample stands for."""
         labels = np.asarray(labels, np.float32)
         if len(set(labels.tolist())) < 2:
             self.constant = float(labels.mean()) if len(labels) else 0.0
@@ -228,17 +229,19 @@ class Network:
                     np.add.at(self.p["grams"], x.gram, -rate * (dv / x.many)[x.owner])
                 np.add.at(self.p["words"], x.word, -rate * dv)
         z = np.concatenate([self.texts(x)[0] for x in inputs])
-        self.calibrate(z, np.concatenate(y))
+        self.calibrate(z, np.concatenate(y), totals or (1, 1))
         return self
 
-    def calibrate(self, z: np.ndarray, y: np.ndarray) -> None:
-        """Platt's sigmoid by Newton steps, with his smoothed targets."""
+    def calibrate(self, z: np.ndarray, y: np.ndarray, totals: tuple[int, int]) -> None:
+        """Platt's sigmoid by Newton steps, with his smoothed targets, weighted to the shares of all labelled rows."""
         n1, n0 = y.sum(), (1 - y).sum()
+        each = np.where(y > 0, totals[1] / n1, totals[0] / n0)
+        each = each / each.mean()
         target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
         a, b = 1.0, 0.0
         for _ in range(50):
             p = sigmoid(a * z + b)
-            d, s = p - target, p * (1 - p) + 1e-9
+            d, s = each * (p - target), each * p * (1 - p) + 1e-9
             hessian = np.array([[(s * z * z).sum() + 1e-3, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-3]])
             move = np.linalg.solve(hessian, [(d * z).sum() + 1e-3 * (a - 1), d.sum()])
             a, b = a - float(np.clip(move[0], -1, 1)), b - float(np.clip(move[1], -2, 2))
@@ -260,11 +263,15 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold(F.col(key), folds) != 0))
         .groupBy(key).agg(F.max(label).alias("_y"))
     )
-    fit = docs.select(key, text).where(F.length(text) <= MAX_CHARS).join(known, key).select("_y", text, F.xxhash64(key).alias("_h"))
-    rows = []
+    picked = None
     for y in (0, 1):
-        rows += fit.where(F.col("_y") == y).orderBy("_h").limit(PER_CLASS).collect()  # at most PER_CLASS rows
-    return Network().train([r[text] for r in rows], np.array([r["_y"] for r in rows]))
+        some = known.where(F.col("_y") == y).orderBy(F.xxhash64(key), key).limit(PER_CLASS)
+        picked = some if picked is None else picked.union(some)
+    picked = cut(picked)  # 2 * PER_CLASS ids at most
+    fit = docs.select(key, text).join(F.broadcast(picked), key).where(F.length(text) <= MAX_CHARS).dropDuplicates([key])
+    rows = fit.orderBy(F.xxhash64(key), key).select("_y", text).collect()
+    many = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}  # two rows
+    return Network().train([r[text] for r in rows], np.array([r["_y"] for r in rows]), (many.get(0, 1), many.get(1, 1)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", folds: int = 5) -> DataFrame:
