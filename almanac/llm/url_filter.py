@@ -20,7 +20,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import cut, lower_ascii
 
 #: (verdict, host, path)
 RULES = (
@@ -70,7 +70,7 @@ def grams(symbols: Column) -> Column:
 def log_ratios(labelled: DataFrame) -> DataFrame:
     """index, ratio: a row for each of the SYMBOLS^3 grams. labelled: verdict, gram."""
     spark = labelled.sparkSession
-    counted = labelled.groupBy("verdict", "gram").agg(F.count(F.lit(1)).alias("n"))
+    counted = cut(labelled.groupBy("verdict", "gram").agg(F.count(F.lit(1)).alias("n")))  # 2 * SYMBOLS^3 rows at most, read six times
     split = counted.select(
         "verdict", "n", (F.col("gram") % SYMBOLS).alias("c"), (F.floor(F.col("gram") / SYMBOLS) % SYMBOLS).alias("b"), F.floor(F.col("gram") / SYMBOLS**2).alias("a")
     )
