@@ -297,15 +297,26 @@ def sorted_letters(c: Column) -> Column:
     return F.array_join(F.array_sort(F.split(c, "")), "")
 
 
-TITLE = r"(?i)\b(?:graf|gräfin|freiherr|frhr|freyherr|baron|ritter|edler|prinz|fürst|herzog|comes|eques|nobilis)\b"
-PARTICLE = r"(?i)(?:^|\s)(?:von|vom|van|de|zu|zur|zum)(?:\s|$)"
-SHORT_PARTICLE = r"(?i)(?:^|\s)v\.(?:\s|$)"
-
-
-def nobility(name: Column, exceptions: list[str] | None = None) -> Column:
-    """'title', 'particle', 'abbreviated particle', 'exception' or 'none'."""
-    out = F.when(name.isin(*exceptions), "exception") if exceptions else F.when(F.lit(False), "")
-    return out.when(name.rlike(TITLE), "title").when(name.rlike(PARTICLE), "particle").when(name.rlike(SHORT_PARTICLE), "abbreviated particle").otherwise("none")
+# ---- fixed values: titles (with capitals, as nouns have them), particles and their short forms
+TITLES = "Fürst Fürstin Erbprinz Prinz Prinzessin Herzog Herzogin Markgraf Markgräfin Landgraf Landgräfin Pfalzgraf Pfalzgräfin Graf Gräfin Freiherr Freifrau Freiin Baron Baronin Ritter Edler Edle".split()
+NOBLE_PARTICLES = ("von und zu", "von der", "von dem", "vom", "von", "zur", "zum", "zu")
+WORD = r"[\p{L}\p{N}_]"
+TITLE = rf"(?<!{WORD})(?:{'|'.join(t + (WORD + '*' if t == 'Erbprinz' else '') for t in TITLES)})(?!{WORD})"
+PARTICLE = rf"(?i)(?<!{WORD})(?:{'|'.join(NOBLE_PARTICLES)})(?!{WORD})"
+SHORT_PARTICLE = rf"(?<!{WORD})(?:v\.\s?(?:d\.|u\.\s?z\.)?(?={WORD})|z\.(?={WORD}))"
+
+
+def nobility(first: Column, last: Column, noble: list[str] | None = None, common: list[str] | None = None) -> tuple[Column, Column]:
+    """The class of a person by the marks in both names, and whether it is a noble one.
+
+    noble, common: surnames whose class is known, without or in spite of a particle."""
+    whole = F.concat(F.coalesce(first, F.lit("")), F.lit(" "), F.coalesce(last, F.lit("")))
+    known = lambda names: F.coalesce(last.isin(*names), F.lit(False)) if names else F.lit(False)
+    kind = (
+        F.when(known(common), "known_commoner_von_exception").when(known(noble), "known_noble_bare_exception").when(whole.rlike(TITLE), "titled_noble")
+        .when(whole.rlike(PARTICLE) | whole.rlike(SHORT_PARTICLE), "particle_untitled_ambiguous").otherwise("no_marker_likely_non_noble")
+    )
+    return kind, kind.isin("titled_noble", "particle_untitled_ambiguous", "known_noble_bare_exception")
 
 
 def first_part(c: Column) -> Column:

@@ -35,7 +35,7 @@ def top_lists(df: DataFrame, by: list[str], order: list, columns: list[str], n:
     """Parallel lists of the first n rows of each key, in order."""
     ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n)
     rows = ranked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_n", *columns))).alias("_l"))
-    return rows.select(*by, *[F.transform("_l", lambda x, c=c: x[c]).alias(c) for c in columns])
+    return rows.select(*by, *[F.col("_l").getField(c).alias(c) for c in columns])
 
 
 def pivot_shares(df: DataFrame, row: str, column: str, values: list, weight: str | None = None, by: str = "column") -> DataFrame:

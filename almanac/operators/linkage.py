@@ -277,7 +277,7 @@ def cluster(scored: DataFrame, spell: DataFrame, threshold: float = 0.95) -> Dat
     edges = scored.where(F.col("probability") >= threshold)
     comp = connected(edges)
     kept = edges.join(comp, F.col("lid") == F.col("id")).select("component", "weight", "lid", "rid")
-    nodes = comp.join(spell, F.col("id") == F.col("spell_id")).select("component", "spell_id", "school", "first_seen", "last_seen")
+    nodes = comp.join(spell, F.col("id") == F.col("spell_id")).select(F.col("component").alias("own"), "spell_id", "school", "first_seen", "last_seen")
 
     def run(edge_rows, node_rows):
         import pandas as pd
@@ -286,7 +286,7 @@ def cluster(scored: DataFrame, spell: DataFrame, threshold: float = 0.95) -> Dat
         found = merge(list(zip(edge_rows["weight"], edge_rows["lid"], edge_rows["rid"], strict=True)), spans)
         return pd.DataFrame({"spell_id": list(found), "student_id": list(found.values())})
 
-    linked = kept.groupBy("component").cogroup(nodes.groupBy("component")).applyInPandas(run, "spell_id long, student_id long")
+    linked = kept.groupBy("component").cogroup(nodes.groupBy("own")).applyInPandas(run, "spell_id long, student_id long")
     return spell.select("spell_id").join(linked, "spell_id", "left").select("spell_id", F.coalesce("student_id", "spell_id").alias("student_id"))
 
 

@@ -59,14 +59,18 @@ def record_id(df: DataFrame, order: list, name: str = "record_id") -> DataFrame:
 
 
 def repair_misread(df: DataFrame, value: str, by: list[str], order: list) -> DataFrame:
-    """An isolated value between two equal neighbours becomes theirs; then rows that fall behind the largest
-    value before them go, but for the first of a key."""
+    """A value outside its neighbours' range becomes the next one's, where the neighbours don't fall."""
     w = window(by, order)
-    before, after = F.lag(value).over(w), F.lead(value).over(w)
-    repaired = df.withColumn("_r", F.when((before == after) & (F.col(value) != before), before).otherwise(F.col(value)))
-    top = F.max("_r").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = repaired.withColumns({"_top": top, "_n": F.row_number().over(w)})
-    return marked.where((F.col("_n") == 1) | (F.col("_r") >= F.col("_top"))).withColumn(value, F.col("_r")).drop("_r", "_top", "_n")
+    before, after = F.coalesce(F.lag(value).over(w), F.col(value)), F.coalesce(F.lead(value).over(w), F.col(value))
+    outside = (before <= after) & ~F.col(value).between(before, after)
+    return df.withColumn(value, F.when(outside, after).otherwise(F.col(value)))
+
+
+def steps_of_one(df: DataFrame, value: str, by: list[str], order: list) -> DataFrame:
+    """The first row of each key, and those whose value is one more than that of the row before."""
+    w = window(by, order)
+    told = df.withColumns({"_n": F.row_number().over(w), "_b": F.lag(value).over(w)})
+    return told.where((F.col("_n") == 1) | (F.col(value) == F.col("_b") + 1)).drop("_n", "_b")
 
 
 def anchored(df: DataFrame, anchors: DataFrame, on: list[str], value: str, by: list[str], order: list) -> DataFrame:
@@ -77,7 +81,8 @@ def anchored(df: DataFrame, anchors: DataFrame, on: list[str], value: str, by: l
 
 
 def gap_spells(df: DataFrame, by: list[str], time: str, order: list, gap: float) -> DataFrame:
-    """spell (from 1 in each key): a new one starts where more than ``gap`` lies between two rows."""
+    """spell (from 1 in each key): a new one starts where more than ``gap`` seconds lie between two rows."""
     w = window(by, order)
-    new = (F.col(time).cast("double") - F.lag(time).over(w).cast("double") > gap).cast("int")
+    at = F.col(time).cast("timestamp").cast("double")
+    new = (at - F.lag(at).over(w) > gap).cast("int")
     return df.withColumn("spell", F.sum(F.coalesce(new, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + 1)

@@ -1 +1 @@
-"""See the modules."""
+"""See spells.py."""
