@@ -11,6 +11,8 @@ import os
 import numpy as np
 
 U = np.uint64
+#: The place of every SAMPLE-th zero is kept.
+SAMPLE = 8
 
 
 def write(path: str, arrays: dict[str, np.ndarray]) -> None:
@@ -46,7 +48,9 @@ def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     bits[high + np.arange(n)] = 1
     words = np.packbits(bits, bitorder="little").view(U)
     ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))])
-    return {"head": np.array([n, low, universe >> 32, universe & 0xFFFFFFFF], np.int64), "low": packed, "high": words, "ones": ones}
+    marks = np.flatnonzero(bits == 0)[::SAMPLE].astype(np.int64 if size >> 32 else np.uint32)
+    words = np.append(words, U(0))  # so that eight bytes can be read from any byte
+    return {"head": np.array([n, low, universe >> 32, universe & 0xFFFFFFFF], np.int64), "low": packed, "high": words, "ones": ones, "marks": marks}
 
 
 def select_in(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -65,35 +69,34 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.n, self.bits = int(arrays["head"][0]), int(arrays["head"][1])
         self.universe = int(arrays["head"][2]) << 32 | int(arrays["head"][3])
-        self.high, self.ones = arrays["high"], arrays["ones"]
+        self.high, self.ones, self.marks = arrays["high"], arrays["ones"], arrays["marks"]
+        self.bytes = np.ndarray((8 * len(self.high) - 7,), "<u8", self.high, strides=(1,))
         low = arrays["low"]
         self.low = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
 
     @classmethod
     def open(cls, path: str, name: str = "") -> EliasFano:
-        return cls({k: np.load(f"{path}/{name}{k}.npy", mmap_mode="r") for k in ("head", "low", "high", "ones")})
+        return cls({k: np.load(f"{path}/{name}{k}.npy", mmap_mode="r") for k in ("head", "low", "high", "ones", "marks")})
+
+    def window(self, at: np.ndarray) -> np.ndarray:
+        """57 bits or more from each place."""
+        return self.bytes[at >> 3] >> (at & 7).astype(U)
 
     def select0(self, j: np.ndarray) -> np.ndarray:
         """The place of the zero number j."""
-        # zeros before word w are 64 w - ones[w]: a search for the last w with at most j
-        lo, hi = np.zeros(len(j), np.int64), np.full(len(j), len(self.high) - 1, np.int64)
-        if len(j):  # the guess of an even spread, widened until it holds
-            guess = np.clip(j * len(self.high) // max(1, 64 * len(self.high) - int(self.ones[-1])), 0, len(self.high) - 1)
-            step = 2
-            left, right = guess.copy(), guess.copy()
-            while (bad := 64 * left - self.ones[left] > j).any():
-                left = np.where(bad, np.maximum(left - step, 0), left)
-                step *= 4
-            step = 2
-            while (bad := (right < hi) & (64 * (right + 1) - self.ones[right + 1] <= j)).any():
-                right = np.where(bad, np.minimum(right + step, hi), right)
-                step *= 4
-            lo, hi = left, right
-        while (lo < hi).any():
-            mid = (lo + hi + 1) >> 1
-            ok = 64 * mid - self.ones[mid] <= j
-            lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid - 1)
-        return 64 * lo + select_in(~self.high[lo], j - (64 * lo - self.ones[lo]))
+        mark = self.marks[j // SAMPLE].astype(np.int64)
+        more = j % SAMPLE
+        zeros = ~self.window(mark) & U((1 << 57) - 1)
+        out = mark + select_in(zeros, more)
+        far = np.flatnonzero(np.bitwise_count(zeros) <= more)  # long runs of ones
+        if len(far):
+            lo, hi, want = mark[far] >> 6, np.full(len(far), len(self.ones) - 2), j[far]
+            while (lo < hi).any():  # the last word that has at most j zeros before it
+                mid = (lo + hi + 1) >> 1
+                ok = 64 * mid - self.ones[mid] <= want
+                lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid - 1)
+            out[far] = 64 * lo + select_in(~self.high[lo], want - (64 * lo - self.ones[lo]))
+        return out
 
     def select1(self, i: np.ndarray) -> np.ndarray:
         w = np.searchsorted(self.ones, i, side="right") - 1
@@ -115,8 +118,12 @@ class EliasFano:
         ask = np.flatnonzero(x < U(self.universe)) if self.universe < 1 << 64 else np.arange(len(x))
         q = x[ask].astype(U)
         h = (q >> U(self.bits)).astype(np.int64)
-        end = self.select0(h) - h
-        start = np.where(h > 0, self.select0(np.maximum(h - 1, 0)) + 1 - h, 0)
+        head = np.where(h > 0, self.select0(np.maximum(h - 1, 0)) + 1, 0)  # where the bucket's ones begin
+        run = self.window(head)
+        many = np.bitwise_count(run ^ (run + U(1))).astype(np.int64) - 1
+        start, end = head - h, head - h + many
+        if len(far := np.flatnonzero(many >= 56)):
+            end[far] = self.select0(h[far]) - h[far]
         want = q & U((1 << self.bits) - 1)
         lo, hi = start, end - 1
         live = np.flatnonzero(lo <= hi)

@@ -39,9 +39,9 @@ END = np.uint64(0x5DEECE66D1234567)
 ADD = 0.1
 LEAST = 2
 #: Characters of input for each shard.
-SHARD_CHARS = 24_000_000
+SHARD_CHARS = 12_000_000
 #: Keys that a task gathers before it sends them.
-RUN = 2_000_000
+RUN = 1_000_000
 #: Steps of a quantised log10.
 STEP = 1 / 4096
 
@@ -50,12 +50,20 @@ def quantised(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 / STEP), 0, 65535).astype(np.uint16)
 
 
-def tokens(texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, hashes of the tokens of some texts, end of each text in them)."""
-    for first, offsets, raw in chunks(texts):
+def tokens(texts: list, size: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes of the tokens of some texts, end of each text in them), for texts of about ``size`` bytes at a time."""
+    hashes, ends, total, held = [], [], 0, 0
+    for _, offsets, raw in chunks(texts):
         h, starts, _ = spans(raw)
         where = np.searchsorted(starts, np.append(offsets[1:], len(raw)))
-        yield first, np.insert(h, where, END), where + np.arange(1, len(offsets) + 1)
+        hashes.append(np.insert(h, where, END))
+        ends.append(total + where + np.arange(1, len(offsets) + 1))
+        total, held = total + len(hashes[-1]), held + len(raw)
+        if held >= size:
+            yield np.concatenate(hashes), np.concatenate(ends)
+            hashes, ends, total, held = [], [], 0, 0
+    if hashes:
+        yield np.concatenate(hashes), np.concatenate(ends)
 
 
 def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +94,7 @@ def gathered(docs: DataFrame, keys_of, shards: int, shard_of, text: str) -> Data
     """Rows (shard, run of keys and counts): keys_of(texts) yields arrays of keys; shard_of(keys) deals them."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000)
     names = ["shard", "steps", "far", "counts"]
 
     def rows(keys: np.ndarray, counts: np.ndarray):
@@ -126,7 +134,7 @@ def mixed(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(part, places) of each part that occurs."""
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part, kind="stable") if len(part) and (part[1:] < part[:-1]).any() else np.arange(len(part))
     at = np.flatnonzero(np.append(True, np.diff(part[order]) != 0)) if len(part) else []
     for a, b in zip(at, [*at[1:], len(part)], strict=True):
         yield int(part[order[a]]), order[a:b]
@@ -180,24 +188,20 @@ class Model:
             self.back3.bases = self.pairs.bases
             self.back3.arrays = {"back": [np.load(f"{f}/3b/{p}.npy", mmap_mode="r") if os.path.exists(f"{f}/3b/{p}.npy") else np.zeros(n, np.uint16) for p, n in enumerate(about["sizes2"])]}
 
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        """The number of each token, or -1."""
-        distinct, back = np.unique(hashes, return_inverse=True)
-        return self.words.find(distinct)[back]
-
     def known_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The item of each pair of words (-1: a word that isn't known), or -1."""
         out = np.full(len(left), -1, np.int64)
         ask = np.flatnonzero((left >= 0) & (right >= 0))
-        keys = left[ask].astype(np.uint64) * np.uint64(self.words.n) + right[ask].astype(np.uint64)
+        keys, back = np.unique(left[ask].astype(np.uint64) * np.uint64(self.words.n) + right[ask].astype(np.uint64), return_inverse=True)
         maybe = np.zeros(len(keys), bool)
-        for p, at in by_part(np.searchsorted(self.words.bases, left[ask], side="right") - 1):
+        for p, at in by_part(np.searchsorted(self.pairs.firsts, keys, side="right") - 1):
             if (bits := self.filters[p]) is not None:
                 slot = filter_slot(keys[at], len(bits) * 8)
                 maybe[at] = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+        found = np.full(len(keys), -1, np.int64)
         maybe = np.flatnonzero(maybe)
-        distinct, back = np.unique(keys[maybe], return_inverse=True)
-        out[ask[maybe]] = self.pairs.find(distinct)[back]
+        found[maybe] = self.pairs.find(keys[maybe])
+        out[ask] = found[back]
         return out
 
     def first_of(self, words: np.ndarray) -> np.ndarray:
@@ -215,10 +219,13 @@ class Model:
             out[at] = self.back[p][words[at] - self.words.bases[p]]
         return out
 
-    def triple_keys(self, pair: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where a triple can be held: tokens whose pair and previous token's pair are; and its key there."""
-        at = np.flatnonzero((pair[1:] >= 0) & (pair[:-1] >= 0)) + 1
-        relative = pair[at] - self.first_of(number[at - 1])
+    def triple_keys(self, pair: np.ndarray, number: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a triple can be held: tokens but a text's first whose pair and previous token's pair are; and its key there."""
+        ok = (pair >= 0) & (np.roll(pair, 1) >= 0)
+        ok[np.concatenate([[0], ends[:-1]])] = False
+        at = np.flatnonzero(ok)
+        words, back = np.unique(number[at - 1], return_inverse=True)
+        relative = pair[at] - self.first_of(words)[back]
         return at, pair[at - 1].astype(np.uint64) * np.uint64(max(1, self.about["span"])) + relative.astype(np.uint64)
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
@@ -248,10 +255,23 @@ def contexts(numbers: np.ndarray, ends: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def pairs_in(m: Model, h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the tokens and of those before them."""
-    numbers = m.number(h)
-    return numbers, contexts(numbers, ends, int(m.about["end"]))
+class Tokens:
+    """Tokens of some texts as distinct words (ascending) and their numbers; -1 for words that aren't known."""
+
+    def __init__(self, m: Model, h: np.ndarray, ends: np.ndarray):
+        distinct, self.back = np.unique(h, return_inverse=True)
+        self.distinct = m.words.find(distinct)
+        self.known = np.flatnonzero(self.distinct >= 0)
+        self.numbers, self.ends = self.distinct[self.back], ends
+        end = int(m.about["end"])
+        self.before = contexts(self.numbers, ends, end)
+        self.place = contexts(self.back, ends, int(np.searchsorted(distinct, END)))  # of the token before among distinct
+
+    def each(self, values: np.ndarray, kind) -> np.ndarray:
+        """Values of the known distinct words, for all distinct words; 0 for others."""
+        out = np.zeros(len(self.distinct), kind)
+        out[self.known] = values
+        return out
 
 
 def learn(train: DataFrame, text: str = "text", least: int = LEAST) -> dict:
@@ -267,7 +287,7 @@ def learn(train: DataFrame, text: str = "text", least: int = LEAST) -> dict:
     width = np.uint64(-(-(1 << 64) // shards))
 
     def words_of(texts):
-        for _, h, _ in tokens(texts):
+        for h, _ in tokens(texts):
             yield h
 
     def level1(key, group):
@@ -292,9 +312,9 @@ def learn(train: DataFrame, text: str = "text", least: int = LEAST) -> dict:
     # ---- level 2: count by mixed keys, then lay out by the first word's part
     def pair_keys(texts):
         m = opened(about)
-        for _, h, ends in tokens(texts):
-            numbers, before = pairs_in(m, h, ends)
-            yield before.astype(np.uint64) * vocabulary + numbers.astype(np.uint64)
+        for h, ends in tokens(texts):
+            w = Tokens(m, h, ends)
+            yield w.before.astype(np.uint64) * vocabulary + w.numbers.astype(np.uint64)
 
     parted = lambda k: np.searchsorted(bases, (k // vocabulary).astype(np.int64), side="right") - 1
     kept2 = held(gathered(train, pair_keys, shards, lambda k: mixed(k, shards), text), parted, least)
@@ -334,13 +354,9 @@ def learn(train: DataFrame, text: str = "text", least: int = LEAST) -> dict:
     # ---- level 3
     def triple_keys(texts):
         m = opened(about)
-        for _, h, ends in tokens(texts):
-            numbers, before = pairs_in(m, h, ends)
-            pair = m.known_pairs(before, numbers)
-            at, keys = m.triple_keys(pair, numbers)
-            first = np.zeros(len(h), bool)
-            first[np.concatenate([[0], ends[:-1]])] = True
-            yield keys[~first[at]]
+        for h, ends in tokens(texts):
+            w = Tokens(m, h, ends)
+            yield m.triple_keys(m.known_pairs(w.before, w.numbers), w.numbers, ends)[1]
 
     parted3 = lambda k: np.searchsorted(bases2, (k // span).astype(np.int64), side="right") - 1
     kept3 = held(gathered(train, triple_keys, shards, lambda k: mixed(k, shards), text), parted3, least)
@@ -415,36 +431,36 @@ def bitmap(keys: np.ndarray) -> np.ndarray:
 def score_texts(m: Model, texts: list) -> list[tuple]:
     """(n_tokens, n_known, base_score, score) of each text."""
     out = []
-    for _, h, ends in tokens(texts):
-        numbers, before = pairs_in(m, h, ends) if m.words.n else (np.full(len(h), -1), np.full(len(h), -1))
-        known = numbers >= 0
-        counts = np.zeros(len(h), np.int64)
-        counts[known] = m.words.take("counts", numbers[known])
-        base = np.log10(m.unigram(counts))
-        score = base.copy()
+    for h, ends in tokens(texts):
+        start = np.concatenate([[0], ends[:-1]])
+        if not m.words.n:
+            base = np.full(len(h), np.log10(m.unigram(np.zeros(1))[0]))
+            known, score = np.zeros(len(h), bool), base
+        else:
+            w = Tokens(m, h, ends)
+            mine = w.distinct[w.known]
+            base = np.log10(m.unigram(w.each(m.words.take("counts", mine), np.int64)))[w.back]
+            known, score = w.numbers >= 0, base
         if "sizes2" in m.about:
-            has = before >= 0
-            pair = m.known_pairs(before, numbers)
-            hit = pair >= 0
-            score[has] -= STEP * m.back_of(before[has])
-            score[hit] = -STEP * m.pairs.take("p", pair[hit]).astype(np.float64)
+            pair = m.known_pairs(w.before, w.numbers)
+            hit = np.flatnonzero(pair >= 0)
+            score = base - STEP * w.each(m.back_of(mine), np.float64)[w.place]
+            items, back = np.unique(pair[hit], return_inverse=True)
+            score[hit] = -STEP * m.pairs.take("p", items).astype(np.float64)[back]
         if "sizes3" in m.about:
-            first = np.concatenate([[0], ends[:-1]])
-            inside = np.ones(len(h), bool)
-            inside[first] = False
             up = np.roll(pair, 1)
-            has = inside & (up >= 0)  # the two words before are a held pair
-            lowered = score.copy()
-            lowered[has] -= STEP * m.back3.take("back", up[has]).astype(np.float64)
-            at, keys = m.triple_keys(pair, numbers)
-            ok = inside[at]
-            at, keys = at[ok], keys[ok]
+            up[start] = -1
+            has = np.flatnonzero(up >= 0)  # the two words before are a held pair
+            items, back = np.unique(up[has], return_inverse=True)
+            score[has] -= STEP * m.back3.take("back", items).astype(np.float64)[back]
+            at, keys = m.triple_keys(pair, w.numbers, ends)
             distinct, back = np.unique(keys, return_inverse=True)
-            item = m.triples.find(distinct)[back]
-            got = item >= 0
-            lowered[at[got]] = -STEP * m.triples.take("p", item[got]).astype(np.float64)
-            score = lowered
-        start = np.concatenate([[0], ends[:-1]])
+            found = m.triples.find(distinct)
+            got = np.flatnonzero(found >= 0)
+            p3 = np.zeros(len(distinct))
+            p3[got] = -STEP * m.triples.take("p", found[got]).astype(np.float64)
+            held = found[back] >= 0
+            score[at[held]] = p3[back[held]]
         out += zip(
             np.diff(ends, prepend=0).tolist(), np.add.reduceat(known.astype(np.int64), start).tolist(),
             np.add.reduceat(base, start).tolist(), np.add.reduceat(score, start).tolist(), strict=True,
@@ -454,7 +470,7 @@ def score_texts(m: Model, texts: list) -> list[tuple]:
 
 def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int = 10) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from all rows outside fold 0."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000)
     held_out = F.coalesce(fold(F.col(key), folds) == 0, F.lit(False))
     about = learn(docs.where(~held_out), text)
 
