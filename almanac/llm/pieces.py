@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from itertools import chain
 
@@ -30,7 +31,7 @@ from .common import per_text, small_batches
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words and pairs that a worker remembers before it starts anew.
-REMEMBER = 400_000
+REMEMBER = 500_000
 
 
 class Pieces:
@@ -50,8 +51,14 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.ids[name] = i
                 self.raw[i] = name.replace(MARK, " ").encode()
-        self.longest = max(map(len, self.ids))
-        self.words: dict[str, tuple[int, ...]] = {}
+        # pieces by their last character, the one before it and so on; 0 leads to the piece itself
+        self.ends: dict = {}
+        for name, i in self.ids.items():
+            node = self.ends
+            for c in reversed(name):
+                node = node.setdefault(c, {})
+            node[0] = i
+        self.words: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -76,8 +83,8 @@ class Pieces:
         return known
 
     def learn(self, words: list[str]) -> None:
-        """Encodes sorted distinct words into ``self.words``."""
-        piece, pair, scores, longest, joins = self.ids.get, self.pairs.get, self.scores, self.longest, self.joins
+        """Encodes sorted distinct words into ``self.words``, as bytes of 32-bit ids."""
+        root, pair, scores, joins = self.ends, self.pairs.get, self.scores, self.joins
         # for each prefix length of the current word: last piece (-1: bytes), where it starts, score so far
         last, begin, total = [-2], [0], [0.0]
         before = ""
@@ -87,8 +94,15 @@ class Pieces:
                 shared += 1
             del last[shared + 1 :], begin[shared + 1 :], total[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for i in range(end - longest if end > longest else 0, end):
-                    p = piece(word[i:end])
+                # pieces that end here, from the shortest on, until one may follow the best one before it
+                node, i = root, end
+                while i:
+                    i -= 1
+                    node = node.get(word[i])
+                    if node is None:
+                        i, p = end - 1, -1
+                        break
+                    p = node.get(0)
                     if p is not None:
                         a = last[i]
                         if a < 0:
@@ -105,9 +119,13 @@ class Pieces:
             out, end = [], len(word)
             while end:
                 start = begin[end]
-                out.append((last[end],) if last[end] >= 0 else tuple(self.bytes[b] for b in word[start:end].encode("utf-8", "surrogatepass")))
+                if last[end] >= 0:
+                    out.append(last[end])
+                else:
+                    out += [self.bytes[b] for b in reversed(word[start:end].encode("utf-8", "surrogatepass"))]
                 end = start
-            self.words[word] = tuple(chain.from_iterable(reversed(out)))
+            out.reverse()
+            self.words[word] = struct.pack(f"<{len(out)}I", *out)
 
     def encode_batch(self, texts: list) -> list[np.ndarray]:
         split = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
@@ -116,7 +134,7 @@ class Pieces:
             self.words.clear()
             new = set(chain.from_iterable(split))
         self.learn(sorted(new))
-        return [np.fromiter(chain.from_iterable(map(self.words.__getitem__, w)), np.uint32) for w in split]
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, w)), "<u4") for w in split]
 
     def decode(self, ids) -> str:
         out = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -140,7 +158,7 @@ def encoded(docs: DataFrame, model: str = "piece_bpe_32k.model", text: str = "te
         p, out = pieces(model), []
         for t, ids in zip(texts, p.encode_batch(texts), strict=True):
             back = p.decode(ids.tolist())
-            out.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == (t or ""), *([ids.tolist()] if with_ids else [])))
+            out.append((len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == (t or ""), *([ids.tolist()] if with_ids else [])))
         return out
 
     return per_text(docs, run, "n_ids long, ids_crc32 long, decoded_sha256 string, same boolean" + ", ids array<long>" * with_ids, text, key)
