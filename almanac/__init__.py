@@ -7,9 +7,20 @@ import os
 import tempfile
 import zipfile
 
+# Spark runs a task on each core; threads of numerical libraries inside a task only get in each other's way
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 _shipped: set[str] = set()
 
 
+def cut(df):
+    """df, computed once into the folder of spark.checkpoint.dir that all executors share; set here only where it is unset."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="almanac-ckpt-"))
+    return df.checkpoint(eager=True)
+
+
 def ship(spark) -> None:
     """Sends this package to the executors once for each application, for the operators that run Python there."""
     sc = spark.sparkContext

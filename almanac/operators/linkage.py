@@ -9,7 +9,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import ship
+from .. import cut, ship
 from ..functions import text
 from .aggregates import key_share, mode_smallest
 from .joins import multi_rule_pairs
@@ -118,13 +118,18 @@ def compare(pairs: DataFrame, spell: DataFrame, annual: list[str]) -> DataFrame:
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     first = l("first_seen") <= r("first_seen")
     e, t = (lambda c: F.when(first, l(c)).otherwise(r(c))), (lambda c: F.when(first, r(c)).otherwise(l(c)))
+    # similarity once for each distinct pair of names that differ in sound
+    differ = (l("ln_norm") != r("ln_norm")) & ~F.coalesce(l("ln_phon") == r("ln_phon"), F.lit(False))
+    named = both.where(differ).select(l("ln_norm").alias("_ln"), r("ln_norm").alias("_rn")).distinct()
+    near = named.where(F.least(F.length("_ln"), F.length("_rn")) >= 0.6 * F.greatest(F.length("_ln"), F.length("_rn"))).withColumn("_jw", text.jaro_winkler(F.col("_ln"), F.col("_rn"))).where("_jw >= 0.92")
+    both = both.join(near, (l("ln_norm") == F.col("_ln")) & (r("ln_norm") == F.col("_rn")), "left")
     gap = F.greatest(F.lit(0), t("first_seen") - e("last_seen") - F.when(e("school").isin(*annual), 0).otherwise(2))
     full = l("gn_has_full") & r("gn_has_full")
     none = lambda c: c.isNull() | (c == "")
     two = F.length(l("gn_init")) >= 2
     return both.select(
         "lid", "rid",
-        F.when(l("ln_norm") == r("ln_norm"), 0).when(l("ln_phon") == r("ln_phon"), 1).when(text.jaro_winkler(l("ln_norm"), r("ln_norm")) >= 0.92, 2).otherwise(3).alias("sn"),
+        F.when(l("ln_norm") == r("ln_norm"), 0).when(l("ln_phon") == r("ln_phon"), 1).when(F.col("_jw").isNotNull(), 2).otherwise(3).alias("sn"),
         F.when(full & (l("gn_set") == r("gn_set")), 0)
         .when(full & (F.size(F.array_intersect(l("gn_set"), r("gn_set"))) > 0) & (l("gn_i1") == r("gn_i1")), 1)
         .when((l("gn_init") == r("gn_init")) & two, 2).when((l("gn_init_set") == r("gn_init_set")) & two, 3).when(l("gn_i1") == r("gn_i1"), 4)
@@ -223,18 +228,13 @@ def score(compared: DataFrame, m: dict, u: dict, lam: float) -> DataFrame:
 
 def connected(edges: DataFrame, a: str = "lid", b: str = "rid") -> DataFrame:
     """id, component: the smallest id that edges lead to; labels spread with pointer jumping."""
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    near = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(b, a)).distinct().checkpoint()
-    labels = near.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("component")).checkpoint()
+    near = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(b, a)).distinct())
+    labels = cut(near.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("component")))
     while True:
         around = near.join(labels, F.col("y") == F.col("id")).groupBy("x").agg(F.min("component").alias("m"))
         hooked = labels.join(around, F.col("id") == F.col("x")).select("id", F.col("component").alias("old"), F.least("component", "m").alias("component"))
         up = labels.select(F.col("id").alias("u"), F.col("component").alias("top"))
-        new = hooked.join(up, F.col("component") == F.col("u"), "left").select("id", "old", F.least("component", F.coalesce("top", "component")).alias("component")).checkpoint()
+        new = cut(hooked.join(up, F.col("component") == F.col("u"), "left").select("id", "old", F.least("component", F.coalesce("top", "component")).alias("component")))
         labels = new.select("id", "component")
         if not new.where("component != old").limit(1).count():
             return labels

@@ -51,8 +51,10 @@ def margin(score: str, by: list[str], order: list, cap: float = 10.0) -> Column:
 def record_id(df: DataFrame, order: list, name: str = "record_id") -> DataFrame:
     """Row numbers from 0 in a total order, without gathering the rows in one task.
 
-    Ranges are sorted apart; how many rows each has (a number for each range) gives their starts."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()})
+    Ranges are sorted apart and written once, as their bounds are sampled; how many rows each has (a number for each range) gives their starts."""
+    from .. import cut
+
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}))
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
     starts = sizes.select("_p", "_first", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_start"))
     return ranged.join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + F.col("_i") - F.col("_first")).drop("_p", "_i", "_first", "_start")
