@@ -42,6 +42,8 @@ LEAST = 2
 SHARD_CHARS = 12_000_000
 #: Keys that a task gathers before it sends them.
 RUN = 1_000_000
+#: Rows of an Arrow batch: many, as distinct words of a batch are looked up once.
+BATCH = 2500
 #: Steps of a quantised log10.
 STEP = 1 / 4096
 
@@ -50,7 +52,7 @@ def quantised(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 / STEP), 0, 65535).astype(np.uint16)
 
 
-def tokens(texts: list, size: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def tokens(texts: list, size: int = 8 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hashes of the tokens of some texts, end of each text in them), for texts of about ``size`` bytes at a time."""
     hashes, ends, total, held = [], [], 0, 0
     for _, offsets, raw in chunks(texts):
@@ -94,7 +96,7 @@ def gathered(docs: DataFrame, keys_of, shards: int, shard_of, text: str) -> Data
     """Rows (shard, run of keys and counts): keys_of(texts) yields arrays of keys; shard_of(keys) deals them."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession, BATCH)
     names = ["shard", "steps", "far", "counts"]
 
     def rows(keys: np.ndarray, counts: np.ndarray):
@@ -181,27 +183,27 @@ class Model:
             self.pairs = Level(f"{f}/2", about["sizes2"], about["firsts2"], ("counts", "p"))
             self.starts = [EliasFano.open(f"{f}/2s/{p}") if n else None for p, n in enumerate(about["sizes1"])]
             self.back = [np.load(f"{f}/2s/{p}/back.npy", mmap_mode="r") if n else None for p, n in enumerate(about["sizes1"])]
-            self.filters = [np.load(f"{f}/2/{p}/filter.npy", mmap_mode="r") if n else None for p, n in enumerate(about["sizes2"])]
+            self.filter = np.load(f"{f}/filter.npy", mmap_mode="r")
+            self.regions = regions(about["sizes2"])
         if "sizes3" in about:
             self.triples = Level(f"{f}/3", about["sizes3"], about["firsts3"], ("p",))
             self.back3 = Level.__new__(Level)
             self.back3.bases = self.pairs.bases
             self.back3.arrays = {"back": [np.load(f"{f}/3b/{p}.npy", mmap_mode="r") if os.path.exists(f"{f}/3b/{p}.npy") else np.zeros(n, np.uint16) for p, n in enumerate(about["sizes2"])]}
 
-    def known_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The item of each pair of words (-1: a word that isn't known), or -1."""
-        out = np.full(len(left), -1, np.int64)
-        ask = np.flatnonzero((left >= 0) & (right >= 0))
-        keys, back = np.unique(left[ask].astype(np.uint64) * np.uint64(self.words.n) + right[ask].astype(np.uint64), return_inverse=True)
-        maybe = np.zeros(len(keys), bool)
-        for p, at in by_part(np.searchsorted(self.pairs.firsts, keys, side="right") - 1):
-            if (bits := self.filters[p]) is not None:
-                slot = filter_slot(keys[at], len(bits) * 8)
-                maybe[at] = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
-        found = np.full(len(keys), -1, np.int64)
-        maybe = np.flatnonzero(maybe)
-        found[maybe] = self.pairs.find(keys[maybe])
-        out[ask] = found[back]
+    def known_pairs(self, w: Tokens) -> np.ndarray:
+        """The item of each token with the one before it, or -1."""
+        out = np.full(len(w.numbers), -1, np.int64)
+        ask = np.flatnonzero((w.before >= 0) & (w.numbers >= 0))
+        keys = w.before[ask].astype(np.uint64) * np.uint64(self.words.n) + w.numbers[ask].astype(np.uint64)
+        # most pairs end at the filter: the region of the first word's part, eight bits for each held pair
+        part = (np.searchsorted(self.words.bases, w.distinct, side="right") - 1)[w.place[ask]]
+        size = self.regions[part + 1] - self.regions[part]
+        slot = (hashed(keys) % np.maximum(8 * size, 1).astype(np.uint64)).astype(np.int64)
+        bits = self.filter[np.minimum(self.regions[part] + (slot >> 3), len(self.filter) - 1)]
+        maybe = np.flatnonzero((size > 0) & ((bits >> (slot & 7).astype(np.uint8)) & 1 > 0))
+        keys, back = np.unique(keys[maybe], return_inverse=True)
+        out[ask[maybe]] = self.pairs.find(keys)[back]
         return out
 
     def first_of(self, words: np.ndarray) -> np.ndarray:
@@ -244,8 +246,13 @@ def opened(about: dict) -> Model:
     return _models[key]
 
 
-def filter_slot(keys: np.ndarray, size: int) -> np.ndarray:
-    return ((keys * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)) % np.uint64(size)).astype(np.int64)
+def hashed(keys: np.ndarray) -> np.ndarray:
+    return keys * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)
+
+
+def regions(sizes: list[int]) -> np.ndarray:
+    """Where each part's bytes of the filter begin, and the end."""
+    return np.concatenate([[0], np.cumsum([max(8, n) if n else 0 for n in sizes])]).astype(np.int64)
 
 
 def contexts(numbers: np.ndarray, ends: np.ndarray, end: int) -> np.ndarray:
@@ -345,6 +352,7 @@ def learn(train: DataFrame, text: str = "text", least: int = LEAST) -> dict:
     for p in range(shards):  # parts without pairs: all their words back off whole
         if sizes[p] and not sizes2[p]:
             elias_fano.write(f"{folder}/2s/{p}", {**elias_fano.build(np.zeros(sizes[p], np.uint64), 1), "back": np.zeros(sizes[p], np.uint16)})
+    join_filters(spark, folder, sizes2)
     about |= {"sizes2": sizes2, "firsts2": bases[:-1].astype(np.uint64) * vocabulary, "span": max((r["span"] for r in laid), default=1)}
     if not sum(sizes2):
         return about
@@ -356,7 +364,7 @@ def learn(train: DataFrame, text: str = "text", least: int = LEAST) -> dict:
         m = opened(about)
         for h, ends in tokens(texts):
             w = Tokens(m, h, ends)
-            yield m.triple_keys(m.known_pairs(w.before, w.numbers), w.numbers, ends)[1]
+            yield m.triple_keys(m.known_pairs(w), w.numbers, ends)[1]
 
     parted3 = lambda k: np.searchsorted(bases2, (k // span).astype(np.int64), side="right") - 1
     kept3 = held(gathered(train, triple_keys, shards, lambda k: mixed(k, shards), text), parted3, least)
@@ -421,13 +429,30 @@ def discount(kept: DataFrame) -> float:
 
 
 def bitmap(keys: np.ndarray) -> np.ndarray:
-    """A filter of eight bits for each held pair: most pairs of a text are not held, and end here."""
+    """A part's region of the filter."""
     bits = np.zeros(max(8, len(keys)), np.uint8)
-    slot = filter_slot(keys, len(bits) * 8)
+    slot = (hashed(keys) % np.uint64(8 * len(bits))).astype(np.int64)
     np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
     return bits
 
 
+def join_filters(spark, folder: str, sizes: list[int]) -> None:
+    """One file of all parts' regions, each written by a task of its own place."""
+    at = regions(sizes)
+    np.lib.format.open_memmap(f"{folder}/filter.npy", "w+", np.uint8, (max(1, int(at[-1])),)).flush()
+
+    def run(batches):
+        for b in batches:
+            whole = np.load(f"{folder}/filter.npy", mmap_mode="r+")
+            for p in b.column(0).to_pylist():
+                if sizes[p]:
+                    whole[at[p] : at[p + 1]] = np.load(f"{folder}/2/{p}/filter.npy")
+            whole.flush()
+            yield b
+
+    spark.range(len(sizes)).mapInArrow(run, "id long").count()
+
+
 def score_texts(m: Model, texts: list) -> list[tuple]:
     """(n_tokens, n_known, base_score, score) of each text."""
     out = []
@@ -442,7 +467,7 @@ def score_texts(m: Model, texts: list) -> list[tuple]:
             base = np.log10(m.unigram(w.each(m.words.take("counts", mine), np.int64)))[w.back]
             known, score = w.numbers >= 0, base
         if "sizes2" in m.about:
-            pair = m.known_pairs(w.before, w.numbers)
+            pair = m.known_pairs(w)
             hit = np.flatnonzero(pair >= 0)
             score = base - STEP * w.each(m.back_of(mine), np.float64)[w.place]
             items, back = np.unique(pair[hit], return_inverse=True)
@@ -470,7 +495,7 @@ def score_texts(m: Model, texts: list) -> list[tuple]:
 
 def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int = 10) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from all rows outside fold 0."""
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession, BATCH)
     held_out = F.coalesce(fold(F.col(key), folds) == 0, F.lit(False))
     about = learn(docs.where(~held_out), text)
 
