@@ -20,7 +20,7 @@ def test_article_is_whole():
 
 
 def test_references_and_odd_markup():
-    assert H.content("<article>a &eacute;&#233;&#xe9; &notareal; 1 < 2 &amp;amp;<!-- <p>no</p> --> <![CDATA[kept]]>z") == "a ééé &notareal; 1 < 2 &amp; keptz"
+    assert H.content("<article>a &eacute;&#233;&#xe9; &zzz; 1 < 2 &amp;amp;<!-- <p>no</p> --> <![CDATA[kept]]>z") == "a ééé &zzz; 1 < 2 &amp; keptz"
     assert H.content("") == "" and H.content(None) == "" and H.content("<p>   </p>") == ""
     assert H.content("just text") == "just text"
     assert H.content("<div hidden>no</div><div aria-hidden='true'>no</div><p role=note>no</p><p>yes") == "yes"
