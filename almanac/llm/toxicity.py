@@ -7,7 +7,7 @@ is its highest window. So one short insult counts in a text of any length.
 
 Training runs on the driver, over a bounded sample (``PER_CLASS`` labelled rows of each class, of at
 most ``MAX_CHARS`` characters, in the order of their ids' hashes). Vectors start from the smoothed
-log-odds of their n-grams in the sample; then Adam follows the gradient through the pooling, both
+log-odds of their n-grams in the sample, and one unit from minding them; then Adam follows the gradient through the pooling, both
 recurrences and the vectors. Each text's gradient goes to its highest window. Last, scale and
 bias of the logit are fitted (Platt).
 
@@ -190,6 +190,11 @@ class Network:
             odds = np.log((seen[1] + 0.5) / (totals[1] + 1)) - np.log((seen[0] + 0.5) / (totals[0] + 1))
             both = seen.sum(axis=0)
             self.p[name][:, 0] = odds * both / (both + 4)
+        # unit 0 of both directions starts as a memory of high odds that attention and output look for
+        for d, unit in (("f", 0), ("b", HIDDEN)):
+            self.p[f"W{d}"][0, [0, 2 * HIDDEN]] = -1.0, 1.0
+            self.p[f"c{d}"][[0, 2 * HIDDEN]] = 1.5, -1.5
+            self.p["a"][unit], self.p["w"][unit] = 3.0, 2.0
 
     def texts(self, x: Inputs) -> tuple[np.ndarray, np.ndarray]:
         """Each text's highest logit, and the window that has it."""
@@ -205,7 +210,9 @@ class Network:
             self.constant = float(labels.mean()) if len(labels) else 0.0
             return self
         order = np.random.default_rng(11).permutation(len(texts))
-        parts = list(chunks([texts[i] for i in order], 1 << 18))
+        # forty batches at least, so that a small sample gets enough steps too
+        total = sum(len(t or "") for t in texts)
+        parts = list(chunks([texts[i] for i in order], min(1 << 18, max(1 << 12, total // 40))))
         inputs = [Inputs(o, raw) for _, o, raw in parts]
         y = [labels[order[f : f + x.docs]] for (f, _, _), x in zip(parts, inputs, strict=True)]
         self.warm(inputs, y)
