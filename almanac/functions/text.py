@@ -56,6 +56,11 @@ def _accents() -> tuple[str, str]:
 ACCENTED, PLAIN = _accents()
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once for each row however often use mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
@@ -137,9 +142,7 @@ def strip_qualifiers(c: Column) -> Column:
 
 def _coded(letters: Column, at_end_hard: bool, x_first: Column) -> Column:
     """The Cologne code of lower-case a-z. at_end_hard: whether d and t at the end have the code of d and t."""
-    each = F.split(letters, "")
-
-    def one(c: Column, i: Column) -> Column:
+    def one(each: Column, c: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get(each, i - 1)).otherwise("")
         after = F.coalesce(F.get(each, i + 1), F.lit(""))
         sibilant = after.isin("c", "s", "z")
@@ -154,8 +157,8 @@ def _coded(letters: Column, at_end_hard: bool, x_first: Column) -> Column:
             .when(c == "l", "5").when(c.isin("m", "n"), "6").when(c == "r", "7").when(c.isin("s", "z"), "8").otherwise("")
         )
 
-    flat = F.regexp_replace(F.array_join(F.transform(each, one), ""), r"(.)\1+", "$1")
-    return F.concat(F.substring(flat, 1, 1), F.replace(F.substring(flat, 2, 1 << 20), F.lit("0"), F.lit("")))
+    codes = let(F.split(letters, ""), lambda each: F.array_join(F.transform(each, lambda c, i: one(each, c, i)), ""))
+    return let(F.regexp_replace(codes, r"(.)\1+", "$1"), lambda flat: F.concat(F.substring(flat, 1, 1), F.replace(F.substring(flat, 2, 1 << 20), F.lit("0"), F.lit(""))))
 
 
 def phonetic_word(c: Column) -> Column:
@@ -193,7 +196,10 @@ def jaro_winkler(a: Column, b: Column, boost: float = 0.1, floor: float = 0.7) -
     """Jaro-Winkler similarity of the UTF-8 bytes: transpositions halved downwards, the common prefix
     (of four bytes at most) counts over ``floor``; 0 if a side is empty, null if one is null."""
     by_bytes = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
-    s, t = by_bytes(a), by_bytes(b)
+    return let(F.struct(by_bytes(a).alias("s"), by_bytes(b).alias("t")), lambda p: _jaro_winkler(p["s"], p["t"], boost, floor))
+
+
+def _jaro_winkler(s: Column, t: Column, boost: float, floor: float) -> Column:
     n, m = F.length(s), F.length(t)
     reach = F.greatest(F.floor(F.greatest(n, m) / 2) - 1, F.lit(0)).cast("int")
     used = "Ā"  # no byte
@@ -220,7 +226,8 @@ def jaro_winkler(a: Column, b: Column, boost: float = 0.1, floor: float = 0.7) -
     prefix = F.lit(0)
     for i in (1, 2, 3, 4):
         prefix = F.when((n >= i) & (m >= i) & same(i), i).otherwise(prefix)
-    return F.when(s.isNull() | t.isNull(), None).when((n == 0) | (m == 0), 0.0).otherwise(F.when(jaro > floor, jaro + prefix * boost * (1 - jaro)).otherwise(jaro))
+    known = let(jaro, lambda j: F.when(j > floor, j + prefix * boost * (1 - j)).otherwise(j))
+    return F.when(s.isNull() | t.isNull(), None).when((n == 0) | (m == 0), 0.0).otherwise(known)
 
 
 # ---------------------------------------------------------------- persons
@@ -257,13 +264,16 @@ def lenient(c: Column, table: dict[str, str]) -> Column:
 
 def surname(c: Column) -> Column:
     """struct(particle, name): the name without its particle, double letters single; empty as null."""
-    s = squeeze(F.regexp_replace(fold_name(c), "[^a-z' -]", " "))
+    return F.when(c.isNotNull(), let(squeeze(F.regexp_replace(fold_name(c), "[^a-z' -]", " ")), _split_surname))
+
+
+def _split_surname(s: Column) -> Column:
     found = F.lit("")
     for p in reversed(PARTICLES):
         found = F.when(s.startswith(p + " "), p).otherwise(found)
-    rest = F.when(found != "", F.substr(s, F.length(found) + 2)).otherwise(s)
-    name = F.trim(F.regexp_replace(rest, r"(.)\1+", "$1"))
-    return F.when(c.isNotNull(), F.struct(null_if_empty(found).alias("particle"), null_if_empty(name).alias("name")))
+    rest = lambda f: F.when(f != "", F.substr(s, F.length(f) + 2)).otherwise(s)
+    name = lambda f: F.trim(F.regexp_replace(rest(f), r"(.)\1+", "$1"))
+    return let(found, lambda f: F.struct(null_if_empty(f).alias("particle"), null_if_empty(name(f)).alias("name")))
 
 
 def given_tokens(c: Column) -> Column:

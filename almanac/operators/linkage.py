@@ -20,13 +20,16 @@ RETAIN, SPAN, SCHOOLS, OVERLAP = -2.0, 9, 3, 1
 
 def prepare(df: DataFrame) -> DataFrame:
     """Name columns of records with record_id, school, last_name, first_names, first_year, location_id."""
-    name = text.surname(F.col("last_name"))
-    out = df.withColumns({
-        "ln_norm": name["name"], "ln_particle": name["particle"], "gn_tokens": text.given_names(F.col("first_names")),
+    # surnames once for each distinct one, and written, so that later columns don't repeat the work
+    last = df.select("last_name").where("last_name is not null").distinct().withColumn("_n", text.surname(F.col("last_name")))
+    last = cut(last.select("last_name", F.col("_n.name").alias("ln_norm"), F.col("_n.particle").alias("ln_particle")))
+    last = cut(last.withColumn("ln_phon", text.phonetic_name(F.col("ln_norm"))))
+    out = df.join(last, "last_name", "left").withColumns({
+        "gn_tokens": text.given_names(F.col("first_names")),
         "gn_init": text.initials(F.col("first_names")), "gn_is_abbrev": text.has_abbreviation(F.col("first_names")),
     })
-    return out.withColumns({
-        "ln_phon": text.phonetic_name(F.col("ln_norm")), "gn_set": F.array_sort("gn_tokens"), "gn_init_set": text.sorted_letters(F.col("gn_init")),
+    return cut(out).withColumns({
+        "gn_set": F.array_sort("gn_tokens"), "gn_init_set": text.sorted_letters(F.col("gn_init")),
         "gn_i1": F.substring("gn_init", 1, 1), "gn_has_full": F.coalesce(F.size("gn_tokens"), F.lit(0)) > 0,
     })
 

@@ -22,7 +22,7 @@ def test_name_codes(spark):
 
 
 def test_place_codes_differ_at_the_ends(spark):
-    assert column(spark, ["stadt", "xanten"], text.phonetic_word) == ["828", "8628"]
+    assert column(spark, ["stadt", "xanten"], text.phonetic_word) == ["8228", "8626"]
     assert column(spark, ["bad  homburg", "", None], text.phonetic_key) == ["18-06174", "", None]
 
 
