@@ -125,16 +125,26 @@ def _leading() -> str:
 
 def strip_qualifiers(c: Column) -> Column:
     """struct(core, hint): a modernised place name without what stands around it, and that, or null."""
-    comma = c.rlike("^[^,]+,[^\\n]")
-    tail = F.when(comma, strip(F.regexp_extract(c, r"^([^,]+),\s*(.+)$", 2)))
-    s = F.when(comma, strip(F.regexp_extract(c, r"^([^,]+),\s*(.+)$", 1))).otherwise(c)
-    s = F.regexp_replace(s, "^(?:" + "|".join(LEADING_PREPOSITIONS) + r")\s+", "")
-    kind = null_if_empty(strip(F.regexp_extract(s, _leading(), 0)))
-    s = F.regexp_replace(s, _leading(), "")
+    comma = r"^([^,]+),\s*(.+)$"
     inner = r"\s+(?:" + "|".join(SPLITTING) + r")\s+(.+)$"
-    where = null_if_empty(strip(F.regexp_extract(s, inner, 1)))
-    hint = null_if_empty(F.concat_ws(" ", null_if_empty(tail), kind, where))
-    return F.when(c.isNotNull(), F.struct(strip(F.regexp_replace(s, inner, "")).alias("core"), hint.alias("hint")))
+    prepositions = "^(?:" + "|".join(LEADING_PREPOSITIONS) + r")\s+"
+
+    def split(x: Column) -> Column:
+        two = x.rlike(comma)
+        head = F.when(two, strip(F.regexp_extract(x, comma, 1))).otherwise(x)
+        tail = F.when(two, null_if_empty(strip(F.regexp_extract(x, comma, 2))))
+        return let(F.struct(F.regexp_replace(head, prepositions, "").alias("s"), tail.alias("tail")), lambda p: lead(p["s"], p["tail"]))
+
+    def lead(s: Column, tail: Column) -> Column:
+        kind = null_if_empty(strip(F.regexp_extract(s, _leading(), 0)))
+        return let(F.struct(F.regexp_replace(s, _leading(), "").alias("s"), kind.alias("kind")), lambda p: where(p["s"], p["kind"], tail))
+
+    def where(s: Column, kind: Column, tail: Column) -> Column:
+        place = null_if_empty(strip(F.regexp_extract(s, inner, 1)))
+        hint = null_if_empty(F.concat_ws(" ", tail, kind, place))
+        return F.struct(strip(F.regexp_replace(s, inner, "")).alias("core"), hint.alias("hint"))
+
+    return F.when(c.isNotNull(), let(c, split))
 
 
 # ---------------------------------------------------------------- phonetic codes
@@ -182,11 +192,13 @@ def ladder(df: DataFrame, column: str) -> DataFrame:
     """column and its keys k_fold, k_expand, k_modern, k_strip, k_phon and hint, a row for each distinct string.
 
     Keys are made once for each distinct string; join them back on the string."""
+    from .. import cut
+
     distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
     out = distinct.withColumn("k_fold", fold(F.col(column))).withColumn("k_expand", expand_abbreviations(F.col("k_fold")))
-    out = out.withColumn("k_modern", modernize(F.col("k_expand"))).withColumn("_s", strip_qualifiers(F.col("k_modern")))
+    out = cut(out.withColumn("k_modern", modernize(F.col("k_expand")))).withColumn("_s", strip_qualifiers(F.col("k_modern")))
     out = out.withColumns({"k_strip": F.col("_s.core"), "hint": F.col("_s.hint")}).drop("_s").withColumn("k_phon", phonetic_key(F.col("k_strip")))
-    return out.withColumns({k: null_if_empty(F.col(k)) for k in ("k_fold", "k_expand", "k_modern", "k_strip", "k_phon")})
+    return cut(out).withColumns({k: null_if_empty(F.col(k)) for k in ("k_fold", "k_expand", "k_modern", "k_strip", "k_phon")})
 
 
 # ---------------------------------------------------------------- similarity

@@ -14,7 +14,7 @@ from ..operators.aggregates import union_relaxed
 
 def text_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """A CSV file with a header, every column as text (columns change type late in a file)."""
-    return spark.read.option("header", True).option("inferSchema", False).option("sep", sep).option("multiLine", True).csv(path)
+    return spark.read.option("header", True).option("inferSchema", False).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
 
 
 def typed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -42,7 +42,7 @@ def volumes(spark: SparkSession, folder: str, manifest: list[str], *needles: str
 
 def read_manifest(spark: SparkSession, path: str) -> list[str]:
     """The lines of a small text file, in order."""
-    return [x for x in spark.read.option("wholetext", True).text(path).first()[0].splitlines() if x]
+    return [x for x in spark.read.text(path, wholetext=True).first()[0].splitlines() if x]
 
 
 def positional_tsv(spark: SparkSession, path: str, names: list[str], trim: bool = True) -> DataFrame:
@@ -60,7 +60,7 @@ def positional_tsv(spark: SparkSession, path: str, names: list[str], trim: bool
 
 def page_heads(spark: SparkSession, path: str) -> DataFrame:
     """volume, page, head: from files that hold one JSON object {page: text}."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("volume"), F.from_json("value", "map<string,string>").alias("m"))
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("volume"), F.from_json("value", "map<string,string>").alias("m"))
     return raw.select("volume", F.explode("m").alias("page", "head")).select("volume", F.col("page").try_cast("int").alias("page"), "head")
 
 
