@@ -545,7 +545,7 @@ def people(spark, d):
 @query()
 def record_linkage(spark, d):
     rows = people(spark, d).select("record_id", "last_name", "first_names", F.col("first_year").cast("long").alias("first_year"), "school", "location_id")
-    return linkage.link(rows, ["berlin", "jena", "bonn"], threshold=0.9)
+    return linkage.link(rows, ["berlin", "jena", "bonn"], threshold=0.9, sample=200)
 
 
 @query("""
