@@ -151,15 +151,17 @@ def patterns(compared: DataFrame, *extra: Column) -> list:
 
 
 def random_pairs(spell: DataFrame, n: int = 3000, seed: int = 1848) -> DataFrame:
-    """Pairs of a seeded draw of n spells on both sides (a sampling operator): different ids and schools."""
-    ids = [r[0] for r in spell.select("spell_id").orderBy("spell_id").collect()] if spell.count() <= 2_000_000 else [r[0] for r in spell.orderBy(F.xxhash64("spell_id")).limit(2_000_000).select("spell_id").collect()]
-    draw = random.Random(seed)
-    left, right = draw.sample(ids, min(n, len(ids))), draw.sample(ids, min(n, len(ids)))
-    spark = spell.sparkSession
-    school = spell.select("spell_id", "school")
-    a = spark.createDataFrame([(i,) for i in left], "spell_id long").join(school, "spell_id").toDF("lid", "ls")
-    b = spark.createDataFrame([(i,) for i in right], "spell_id long").join(school, "spell_id").toDF("rid", "rs")
-    return a.join(F.broadcast(b), (F.col("lid") != F.col("rid")) & (F.col("ls") != F.col("rs"))).select("lid", "rid")
+    """Pairs lid < rid of different schools from a seeded draw of n spells on both sides (a sampling operator).
+
+    The draw is one from the sorted ids at every size: it takes places in their order, so the ids stay where they are."""
+    from .ordered import record_id
+
+    spark, total, draw = spell.sparkSession, spell.count(), random.Random(seed)
+    left, right = draw.sample(range(total), min(n, total)), draw.sample(range(total), min(n, total))
+    placed = cut(record_id(spell.select("spell_id", "school"), ["spell_id"], "_at"))
+    drawn = lambda at: placed.join(F.broadcast(spark.createDataFrame([(i,) for i in at], "_at long")), "_at").select("spell_id", "school")
+    a, b = drawn(left).toDF("lid", "ls"), drawn(right).toDF("rid", "rs")
+    return a.join(F.broadcast(b), (F.col("lid") < F.col("rid")) & (F.col("ls") != F.col("rs"))).select("lid", "rid")
 
 
 def smoothed(counts: dict[int, float], k: int) -> list[float]:
