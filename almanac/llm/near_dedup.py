@@ -13,8 +13,8 @@
    a component are never made, and only links leave a block.
 5. Components of the links by smallest label, with pointer jumping.
 
-A pair at the threshold is missed by all 25 bands of 5 samples with a chance under 5e-7, and by
-the sketch margin (six standard deviations) with less.
+A pair at the threshold is missed by all 25 bands of 5 samples with a chance under 5e-7 (at 0.85; under
+5e-5 at 0.8), and by the sketch margin (six standard deviations) with less.
 
 Defined cases: null text or no words: empty set, n_shingles 0, linked with nothing; fewer words than a
 shingle: the whole sequence as one; repeated rows share a class and a decision; a null id joins its
@@ -35,7 +35,7 @@ from .words import hashes, lowered, mix
 SHINGLE = 5
 BANDS, ROWS, SAMPLES = 25, 5, 128
 SKETCH_BITS = 512
-#: Similarities whose estimate is this much under the threshold are dropped: six standard deviations of 128 samples.
+#: Similarities whose estimate is this much under the threshold are dropped: six standard deviations of 128 samples (more under 0.85).
 MARGIN = 0.19
 #: Classes in a block of round two.
 BLOCK = 1024
@@ -88,7 +88,7 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 def most_flips(threshold: float) -> int:
     """The largest XOR population count whose estimate reaches threshold - MARGIN."""
-    floor = max(0.0, threshold - MARGIN)
+    floor = max(0.0, threshold - max(MARGIN, 6 * math.sqrt(threshold * (1 - threshold) / SAMPLES)))
     return math.floor(SKETCH_BITS / 2 * (1 - math.exp((floor - 1) * 4 * SAMPLES / SKETCH_BITS)))
 
 

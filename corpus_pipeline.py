@@ -27,8 +27,8 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each linked group of near duplicates, the one with the smallest id."""
-    return near_dedup(docs)
+    """One document of each linked group of near duplicates, the one with the smallest id; links from a similarity of 0.8."""
+    return near_dedup(docs, percent=80)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
