@@ -2,7 +2,8 @@
 
 Base: places where a known phrase's words stand consecutively. The method adds labels of its own:
 
-1. The licence words of the templates get an inverse document frequency over all documents.
+1. The licence words of the templates get an inverse document frequency over all documents, plus ``FLOOR``:
+   words that many documents hold weigh little, but none is left out.
 2. Of each file's licence words, the ``TOP`` with the highest IDF are looked up with all their places.
 3. Their template postings are intersected by relative position: words that stand as far apart as in a
    template agree on one shift. A template's support is the IDF of the words that agree on its best shift.
@@ -46,8 +47,8 @@ TEMPLATES = {
 #: A label of the table above whose name is another's.
 ALIAS = {"mit-name": "mit"}
 TOP, SUPPORT = 6, 0.6
-#: Licence words that more than this share of the documents hold are no evidence.
-COMMON = 0.2
+#: The weight of a licence word that all documents hold.
+FLOOR = 0.1
 
 
 def words(text: Column) -> Column:
@@ -60,12 +61,12 @@ def spaced(phrase: str) -> str:
 
 
 def rarities(worded: DataFrame, vocabulary: list[str]) -> dict[str, float]:
-    """The IDF of each licence word that isn't common; at most as many rows as the templates have words."""
+    """The IDF, plus FLOOR, of each licence word that is there; at most as many rows as the templates have words."""
     held = F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary]))
     rows = worded.select(F.explode(F.array_append(held, F.lit(""))).alias("w")).groupBy("w").count().collect()
     df = {r["w"]: r["count"] for r in rows}
     total = df.pop("", 0)
-    return {w: math.log(total / df[w]) for w in vocabulary if 0 < df.get(w, 0) <= max(1, COMMON * total)}
+    return {w: math.log(total / df[w]) + FLOOR for w in vocabulary if df.get(w, 0)}
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: dict = PHRASES, templates: dict = TEMPLATES) -> DataFrame:
