@@ -4,11 +4,11 @@ Base: places where a known phrase's words stand consecutively. The method adds l
 
 1. The licence words of the templates get an inverse document frequency over all documents, plus ``FLOOR``:
    words that many documents hold weigh little, but none is left out.
-2. Of each file's licence words, the ``TOP`` with the highest IDF are looked up with all their places.
-3. Their template postings are intersected by relative position: words that stand as far apart as in a
-   template agree on one shift. A template's support is the IDF of the words that agree on its best shift.
-4. A template with support of ``SUPPORT`` of its rarest words' IDF counts if one of its mandatory key
-   phrases stands in the file.
+2. Of each template's own words, the ``TOP`` with the highest IDF are looked up with all their places, in
+   the files that hold one of its mandatory key phrases.
+3. Its postings are intersected by relative position: words that stand as far apart as in the template
+   agree on one shift. Its support is the IDF of the words that agree on its best shift.
+4. A template with support of ``SUPPORT`` of its rarest words' IDF counts.
 
 All of it happens inside a row: no shuffle but for the document frequencies, whose groups are the few
 words of the templates.
@@ -69,6 +69,36 @@ def rarities(worded: DataFrame, vocabulary: list[str]) -> dict[str, float]:
     return {w: math.log(total / df[w]) + FLOOR for w in vocabulary if df.get(w, 0)}
 
 
+def support(passage: str, idf: dict[str, float]) -> Column:
+    """The share of the IDF of the passage's rarest words that agree on its best shift in ``words``."""
+    split = passage.split()
+    rarest = sorted({w for w in split if w in idf}, key=lambda w: (-idf[w], w))[:TOP]
+    agreeing = []
+    for w in rarest:
+        places = F.filter(F.transform("words", lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())
+        by = F.array_distinct(F.flatten(F.array(*[shifted(places, i) for i, x in enumerate(split) if x == w])))
+        agreeing.append(weighed(by, idf[w]))
+    # in order, a shift's words stand together
+    start = F.struct(F.lit(None).cast("int").alias("by"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+
+    def add(t: Column, x: Column) -> Column:
+        total = F.when(t["by"] == x["by"], t["sum"] + x["idf"]).otherwise(x["idf"])
+        return F.struct(x["by"].alias("by"), total.alias("sum"), F.greatest(t["best"], total).alias("best"))
+
+    whole = 0.0
+    for w in reversed(rarest):  # as the sums go, from the lowest on
+        whole += idf[w]
+    return F.aggregate(F.array_sort(F.concat(*agreeing)), start, add, lambda t: F.least(F.lit(1.0), t["best"] / whole))
+
+
+def shifted(places: Column, i: int) -> Column:
+    return F.transform(places, lambda x: x - F.lit(i))
+
+
+def weighed(by: Column, idf: float) -> Column:
+    return F.transform(by, lambda x: F.struct(x.alias("by"), F.lit(idf).alias("idf")))
+
+
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: dict = PHRASES, templates: dict = TEMPLATES) -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     worded = docs.select(F.col(key).alias("k"), words(F.col(text)).alias("words"))
@@ -92,34 +122,18 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: dict
         "base": F.array_compact(F.array(*[F.when(F.col("has") & F.col("joined").contains(spaced(p)), F.lit(n)) for n, p in phrases.items()])),
     })
 
-    # the rarest licence words of the file, with their places
-    if not idf:
+    hits = []
+    for name, (passage, keys) in templates.items():
+        if not any(w in idf for w in passage.split()):
+            continue
+        key_there = F.lit(False)
+        for k in keys:
+            key_there |= F.col("joined").contains(spaced(k))
+        hits.append(F.when(key_there, F.struct(F.lit(ALIAS.get(name, name)).alias("label"), support(passage, idf).alias("support"))))
+    if not hits:
         own = found.withColumn("hits", F.lit(None).cast("array<struct<label:string,support:double>>"))
     else:
-        ranked = sorted(idf, key=lambda w: (-idf[w], w))
-        rare = F.array(*[F.lit(w) for w in ranked])
-        weight = F.array(*[F.lit(idf[w]) for w in ranked])
-        mine = found.withColumn("mine", F.slice(F.array_intersect(rare, F.col("words")), 1, TOP))
-        placed = mine.withColumn("places", F.transform("mine", lambda w: F.struct(
-            w.alias("w"), F.element_at(weight, F.array_position(rare, w).cast("int")).alias("idf"),
-            F.filter(F.transform("words", lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()).alias("at"),
-        )))
-        hits = []
-        for name, (passage, keys) in templates.items():
-            at = [(w, i) for i, w in enumerate(passage.split()) if w in idf]
-            if not at:
-                continue
-            whole = sum(sorted((idf[w] for w in {w for w, _ in at}), reverse=True)[:TOP])
-            postings = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(i).alias("i")) for w, i in at])
-            shifts = lambda postings=postings: F.flatten(F.transform("places", lambda p: F.array_distinct(F.flatten(F.transform(
-                F.filter(postings, lambda q: q["w"] == p["w"]), lambda q: F.transform(p["at"], lambda x: F.struct((x - q["i"]).alias("by"), p["idf"].alias("idf")))
-            )))))
-            support = lambda s: F.array_max(F.transform(F.array_distinct(F.transform(s, lambda x: x["by"])), lambda by: F.aggregate(F.filter(s, lambda x: x["by"] == by), F.lit(0.0), lambda t, x: t + x["idf"])))
-            key_there = F.lit(False)
-            for k in keys:
-                key_there |= F.col("joined").contains(spaced(k))
-            hits.append(F.when(key_there & (F.size("mine") > 0), F.struct(F.lit(ALIAS.get(name, name)).alias("label"), F.least(F.lit(1.0), F.coalesce(support(shifts()) / whole, F.lit(0.0))).alias("support"))))
-        own = placed.withColumn("hits", F.when(F.size("mine") > 0, F.filter(F.array(*hits), lambda h: h.isNotNull() & (h["support"] >= SUPPORT))))
+        own = found.withColumn("hits", F.filter(F.array(*hits), lambda h: h.isNotNull() & (h["support"] >= SUPPORT)))
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce(F.transform("hits", lambda h: h["label"]), F.array().cast("array<string>")))))
     score = F.when(F.col("has"), 1.0).otherwise(F.coalesce(F.array_max(F.transform("hits", lambda h: h["support"])), F.lit(0.0)))
     return own.select(
