@@ -8,7 +8,7 @@ log-probabilities and back-off weights are quantised to 16 bits. Levels are file
 the shared folder, mapped by every worker, so a machine holds in memory only what it touches.
 
 Probabilities: interpolated absolute discounting over orders 3, 2 and 1; order 1 adds 0.1 to each
-count. Pairs and triples seen at least ``LEAST`` times are held; the others' mass goes to the back-off
+count. Pairs and triples seen at least ``least`` times are held (by op4 all of them); the others' mass goes to the back-off
 weights with their discounts, so each context's probabilities sum to one.
 
 Counting is exact and spread: each task sends sorted runs of keys by shard, a shard adds them up. A
@@ -493,11 +493,11 @@ def score_texts(m: Model, texts: list) -> list[tuple]:
     return out
 
 
-def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int = 10) -> DataFrame:
+def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int = 10, least: int = LEAST) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from all rows outside fold 0."""
     small_batches(docs.sparkSession, BATCH)
     held_out = F.coalesce(fold(F.col(key), folds) == 0, F.lit(False))
-    about = learn(docs.where(~held_out), text)
+    about = learn(docs.where(~held_out), text, least)
 
     def run(texts: list) -> list[tuple]:
         return score_texts(opened(about), texts)

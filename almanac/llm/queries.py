@@ -35,7 +35,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngrams import lm_scores
 
-    return lm_scores(read(spark, sf_dir, "documents"))
+    return lm_scores(read(spark, sf_dir, "documents"), least=1)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
