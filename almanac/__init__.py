@@ -13,11 +13,23 @@ os.environ.setdefault("OMP_NUM_THREADS", "1")
 _shipped: set[str] = set()
 
 
+def checkpoint_dir(spark) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset a folder of this machine
+    serves, but only if the executors are on this machine too (tests); a cluster without it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="almanac-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
 def cut(df):
-    """df, computed once into the folder of spark.checkpoint.dir that all executors share; set here only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="almanac-ckpt-"))
+    """df, computed once into the shared checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
