@@ -21,7 +21,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, small_batches
+from .common import per_text
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -214,7 +214,6 @@ def chosen(found: list, share: float) -> list[bool]:
 
 def extract(pages: DataFrame, html: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
     """key, url, text, n_chars: one row for each row of pages."""
-    small_batches(pages.sparkSession)
 
     def run(rows: list) -> list[tuple]:
         return [(t, len(t)) for t in (content(x) for x in rows)]

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import webp
-from .common import per_text, small_batches
+from .common import per_text
 
 UNIT, WIDTH, FILL = 576, 192, 255
 SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -60,7 +60,6 @@ def describe(text: str | None) -> tuple:
 
 def media_columns(docs: DataFrame, text: str = "text", key: str = "doc_id", with_media: bool = False) -> DataFrame:
     """key and the digest columns of each row; with_media adds the stored bytes themselves."""
-    small_batches(docs.sparkSession)
     fields = SCHEMA + ", media binary" * with_media
 
     def run(texts: list) -> list[tuple]:

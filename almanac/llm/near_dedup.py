@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, per_text, small_batches
+from .common import cut, per_text
 from .words import hashes, lowered, mix
 
 SHINGLE = 5
@@ -93,7 +93,6 @@ def most_flips(threshold: float) -> int:
 
 
 def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE) -> DataFrame:
-    small_batches(docs.sparkSession)
 
     def run(texts: list) -> list[tuple]:
         out = []

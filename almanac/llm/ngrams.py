@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import elias_fano
-from .common import cut, per_text, shared_folder, small_batches
+from .common import cut, per_text, shared_folder, ship, sliced
 from .elias_fano import EliasFano
 from .toxicity import fold
 from .words import chunks, spans
@@ -42,7 +42,7 @@ LEAST = 2
 SHARD_CHARS = 12_000_000
 #: Keys that a task gathers before it sends them.
 RUN = 1_000_000
-#: Rows of an Arrow batch: many, as distinct words of a batch are looked up once.
+#: Texts that are handled at once: many, as distinct words of a batch are looked up once.
 BATCH = 2500
 #: Steps of a quantised log10.
 STEP = 1 / 4096
@@ -96,7 +96,7 @@ def gathered(docs: DataFrame, keys_of, shards: int, shard_of, text: str) -> Data
     """Rows (shard, run of keys and counts): keys_of(texts) yields arrays of keys; shard_of(keys) deals them."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession, BATCH)
+    ship(docs.sparkSession)
     names = ["shard", "steps", "far", "counts"]
 
     def rows(keys: np.ndarray, counts: np.ndarray):
@@ -109,7 +109,7 @@ def gathered(docs: DataFrame, keys_of, shards: int, shard_of, text: str) -> Data
 
     def run(batches):
         held, size = [], 0
-        for b in batches:
+        for b in sliced(batches, BATCH):
             for keys in keys_of(b.column(0).to_pylist()):
                 k, n = np.unique(keys, return_counts=True)
                 held.append((k, n))
@@ -495,12 +495,11 @@ def score_texts(m: Model, texts: list) -> list[tuple]:
 
 def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int = 10, least: int = LEAST) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from all rows outside fold 0."""
-    small_batches(docs.sparkSession, BATCH)
     held_out = F.coalesce(fold(F.col(key), folds) == 0, F.lit(False))
     about = learn(docs.where(~held_out), text, least)
 
     def run(texts: list) -> list[tuple]:
         return score_texts(opened(about), texts)
 
-    scored = per_text(docs, run, "n_tokens long, n_known long, base_score double, score double", text, key)
+    scored = per_text(docs, run, "n_tokens long, n_known long, base_score double, score double", text, key, BATCH)
     return scored.select(key, held_out.alias("held_out"), "n_tokens", "n_known", F.lit(about["total"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, ship, sliced
 
 SIZE = 2048
 #: Fillings that the search may try before it settles for its incumbent.
@@ -61,18 +61,18 @@ def pieces_of(n: int, size: int = SIZE) -> list[tuple[int, int]]:
     return [(0, first)] + [(i, size) for i in range(first, n, size)]
 
 
-def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str = "byte_bpe_50k.json", text: str = "text", key: str = "doc_id", carry: tuple = ()) -> DataFrame:
+def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str = "byte_bpe_50k.json", text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row for each piece: key, piece, start, length, ids_crc32."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructField, StructType
 
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     own = StructType([StructField("k", docs.schema[key].dataType), *StructType.fromDDL(PIECES).fields])
     kinds = to_arrow_schema(own)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows, columns = [], [[], [], [], []]
             for i, t in enumerate(b.column(1).to_pylist()):
                 ids = tokens(t, vocabulary)

@@ -26,7 +26,7 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import per_text, small_batches
+from .common import per_text
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -152,7 +152,6 @@ def pieces(model: str) -> Pieces:
 
 def encoded(docs: DataFrame, model: str = "piece_bpe_32k.model", text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """key, n_ids, ids_crc32 (of unsigned little-endian 32-bit ids), decoded_sha256, same (decoded text is the text); with_ids adds ids."""
-    small_batches(docs.sparkSession, 200)
 
     def run(texts: list) -> list[tuple]:
         p, out = pieces(model), []
@@ -161,10 +160,9 @@ def encoded(docs: DataFrame, model: str = "piece_bpe_32k.model", text: str = "te
             out.append((len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == (t or ""), *([ids.tolist()] if with_ids else [])))
         return out
 
-    return per_text(docs, run, "n_ids long, ids_crc32 long, decoded_sha256 string, same boolean" + ", ids array<long>" * with_ids, text, key)
+    return per_text(docs, run, "n_ids long, ids_crc32 long, decoded_sha256 string, same boolean" + ", ids array<long>" * with_ids, text, key, 200)
 
 
 def decoded(rows: DataFrame, model: str = "piece_bpe_32k.model", ids: str = "ids", key: str = "doc_id") -> DataFrame:
     """key, text: the texts of lists of ids; null for null."""
-    small_batches(rows.sparkSession)
     return per_text(rows, lambda lists: [(None if x is None else pieces(model).decode(x),) for x in lists], "text string", ids, key)

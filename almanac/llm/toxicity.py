@@ -1,15 +1,18 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Inputs: each word's vector is the mean of the vectors of its hashed character n-grams (3 to 5, with
-word marks) plus that of its hashed word. Windows of 64 words start every 48 words and cover the whole
-text; a window's states of both directions are pooled by attention into a logit, and a text's logit
-is its highest window. So one short insult counts in a text of any length.
-
-Training runs on the driver, over a bounded sample (``PER_CLASS`` labelled rows of each class, of at
-most ``MAX_CHARS`` characters, in the order of their ids' hashes). Vectors start from the smoothed
-log-odds of their n-grams in the sample, and one unit from minding them; then Adam follows the gradient through the pooling, both
-recurrences and the vectors. Each text's gradient goes to its highest window. Last, scale and
-bias of the logit are fitted (Platt).
+Inputs, for each word: of its hashed character n-grams (3 to 6 bytes, with word marks) and its hashed
+word a learnt vector each, and three class odds: the mean and the highest of its n-grams', and its own.
+Windows of 64 words start every 48 words and cover the whole text; a window's states of both
+directions are pooled by attention into a logit, and a text's logit is its highest window. So
+one short insult counts in a text of any length.
+
+Training runs in one task, over a bounded sample (``PER_CLASS`` labelled rows of each class, of at
+most ``MAX_CHARS`` characters, in the order of their ids' hashes). The sample is cut into ``FOLDS`` parts.
+The odds that a part's rows see come from the other parts, so the network learns what odds are worth on rows they
+weren't taken from; odds of all rows go into the model. In each round every text's highest window is
+looked up, and Adam follows the gradient through the pooling, both recurrences and the vectors, which
+shrink towards zero. The first part takes no steps: the round whose loss is least there is kept, and scale
+and bias of the logit are fitted on it (Platt).
 
 Defined cases: null or empty text: the score of one empty window; no labelled rows of one class: all scores
 are the share of toxic labels (0.0 without labels); labels with null are ignored, and of several
@@ -17,18 +20,24 @@ labels of one id the highest counts; repeated rows get equal scores; an empty ta
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_text, small_batches
+from .common import cut, per_text, ship, sliced
 from .words import chunks, mix, spans
 
 PER_CLASS, MAX_CHARS = 2500, 20_000
 WINDOW, STRIDE = 64, 48
-DIM, HIDDEN = 6, 8
-GRAMS, GRAM_BITS, WORD_BITS = (3, 4, 5), 18, 16
-EPOCHS, RATE = 6, 0.02
+DIM, ODDS, HIDDEN = 8, 3, 12
+GRAMS, GRAM_BITS, WORD_BITS = (3, 4, 5, 6), 18, 16
+#: Rounds of looking up windows, steps over each part of the sample in a round, and sample parts.
+ROUNDS, PASSES, FOLDS = 5, 3, 5
+RATE, DECAY = 0.02, 1e-3
+#: Documents of both classes at which a bucket's odds count half.
+SHRINK = 4
 
 
 def fold(key: Column, n: int) -> Column:
@@ -82,30 +91,99 @@ class Inputs:
         self.many = np.diff(np.append(self.starts, len(self.owner)))[:, None].astype(np.float32)
         self.word = (self.words >> np.uint64(64 - WORD_BITS)).astype(np.int32)
 
+    def only(self, some: np.ndarray) -> Inputs:
+        """These windows, one for each text, and their words alone."""
+        out = Inputs.__new__(Inputs)
+        out.docs, out.mask = len(some), self.mask[some]
+        out.doc = out.first_window = np.arange(len(some))
+        used, ids = np.unique(self.ids[some], return_inverse=True)
+        out.ids = ids.reshape(len(some), WINDOW) + (used[0] > 0)
+        used = used[used > 0] - 1
+        out.words, out.word, out.many = self.words[used], self.word[used], self.many[used]
+        many = out.many[:, 0].astype(np.int64)
+        out.starts = np.cumsum(many) - many
+        out.owner = np.repeat(np.arange(len(used), dtype=np.int32), many)
+        out.groups = {}
+        out.gram = self.gram[np.repeat(self.starts[used] - out.starts, many) + np.arange(many.sum())]
+        return out
+
+    def held(self) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """(text, bucket, buckets) of all n-grams and of all words."""
+        pairs = distinct(np.repeat(self.doc, self.mask.sum(axis=1)) * np.int64(len(self.words) + 1) + self.ids[self.mask])
+        doc, word = pairs // (len(self.words) + 1), pairs % (len(self.words) + 1) - 1
+        many = self.many[word, 0].astype(np.int64)
+        at = np.repeat(self.starts[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return [(np.repeat(doc, many), self.gram[at], 1 << GRAM_BITS), (doc, self.word[word], 1 << WORD_BITS)]
+
+
+def counted(batches: list[tuple[Inputs, np.ndarray]]) -> list[np.ndarray]:
+    """How many texts of each class have each n-gram and each word, and how many there are."""
+    out = [np.zeros((2, 1 << GRAM_BITS)), np.zeros((2, 1 << WORD_BITS)), np.zeros(2)]
+    for x, y in batches:
+        for seen, (doc, bucket, size) in zip(out, x.held(), strict=False):
+            once = distinct(doc * np.int64(size) + bucket)
+            for c in (0, 1):
+                seen[c] += np.bincount(once[y[once // size] == c] % size, minlength=size)
+        out[2] += np.bincount(y.astype(int), minlength=2)
+    return out
+
+
+def shrunk(grams: np.ndarray, words: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of toxic against other texts for each bucket, nearer to zero the fewer texts have it."""
+    out = []
+    for seen in (grams, words):
+        odds = np.log((seen[1] + 0.5) / (totals[1] + 1)) - np.log((seen[0] + 0.5) / (totals[0] + 1))
+        both = seen.sum(axis=0)
+        out.append((odds * both / (both + SHRINK)).astype(np.float32))
+    return tuple(out)
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys stand together, and where each key begins."""
+    order = np.argsort(keys, kind="stable")
+    return order, np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
+
+
+def summed(rows: np.ndarray, order: np.ndarray, at: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
+    """The sums of the rows of each id under size."""
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    out[ids[order[at]]] = np.add.reduceat(rows[order], at)
+    return out
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, np.diff(x) != 0)] if len(x) else x
+
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Network:
-    """Parameters ``p`` and the passes over them."""
+    """Parameters ``p``, the odds of hashed n-grams and words, and the passes over them."""
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
         draw = lambda *shape, s=0.3: (r.standard_normal(shape) * s).astype(np.float32)
         self.p = {"grams": draw(1 << GRAM_BITS, DIM, s=0.02), "words": draw(1 << WORD_BITS, DIM, s=0.02)}
         for d in "fb":
-            self.p |= {f"W{d}": draw(DIM, 3 * HIDDEN), f"U{d}": draw(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
+            self.p |= {f"W{d}": draw(DIM + ODDS, 3 * HIDDEN), f"U{d}": draw(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"a": draw(2 * HIDDEN), "w": draw(2 * HIDDEN), "o": np.zeros(1, np.float32)}
+        self.odds = (np.zeros(1 << GRAM_BITS, np.float32), np.zeros(1 << WORD_BITS, np.float32))
         self.scale, self.shift = 1.0, 0.0
         self.constant: float | None = None
 
-    def vectors(self, x: Inputs) -> np.ndarray:
+    def vectors(self, x: Inputs, odds: tuple | None = None) -> np.ndarray:
         """A row for each distinct word after row 0, that of no word."""
-        out = np.zeros((len(x.words) + 1, DIM), np.float32)
-        if len(x.words):
-            sums = np.add.reduceat(self.p["grams"][x.gram], x.starts) if len(x.gram) else 0
-            out[1:] = sums / x.many + self.p["words"][x.word]
+        out = np.zeros((len(x.word) + 1, DIM + ODDS), np.float32)
+        if len(x.word):
+            of_grams, of_words = odds or self.odds
+            out[1:, :DIM] = np.add.reduceat(self.p["grams"][x.gram], x.starts) / x.many + self.p["words"][x.word]
+            seen = of_grams[x.gram]
+            out[1:, DIM] = np.add.reduceat(seen, x.starts) / x.many[:, 0]
+            out[1:, DIM + 1] = np.maximum.reduceat(seen, x.starts)
+            out[1:, DIM + 2] = of_words[x.word]
         return out
 
     def recur(self, d: str, vectors: np.ndarray, ids: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -125,10 +203,10 @@ class Network:
             out[:, t] = h
         return out
 
-    def logits(self, x: Inputs, some: np.ndarray | None = None, keep: dict | None = None) -> np.ndarray:
+    def logits(self, x: Inputs, some: np.ndarray | None = None, keep: dict | None = None, odds: tuple | None = None) -> np.ndarray:
         """The logit of each window, or of ``some`` of them."""
         ids, mask = (x.ids, x.mask) if some is None else (x.ids[some], x.mask[some])
-        v = self.vectors(x)
+        v = self.vectors(x, odds)
         kept = {"f": [], "b": []} if keep is not None else {"f": None, "b": None}
         h = np.concatenate([self.recur(d, v, ids, mask, kept[d]) for d in "fb"], axis=2)
         e = np.where(mask, h @ self.p["a"], -1e9)
@@ -151,92 +229,92 @@ class Network:
         dv = np.zeros_like(k["v"])
         for d, part in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
             u = p[f"U{d}"]
-            dgates = np.zeros((len(k["v"]), 3 * HIDDEN), np.float32)
+            steps = np.empty((WINDOW, len(by), 3 * HIDDEN), np.float32)
             du, dh = np.zeros_like(u), np.zeros((len(by), HIDDEN), np.float32)
             for t, h, z, r, n, hn in reversed(k["steps"][d]):
                 dh = (dh + dh_all[:, t, part]) * k["mask"][:, t, None]
                 dn = dh * (1 - z) * (1 - n * n)
                 dz = dh * (h - n) * z * (1 - z)
                 dr = dn * hn * r * (1 - r)
-                dg = np.concatenate([dz, dr, dn], axis=1)
-                dhu = np.concatenate([dz, dr, dn * r], axis=1)
-                np.add.at(dgates, k["ids"][:, t], dg)
+                dhu = np.concatenate([dz, dr, dn], axis=1)
+                steps[t] = dhu
+                dhu[:, 2 * HIDDEN :] *= r
                 du += h.T @ dhu
                 dh = dh * z + dhu @ u.T
+            flat = k["ids"].T.reshape(-1)
+            dgates = summed(steps.reshape(-1, 3 * HIDDEN), *grouped(flat), flat, len(k["v"]))
             g[f"U{d}"], g[f"c{d}"], g[f"W{d}"] = du, dgates.sum(axis=0), k["v"].T @ dgates
             dv += dgates @ p[f"W{d}"].T
         g["dv"] = dv[1:]
         return g
 
-    def warm(self, inputs: list[Inputs], labels: list[np.ndarray]) -> None:
-        """The first component of each vector becomes the shrunk log-odds of its bucket among toxic texts."""
-        totals = [sum(int((y == c).sum()) for y in labels) for c in (0, 1)]
-        for name, size in (("grams", 1 << GRAM_BITS), ("words", 1 << WORD_BITS)):
-            seen = np.zeros((2, size))
-            for x, y in zip(inputs, labels, strict=True):
-                pairs = x.ids[x.mask].astype(np.int64) - 1
-                doc = np.repeat(x.doc, x.mask.sum(axis=1))
-                both = np.unique(doc * np.int64(len(x.words)) + pairs)
-                doc, word = both // len(x.words), both % len(x.words)
-                if name == "words":
-                    bucket = x.word[word]
-                else:
-                    many = x.many[word, 0].astype(np.int64)
-                    at = np.repeat(x.starts[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                    doc, bucket = np.repeat(doc, many), x.gram[at]
-                for c in (0, 1):
-                    once = np.unique((doc * np.int64(size) + bucket)[y[doc] == c])
-                    seen[c] += np.bincount(once % size, minlength=size)
-            odds = np.log((seen[1] + 0.5) / (totals[1] + 1)) - np.log((seen[0] + 0.5) / (totals[0] + 1))
-            both = seen.sum(axis=0)
-            self.p[name][:, 0] = odds * both / (both + 4)
-        # unit 0 of both directions starts as a memory of high odds that attention and output look for
-        for d, unit in (("f", 0), ("b", HIDDEN)):
-            self.p[f"W{d}"][0, [0, 2 * HIDDEN]] = -1.0, 1.0
-            self.p[f"c{d}"][[0, 2 * HIDDEN]] = 1.5, -1.5
-            self.p["a"][unit], self.p["w"][unit] = 3.0, 2.0
-
-    def texts(self, x: Inputs) -> tuple[np.ndarray, np.ndarray]:
+    def texts(self, x: Inputs, odds: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Each text's highest logit, and the window that has it."""
-        w = self.logits(x)
+        w = self.logits(x, odds=odds)
         top = np.maximum.reduceat(w, x.first_window)
         hit = np.flatnonzero(w == top[x.doc])
         return top, hit[np.searchsorted(x.doc[hit], np.arange(x.docs))]
 
+    def step(self, x: Inputs, g: dict, rate: float) -> None:
+        """One step of Adam; vectors of hashed features move where the batch has them, and shrink."""
+        dv = g.pop("dv")[:, :DIM]
+        self.steps += 1
+        for name, d in g.items():
+            m = self.first[name] = 0.9 * self.first.get(name, 0) + 0.1 * d
+            s = self.second[name] = 0.99 * self.second.get(name, 0) + 0.01 * d * d
+            self.p[name] -= (rate * m / (1 - 0.9**self.steps) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-6)).astype(np.float32)
+        for name, buckets, d in (("grams", x.gram, (dv / x.many)[x.owner]), ("words", x.word, dv)):
+            if len(buckets):
+                if name not in x.groups:
+                    x.groups[name] = grouped(buckets)
+                order, at = x.groups[name]
+                have = buckets[order[at]]
+                self.p[name][have] = (1 - DECAY) * (self.p[name][have] - rate * np.add.reduceat(d[order], at))
+
     def train(self, texts: list, labels: np.ndarray, totals: tuple[int, int] | None = None) -> Network:
         """totals: labelled rows of class 0 and 1 that the sample stands for."""
         labels = np.asarray(labels, np.float32)
         if len(set(labels.tolist())) < 2:
             self.constant = float(labels.mean()) if len(labels) else 0.0
             return self
+        # parts hold equal shares of both classes; forty batches at least, so that a small sample gets enough steps too
         order = np.random.default_rng(11).permutation(len(texts))
-        # forty batches at least, so that a small sample gets enough steps too
+        order = order[np.argsort(labels[order], kind="stable")]
         total = sum(len(t or "") for t in texts)
-        parts = list(chunks([texts[i] for i in order], min(1 << 18, max(1 << 12, total // 40))))
-        inputs = [Inputs(o, raw) for _, o, raw in parts]
-        y = [labels[order[f : f + x.docs]] for (f, _, _), x in zip(parts, inputs, strict=True)]
-        self.warm(inputs, y)
+        batches: list[tuple[int, Inputs, np.ndarray]] = []
+        for k in range(FOLDS):
+            mine = order[k::FOLDS]
+            mine = mine[np.random.default_rng(k).permutation(len(mine))]
+            for f, offsets, raw in chunks([texts[i] for i in mine], min(1 << 18, max(1 << 12, total // 40))):
+                x = Inputs(offsets, raw)
+                batches.append((k, x, labels[mine[f : f + x.docs]]))
+        counts = [counted([(x, y) for j, x, y in batches if j == k]) for k in range(FOLDS)]
+        whole = [sum(c[i] for c in counts) for i in range(3)]
+        odds = [shrunk(*[w - c for w, c in zip(whole, own, strict=True)]) for own in counts]
         weight = (labels == 0).sum() / (labels == 1).sum()
-        first, second, step = {}, {}, 0
-        for epoch in range(EPOCHS):
-            for i in np.random.default_rng(epoch).permutation(len(inputs)):
-                x, keep = inputs[i], {}
-                _, windows = self.texts(x)
-                z = self.logits(x, windows, keep)
-                by = ((sigmoid(z) - y[i]) * np.where(y[i] > 0, weight, 1)).astype(np.float32) / x.docs
-                g, step = self.gradient(x, keep, by), step + 1
-                dv = g.pop("dv")
-                rate = RATE * (1 - step / (EPOCHS * len(inputs) + 1))
-                for name, d in g.items():
-                    first[name] = 0.9 * first.get(name, 0) + 0.1 * d
-                    second[name] = 0.99 * second.get(name, 0) + 0.01 * d * d
-                    self.p[name] -= (rate * first[name] / (1 - 0.9**step) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-                # the vectors of hashed features move by their plain gradient
-                if len(x.gram):
-                    np.add.at(self.p["grams"], x.gram, -rate * (dv / x.many)[x.owner])
-                np.add.at(self.p["words"], x.word, -rate * dv)
-        z = np.concatenate([self.texts(x)[0] for x in inputs])
-        self.calibrate(z, np.concatenate(y), totals or (1, 1))
+        each = lambda y: np.where(y > 0, weight, 1)
+        self.first, self.second, self.steps = {}, {}, 0
+        apart, rest = [b for b in batches if b[0] == 0], [b for b in batches if b[0]]
+        y0 = np.concatenate([y for _, _, y in apart])
+        best = None
+        for round_ in range(ROUNDS + 1):
+            z = np.concatenate([self.texts(x, odds[0])[0] for _, x, _ in apart])
+            loss = float((each(y0) * (np.logaddexp(0, z) - y0 * z)).mean())
+            if best is None or loss < best[0]:
+                best = (loss, {k: v.copy() for k, v in self.p.items()}, z)
+            if round_ == ROUNDS:
+                break
+            shown = [(x.only(self.texts(x, odds[k])[1]), y, odds[k]) for k, x, y in rest]
+            for pass_ in range(PASSES):
+                for i in np.random.default_rng([round_, pass_]).permutation(len(shown)):
+                    (x, y, seen), keep = shown[i], {}
+                    z = self.logits(x, None, keep, seen)
+                    g = self.gradient(x, keep, ((sigmoid(z) - y) * each(y)).astype(np.float32) / x.docs)
+                    self.step(x, g, RATE * (1 - (round_ * PASSES + pass_) / (ROUNDS * PASSES)))
+        _, self.p, z = best
+        self.odds = shrunk(*whole)
+        del self.first, self.second
+        self.calibrate(z, y0, totals or (1, 1))
         return self
 
     def calibrate(self, z: np.ndarray, y: np.ndarray, totals: tuple[int, int]) -> None:
@@ -275,16 +353,29 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         some = known.where(F.col("_y") == y).orderBy(F.xxhash64(key), key).limit(PER_CLASS)
         picked = some if picked is None else picked.union(some)
     picked = cut(picked)  # 2 * PER_CLASS ids at most
-    fit = docs.select(key, text).join(F.broadcast(picked), key).where(F.length(text) <= MAX_CHARS).dropDuplicates([key])
-    rows = fit.orderBy(F.xxhash64(key), key).select("_y", text).collect()
     many = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}  # two rows
-    return Network().train([r[text] for r in rows], np.array([r["_y"] for r in rows]), (many.get(0, 1), many.get(1, 1)))
+    fit = docs.select(key, text).join(F.broadcast(picked), key).where(F.length(text) <= MAX_CHARS).dropDuplicates([key])
+    ship(docs.sparkSession)
+
+    def fitted(batches):
+        import pyarrow as pa
+
+        texts, labels = [], []
+        for b in sliced(batches):
+            labels += b.column(0).to_pylist()
+            texts += b.column(1).to_pylist()
+        model = Network().train(texts, np.array(labels), (many.get(0, 1), many.get(1, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # the sample is bounded, and so is the model: one row of a fixed size comes back
+    one = fit.repartition(1).sortWithinPartitions(F.xxhash64(key), key).select("_y", text)
+    made = one.mapInArrow(fitted, "model binary").first()
+    return pickle.loads(made["model"]) if made else Network().train([], np.empty(0))  # an empty sample may have no task at all
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", folds: int = 5) -> DataFrame:
     """key, held_out, score, predicted: one row for each row of docs."""
     spark = docs.sparkSession
-    small_batches(spark)
     model = spark.sparkContext.broadcast(learn(docs, labels, text, key, label, folds))
 
     def run(texts: list) -> list[tuple]:
@@ -299,12 +390,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     import pyarrow as pa
 
     spark = docs.sparkSession
-    small_batches(spark)
     model = spark.sparkContext.broadcast(learn(docs, labels, text, key))
     at = docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array(model.value.score(b.column(at).to_pylist()) < 0.5, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -83,3 +83,40 @@ def test_query_and_filter(spark):
     assert {r["doc_id"] for r in left.collect()} == {r["doc_id"] for r in out} - gone and len(gone) > 80
     assert T.toxicity(docs, labels.limit(0)).where("predicted = 1").count() == 0
     assert T.toxicity(docs.limit(0), labels).count() == 0
+
+
+def auc(score, y):
+    rank = np.empty(len(y))
+    rank[np.argsort(score, kind="stable")] = np.arange(1, len(y) + 1)
+    return (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+
+
+def test_training_beats_its_start_on_rows_it_has_not_seen(monkeypatch):
+    """Toxic words are many and rare, and share only how they begin: held-out words need the n-grams."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdeilmnorstu") for _ in range(r.randint(2, 8)))
+
+    def rows(n):
+        out = []
+        for i in range(n):
+            w, y = [word() for _ in range(r.randint(30, 300))], int(i % 6 == 0)
+            for _ in range(2 * y):
+                w[r.randrange(len(w))] = r.choice(["zorbi", "quaxel"]) + word()
+            out.append((" ".join(w), y))
+        return [t for t, _ in out], np.array([y for _, y in out])
+
+    texts_, labels = rows(900)
+    others, truth = rows(400)
+    trained = T.Network().train(texts_, labels).score(others)
+    monkeypatch.setattr(T, "ROUNDS", 0)
+    start = T.Network().train(texts_, labels).score(others)
+    assert auc(trained, truth) > max(0.97, auc(start, truth))
+    assert ((trained >= 0.5) == truth).mean() > 0.95
+
+
+def test_windows_alone_score_as_within_all(model):
+    rows = texts(30, seed=6)
+    (_, offsets, raw), *_ = list(T.chunks([t for _, t, _ in rows]))
+    x = T.Inputs(offsets, raw)
+    top, at = model.texts(x)
+    assert np.allclose(model.logits(x.only(at)), top, atol=1e-4)
