@@ -8,9 +8,10 @@ their length, without a join to anything that grows with the corpus.
    first piece taking the remainder.
 2. Histogram: one aggregate, at most ``size`` rows to the driver.
 3. Search (``complete``): depth-first branch and bound over bin completions. The bin of the largest
-   document left is completed by fillings that no other filling dominates, least waste first; a
-   filling is applied as often as the histogram allows. A branch ends when the bins used and the
-   lower bound of the rest reach the incumbent. The first incumbent is best-fit decreasing.
+   document left is completed by every filling that no other filling dominates, least waste first; a
+   filling is tried as often as the histogram allows, then once less, and so on. A branch ends when its waste passes what a
+   better packing may waste, or when the bins used and the lower bound of the rest reach the
+   incumbent. The first incumbent is best-fit decreasing. ``nodes`` is the only limit.
 4. Places: a run (length, first rank, how many) -> (sequence, offset) for each filling and length.
 
 Defined cases: null or empty text is one piece of the end id; no documents, no pieces; repeated rows
@@ -20,7 +21,9 @@ from __future__ import annotations
 
 import base64
 import zlib
+from bisect import bisect_right
 from collections import defaultdict
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -31,8 +34,8 @@ from .common import cut, ship, sliced
 SIZE = 2048
 #: Fillings that the search may try before it settles for its incumbent.
 NODES = 20_000
-#: Fillings kept for one bin.
-WIDTH = 4
+#: Fillings that are held for one bin at a time; those after them are found anew when their turn comes.
+HELD = 64
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 _encoders: dict[str, object] = {}
@@ -92,17 +95,16 @@ def lower_bound(count: np.ndarray, size: int) -> int:
     """Bins needed at least: by volume, and with large pieces that can't share (Martello and Toth's L2)."""
     lengths = np.arange(size + 1)
     total = int((count * lengths).sum())
-    best = -(-total // size)
     many, mass = np.append(np.cumsum(count[::-1])[::-1], 0), np.append(np.cumsum((count * lengths)[::-1])[::-1], 0)
     half = size // 2
     big = int(many[half + 1])
-    for k in range(half + 1):
-        # pieces over size - k stand alone, those over half take a bin each, those of k and more fill up the rest
-        alone = int(many[size - k + 1]) if k else 0
-        middle, middle_mass = big - alone, int(mass[half + 1] - (mass[size - k + 1] if k else 0))
-        small = int(mass[max(k, 1)] - mass[half + 1])
-        best = max(best, alone + middle + max(0, -(-(small - (middle * size - middle_mass)) // size)))
-    return best
+    # for each k: pieces over size - k stand alone, those over half take a bin each, those of k and more fill up the rest
+    k = np.arange(1, half + 1)
+    alone = many[size - k + 1]
+    middle, middle_mass = big - alone, mass[half + 1] - mass[size - k + 1]
+    small = mass[k] - mass[half + 1]
+    needed = big + np.maximum(0, -(-(small - (middle * size - middle_mass)) // size))
+    return max(-(-total // size), big, int(needed.max(initial=0)))
 
 
 Filling = tuple[tuple[int, int], ...]  # (length, times), lengths descending
@@ -139,105 +141,160 @@ def best_fit(count: np.ndarray, size: int) -> dict[Filling, int]:
     return dict(out)
 
 
-def fillings(count: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]:
-    """Lengths that complete a bin with ``room`` left: undominated ones, least waste first.
-
-    A single piece that fits exactly dominates all others. Else: the largest single piece, the pairs
-    and triples that no other filling of the same or fewer pieces beats in volume."""
-    have = np.flatnonzero(count[: room + 1])
-    have = have[have > 0]
-    if not len(have):
-        return [()]
-    if have[-1] == room:
-        return [(room,)]
-    found = {(int(have[-1]),)}
-    below = np.full(room + 1, 0, np.int64)
-    below[have] = have
-    below = np.maximum.accumulate(below)  # the largest length at most i
-    a = have
-    b = below[room - a]
-    b = np.where((b == a) & (count[a] < 2), below[np.maximum(a - 1, 0)], np.minimum(b, a))
-    ok = b > 0
-    a, b = a[ok], b[ok]
-    if len(a):
-        total = a + b
-        for i in np.lexsort((-a, -total))[:width]:
-            found.add((int(a[i]), int(b[i])))
-        c = below[np.maximum(room - total, 0)]
-        c = np.minimum(c, b)
-        fits = (c > 0) & (count[c] > (c == a).astype(int) + (c == b))
-        if fits.any():
-            a3, b3, c3 = a[fits], b[fits], c[fits]
-            for i in np.lexsort((-a3, -(a3 + b3 + c3)))[:width]:
-                found.add((int(a3[i]), int(b3[i]), int(c3[i])))
-    ranked = sorted(found, key=lambda f: (room - sum(f), len(f), [-x for x in f]))
-    kept: list[tuple[int, ...]] = []
-    for f in ranked:  # f is dominated by a filling of at most as many pieces, each at least as long
-        if not any(len(g) <= len(f) and all(x >= y for x, y in zip(g, f, strict=False)) and sum(g) >= sum(f) for g in kept):
-            kept.append(f)
-    return kept[:width]
-
-
-def finished(filling: Filling, size: int) -> int:
-    return size - sum(n * k for n, k in filling)
-
-
-def complete(count: np.ndarray, size: int = SIZE, nodes: int = NODES, width: int = WIDTH) -> dict[Filling, int]:
+def exact(lengths: list[int], counts: list[int], total: int, reach: list[int]):
+    """All fillings of exactly ``total``, the largest lengths first. lengths ascend; reach[j]: bits of the sums of the lengths before j."""
+
+    def below(i: int, left: int):
+        if not left:
+            yield ()
+            return
+        for j in range(min(i, bisect_right(lengths, left)) - 1, -1, -1):
+            n = lengths[j]
+            for k in range(min(counts[j], left // n), 0, -1):
+                if reach[j] >> (left - k * n) & 1:
+                    for rest in below(j, left - k * n):
+                        yield ((n, k), *rest)
+            if not reach[j] >> left & 1:  # the smaller lengths alone don't come to it
+                return
+
+    if reach[-1] >> total & 1:
+        yield from below(len(lengths), total)
+
+
+def sums_of(filling: Filling) -> tuple[int, int]:
+    """Bits of the sums of all subsets of a filling, and of those of two and more pieces."""
+    every, several, single = 1, 0, 0
+    for n, k in filling:
+        for _ in range(k):
+            several |= (several | single) << n
+            every |= every << n
+            single |= 1 << n
+    return every, several
+
+
+def dominated(filling: Filling, waste: int, free: int) -> bool:
+    """Whether a free length (bits of those that the filling leaves) can stand in for some of its pieces, or be added, at no loss.
+
+    It stands in for pieces that are together at most as long, if the bin has room for it; of one piece of its own length it is no better."""
+    every, several = sums_of(filling)
+    spread, width = every << 1, 1  # sums moved by 1 to ``waste``
+    if not waste:
+        return bool(several & free)
+    while width < waste:
+        more = min(width, waste - width)
+        spread |= spread << more
+        width += more
+    return bool((spread | several) & free)
+
+
+class Fillings:
+    """The undominated fillings of a bin that holds ``large`` already, least waste first, drawn in runs of HELD."""
+
+    def __init__(self, large: int, size: int):
+        self.large, self.room, self.waste, self.skip, self.ready = large, size - large, 0, 0, []
+        self.tried = 0
+
+    def next(self, count: np.ndarray, slack: int, tries: int) -> tuple[Filling, int] | None:
+        """The next filling with its waste, at most ``slack``, after so many tries; count: the pieces left, as when the bin was opened."""
+        tries += self.tried
+        while not self.ready:
+            if self.waste > min(self.room, slack) or self.tried >= tries:
+                return None
+            self.draw(count)
+        filling, waste = self.ready[0]
+        if waste > slack:
+            return None
+        self.ready.pop(0)
+        return filling, waste
+
+    def draw(self, count: np.ndarray) -> None:
+        have = np.flatnonzero(count[: self.room + 1])
+        lengths, counts = have.tolist(), count[have].tolist()
+        if lengths and lengths[-1] == self.large:
+            counts[-1] -= 1
+            if not counts[-1]:
+                lengths.pop(), counts.pop()
+        mask, reach, free = (1 << self.room + 1) - 1, [1], 0
+        for n, c in zip(lengths, counts, strict=True):
+            free |= 1 << n
+            bits, left, step = reach[-1], min(c, self.room // n), 1
+            while left:
+                step = min(step, left)
+                bits |= bits << n * step & mask
+                left -= step
+                step *= 2
+            reach.append(bits)
+        left = dict(zip(lengths, counts, strict=True))
+        while self.waste <= self.room and not self.ready:
+            some = list(islice(exact(lengths, counts, self.room - self.waste, reach), self.skip, self.skip + HELD))
+            self.tried += len(some) + 1
+            for f in some:
+                rest = free
+                for n, k in f:
+                    if left[n] == k:
+                        rest &= ~(1 << n)
+                if not dominated(f, self.waste, rest):
+                    whole = dict(f)
+                    whole[self.large] = whole.get(self.large, 0) + 1
+                    self.ready.append((tuple(sorted(whole.items(), reverse=True)), self.waste))
+            if len(some) < HELD:
+                self.waste, self.skip = self.waste + 1, 0
+            else:
+                self.skip += HELD
+                if not self.ready:
+                    return
+
+
+def complete(count: np.ndarray, size: int = SIZE, nodes: int = NODES) -> dict[Filling, int]:
     """Fillings and how often each is made, for count[length] pieces of each length from 1 to size."""
     count = np.asarray(count, np.int64).copy()
     best = best_fit(count, size)
     bins, least = sum(best.values()), lower_bound(count, size)
+    lengths = np.arange(size + 1)
     path: list[tuple[Filling, int]] = []
-    # a frame: what stands on the path, and the fillings not tried yet
-    stack: list[tuple[int, int, list]] = []
     used, tried = 0, 0
 
-    def branch() -> list:
-        large = int(np.flatnonzero(count)[-1])
-        count[large] -= 1
-        room, out = size - large, []
-        for f in fillings(count, room, width):
-            more, whole = f, sum(f)
-            while (rest := room - whole) > 0 and len(more) > 1:  # several small pieces are filled on greedily
-                have = np.flatnonzero(count[: rest + 1])
-                have = [int(x) for x in have[::-1] if x and count[x] > more.count(int(x))]
-                if not have:
-                    break
-                more, whole = (*more, have[0]), whole + have[0]
-            out.append((large, *more))
-        count[large] += 1
-        return out[::-1]
-
-    stack.append((0, 0, branch())) if count.any() else None
+    def move(filling: Filling, n: int) -> None:
+        for length, k in filling:
+            count[length] -= k * n
+
+    def opened() -> list:
+        """A frame: the path below it, its fillings, the one that is tried less often next, and how often."""
+        return [len(path), Fillings(int(np.flatnonzero(count)[-1]), size), None, 0]
+
+    stack = [opened()] if count.any() else []
     while stack and bins > least and tried < nodes:
-        depth, before, todo = stack[-1]
-        while len(path) > depth:
+        frame = stack[-1]
+        while len(path) > frame[0]:
             filling, n = path.pop()
-            for length, k in filling:
-                count[length] += k * n
-        used = before
-        if not todo:
-            stack.pop()
-            continue
-        f = todo.pop()
+            move(filling, -n)
+            used -= n
+        slack = (bins - 1 - used) * size - int((count * lengths).sum())
+        if frame[3] == 0:
+            before = frame[1].tried
+            found = frame[1].next(count, slack, nodes - tried)
+            tried += frame[1].tried - before
+            if found is None:
+                stack.pop()
+                continue
+            frame[2] = found
+            frame[3] = min(int(count[length]) // k for length, k in found[0])
+        (filling, waste), n = frame[2], frame[3]
+        frame[3] -= 1
         tried += 1
-        filling = tuple(sorted(((x, f.count(x)) for x in set(f)), reverse=True))
-        n = min(int(count[x]) // k for x, k in filling)
+        if n * waste > slack:
+            frame[3] = min(frame[3], slack // waste)
+            continue
         path.append((filling, n))
-        for length, k in filling:
-            count[length] -= k * n
+        move(filling, n)
         used += n
         if not count.any():
             if used < bins:
                 bins, best = used, defaultdict(int)
                 for g, m in path:
                     best[g] += m
-            continue
-        volume = -(-int((count * np.arange(size + 1)).sum()) // size)
-        over_half = int(count[size // 2 + 1 :].sum())
-        if used + max(volume, over_half) >= bins:
-            continue
-        stack.append((len(path), used, branch()))
+        elif used + lower_bound(count, size) < bins:
+            stack.append(opened())
     return dict(best)
 
 

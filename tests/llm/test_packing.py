@@ -94,3 +94,52 @@ def test_pack_edges(spark):
     assert at == len(ids)
     assert sorted(r["length"] for r in out if r["doc_id"] in (2, 3)) == [1, 1]
     assert P.pack(df.limit(0)).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=8), st.integers(30, 40))
+def test_search_is_exact_on_few_pieces(lengths, size):
+    count = np.bincount(lengths, minlength=size + 1)
+    assert sum(P.complete(count, size).values()) == optimum(lengths, size)
+
+
+def test_fillings_of_many_small_pieces_are_found():
+    count = np.bincount([848, 648] + [300] * 4 + [350] * 4, minlength=2049)
+    assert sum(P.complete(count).values()) == 2 < sum(P.best_fit(count, 2048).values())
+
+
+def test_fillings_are_all_undominated_ones():
+    """Against Martello and Toth's criterion, tried on all subsets of the pieces that fit."""
+    from itertools import combinations
+
+    def covers(a, b):
+        """Whether b's pieces, dealt to a's as to bins, fit."""
+        if not b:
+            return True
+        return any(x >= b[0] and covers([*a[:i], x - b[0], *a[i + 1 :]], b[1:]) for i, x in enumerate(a))
+
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        size = int(rng.integers(12, 30))
+        pieces = sorted(rng.integers(1, size, 7).tolist(), reverse=True)
+        count = np.bincount(pieces, minlength=size + 1)
+        large, rest = pieces[0], pieces[1:]
+        fit = {c for k in range(7) for c in combinations(rest, k) if sum(c) <= size - large}
+        whole = {c for c in fit if not any(d != c and covers(list(d), list(c)) for d in fit)}
+        drawn, got = P.Fillings(large, size), set()
+        while (f := drawn.next(count, size, 10**6)) is not None:
+            own = [n for n, k in f[0] for _ in range(k)]
+            own.remove(large)
+            got.add(tuple(own))
+        assert whole <= got, (size, pieces, whole - got)
+
+
+def test_far_from_the_bound_only_where_pieces_force_it():
+    rng = np.random.default_rng(1)
+    gaps = []
+    for _ in range(20):
+        count = np.bincount(rng.integers(200, 1100, 60), minlength=2049)
+        made = sum(P.complete(count, nodes=5_000).values())
+        assert made <= sum(P.best_fit(count, 2048).values())
+        gaps.append(made - P.lower_bound(count, 2048))
+    assert np.mean(gaps) <= 0.5 and max(gaps) <= 1
