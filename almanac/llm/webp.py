@@ -1,9 +1,14 @@
-"""Lossless WebP (VP8L): a writer for raw 8-bit samples and a decoder of the whole format.
+"""Lossless WebP (VP8L): a writer for 8-bit samples and a decoder of the whole format.
 
-The decoder reads simple and normal prefix codes, meta prefix images, back-references with the
-two-dimensional distance map, the colour cache, and inverts predictor, cross-colour, subtract-green
-and palette transforms. Streams whose literals all have flat 8-bit codes (as the writer makes them)
-are unpacked with numpy in one go; all others take the symbol loop.
+Writer: a palette where an image has few colours; else the top or left predictor and the cross-colour
+transform where they lower the samples' entropy. Pixels become back-references to earlier runs, colour
+cache codes and literals, under prefix codes made from their counts.
+
+Decoder: simple and normal prefix codes, meta prefix images, back-references with the two-dimensional
+distance map, the colour cache; inverts predictor, cross-colour, subtract-green and palette transforms. An
+image with one group of codes is read by tables: the symbol that would begin at each bit is looked up
+for all bits at once, the chain of symbols is followed from the first, and what a reference or a cache code stands for is
+found by following links, doubled each time. Images with several groups take the symbol loop.
 
 Format facts follow the public "WebP Lossless Bitstream Specification"."""
 
@@ -29,7 +34,6 @@ NEAR = (
     (8, 0), (4, 7), (-4, 7), (7, 4), (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7),
     (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
-REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
 
 
 class Bits:
@@ -60,46 +64,55 @@ class Writer:
         self.value |= value << self.at
         self.at += n
 
-    def code(self, code: int, n: int) -> None:
-        """A prefix code, whose first bit is the most significant."""
-        self.put(int(f"{code:0{n}b}"[::-1], 2) if n else 0, n)
 
+_turned: dict[int, np.ndarray] = {}
 
-def canonical(lengths) -> dict[int, tuple[int, int]]:
-    """symbol -> (code, length)."""
-    code, last, out = 0, 0, {}
-    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
-        code <<= n - last
-        out[s] = (code, n)
-        code, last = code + 1, n
-    return out
+
+def turned(width: int) -> np.ndarray:
+    """Each number under 2 ** width with its bits in reverse order."""
+    if width not in _turned:
+        out = np.zeros(1, np.int64)
+        for _ in range(width):
+            out = np.concatenate([out << 1, out << 1 | 1])
+        _turned[width] = out
+    return _turned[width]
+
+
+def spelled(lengths) -> tuple[np.ndarray, np.ndarray]:
+    """The code (least significant bit first, as it is written) and its length for each symbol; no bits for an only symbol."""
+    lengths = np.asarray(lengths, np.int64)
+    codes, used = np.zeros(len(lengths), np.int64), np.flatnonzero(lengths)
+    if len(used) < 2:
+        return codes, np.zeros(len(lengths), np.int64)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    n, top = lengths[used], int(lengths[used[-1]])
+    ends = np.cumsum(1 << (top - n))  # of the symbols' shares of all words of ``top`` bits
+    codes[used] = turned(top)[ends - (1 << (top - n))]
+    return codes, lengths
 
 
 class Prefix:
-    """A prefix code as a table of (symbol, length) by the next ``width`` bits."""
+    """A prefix code as tables of symbols and lengths by the next ``width`` bits."""
 
     def __init__(self, lengths):
-        codes = canonical(lengths)
-        self.flat = len(codes) == 256 and all(n == 8 and s < 256 for s, (_, n) in codes.items())
-        self.only = next(iter(codes)) if len(codes) == 1 else None
-        if self.only is None and sum(2.0**-n for _, n in codes.values()) != 1:
+        lengths = np.asarray(lengths, np.int64)
+        used = np.flatnonzero(lengths)
+        self.only = int(used[0]) if len(used) == 1 else None
+        self.width = 0 if self.only is not None else int(lengths.max())
+        used = used[np.argsort(lengths[used], kind="stable")]
+        share = 1 << (self.width - lengths[used]) if self.width else np.ones(1, np.int64)
+        if int(share.sum()) != 1 << self.width or not len(used):
             raise ValueError("an incomplete prefix code")
-        self.codes, self.made = codes, None
-
-    def table(self):
-        self.width = max(n for _, n in self.codes.values())
-        self.made = [None] * (1 << self.width)
-        for s, (code, n) in self.codes.items():
-            low = int(f"{code:0{n}b}"[::-1], 2)
-            for high in range(1 << (self.width - n)):
-                self.made[low | high << n] = (s, n)
-        return self.made
+        at = turned(self.width)
+        self.symbols, self.lengths = np.repeat(used, share)[at], np.repeat(lengths[used] if self.width else [0], share)[at]
+        self.pairs = None
 
     def next(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
-        made = self.made or self.table()
-        s, n = made[bits.peek(self.width)]
+        if self.pairs is None:
+            self.pairs = list(zip(self.symbols.tolist(), self.lengths.tolist(), strict=True))
+        s, n = self.pairs[bits.peek(self.width)]
         bits.at += n
         if bits.at > bits.end:
             raise ValueError("the bitstream ends early")
@@ -154,10 +167,14 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     groups = [[read_prefix(bits, n) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)] for _ in range(1 if meta is None else int(meta.max()) + 1)]
     n = width * height
     g = groups[0]
-    if meta is None and not cache_bits and g[0].flat and g[1].flat and g[2].flat and g[3].only is not None:
-        return flat_pixels(bits, n, g[3].only)
-    if meta is None and not cache_bits and all(c.only is not None for c in g[:4]) and g[0].only < 256:
+    if meta is None and all(c.only is not None for c in g[:4]) and g[0].only < 256:
         return np.full(n, g[3].only << 24 | g[1].only << 16 | g[0].only << 8 | g[2].only, np.uint32)
+    if meta is None:
+        begin = bits.at
+        found = tabled(bits, g, n, width, cache_bits)
+        if found is not None:
+            return found
+        bits.at = begin
     out, at = np.zeros(n, np.uint32), 0
     cache, cached = [0] * (1 << cache_bits), 0
     while at < n:
@@ -191,16 +208,150 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return out
 
 
-def flat_pixels(bits: Bits, n: int, alpha: int) -> np.ndarray:
-    """n pixels of three flat 8-bit codes: green, red, blue, each with its bits reversed."""
-    first, shift = bits.at >> 3, bits.at & 7
-    if bits.at + 24 * n > bits.end:
+#: Bits that are looked up at once.
+REACH = 1 << 20
+#: Bits that the longest symbol with all that belongs to it takes, and some more.
+MORE = 160
+
+
+def tabled(bits: Bits, g: list, n: int, width: int, cache_bits: int) -> np.ndarray | None:
+    """n pixels of one group of codes; None if a cache code stands for a colour that never came in."""
+    kinds, firsts, counts, at, seen = [], [], [], bits.at, 0
+    while seen < n:
+        reach = min(REACH, bits.end - at)
+        if reach <= 0:
+            raise ValueError("the bitstream ends early")
+        places, symbol, value, count, after = symbols(bits, g, at, reach, width)
+        total = np.cumsum(count)
+        last = int(np.searchsorted(total, n - seen))
+        if last < len(total):
+            if seen + int(total[last]) > n:
+                raise ValueError("a back-reference leaves the image")
+            places, symbol, value, count, after = (x[: last + 1] for x in (places, symbol, value, count, after))
+        kinds.append(symbol)
+        firsts.append(value)
+        counts.append(count)
+        seen += int(count.sum())
+        at = int(after[-1])
+    if at > bits.end:
         raise ValueError("the bitstream ends early")
-    raw = np.frombuffer(bits.data, np.uint8, 3 * n + (shift > 0), first)
-    own = (raw[:-1] >> shift) | (raw[1:] << (8 - shift)) if shift else raw
-    own = REVERSED[own].reshape(n, 3).astype(np.uint32)
-    bits.at += 24 * n
-    return np.uint32(alpha << 24) | own[:, 1] << 16 | own[:, 0] << 8 | own[:, 2]
+    bits.at = at
+    symbol, value, count = (np.concatenate(x) for x in (kinds, firsts, counts))
+    return linked(symbol, value, count, n, cache_bits)
+
+
+def symbols(bits: Bits, g: list, start: int, reach: int, width: int) -> tuple[np.ndarray, ...]:
+    """The symbols that begin in ``reach`` bits from start on: place, green symbol, colour or distance, pixels, place of the next."""
+    first, size = start >> 3, (reach + MORE >> 3) + 2
+    raw = np.zeros(size + 8, np.uint8)
+    piece = np.frombuffer(bits.data, np.uint8, min(size, len(bits.data) - first), first)
+    raw[: len(piece)] = piece
+    words = np.ndarray((size,), "<u8", raw, strides=(1,))
+    at = np.arange(start & 7, (start & 7) + reach + MORE - 8)
+    window = words[at >> 3] >> (at & 7).astype(np.uint64)
+    low = (window & np.uint64(0x7FFF)).astype(np.int64)
+    size = len(at)
+
+    def table(code: Prefix):
+        """The symbol at each bit and where it ends, from the first bit on."""
+        if code.only is not None:
+            return None
+        by = low & ((1 << code.width) - 1)
+        return code.symbols[by], code.lengths[by]
+
+    def step(found, code: Prefix, place: np.ndarray):
+        """The symbols at places, and where they end."""
+        if found is None:
+            return code.only, place
+        return found[0][place], np.minimum(place + found[1][place], size - 1)
+
+    tables = [table(c) for c in g]
+    place = np.arange(size)
+    green, end = step(tables[0], g[0], place)
+    green = np.broadcast_to(green, (size,))
+    red, end_red = step(tables[1], g[1], end)
+    blue, end_blue = step(tables[2], g[2], end_red)
+    alpha, after = step(tables[3], g[3], end_blue)
+    colour = np.broadcast_to(np.asarray(alpha, np.int64) << 24 | np.asarray(red, np.int64) << 16 | green << 8 | blue, (size,))
+    copies = np.flatnonzero((green >= 256) & (green < 280))
+    cached = green >= 280
+    after = np.where(cached, end, np.broadcast_to(after, (size,)))
+    count, value = np.ones(size, np.int64), np.array(colour)
+    if len(copies):
+
+        def numbers(prefix, where):
+            """Lengths or distances from their prefix symbols, whose extra bits begin at where."""
+            extra = np.where(prefix < 4, 0, (prefix - 2) >> 1)
+            own = (window[where] & ((np.uint64(1) << extra.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+            return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + own + 1), np.minimum(where + extra, size - 1)
+
+        count[copies], where = numbers(green[copies] - 256, end[copies])
+        prefix, where = step(tables[4], g[4], where)
+        code, where = numbers(np.broadcast_to(prefix, (len(copies),)), where)
+        value[copies], after[copies] = np.where(code > 120, code - 120, near(width)[np.minimum(code, 120)]), where
+    # the chain from the first bit on; an only symbol of no bits stands as often as it has to
+    steps, chain, p = after.tolist(), [], 0
+    if (after[:1] == 0).any():
+        raise ValueError("symbols without bits")
+    append = chain.append
+    while p < reach:
+        append(p)
+        p = steps[p]
+    chain = np.array(chain)
+    return chain + start, green[chain], value[chain], count[chain], after[chain] + start
+
+
+_near: dict[int, np.ndarray] = {}
+
+
+def near(width: int) -> np.ndarray:
+    """The distance in pixels of each short distance code."""
+    if width not in _near:
+        _near[width] = np.array([1] + [max(1, x + y * width) for x, y in NEAR])
+    return _near[width]
+
+
+def slots(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
+    """The place of each colour in the cache."""
+    return ((pixels.astype(np.uint32) * np.uint32(0x1E35A7BD)) >> np.uint32(32 - cache_bits)).astype(np.int64)
+
+
+def followed(link: np.ndarray) -> np.ndarray:
+    """Where each chain of links ends; ends link to themselves."""
+    while True:
+        on = link[link]
+        if (on == link).all():
+            return link
+        link = on
+
+
+def linked(symbol: np.ndarray, value: np.ndarray, count: np.ndarray, n: int, cache_bits: int) -> np.ndarray | None:
+    """The pixels that symbols stand for."""
+    begin = np.cumsum(count) - count
+    own = np.arange(n)
+    copy = (symbol >= 256) & (symbol < 280)
+    if (value[copy] > begin[copy]).any():
+        raise ValueError("a back-reference leaves the image")
+    back = np.repeat(np.where(copy, value, 0), count)
+    link = own - back
+    pixels = np.zeros(n, np.uint32)
+    literal = symbol < 256
+    pixels[begin[literal]] = value[literal].astype(np.uint32)
+    hit = begin[symbol >= 280]
+    if len(hit):
+        # a copied pixel has its source's slot, a cached one has the slot that its code names
+        slot = slots(pixels, cache_bits)
+        slot[hit] = symbol[symbol >= 280] - 280
+        slot = slot[followed(link)]
+        order = np.argsort(slot, kind="stable")
+        before = np.full(n, -1)
+        same = slot[order[1:]] == slot[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        if (before[hit] < 0).any():
+            return None
+        link = link.copy()
+        link[hit] = before[hit]
+    return pixels[followed(link)]
 
 
 def average(a, b):
@@ -238,6 +389,10 @@ def undo_predictor(pixels: np.ndarray, width: int, height: int, tile: int, data:
     if height > 1 and (modes == 2).all():
         np.cumsum(image, axis=0, dtype=np.uint8, out=image)  # every other one adds the pixel above
         return image.view(np.uint32).reshape(-1)
+    if (modes == 1).all():
+        image[1:, 0] += np.cumsum(np.concatenate([image[:1, 0], image[1:, 0]]), axis=0, dtype=np.uint8)[:-1]  # first pixels add the one above
+        np.cumsum(image[1:], axis=1, dtype=np.uint8, out=image[1:])
+        return image.view(np.uint32).reshape(-1)
     rows = image.tolist()
     for y in range(1, height):
         up, row = rows[y - 1], rows[y]
@@ -317,65 +472,305 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
     return pixels.reshape(height, width), whole
 
 
-def flat_codes(to: Writer) -> None:
-    """Green, red and blue with flat 8-bit codes, alpha 255 and distance 0 with no bits."""
-    to.put(0, 1)  # a normal code for green; its length symbols 8 and 18 take one bit each
-    to.put(15, 4)
-    for s in LENGTH_ORDER:
-        to.put(int(s in (8, 18)), 3)
-    to.put(0, 1)
-    to.put(0, 256)  # 256 times length 8
-    to.put(1, 1)
-    to.put(24 - 11, 7)  # 24 times length 0
-    for _ in range(2):
-        to.put(0, 1)
-        to.put(15, 4)
-        for s in LENGTH_ORDER:
-            to.put(int(s == 8), 3)
-        to.put(0, 1)
-    to.put(0b101 | 255 << 3, 11)
-    to.put(0b0001, 4)
+# ---------------------------------------------------------------- the writer
 
 
-def head(width: int, height: int) -> Writer:
-    """All up to the first pixel: a top predictor, flat codes."""
-    to = Writer()
-    to.put(0x2F, 8)
-    to.put(width - 1, 14)
-    to.put(height - 1, 14)
-    to.put(0, 4)
-    to.put(1, 1)
-    to.put(0, 2)
-    to.put(7, 3)  # tiles of 512 pixels
-    to.put(0, 1)  # no colour cache; five codes of one symbol each, predictor 2 in green
-    for symbol in (2, 0, 0, 255):
+def entropy(counts: np.ndarray) -> float:
+    """Bits that symbols with these counts take, and about five for each symbol that occurs."""
+    c = counts[counts > 0]
+    return float(c.sum() * np.log2(max(1, c.sum())) - (c * np.log2(c)).sum()) + 5 * len(c) * (len(c) > 1)
+
+
+def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of an optimal prefix code, of at most ``most`` bits (counts are evened out until they fit)."""
+    out = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    if len(used) < 2:
+        out[used] = 1
+        return out
+    used = used[np.argsort(counts[used], kind="stable")]
+    weights = counts[used].astype(np.int64)
+    while True:
+        leaves, made = weights.tolist(), []
+        n, i, k, up = len(leaves), 0, 0, []
+        parent = [0] * (2 * n - 1)
+        for new in range(n, 2 * n - 1):  # the two lightest of leaves and made nodes become one
+            total = 0
+            for _ in range(2):
+                if k >= len(made) or i < n and leaves[i] <= made[k]:
+                    total += leaves[i]
+                    parent[i] = new
+                    i += 1
+                else:
+                    total += made[k]
+                    parent[n + k] = new
+                    k += 1
+            made.append(total)
+        depth = [0] * (2 * n - 1)
+        for node in range(2 * n - 3, -1, -1):
+            depth[node] = depth[parent[node]] + 1
+        up = depth[:n]
+        if max(up) <= most:
+            out[used] = up
+            return out
+        weights = np.sort((weights >> 1) + 1 + weights.sum() // (1 << most))
+
+
+def put_lengths(to: Writer, lengths: np.ndarray) -> None:
+    """A prefix code's lengths: simple for one or two symbols, else under a code of their own with runs."""
+    used = np.flatnonzero(lengths).tolist()
+    if len(used) <= 2 and used and used[-1] < 256:
+        to.put(1 | (len(used) - 1) << 1 | (used[0] > 1) << 2, 3)
+        to.put(used[0], 8 if used[0] > 1 else 1)
+        if len(used) == 2:
+            to.put(used[1], 8)
+        return
+    edges = np.flatnonzero(np.diff(lengths, prepend=-1)).tolist() + [len(lengths)]
+    marks: list[tuple[int, int, int]] = []  # symbol, extra bits, how many
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        value, left = int(lengths[a]), b - a
+        if value:
+            marks.append((value, 0, 0))
+            left -= 1
+        while left >= 3:
+            now = min(left, 138 if not value else 6)
+            marks.append((16, now - 3, 2) if value else (17, now - 3, 3) if now <= 10 else (18, now - 11, 7))
+            left -= now
+        marks += [(value, 0, 0)] * left
+    own = code_lengths(np.bincount([m[0] for m in marks], minlength=19), 7)
+    codes, bits = spelled(own)
+    stored = [int(own[s]) for s in LENGTH_ORDER]
+    many = max(4, max(i + 1 for i, n in enumerate(stored) if n))
+    to.put(0, 1)
+    to.put(many - 4, 4)
+    for n in stored[:many]:
+        to.put(n, 3)
+    to.put(0, 1)  # all lengths are there
+    codes, bits = codes.tolist(), bits.tolist()
+    value, at = 0, 0
+    for s, extra, n in marks:
+        value |= (codes[s] | extra << bits[s]) << at
+        at += bits[s] + n
+    to.put(value, at)
+
+
+def prefixes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra bits and how many of lengths or distance codes (from 1 on)."""
+    d = np.maximum(v - 1, 1)
+    high = np.frexp(d.astype(np.float64))[1].astype(np.int64) - 1
+    small = v <= 4
+    n = np.where(small, 0, high - 1)
+    return np.where(small, v - 1, 2 * high + ((d >> np.maximum(high - 1, 0)) & 1)), np.where(small, 0, d & ((1 << n) - 1)), n
+
+
+def matches(pixels: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs that are copies of earlier ones, as (start, pixels, distance), the next one found after each that is taken."""
+    n = len(pixels) - 2
+    if n < least:
+        return (np.empty(0, np.int64),) * 3
+    p = pixels.astype(np.uint64)
+    key = (p[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ p[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93) ^ p[2:]
+    order = np.argsort(key, kind="stable")
+    late, soon = order[1:], order[:-1]
+    same = (key[late] == key[soon]) & (pixels[late] == pixels[soon]) & (pixels[late + 1] == pixels[soon + 1]) & (pixels[late + 2] == pixels[soon + 2])
+    before = np.full(n, -1)
+    before[late[same]] = soon[same]
+    before[np.arange(n) - before > (1 << 20) - 128] = -1
+    # a run goes on while the next place's copy is the next one
+    on = np.append((before[1:] == before[:-1] + 1) & (before[:-1] >= 0), False)
+    stop = np.where(on, n, np.arange(n))
+    length = np.minimum.accumulate(stop[::-1])[::-1] - np.arange(n) + 3
+    good = np.flatnonzero((before >= 0) & (length >= least))
+    places, lengths, at, taken = good.tolist(), length[good].tolist(), 0, []
+    for k, i in enumerate(places):
+        if i >= at:
+            taken.append(k)
+            at = i + lengths[k]
+    taken = good[np.array(taken, np.int64)]
+    length, back = length[taken], taken - before[taken]
+    if (length > 4096).any():  # the format's longest run
+        parts = -(-length // 4096)
+        which = np.repeat(np.arange(len(taken)), parts)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+        taken, back, length = taken[which] + 4096 * nth, back[which], np.minimum(4096, length[which] - 4096 * nth)
+    return taken, length, back
+
+
+def put_pixels(to: Writer, pixels: np.ndarray, width: int, main: bool) -> bytes:
+    """An image's pixels after what is in ``to``; returned as bytes if main, else added to it."""
+    n = len(pixels)
+    flat = main and len(pixels) > 3 and not (pixels & np.uint32(0xFF00FF)).any()  # samples in green alone
+    start, length, back = matches(pixels, 4 if flat else 3) if main else (np.empty(0, np.int64),) * 3
+    inside = np.zeros(n + 1, np.int64)
+    np.add.at(inside, start, 1)
+    np.add.at(inside, start + length, -1)
+    alone = np.cumsum(inside[:-1]) == 0
+    single = pixels[alone]
+    channel = lambda p, shift: ((p >> np.uint32(shift)) & np.uint32(255)).astype(np.int64)
+    parts = [channel(pixels, s) for s in (8, 16, 0)]
+    len_symbol, len_extra, len_bits = prefixes(length)
+    short = {int(d): c for c, d in reversed(list(enumerate(near(width).tolist()))) if c}
+    code = np.array([short.get(d, d + 120) for d in back.tolist()], np.int64)
+    far_symbol, far_extra, far_bits = prefixes(code)
+    runs = np.bincount(256 + len_symbol, minlength=280)
+    counts = [np.bincount(p[alone], minlength=280 if i == 0 else 256) for i, p in enumerate(parts)]
+    counts[0] += runs
+    cache_bits, hit = 0, np.zeros(n, bool)
+    if main and not flat and len(single) > 16:
+        try_bits = min(10, max(2, len(single).bit_length() - 2))
+        slot = slots(pixels, try_bits)
+        order = np.argsort(slot, kind="stable")
+        same = (slot[order[1:]] == slot[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+        hits = np.zeros(n, bool)
+        hits[order[1:][same]] = True
+        hits &= alone
+        rest = alone & ~hits
+        other = [np.bincount(p[rest], minlength=280 if i == 0 else 256) for i, p in enumerate(parts)]
+        other[0] = np.concatenate([other[0] + runs, np.bincount(slot[hits], minlength=1 << try_bits)])
+        if sum(map(entropy, other)) < sum(map(entropy, counts)):
+            cache_bits, hit, counts = try_bits, hits, other
+            parts[0] = np.where(hit, 280 + slot, parts[0])
+    lengths = [code_lengths(c, 15) for c in counts]
+    lengths += [code_lengths(np.bincount(channel(single, 24), minlength=256) if len(single) else np.bincount([255]), 15), code_lengths(np.bincount(far_symbol, minlength=40), 15)]
+    to.put(cache_bits << 1 | 1 if cache_bits else 0, 5 if cache_bits else 1)
+    if main:
+        to.put(0, 1)  # one group of codes
+    for x in lengths:
+        if not x.any():
+            x[0] = 1
+        put_lengths(to, x)
+    codes, sizes = zip(*map(spelled, lengths), strict=True)
+    # three numbers for each symbol: green, cache code or length; red or distance; blue and alpha
+    heads = np.flatnonzero(alone)
+    at = np.argsort(np.concatenate([heads, start]), kind="stable")
+    plain = ~hit[heads]
+    values, many = np.zeros((3, len(heads) + len(start)), np.int64), np.zeros((3, len(heads) + len(start)), np.int64)
+    green, k = parts[0][heads], len(heads)
+    values[0, :k], many[0, :k] = codes[0][green], sizes[0][green]
+    red, blue, alpha = parts[1][heads], parts[2][heads], channel(single, 24)
+    values[1, :k], many[1, :k] = codes[1][red] * plain, sizes[1][red] * plain
+    values[2, :k] = (codes[2][blue] | codes[3][alpha] << sizes[2][blue]) * plain
+    many[2, :k] = (sizes[2][blue] + sizes[3][alpha]) * plain
+    s = 256 + len_symbol
+    values[0, k:], many[0, k:] = codes[0][s] | len_extra << sizes[0][s], sizes[0][s] + len_bits
+    values[1, k:], many[1, k:] = codes[4][far_symbol] | far_extra << sizes[4][far_symbol], sizes[4][far_symbol] + far_bits
+    out = joined(to.value, to.at, values[:, at].T.reshape(-1), many[:, at].T.reshape(-1))
+    if not main:
+        to.value, to.at = int.from_bytes(out.tobytes(), "little"), to.at + int(many.sum())
+    return out.tobytes()
+
+
+def joined(value: int, at: int, values: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Bits of value, then those of values, least significant first."""
+    ends = at + np.cumsum(many)
+    total = int(ends[-1]) if len(ends) else at
+    words = np.zeros((total >> 6) + 2, np.uint64)
+    begin = ends - many
+    v, shift, word = values.astype(np.uint64), (begin & 63).astype(np.uint64), begin >> 6
+    np.add.at(words, word, v << shift)
+    over = np.flatnonzero((begin & 63) + many > 64)
+    np.add.at(words, word[over] + 1, v[over] >> (np.uint64(64) - shift[over]))
+    raw = words.view(np.uint8)
+    front = np.frombuffer(value.to_bytes(at + 7 >> 3, "little"), np.uint8)
+    raw[: len(front)] |= front
+    return raw[: total + 7 >> 3]
+
+
+def constant(to: Writer, red: int, green: int, blue: int) -> None:
+    """An image of one colour: no colour cache, codes of one symbol each."""
+    to.put(0, 1)
+    for symbol in (green, red, blue, 255):
         to.put(0b101 | symbol << 3, 11)
     to.put(0b0001, 4)
-    to.put(0, 1)
-    to.put(0, 2)  # no colour cache, no meta prefix image
-    flat_codes(to)
-    return to
+
+
+def residues(image: np.ndarray, mode: int) -> np.ndarray:
+    """What the left (1) or top (2) predictor leaves of a height x width x 3 image."""
+    out = image.copy()
+    out[0, 1:] -= image[0, :-1]
+    if mode == 2:
+        out[1:] -= image[:-1]
+    else:
+        out[1:, 1:] -= image[1:, :-1]
+        out[1:, 0] -= image[:-1, 0]
+    return out
+
+
+def cost(image: np.ndarray) -> float:
+    return sum(entropy(np.bincount(image[..., c].reshape(-1), minlength=256)) for c in range(3))
+
+
+def slope(x: np.ndarray, y: np.ndarray) -> int:
+    """The multiple of x / 32 that is nearest to y, both signed samples."""
+    x, y = x.reshape(-1).view(np.int8).astype(np.float64), y.reshape(-1).view(np.int8).astype(np.float64)
+    return int(np.clip(np.rint(32 * (x @ y) / max(1.0, x @ x)), -128, 127))
+
+
+def less_cross(image: np.ndarray, by: tuple[int, int, int]) -> np.ndarray:
+    """image without green's part of red, and green's and red's part of blue."""
+    red, green, blue = (image[..., c].view(np.int8).astype(np.int32) for c in range(3))
+    out = image.copy()
+    out[..., 0] = (red - (by[0] * green >> 5)) & 255
+    out[..., 2] = (blue - (by[1] * green >> 5) - (by[2] * red >> 5)) & 255
+    return out
+
+
+def argb(image: np.ndarray) -> np.ndarray:
+    flat = image.reshape(-1, 3).astype(np.uint32)
+    return np.uint32(0xFF000000) | flat[:, 0] << np.uint32(16) | flat[:, 1] << np.uint32(8) | flat[:, 2]
 
 
 def encode(samples: np.ndarray, width: int) -> bytes:
     """samples: uint8, three for each pixel (red, green, blue), rows of ``width`` pixels."""
-    image = samples.reshape(-1, width, 3)
+    image = np.ascontiguousarray(samples).reshape(-1, width, 3)
     height = len(image)
-    rest = np.empty_like(image)
-    rest[1:] = image[1:] - image[:-1]
-    rest[0, 1:] = image[0, 1:] - image[0, :-1]
-    rest[0, 0] = image[0, 0]
-    to = head(width, height)
-    body = REVERSED[np.stack([rest[:, :, 1], rest[:, :, 0], rest[:, :, 2]], axis=2).reshape(-1)]
-    whole, shift = divmod(to.at, 8)
-    start = to.value.to_bytes(whole + 1, "little")
-    if shift:
-        out = np.zeros(len(body) + 1, np.uint8)
-        out[:-1] = body << shift
-        out[1:] |= body >> (8 - shift)
-        out[0] |= start[-1]
+    to = Writer()
+    to.put(0x2F, 8)
+    to.put(width - 1, 14)
+    to.put(height - 1, 14)
+    to.put(0, 4)
+    pixels, inner = argb(image), width
+    colours, index = np.unique(pixels, return_inverse=True)
+    plain = cost(image)
+    if len(colours) <= 256 and entropy(np.bincount(index)) + 20 * len(colours) < plain:
+        packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+        to.put(1, 1)
+        to.put(3, 2)
+        to.put(len(colours) - 1, 8)
+        deltas = np.diff(colours.view(np.uint8).reshape(-1, 4), axis=0, prepend=np.zeros((1, 4), np.uint8))
+        put_pixels(to, np.ascontiguousarray(deltas).view(np.uint32).reshape(-1), len(colours), False)
+        inner = -(-width >> packed)
+        wide = np.zeros((height, inner << packed), np.uint32)
+        wide[:, :width] = index.reshape(height, width)
+        bits = 8 >> packed
+        wide = wide.reshape(height, inner, 1 << packed) << (np.arange(1 << packed, dtype=np.uint32) * np.uint32(bits))
+        pixels = np.uint32(0xFF000000) | wide.sum(axis=2, dtype=np.uint32).reshape(-1) << np.uint32(8)
     else:
-        out = body
-    stream = start[:whole] + out.tobytes()
+        best, mode = plain, 0
+        for m in (1, 2):
+            left = residues(image, m)
+            if (c := cost(left) + 80) < best:
+                best, mode, chosen = c, m, left
+        if mode:
+            image = chosen
+            to.put(1, 1)
+            to.put(0, 2)
+            to.put(7, 3)  # tiles of 512 pixels
+            constant(to, 0, mode, 0)
+        to_red = slope(image[..., 1].copy(), image[..., 0].copy())
+        to_blue = slope(image[..., 1].copy(), image[..., 2].copy())
+        red_too = slope(image[..., 0].copy(), less_cross(image, (0, to_blue, 0))[..., 2].copy())
+        by = (to_red, to_blue, red_too)
+        if any(by) and cost(less := less_cross(image, by)) + 80 < best:
+            image = less
+            to.put(1, 1)
+            to.put(1, 2)
+            to.put(7, 3)
+            constant(to, red_too & 255, to_blue & 255, to_red & 255)
+        pixels = argb(image)
+        if mode:  # the first pixel's alpha is predicted as 255, all others' as that of a neighbour
+            pixels &= np.uint32(0xFFFFFF)
+    to.put(0, 1)
+    stream = put_pixels(to, pixels, inner, True)
     pad = b"\0" * (len(stream) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(stream) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + pad
