@@ -110,6 +110,12 @@ class EliasFano:
         """Number i of the list."""
         return ((self.select1(i) - i).astype(U) << U(self.bits)) | self.lows(i)
 
+    def values(self) -> np.ndarray:
+        """The whole list."""
+        ones = np.flatnonzero(np.unpackbits(np.asarray(self.high).view(np.uint8), bitorder="little"))[: self.n]
+        i = np.arange(self.n)
+        return ((ones - i).astype(U) << U(self.bits)) | self.lows(i)
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of each query in the list, or -1."""
         out = np.full(len(x), -1, np.int64)

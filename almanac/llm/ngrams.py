@@ -8,12 +8,15 @@ log-probabilities and back-off weights are quantised to 16 bits. Levels are file
 the shared folder, mapped by every worker, so a machine holds in memory only what it touches.
 
 Probabilities: interpolated absolute discounting over orders 3, 2 and 1; order 1 adds 0.1 to each
-count. Pairs and triples seen at least ``least`` times are held (by op4 all of them); the others' mass goes to the back-off
+count. Pairs and triples seen at least ``least`` times are held, by default all of them; the others' mass goes to the back-off
 weights with their discounts, so each context's probabilities sum to one.
 
-Counting is exact and spread: each task sends sorted runs of keys by shard, a shard adds them up. A
-triple is counted only if both its pairs are held, which holds for all that can be held itself. Shards
-and parts grow with the input; a hot word or pair is one entry of each task.
+Counting is exact and spread: each task sends sorted runs of keys to the part that will hold them, which adds
+them up and lays them out at once: keys travel once, and nothing else is stored. A second pass over the parts fills in the
+probabilities when the discount is known. A triple is counted only if both its pairs are held, which holds
+for all that can be held itself. Parts are ranges of contexts with about ``PART`` places each, so they grow in
+number with the input; a hot word or pair is one entry of each task, and a part of its own at most. Workers open
+a part when they first touch it.
 
 Defined cases: null or empty text: one token, the end; no training texts: each token has probability
 1; repeated rows count each; an empty table gives no rows; a null id is not held out and is learnt
@@ -22,6 +25,7 @@ from; other columns are not read."""
 from __future__ import annotations
 
 import os
+import shutil
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import elias_fano
-from .common import cut, per_text, shared_folder, ship, sliced
+from .common import per_text, shared_folder, ship, sliced
 from .elias_fano import EliasFano
 from .toxicity import fold
 from .words import chunks, spans
@@ -37,9 +41,10 @@ from .words import chunks, spans
 #: The token that ends a text, and the context of its first word.
 END = np.uint64(0x5DEECE66D1234567)
 ADD = 0.1
-LEAST = 2
-#: Characters of input for each shard.
-SHARD_CHARS = 12_000_000
+#: Places that a pair or triple needs to be held: all are.
+LEAST = 1
+#: Characters of input for each part of level 1; places (tokens) for each part of levels 2 and 3.
+SHARD_CHARS, PART = 12_000_000, 2_000_000
 #: Keys that a task gathers before it sends them.
 RUN = 1_000_000
 #: Texts that are handled at once: many, as distinct words of a batch are looked up once.
@@ -77,19 +82,31 @@ def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def packed(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Sorted distinct keys as steps of 32 bits, those that are longer apart, and counts."""
+    """Sorted distinct keys as steps of 32 bits, those that are longer apart (or, if many are, all keys whole there), and counts."""
     steps = np.diff(keys, prepend=np.uint64(0))
     wide = np.flatnonzero(steps >> np.uint64(32))
+    own = small(counts)
+    counted = bytes([own.dtype.itemsize]) + own.tobytes()
+    if 4 * len(wide) > len(keys):
+        return b"", keys.tobytes(), counted
     far = np.stack([wide.astype(np.uint64), steps[wide]]) if len(wide) else np.empty((2, 0), np.uint64)
-    kind = np.uint8 if len(counts) and counts.max() < 256 else np.uint32 if len(counts) and counts.max() < 1 << 32 else np.uint64
-    return steps.astype(np.uint32).tobytes(), far.tobytes(), bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
+    return steps.astype(np.uint32).tobytes(), far.tobytes(), counted
+
+
+def small(counts: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as the largest needs."""
+    top = int(counts.max()) if len(counts) else 0
+    return counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
 
 
 def unpacked(steps: bytes, far: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = np.frombuffer(counts[1:], f"u{counts[0]}").astype(np.int64)
+    if not steps:
+        return np.frombuffer(far, np.uint64), n
     s = np.frombuffer(steps, np.uint32).astype(np.uint64)
     wide = np.frombuffer(far, np.uint64).reshape(2, -1)
     s[wide[0].astype(np.int64)] = wide[1]
-    return np.cumsum(s, dtype=np.uint64), np.frombuffer(counts[1:], f"u{counts[0]}").astype(np.int64)
+    return np.cumsum(s, dtype=np.uint64), n
 
 
 def gathered(docs: DataFrame, keys_of, shards: int, shard_of, text: str) -> DataFrame:
@@ -130,8 +147,10 @@ def summed(group) -> tuple[np.ndarray, np.ndarray]:
     return added(*(np.concatenate(x) for x in zip(*runs, strict=True)))
 
 
-def mixed(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+def borders(weights: np.ndarray, most: int) -> list[int]:
+    """Where ranges of at most about ``most`` of the weights' sum begin, the first at 0."""
+    before = np.cumsum(weights) - weights
+    return np.flatnonzero(np.append(True, np.diff(before // most) > 0)).tolist() if len(weights) else []
 
 
 def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -142,14 +161,31 @@ def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part[order[a]]), order[a:b]
 
 
+class Lazily:
+    """Parts of a level that are opened when they are first asked for; None for empty ones."""
+
+    def __init__(self, sizes: list[int], opener):
+        self.sizes, self.opener, self.open = sizes, opener, {}
+
+    def __getitem__(self, p: int):
+        if p not in self.open:
+            self.open[p] = self.opener(p) if self.sizes[p] else None
+        return self.open[p]
+
+
+def mapped(path: str) -> np.ndarray:
+    return np.load(path, mmap_mode="r")
+
+
 class Level:
     """Parts of an Elias-Fano list with arrays beside it; item numbers run on from part to part."""
 
-    def __init__(self, folder: str, sizes: list[int], firsts: np.ndarray, arrays: tuple[str, ...]):
+    def __init__(self, folder: str, name: str, sizes: list[int], firsts: np.ndarray, arrays: dict[str, str]):
+        """arrays: name: the folder that holds it for each part."""
         self.bases = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.firsts = firsts  # the smallest key that each part may hold
-        self.parts = [EliasFano.open(f"{folder}/{p}") if n else None for p, n in enumerate(sizes)]
-        self.arrays = {a: [np.load(f"{folder}/{p}/{a}.npy", mmap_mode="r") if n else None for p, n in enumerate(sizes)] for a in arrays}
+        self.parts = Lazily(sizes, lambda p: EliasFano.open(f"{folder}/{name}/{p}"))
+        self.arrays = {a: Lazily(sizes, lambda p, a=a, d=d: mapped(f"{folder}/{d}/{p}/{a}.npy")) for a, d in arrays.items()}
         self.n = int(self.bases[-1])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -168,7 +204,8 @@ class Level:
         out = None
         for p, at in by_part(part):
             values = self.arrays[name][p][items[at] - self.bases[p]]
-            out = np.zeros(len(items), values.dtype) if out is None else out
+            if out is None:  # counts take as many bytes as their part needs
+                out = np.zeros(len(items), np.int64 if name == "counts" else values.dtype)
             out[at] = values
         return np.zeros(len(items), np.int64) if out is None else out
 
@@ -178,18 +215,21 @@ class Model:
 
     def __init__(self, about: dict):
         self.about, f = about, about["folder"]
-        self.total, self.words = about["total"], Level(f"{f}/1", about["sizes1"], about["firsts1"], ("counts",))
+        self.total, self.words = about["total"], Level(f, "1", about["sizes1"], about["firsts1"], {"counts": "1"})
         if "sizes2" in about:
-            self.pairs = Level(f"{f}/2", about["sizes2"], about["firsts2"], ("counts", "p"))
-            self.starts = [EliasFano.open(f"{f}/2s/{p}") if n else None for p, n in enumerate(about["sizes1"])]
-            self.back = [np.load(f"{f}/2s/{p}/back.npy", mmap_mode="r") if n else None for p, n in enumerate(about["sizes1"])]
-            self.filter = np.load(f"{f}/filter.npy", mmap_mode="r")
+            self.cuts = about["cuts2"]  # the first word of each part of the pairs, and the end
+            own = np.diff(self.cuts).tolist()
+            self.pairs = Level(f, "2", about["sizes2"], about["firsts2"], {"counts": "2", "p": "2p"})
+            self.starts = Lazily(own, lambda p: EliasFano.open(f"{f}/2s/{p}"))
+            self.back = Lazily(own, lambda p: mapped(f"{f}/2p/{p}/back.npy"))
             self.regions = regions(about["sizes2"])
+            self.filter = mapped(f"{f}/filter.npy") if "filter" in about else None
         if "sizes3" in about:
-            self.triples = Level(f"{f}/3", about["sizes3"], about["firsts3"], ("p",))
+            cuts = about["cuts3"]
+            self.triples = Level(f, "3", about["sizes3"], about["firsts3"], {"p": "3p"})
             self.back3 = Level.__new__(Level)
-            self.back3.bases = self.pairs.bases
-            self.back3.arrays = {"back": [np.load(f"{f}/3b/{p}.npy", mmap_mode="r") if os.path.exists(f"{f}/3b/{p}.npy") else np.zeros(n, np.uint16) for p, n in enumerate(about["sizes2"])]}
+            self.back3.bases = cuts
+            self.back3.arrays = {"back": Lazily(np.diff(cuts).tolist(), lambda p: mapped(f"{f}/3p/{p}/back.npy"))}
 
     def known_pairs(self, w: Tokens) -> np.ndarray:
         """The item of each token with the one before it, or -1."""
@@ -197,7 +237,7 @@ class Model:
         ask = np.flatnonzero((w.before >= 0) & (w.numbers >= 0))
         keys = w.before[ask].astype(np.uint64) * np.uint64(self.words.n) + w.numbers[ask].astype(np.uint64)
         # most pairs end at the filter: the region of the first word's part, eight bits for each held pair
-        part = (np.searchsorted(self.words.bases, w.distinct, side="right") - 1)[w.place[ask]]
+        part = np.maximum(np.searchsorted(self.cuts, w.distinct, side="right") - 1, 0)[w.place[ask]]
         size = self.regions[part + 1] - self.regions[part]
         slot = (hashed(keys) % np.maximum(8 * size, 1).astype(np.uint64)).astype(np.int64)
         bits = self.filter[np.minimum(self.regions[part] + (slot >> 3), len(self.filter) - 1)]
@@ -208,17 +248,17 @@ class Model:
 
     def first_of(self, words: np.ndarray) -> np.ndarray:
         """The item of the first pair of each word."""
-        part = np.searchsorted(self.words.bases, words, side="right") - 1
+        part = np.searchsorted(self.cuts, words, side="right") - 1
         out = np.zeros(len(words), np.int64)
         for p, at in by_part(part):
-            out[at] = self.starts[p].get(words[at] - self.words.bases[p]).astype(np.int64) + self.pairs.bases[p]
+            out[at] = self.starts[p].get(words[at] - self.cuts[p]).astype(np.int64) + self.pairs.bases[p]
         return out
 
     def back_of(self, words: np.ndarray) -> np.ndarray:
-        part = np.searchsorted(self.words.bases, words, side="right") - 1
+        part = np.searchsorted(self.cuts, words, side="right") - 1
         out = np.zeros(len(words), np.uint16)
         for p, at in by_part(part):
-            out[at] = self.back[p][words[at] - self.words.bases[p]]
+            out[at] = self.back[p][words[at] - self.cuts[p]]
         return out
 
     def triple_keys(self, pair: np.ndarray, number: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,13 +321,25 @@ class Tokens:
         return out
 
 
+def over_parts(spark, run, parts: int) -> None:
+    """run(p) for each part, in tasks of a few parts each."""
+
+    def each(batches):
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                run(p)
+            yield b
+
+    spark.range(0, parts, 1, min(parts, 4096)).mapInArrow(each, "id long").count()
+
+
 def learn(train: DataFrame, text: str = "text", least: int = LEAST) -> dict:
     """Builds the trie over all rows of train and describes it."""
     spark = train.sparkSession
     folder = shared_folder(spark, "ngrams")
     chars = train.agg(F.sum(F.length(text))).first()[0] or 0
     shards = max(4, -(-chars // SHARD_CHARS))
-    for d in ("1", "2", "2s", "3", "3b"):
+    for d in ("1", "2", "2s", "2p", "3", "3c", "3p"):
         os.makedirs(f"{folder}/{d}")
 
     # ---- level 1: by ranges of hashes
@@ -301,10 +353,10 @@ def learn(train: DataFrame, text: str = "text", least: int = LEAST) -> dict:
         import pandas as pd
 
         keys, counts = summed(group)
-        elias_fano.write(f"{folder}/1/{key[0]}", {**elias_fano.build(keys, 1 << 64), "counts": counts.astype(np.uint32 if counts.max() < 1 << 32 else np.uint64)})
-        return pd.DataFrame({"part": [key[0]], "n": [len(keys)], "total": [int(counts.sum())]})
+        elias_fano.write(f"{folder}/1/{key[0]}", {**elias_fano.build(keys, 1 << 64), "counts": small(counts)})
+        return pd.DataFrame({"part": [key[0]], "n": [len(keys)], "total": [int(counts.sum())], "cuts": [borders(counts, PART)]})
 
-    found = gathered(train, words_of, shards, lambda k: (k // width).astype(np.int64), text).groupBy("shard").applyInPandas(level1, "part int, n long, total long").collect()  # a row for each part
+    found = gathered(train, words_of, shards, lambda k: (k // width).astype(np.int64), text).groupBy("shard").applyInPandas(level1, "part int, n long, total long, cuts array<long>").collect()  # a row for each part
     sizes = [0] * shards
     for r in found:
         sizes[r["part"]] = r["n"]
@@ -314,117 +366,129 @@ def learn(train: DataFrame, text: str = "text", least: int = LEAST) -> dict:
     vocabulary = np.uint64(model.words.n)
     if not model.words.n:
         return about
-    bases = model.words.bases
 
-    # ---- level 2: count by mixed keys, then lay out by the first word's part
+    # ---- level 2: parts are ranges of first words
+    cuts2 = joined(found, model.words.bases)
+
     def pair_keys(texts):
         m = opened(about)
         for h, ends in tokens(texts):
             w = Tokens(m, h, ends)
             yield w.before.astype(np.uint64) * vocabulary + w.numbers.astype(np.uint64)
 
-    parted = lambda k: np.searchsorted(bases, (k // vocabulary).astype(np.int64), side="right") - 1
-    kept2 = held(gathered(train, pair_keys, shards, lambda k: mixed(k, shards), text), parted, least)
-    discount2 = discount(kept2)
-
     def level2(key, group):
         import pandas as pd
 
         p = key[0]
         keys, counts = summed(group)
-        m = opened(about)
-        left, right = (keys // vocabulary).astype(np.int64), (keys % vocabulary).astype(np.int64)
-        own = np.arange(bases[p], bases[p + 1])
-        begin = np.searchsorted(left, own)
+        few, keys, counts = kept(keys, counts, least)
+        begin = np.searchsorted((keys // vocabulary).astype(np.int64), np.arange(cuts2[p], cuts2[p + 1]))
         per = np.diff(np.append(begin, len(keys)))
-        seen = m.words.take("counts", own).astype(np.float64)
-        kept = np.add.reduceat(np.append(counts - discount2, 0.0), np.minimum(begin, len(keys))) * (per > 0)
-        back = np.clip(1 - kept / np.maximum(seen, 1), 1e-12, 1)
-        p2 = (counts - discount2) / seen[left - bases[p]] + back[left - bases[p]] * m.unigram(m.words.take("counts", right))
-        elias_fano.write(f"{folder}/2/{p}", {**elias_fano.build(keys, int(vocabulary) ** 2), "counts": counts, "p": quantised(np.log10(p2)), "filter": bitmap(keys)})
-        elias_fano.write(f"{folder}/2s/{p}", {**elias_fano.build(begin.astype(np.uint64), len(keys) + 1), "back": quantised(np.log10(back))})
-        return pd.DataFrame({"part": [p], "n": [len(keys)], "span": [int(per.max())]})
-
-    laid = kept2.where("steps is not null").groupBy("shard").applyInPandas(level2, "part int, n long, span long").collect()  # a row for each part
-    sizes2 = [0] * shards
+        elias_fano.write(f"{folder}/2/{p}", {**elias_fano.build(keys, int(vocabulary) ** 2), "counts": small(counts), "filter": bitmap(keys)})
+        elias_fano.write(f"{folder}/2s/{p}", elias_fano.build(begin.astype(np.uint64), len(keys) + 1))
+        return pd.DataFrame({"part": [p], "n": [len(keys)], "ones": [few[0]], "twos": [few[1]], "span": [int(per.max(initial=0))], "cuts": [borders(counts, PART)]})
+
+    parted = lambda k: np.searchsorted(cuts2, (k // vocabulary).astype(np.int64), side="right") - 1
+    runs = gathered(train, pair_keys, len(cuts2) - 1, parted, text)
+    laid = runs.groupBy("shard").applyInPandas(level2, "part int, n long, ones long, twos long, span long, cuts array<long>").collect()  # a row for each part
+    sizes2 = [0] * (len(cuts2) - 1)
     for r in laid:
         sizes2[r["part"]] = r["n"]
-    for p in range(shards):  # parts without pairs: all their words back off whole
-        if sizes[p] and not sizes2[p]:
-            elias_fano.write(f"{folder}/2s/{p}", {**elias_fano.build(np.zeros(sizes[p], np.uint64), 1), "back": np.zeros(sizes[p], np.uint16)})
+    about |= {"sizes2": sizes2, "cuts2": cuts2, "firsts2": cuts2[:-1].astype(np.uint64) * vocabulary, "span": max((r["span"] for r in laid), default=1)}
+    discount2 = discount(laid)
+
+    def probabilities2(p: int) -> None:
+        m = opened(about)
+        own = np.arange(cuts2[p], cuts2[p + 1])
+        seen = m.words.take("counts", own).astype(np.float64)
+        if not sizes2[p]:  # no pairs: its words back off whole
+            if not os.path.exists(f"{folder}/2s/{p}"):
+                elias_fano.write(f"{folder}/2s/{p}", elias_fano.build(np.zeros(len(own), np.uint64), 1))
+            elias_fano.write(f"{folder}/2p/{p}", {"back": np.zeros(len(own), np.uint16)})
+            return
+        keys, counts = m.pairs.parts[p].values(), m.pairs.arrays["counts"][p].astype(np.float64)
+        left, right = (keys // vocabulary).astype(np.int64) - int(cuts2[p]), (keys % vocabulary).astype(np.int64)
+        back = np.clip(1 - np.bincount(left, counts - discount2, len(own)) / np.maximum(seen, 1), 1e-12, 1)
+        p2 = (counts - discount2) / seen[left] + back[left] * m.unigram(m.words.take("counts", right))
+        elias_fano.write(f"{folder}/2p/{p}", {"p": quantised(np.log10(p2)), "back": quantised(np.log10(back))})
+
+    over_parts(spark, probabilities2, len(sizes2))
     join_filters(spark, folder, sizes2)
-    about |= {"sizes2": sizes2, "firsts2": bases[:-1].astype(np.uint64) * vocabulary, "span": max((r["span"] for r in laid), default=1)}
+    about["filter"] = True
     if not sum(sizes2):
         return about
     bases2 = np.concatenate([[0], np.cumsum(sizes2)]).astype(np.int64)
     span = np.uint64(about["span"])
 
-    # ---- level 3
+    # ---- level 3: parts are ranges of first pairs
+    cuts3 = joined(laid, bases2)
+
     def triple_keys(texts):
         m = opened(about)
         for h, ends in tokens(texts):
             w = Tokens(m, h, ends)
             yield m.triple_keys(m.known_pairs(w), w.numbers, ends)[1]
 
-    parted3 = lambda k: np.searchsorted(bases2, (k // span).astype(np.int64), side="right") - 1
-    kept3 = held(gathered(train, triple_keys, shards, lambda k: mixed(k, shards), text), parted3, least)
-    discount3 = discount(kept3)
-
     def level3(key, group):
         import pandas as pd
 
         p = key[0]
         keys, counts = summed(group)
+        few, keys, counts = kept(keys, counts, least)
+        elias_fano.write(f"{folder}/3/{p}", elias_fano.build(keys, int(bases2[-1]) * int(span)))
+        elias_fano.write(f"{folder}/3c/{p}", {"counts": small(counts)})
+        return pd.DataFrame({"part": [p], "n": [len(keys)], "ones": [few[0]], "twos": [few[1]]})
+
+    parted3 = lambda k: np.searchsorted(cuts3, (k // span).astype(np.int64), side="right") - 1
+    runs = gathered(train, triple_keys, len(cuts3) - 1, parted3, text)
+    laid = runs.groupBy("shard").applyInPandas(level3, "part int, n long, ones long, twos long").collect()  # a row for each part
+    sizes3 = [0] * (len(cuts3) - 1)
+    for r in laid:
+        sizes3[r["part"]] = r["n"]
+    discount3 = discount(laid)
+
+    def probabilities3(p: int) -> None:
         m = opened(about)
+        own = np.arange(cuts3[p], cuts3[p + 1])
+        if not sizes3[p]:
+            elias_fano.write(f"{folder}/3p/{p}", {"back": np.zeros(len(own), np.uint16)})
+            return
+        keys, counts = EliasFano.open(f"{folder}/3/{p}").values(), mapped(f"{folder}/3c/{p}/counts.npy").astype(np.float64)
         parent, relative = (keys // span).astype(np.int64), (keys % span).astype(np.int64)
-        own = np.arange(bases2[p], bases2[p + 1])
-        begin = np.searchsorted(parent, own)
-        per = np.diff(np.append(begin, len(keys)))
         seen = m.pairs.take("counts", own).astype(np.float64)
-        kept = np.add.reduceat(np.append(counts - discount3, 0.0), np.minimum(begin, len(keys))) * (per > 0)
-        back = np.clip(1 - kept / np.maximum(seen, 1), 1e-12, 1)
+        at = parent - int(cuts3[p])
+        back = np.clip(1 - np.bincount(at, counts - discount3, len(own)) / np.maximum(seen, 1), 1e-12, 1)
         # the pair of the last two words: the parent's last word, then the relative successor
-        parts = m.pairs.parts[p]
-        middle = (parts.get(parent - bases2[p]) % vocabulary).astype(np.int64)
-        lower = m.first_of(middle) + relative
+        distinct, place = np.unique(parent, return_inverse=True)
+        middle = np.empty(len(distinct), np.int64)
+        for q, some in by_part(np.searchsorted(bases2, distinct, side="right") - 1):
+            middle[some] = (m.pairs.parts[q].get(distinct[some] - bases2[q]) % vocabulary).astype(np.int64)
+        lower = m.first_of(middle)[place] + relative
         p2 = 10.0 ** (-STEP * m.pairs.take("p", lower))
-        p3 = (counts - discount3) / seen[parent - bases2[p]] + back[parent - bases2[p]] * p2
-        elias_fano.write(f"{folder}/3/{p}", {**elias_fano.build(keys, int(bases2[-1]) * int(span)), "p": quantised(np.log10(p3))})
-        temporary = f"{folder}/3b/{p}.{os.getpid()}.{np.random.default_rng().integers(1 << 62)}.npy"
-        np.save(temporary, quantised(np.log10(back)))
-        os.replace(temporary, f"{folder}/3b/{p}.npy")
-        return pd.DataFrame({"part": [p], "n": [len(keys)]})
-
-    laid = kept3.where("steps is not null").groupBy("shard").applyInPandas(level3, "part int, n long").collect()  # a row for each part
-    sizes3 = [0] * shards
-    for r in laid:
-        sizes3[r["part"]] = r["n"]
-    return about | {"sizes3": sizes3, "firsts3": bases2[:-1].astype(np.uint64) * span}
+        p3 = (counts - discount3) / seen[at] + back[at] * p2
+        elias_fano.write(f"{folder}/3p/{p}", {"p": quantised(np.log10(p3)), "back": quantised(np.log10(back))})
 
+    over_parts(spark, probabilities3, len(sizes3))
+    shutil.rmtree(f"{folder}/3c", ignore_errors=True)
+    return about | {"sizes3": sizes3, "cuts3": cuts3, "firsts3": cuts3[:-1].astype(np.uint64) * span}
 
-def held(runs: DataFrame, part_of, least: int) -> DataFrame:
-    """Runs of the keys with at least ``least`` places, by part; and how many keys had one and two."""
 
-    def count(group):
-        import pandas as pd
+def joined(found: list, bases: np.ndarray) -> np.ndarray:
+    """The first item of each part of the next level, and the end, from the borders that this level's parts name."""
+    own = sorted(int(bases[r["part"]]) + c for r in found for c in r["cuts"])
+    return np.array([*own, int(bases[-1])], np.int64) if own and own[0] == 0 else np.array([0, *own, int(bases[-1])], np.int64)
 
-        keys, counts = summed(group)
-        ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
-        keep = counts >= least
-        keys, counts = keys[keep], counts[keep]
-        part = part_of(keys)
-        rows = [(-1, None, None, None, ones, twos)]
-        for p, at in by_part(part):
-            rows.append((p, *packed(keys[at], counts[at]), 0, 0))
-        return pd.DataFrame(rows, columns=["shard", "steps", "far", "counts", "ones", "twos"])
 
-    return cut(runs.groupBy("shard").applyInPandas(count, "shard int, steps binary, far binary, counts binary, ones long, twos long"))
+def kept(keys: np.ndarray, counts: np.ndarray, least: int) -> tuple[tuple[int, int], np.ndarray, np.ndarray]:
+    """How many keys have one place and two; the keys with at least ``least`` and their counts."""
+    few = int((counts == 1).sum()), int((counts == 2).sum())
+    keep = counts >= least
+    return (few, keys, counts) if keep.all() else (few, keys[keep], counts[keep])
 
 
-def discount(kept: DataFrame) -> float:
+def discount(laid: list) -> float:
     """n1 / (n1 + 2 n2) over all keys."""
-    r = kept.agg(F.sum("ones").alias("a"), F.sum("twos").alias("b")).first()
-    ones, twos = r["a"] or 0, r["b"] or 0
+    ones, twos = sum(r["ones"] for r in laid), sum(r["twos"] for r in laid)
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones + twos else 0.5
 
 
@@ -441,16 +505,16 @@ def join_filters(spark, folder: str, sizes: list[int]) -> None:
     at = regions(sizes)
     np.lib.format.open_memmap(f"{folder}/filter.npy", "w+", np.uint8, (max(1, int(at[-1])),)).flush()
 
-    def run(batches):
-        for b in batches:
+    def run(p: int) -> None:
+        if sizes[p]:
             whole = np.load(f"{folder}/filter.npy", mmap_mode="r+")
-            for p in b.column(0).to_pylist():
-                if sizes[p]:
-                    whole[at[p] : at[p + 1]] = np.load(f"{folder}/2/{p}/filter.npy")
+            whole[at[p] : at[p + 1]] = mapped(f"{folder}/2/{p}/filter.npy")
             whole.flush()
-            yield b
 
-    spark.range(len(sizes)).mapInArrow(run, "id long").count()
+    over_parts(spark, run, len(sizes))
+    for p in range(len(sizes)):
+        if sizes[p]:
+            os.remove(f"{folder}/2/{p}/filter.npy")
 
 
 def score_texts(m: Model, texts: list) -> list[tuple]:

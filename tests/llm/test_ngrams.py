@@ -100,11 +100,12 @@ def corpus(n=300):
 @pytest.mark.parametrize("shard", [N.SHARD_CHARS, 2000])
 def test_against_dictionaries(spark, monkeypatch, shard):
     monkeypatch.setattr(N, "SHARD_CHARS", shard)
+    monkeypatch.setattr(N, "PART", max(20, shard // 6))
     rows = corpus()
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, score int").repartition(3)
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     plain = Plain([t or "" for i, t in rows if not held(i)])
-    out = N.lm_scores(df).collect()
+    out = N.lm_scores(df, least=2).collect()
     assert len(out) == len(rows)
     text = dict(rows)
     for r in out:
