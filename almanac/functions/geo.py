@@ -47,6 +47,10 @@ def prominence(counts: dict[str, float]) -> Column:
 # ---------------------------------------------------------------- bins of distance
 
 
+#: Kilometres at which an open last bin ends.
+FARTHEST = 20_000.0
+
+
 def edges(n: int = 20, most_km: float = 3000.0) -> list[float]:
     """Upper edges of n bins of log10(1 + km), evenly spaced."""
     top = math.log10(1 + most_km)
@@ -63,8 +67,13 @@ def bin_of(km: Column, upper: list[float]) -> Column:
 
 
 def bin_shape(upper: list[float]) -> list[tuple[int, float, float]]:
-    """(bin, width in km, middle as log10(1 + km))."""
+    """(bin, width in km, middle as log10(1 + km)). An open last bin (inf) reaches to FARTHEST; then the first and
+    the last one's middles lie 0.25 from their inner edge."""
     low = [0.0, *upper[:-1]]
+    if math.isinf(upper[-1]):
+        ends = [10**b - 1 for b in upper[:-1]] + [FARTHEST]
+        middle = [upper[0] - 0.25, *[(a + b) / 2 for a, b in zip(upper[:-2], upper[1:-1], strict=True)], upper[-2] + 0.25]
+        return [(i, max(b - a, 1.0), m) for i, (a, b, m) in enumerate(zip([0.0, *ends[:-1]], ends, middle, strict=True))]
     return [(i, 10**b - 10**a, (a + b) / 2) for i, (a, b) in enumerate(zip(low, upper, strict=True))]
 
 

@@ -18,12 +18,22 @@ PRECISION = {"settlement": 0, "district": 1, "territory": 2, "country": 3, "unkn
 # ---- fixed values: weights of log1p counts
 PROMINENCE = {"n_terms": 1.0, "n_languages": 1.5, "n_children": 1.0, "n_placetypes": 0.75, "bbox_area": 0.5, "n_sources": 0.75}
 NOTE = 0.5
-#: A short list of place types; extend it by precision_of()'s table argument.
+# ---- fixed values: words of place types, in the order in which they are tried, and their precision
 PLACE_TYPES = [
-    *[(t, "settlement") for t in ("inhabited place", "city", "town", "village", "hamlet", "municipality", "settlement", "capital", "suburb", "parish")],
-    *[(t, "district") for t in ("district", "county", "canton", "department", "prefecture")],
-    *[(t, "territory") for t in ("duchy", "principality", "kingdom", "province", "state", "region", "territory")],
-    *[(t, "country") for t in ("nation", "country", "empire")],
+    ("inhabited place", "settlement"), ("city", "settlement"), ("town", "settlement"), ("village", "settlement"), ("hamlet", "settlement"),
+    ("municipality", "settlement"), ("borough", "settlement"), ("settlement", "settlement"), ("deserted settlement", "settlement"),
+    ("abandoned settlement", "settlement"), ("ruined settlement", "settlement"), ("market town", "settlement"), ("royal burgh", "settlement"),
+    ("national capital", "settlement"), ("state capital", "settlement"), ("provincial capital", "settlement"), ("capital", "settlement"),
+    ("university town", "settlement"), ("spa", "settlement"), ("resort", "settlement"), ("port", "settlement"), ("suburb", "settlement"),
+    ("neighborhood", "settlement"), ("quarter", "settlement"), ("commune", "settlement"), ("township", "settlement"), ("parish", "settlement"),
+    ("second level subdivision", "district"), ("third level subdivision", "district"), ("fourth level subdivision", "district"),
+    ("arrondissement", "district"), ("prefecture", "district"), ("kreis", "district"), ("district", "district"), ("county", "district"),
+    ("departement", "district"), ("department", "district"), ("circle", "district"),
+    ("first level subdivision", "territory"), ("grand duchy", "territory"), ("duchy", "territory"), ("principality", "territory"),
+    ("electorate", "territory"), ("landgraviate", "territory"), ("margraviate", "territory"), ("archbishopric", "territory"),
+    ("bishopric", "territory"), ("kingdom", "territory"), ("empire", "territory"), ("province", "territory"), ("governorate", "territory"),
+    ("oblast", "territory"), ("canton", "territory"), ("state", "territory"), ("region", "territory"), ("territory", "territory"),
+    ("former administrative", "territory"), ("sovereign state", "country"), ("nation", "country"), ("country", "country"),
 ]
 
 

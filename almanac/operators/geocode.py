@@ -8,15 +8,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import ship
+from .. import cut, ship
 from ..functions import geo, text
 from .gazetteer import PRECISION
-from .joins import fuzzy_join, keep_satisfied, null_safe
+from .joins import fuzzy_join, keep_satisfied, null_safe, sized
 from .ordered import best_per_key, first_rows, margin, record_id
 
 # ---- fixed values: scores of the ways a string meets a term
-METHODS = {"exact": 1.00, "correction": 0.98, "fold": 0.92, "expand": 0.92, "modernize": 0.85, "strip": 0.75, "phonetic": 0.60, "fuzzy": 0.50}
-RUNGS = (("fold", "k_fold"), ("expand", "k_expand"), ("modernize", "k_modern"), ("strip", "k_strip"), ("phonetic", "k_phon"))
+METHODS = {"exact": 1.00, "correction": 0.98, "fold": 0.92, "modernize": 0.85, "strip": 0.75, "phonetic": 0.60, "fuzzy": 0.50}
+RUNGS = (("fold", "k_fold"), ("modernize", "k_modern"), ("strip", "k_strip"), ("phonetic", "k_phon"))
+# ---- fixed values: upper edges of the distance bins as log10(1 + km); one more bin lies beyond the last
+EDGES = (0.3, 0.5, 1.0, 1.3, 1.6, 1.9, 2.2, 2.5, 3.0, 3.5, 4.0)
 COARSE = ("strip", "phonetic", "fuzzy")
 
 
@@ -29,6 +31,7 @@ class Settings:
     cross: int = 8
     phonetic_guard: float = 0.75
     fuzzy_least: float = 0.92
+    fuzzy_letters: int = 4
     at_seat_km: float = 15.0
     low_margin: float = 0.75
     queue: int = 400
@@ -56,30 +59,51 @@ def corrected(strings: DataFrame, corrections: DataFrame | None, territories: st
     }).drop("_key", "_in", "canonical")
 
 
-def ladder_hits(strings: DataFrame, index: DataFrame, s: Settings) -> DataFrame:
-    """src_raw, SUBJECT_ID, TERM, TERM_ID, match_method, string_score: each string's hits on its first rung that has any."""
-    keyed = strings.join(text.ladder(strings.select("src"), "src"), "src", "left")
-    hits = keyed.join(index.select(F.col("TERM").alias("src"), F.col("TERM").alias("_t"), "TERM_ID", "SUBJECT_ID", "term_quality"), "src").select(
-        "src_raw", "SUBJECT_ID", F.col("_t").alias("TERM"), "TERM_ID", "term_quality", F.lit(0).alias("rung"), F.lit("exact").alias("match_method"), F.lit(1.0).alias("similarity")
-    )
-    for i, (name, k) in enumerate(RUNGS, 1):
-        h = keyed.where(F.col(k).isNotNull()).select("src_raw", F.col(k).alias("_k"), F.col("k_strip").alias("_ls")).join(
-            index.where(F.col(k).isNotNull()).select(F.col(k).alias("_k"), F.col("k_strip").alias("_rs"), "SUBJECT_ID", "TERM", "TERM_ID", "term_quality"), "_k"
+def rung_hits(tries: DataFrame, index: DataFrame, s: Settings) -> DataFrame:
+    """src_raw, try, SUBJECT_ID, TERM, TERM_ID, term_quality, match_method, string_score: hits of each (src_raw, try, src) on the first rung that has any.
+
+    All rungs are joined, as each is an equality on a key made once for each distinct string; only strings without a hit
+    go on to the similarity join."""
+    by = ["src_raw", "try"]
+    keyed = cut(tries.join(text.ladder(tries.select("src"), "src"), "src", "left"))
+    terms = index.select("TERM", "TERM_ID", "SUBJECT_ID", "term_quality", "k_strip", *[F.col(k).alias(f"_{k}") for _, k in RUNGS])
+    hits = None
+    for rung, (name, k) in enumerate((("exact", "src"), *RUNGS)):
+        of = F.col("TERM") if name == "exact" else F.col(f"_{k}")
+        h = keyed.where(F.col(k).isNotNull()).select(*by, F.col(k).alias("_k"), F.col("k_strip").alias("_ls")).join(
+            terms.where(of.isNotNull()).select(of.alias("_k"), F.col("k_strip").alias("_rs"), "SUBJECT_ID", "TERM", "TERM_ID", "term_quality"), "_k"
         )
         if name == "phonetic":
             h = h.where(text.jaro_winkler(F.col("_ls"), F.col("_rs")) >= s.phonetic_guard)
-        hits = hits.union(h.select("src_raw", "SUBJECT_ID", "TERM", "TERM_ID", "term_quality", F.lit(i), F.lit(name), F.lit(1.0)))
-    left = keyed.join(hits.select("src_raw").distinct(), "src_raw", "left_anti")
-    near = fuzzy_join(left, index, "k_modern", "_im", least=s.fuzzy_least) if "_im" in index.columns else fuzzy_join(left.withColumnRenamed("k_modern", "_q"), index, "_q", "k_modern", least=s.fuzzy_least)
-    fuzzy = left.withColumnRenamed("k_modern", "_q").join(near, "_q").join(index.select("k_modern", "SUBJECT_ID", "TERM", "TERM_ID"), "k_modern").select(
-        "src_raw", "SUBJECT_ID", "TERM", "TERM_ID", F.lit(None).cast("double"), F.lit(6), F.lit("fuzzy"), "similarity"
+        h = h.select(*by, "SUBJECT_ID", "TERM", "TERM_ID", "term_quality", F.lit(rung).alias("rung"), F.lit(name).alias("match_method"), F.lit(METHODS[name]).alias("string_score"))
+        hits = h if hits is None else hits.union(h)
+    hits = cut(hits)
+    left = cut(keyed.join(hits.select(*by).distinct(), by, "left_anti").where(F.length("k_strip") >= s.fuzzy_letters).select(*by, F.col("k_strip").alias("_q")))
+    near = cut(fuzzy_join(left, index, "_q", "k_strip", least=s.fuzzy_least))
+    fuzzy = left.join(near, "_q").join(index.select("k_strip", "SUBJECT_ID", "TERM", "TERM_ID"), "k_strip").select(
+        *by, "SUBJECT_ID", "TERM", "TERM_ID", F.lit(None).cast("double").alias("term_quality"), F.lit(len(RUNGS) + 1).alias("rung"), F.lit("fuzzy").alias("match_method"), (METHODS["fuzzy"] * F.col("similarity")).alias("string_score")
     )
-    hits = hits.union(fuzzy)
-    best = hits.groupBy("src_raw").agg(F.min("rung").alias("rung"))
-    hits = hits.join(best, ["src_raw", "rung"]).join(strings.select("src_raw", "corrected"), "src_raw")
-    base = text.mapped(F.col("match_method"), {k: str(v) for k, v in METHODS.items()}).cast("double")
-    scored = hits.withColumn("string_score", F.when((F.col("match_method") == "exact") & F.col("corrected"), METHODS["correction"]).otherwise(base * F.col("similarity")))
-    return best_per_key(scored, ["src_raw", "SUBJECT_ID"], [F.desc("string_score"), F.desc_nulls_last("term_quality"), F.asc("TERM"), F.asc("TERM_ID")]).drop("rung", "similarity", "corrected")
+    both = hits.unionByName(fuzzy)
+    first = both.join(both.groupBy(*by).agg(F.min("rung").alias("rung")), [*by, "rung"])
+    return best_per_key(first, [*by, "SUBJECT_ID"], [F.desc("string_score"), F.desc_nulls_last("term_quality"), F.asc("TERM_ID"), F.asc("TERM")]).drop("rung")
+
+
+def ladder_hits(strings: DataFrame, index: DataFrame, s: Settings) -> DataFrame:
+    """rung_hits() of the corrected strings; where a correction meets nothing, of the string as it was written."""
+    tries = strings.select("src_raw", F.lit(0).alias("try"), "src").union(strings.where("corrected").select("src_raw", F.lit(1), "src_raw"))
+    found = rung_hits(tries, index, s)
+    found = found.withColumn("_first", F.min("try").over(Window.partitionBy("src_raw"))).where("try = _first")
+    told = found.join(strings.select("src_raw", "corrected"), "src_raw")
+    score = F.when(F.col("corrected") & (F.col("match_method") == "exact"), METHODS["correction"]).otherwise(F.col("string_score"))
+    return told.withColumn("string_score", score).drop("_first", "try", "corrected")
+
+
+def coarse_ids(strings: DataFrame, index: DataFrame, column: str, name: str) -> DataFrame:
+    """src_raw, name: ids of the regions (no settlements) that a text in ``column`` may mean, as one set for each string."""
+    told = strings.where(F.col(column).isNotNull()).select("src_raw", F.col(column).alias("_c")).distinct()
+    keys = text.ladder(told.select("_c"), "_c").select("_c", "k_modern")
+    regions = index.where(F.col("geo_precision").isin("district", "territory", "country") & F.col("k_modern").isNotNull()).select("k_modern", "SUBJECT_ID").distinct()
+    return told.join(keys, "_c").join(regions, "k_modern").groupBy("src_raw").agg(F.collect_set("SUBJECT_ID").alias(name))
 
 
 def collapse(rows: list[tuple], radius: float) -> list[int]:
@@ -111,18 +135,16 @@ def candidates(strings: DataFrame, index: DataFrame, seats: DataFrame, s: Settin
     s = s or Settings()
     ship(index.sparkSession)
     places = index.select("SUBJECT_ID", "n_terms", "LAT", "LON", "is_settlement", "is_sub_settlement", "geo_precision", "placetype", "ancestors", "depth", "prominence").dropDuplicates(["SUBJECT_ID"])
-    cand = ladder_hits(strings.where("not not_a_place"), index, s).join(places, "SUBJECT_ID")
+    cand = cut(ladder_hits(strings.where("not not_a_place"), index, s).join(places, "SUBJECT_ID"))
     # coarse hits must be near some seat
     seat_list = F.broadcast(seats.agg(F.collect_set(F.struct("LAT0", "LON0")).alias("_seats")))
     near = F.array_min(F.transform("_seats", lambda x: geo.haversine(F.col("LAT"), F.col("LON"), x["LAT0"], x["LON0"])))
     cand = cand.join(seat_list, F.lit(True)).where(~F.col("match_method").isin(*COARSE) | (F.col("LAT").isNotNull() & (near <= s.gate_km))).drop("_seats")
     # a curated context must be an ancestor, where any candidate has it
-    named = index.where("k_fold is not null").select(F.col("k_fold").alias("_c"), F.col("SUBJECT_ID").alias("_cid")).distinct()
-    context = strings.where("context is not null").select("src_raw", text.fold(F.col("context")).alias("_c")).join(named, "_c").groupBy("src_raw").agg(F.collect_set("_cid").alias("_ctx"))
-    cand = cand.join(context, "src_raw", "left").withColumn("_fits", F.col("_ctx").isNull() | F.arrays_overlap("ancestors", "_ctx") | F.array_contains("_ctx", F.col("SUBJECT_ID")))
-    cand = keep_satisfied(cand, ["src_raw"], F.col("_fits")).drop("_ctx", "_fits")
+    cand = cand.join(coarse_ids(strings, index, "context", "_ctx"), "src_raw", "left").withColumn("_fits", F.col("_ctx").isNull() | F.coalesce(F.arrays_overlap("ancestors", "_ctx"), F.lit(False)) | F.array_contains("_ctx", F.col("SUBJECT_ID")))
+    cand = cut(keep_satisfied(cut(cand), ["src_raw"], F.col("_fits")).drop("_ctx", "_fits"))
     order = [F.desc("is_settlement"), F.desc("string_score"), F.desc_nulls_last("depth"), F.desc("prominence"), F.asc("SUBJECT_ID")]
-    pool = first_rows(cand, ["src_raw"], order, s.pool).withColumn("_o", F.row_number().over(Window.partitionBy("src_raw").orderBy(*order)))
+    pool = cut(first_rows(cand, ["src_raw"], order, s.pool)).withColumn("_o", F.row_number().over(Window.partitionBy("src_raw").orderBy(*order)))
 
     def run(rows):
         rows = rows.sort_values("_o")
@@ -132,9 +154,9 @@ def candidates(strings: DataFrame, index: DataFrame, seats: DataFrame, s: Settin
         return rows[[a == b for a, b in zip(into, range(len(into)), strict=True)]][["src_raw", "SUBJECT_ID", "n_merged"]]
 
     kept = pool.select("src_raw", "SUBJECT_ID", "LAT", "LON", "ancestors", "_o").groupBy("src_raw").applyInPandas(run, "src_raw string, SUBJECT_ID long, n_merged long")
-    out = pool.drop("_o").join(kept, ["src_raw", "SUBJECT_ID"])
+    out = cut(pool.drop("_o").join(kept, ["src_raw", "SUBJECT_ID"]))
     out = out.withColumn("n_candidates", F.count(F.lit(1)).over(Window.partitionBy("src_raw")))
-    return first_rows(out, ["src_raw"], [F.desc("string_score"), F.desc("prominence"), F.asc("SUBJECT_ID")], s.cap, hit="cap_hit")
+    return first_rows(out, ["src_raw"], [F.desc("string_score"), F.desc("n_terms"), F.asc("SUBJECT_ID")], s.cap, hit="cap_hit")
 
 
 def resolution_keys(students: DataFrame) -> DataFrame:
@@ -145,7 +167,7 @@ def resolution_keys(students: DataFrame) -> DataFrame:
 
 def coherence_table(cand: DataFrame, keys: DataFrame, s: Settings) -> DataFrame:
     """region, hometown, field, SUBJECT_ID, cross_km, nested: to the nearest of the other field's first candidates."""
-    top = first_rows(cand, ["src_raw"], [F.desc("string_score"), F.desc("prominence"), F.asc("SUBJECT_ID")], s.cross).select("src_raw", "SUBJECT_ID", "LAT", "LON", "ancestors")
+    top = first_rows(cand.where("LAT is not null"), ["src_raw"], [F.desc("string_score"), F.desc("n_terms"), F.asc("SUBJECT_ID")], s.cross).select("src_raw", "SUBJECT_ID", "LAT", "LON", "ancestors")
     pairs = keys.where("region is not null and hometown is not null").select("region", "hometown").distinct()
     side = lambda p: top.select(F.col("src_raw").alias({"r": "region", "h": "hometown"}[p]), *[F.col(c).alias(p + c) for c in ("SUBJECT_ID", "LAT", "LON", "ancestors")])
     both = pairs.join(side("r"), "region").join(side("h"), "hometown").withColumns({
@@ -168,8 +190,10 @@ def score(keys: DataFrame, cand: DataFrame, seats: DataFrame, hints: DataFrame,
     rows = geo.interpolated(rows, prior, "school", "dist", upper)
     rows = rows.join(coherence_table(cand, keys, s), ["region", "hometown", "field", "SUBJECT_ID"], "left")
     other = F.col("region").isNotNull() & F.col("hometown").isNotNull()
-    filled = F.coalesce("dist_ll", F.avg("dist_ll").over(Window.partitionBy("school")), F.lit(0.0))
-    hit = F.coalesce(F.arrays_overlap("ancestors", "hint_ids") | F.array_contains("hint_ids", F.col("SUBJECT_ID")), F.lit(False))
+    rows = cut(rows)
+    mean = rows.agg(F.avg("dist_ll")).first()[0] or 0.0  # over all rows, for schools without a prior
+    filled = F.coalesce("dist_ll", F.lit(mean))
+    hit = F.coalesce(F.arrays_overlap("ancestors", "hint_ids"), F.lit(False))
     total = (
         w["string"] * F.ln("string_score") + w["term"] * F.ln(F.coalesce("term_quality", F.lit(1.0))) + w["prominence"] * F.col("prominence")
         + w["sub"] * F.col("is_sub_settlement").cast("int") + w["distance"] * filled + w["coherence"] * geo.coherence(F.col("cross_km"), other)
@@ -197,18 +221,23 @@ def choose_field(best: DataFrame, s: Settings | None = None) -> DataFrame:
     return wide.where(F.col("field") == F.when(home, 2).otherwise(1)).drop("_rank", "_seat", "_r", "_h", "_at")
 
 
-def override(chosen: DataFrame, keys: DataFrame, overrides: DataFrame | None) -> DataFrame:
-    """Curated ids in place of what was found; an id of null clears it. The region's row goes first."""
+def override(chosen: DataFrame, keys: DataFrame, overrides: DataFrame | None, index: DataFrame, seats: DataFrame) -> DataFrame:
+    """Curated ids with their own place's columns instead of what was found; an id of null clears it. The region's row goes first."""
     if overrides is None:
         return chosen.withColumn("overridden", F.lit(False))
-    o = F.broadcast(overrides.select(F.lower(text.strip(F.col("raw"))).alias("_k"), F.col("subject_id").alias("_id")).dropDuplicates(["_k"]))
-    hit = lambda c, p: keys.select("key_id", F.lower(text.strip(F.col(c))).alias("_k")).join(o, "_k").select("key_id", F.col("_id").alias(p), F.lit(True).alias(p + "t"))
-    forced = keys.select("key_id").join(hit("region", "_r"), "key_id", "left").join(hit("hometown", "_h"), "key_id", "left").where("_rt or _ht").select("key_id", F.when(F.col("_rt"), F.col("_r")).otherwise(F.col("_h")).alias("_forced"))
-    out = chosen.join(forced.withColumn("overridden", F.lit(True)), "key_id", "full").withColumn("overridden", F.coalesce("overridden", F.lit(False)))
-    return out.withColumns({
-        "SUBJECT_ID": F.when(F.col("overridden"), F.col("_forced")).otherwise(F.col("SUBJECT_ID")), "score_margin": F.when(F.col("overridden"), 10.0).otherwise(F.col("score_margin")),
-        "match_method": F.when(F.col("overridden"), "override").otherwise(F.col("match_method")),
-    }).drop("_forced")
+    forced = best_per_key(overrides.select(F.lower(text.strip(F.col("raw"))).alias("_k"), F.col("subject_id").alias("_id")), ["_k"], [F.asc_nulls_last("_id")])
+    field = lambda c, n: keys.select("key_id", "school", F.lower(text.strip(F.col(c))).alias("_k"), F.lit(n).alias("field")).join(sized(forced), "_k")
+    hits = best_per_key(field("region", 1).union(field("hometown", 2)), ["key_id"], ["field"])
+    places = best_per_key(index.select(F.col("SUBJECT_ID").alias("_id"), "TERM", "TERM_ID", "geo_precision", "LAT", "LON", "is_settlement"), ["_id"], ["TERM_ID", "TERM"])
+    rows = hits.join(places, "_id", "left").join(F.broadcast(seats), "school", "left")
+    own = {
+        "key_id": F.col("key_id"), "field": F.when(F.col("_id").isNotNull(), F.col("field")), "SUBJECT_ID": F.col("_id"), "TERM": F.col("TERM"), "TERM_ID": F.col("TERM_ID"), "LAT": F.col("LAT"), "LON": F.col("LON"),
+        "dist": geo.haversine(F.col("LAT0"), F.col("LON0"), F.col("LAT"), F.col("LON")), "match_method": F.lit("override"), "geo_precision": F.coalesce("geo_precision", F.lit("unknown")),
+        "is_settlement": F.col("is_settlement"), "string_score": F.lit(1.0), "n_candidates": F.lit(1).cast("long"), "cap_hit": F.lit(False), "score_margin": F.lit(10.0),
+    }
+    rows = cut(rows.select(*[c.alias(n) for n, c in own.items()]))
+    rest = chosen.join(rows.select("key_id"), "key_id", "left_anti").withColumn("overridden", F.lit(False))
+    return rest.unionByName(rows.withColumn("overridden", F.lit(True)), allowMissingColumns=True)
 
 
 def assemble(students: DataFrame, keys: DataFrame, chosen: DataFrame, s: Settings | None = None) -> DataFrame:
@@ -242,16 +271,22 @@ def difference(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
 def geocode(students: DataFrame, index: DataFrame, seats: DataFrame, corrections: DataFrame | None = None, overrides: DataFrame | None = None, s: Settings | None = None) -> DataFrame:
     """students (region, hometown, school) with their places; the whole chain."""
     s = s or Settings()
-    index = index.persist()
-    strings = corrected(inventory(students), corrections).persist()
-    cand = candidates(strings, index, seats, s).persist()
-    keys = resolution_keys(students).persist()
-    hint = text.ladder(strings.select("src"), "src").where("hint is not null").join(strings, "src").select("src_raw", F.col("hint").alias("_h"))
-    hints = hint.join(index.where("k_modern is not null").select(F.col("k_modern").alias("_h"), "SUBJECT_ID").distinct(), "_h").groupBy("src_raw").agg(F.collect_set("SUBJECT_ID").alias("hint_ids"))
-    exact = cand.where("match_method in ('exact', 'fold') and n_candidates = 1").select("src_raw", "LAT", "LON")
-    sure = students.select(F.coalesce("hometown", "region").alias("src_raw"), "school").join(exact, "src_raw").join(F.broadcast(seats), "school")
-    upper = geo.edges()
-    weighted = sure.withColumns({"km": geo.haversine(F.col("LAT0"), F.col("LON0"), F.col("LAT"), F.col("LON")), "_w": F.lit(1)})
-    prior = geo.distance_prior(weighted, "school", "km", "_w", upper)
-    best = decide(score(keys, cand, seats, hints, prior, upper, s)).persist()
-    return assemble(students, keys, override(choose_field(best, s), keys, overrides), s)
+    index = cut(index)
+    strings = cut(corrected(inventory(students), corrections))
+    cand = cut(candidates(strings, index, seats, s))
+    keys = cut(resolution_keys(students))
+    told = text.ladder(strings.where("not not_a_place").select("src"), "src").where("hint is not null").select("src", F.col("hint").alias("_hint"))
+    hints = cut(coarse_ids(strings.join(told, "src"), index, "_hint", "hint_ids"))
+    upper = [*EDGES, math.inf]
+    prior = cut(fitted_prior(students, cand, seats, upper))
+    best = cut(decide(cut(score(keys, cand, seats, hints, prior, upper, s))))
+    chosen = override(choose_field(best, s), keys, overrides, index, seats)
+    return assemble(students, keys, chosen, s)
+
+
+def fitted_prior(students: DataFrame, cand: DataFrame, seats: DataFrame, upper: list[float]) -> DataFrame:
+    """The distance prior of each school from the strings that have one candidate only, in both fields, once for each student."""
+    sure = cand.where("n_candidates = 1").select("src_raw", "LAT", "LON")
+    rows = students.select("school", F.explode(F.array("region", "hometown")).alias("src_raw")).groupBy("school", "src_raw").agg(F.count(F.lit(1)).alias("_w"))
+    far = rows.join(sure, "src_raw").join(F.broadcast(seats), "school").withColumn("km", geo.haversine(F.col("LAT0"), F.col("LON0"), F.col("LAT"), F.col("LON")))
+    return geo.distance_prior(far.where("km is not null"), "school", "km", "_w", upper)
