@@ -30,11 +30,16 @@ SPELLING = (
 )
 # ---- fixed values: words before a place that say what it is
 LEADING = (
-    "herzogtum herzogt herz hzgt grosherzogtum grossherzogtum grossherzogt grossherz grossh ghzt erzherzogtum kurfuerstentum kurfuerst "
-    "fuerstentum furstentum fuerstent fuerstl fstm koenigreich konigreich koenigr kgr grafschaft landgrafschaft markgrafschaft gft "
-    "reichsstadt freie_reichsstadt freie_stadt provinz prov kreis kr amt bistum erzbistum republik freistaat departement dept dep "
-    "canton kanton cant kant anhalt anh mecklenburg mecklb meckl schwarzburg schwarzb sachsen saechs"
-).split()
+    "herzogtum", "herzogt", "herz", "hzgt", "grosherzogtum", "grossherzogtum",
+    "grossherzogt", "grossherz", "grossh", "ghzt", "erzherzogtum", "kurfuerstentum",
+    "kurfuerst", "fuerstentum", "furstentum", "fuerstent", "fuerstl", "fstm",
+    "koenigreich", "konigreich", "koenigr", "kgr", "grafschaft", "landgrafschaft",
+    "markgrafschaft", "gft", "reichsstadt", "freie reichsstadt", "freie stadt", "provinz",
+    "prov", "kreis", "kr", "amt", "bistum", "erzbistum",
+    "republik", "freistaat", "departement", "dept", "dep", "canton",
+    "kanton", "cant", "kant", "anhalt", "anh", "mecklenburg",
+    "mecklb", "meckl", "schwarzburg", "schwarzb", "sachsen", "saechs",
+)
 LEADING_PREPOSITIONS = ("in der", "in dem", "aus dem", "aus der", "im", "in", "aus", "bei", "zu", "von")
 SPLITTING = ("an der", r"a\s*d", "am", r"a\s*m", "ob dem", "unter dem", "vor dem", "im", "in", "bei", "b")
 # ---- fixed values: surname particles, in the order in which they are tried
@@ -119,7 +124,7 @@ def modern_word(word: str) -> str:
 
 
 def _leading() -> str:
-    words = {modern_word(w.replace("_", " ")) for w in LEADING}
+    words = {modern_word(w) for w in LEADING}
     return "^(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + r")\s+"
 
 
@@ -320,7 +325,11 @@ def sorted_letters(c: Column) -> Column:
 
 
 # ---- fixed values: titles (with capitals, as nouns have them), particles and their short forms
-TITLES = "Fürst Fürstin Erbprinz Prinz Prinzessin Herzog Herzogin Markgraf Markgräfin Landgraf Landgräfin Pfalzgraf Pfalzgräfin Graf Gräfin Freiherr Freifrau Freiin Baron Baronin Ritter Edler Edle".split()
+TITLES = (
+    "Fürst", "Fürstin", "Erbprinz", "Prinz", "Prinzessin", "Herzog", "Herzogin", "Markgraf",
+    "Markgräfin", "Landgraf", "Landgräfin", "Pfalzgraf", "Pfalzgräfin", "Graf", "Gräfin", "Freiherr",
+    "Freifrau", "Freiin", "Baron", "Baronin", "Ritter", "Edler", "Edle",
+)
 NOBLE_PARTICLES = ("von und zu", "von der", "von dem", "vom", "von", "zur", "zum", "zu")
 WORD = r"[\p{L}\p{N}_]"
 TITLE = rf"(?<!{WORD})(?:{'|'.join(t + (WORD + '*' if t == 'Erbprinz' else '') for t in TITLES)})(?!{WORD})"

@@ -214,11 +214,21 @@ def ppml(df: DataFrame, formula: str, cluster: str | None = None, omit: dict | N
             if sum(b.num_rows for b in held):
                 yield pa.RecordBatch.from_arrays([pa.array([np.asarray(x, float).tobytes()]) for x in do(_Part(held, k, sizes))], names=[f"r{i}" for i in range(3)])
 
-        total = None
-        for r in rows.mapInArrow(run, "r0 binary, r1 binary, r2 binary").toLocalIterator():  # a row for each partition, one at a time
-            got = [np.frombuffer(x, float) for x in r]
-            total = got if total is None else [u + v for u, v in zip(total, got, strict=True)]
-        return total
+        def added(batches):
+            import pyarrow as pa
+
+            total = None
+            for b in batches:
+                for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    got = [np.frombuffer(x, float) for x in r]
+                    total = got if total is None else [u + v for u, v in zip(total, got, strict=True)]
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in total], names=[f"r{i}" for i in range(3)])
+
+        # one job: partitions give partials, about the square root as many tasks add them up, the driver adds those
+        schema = "r0 binary, r1 binary, r2 binary"
+        parts = rows.mapInArrow(run, schema).repartition(max(1, math.isqrt(rows.rdd.getNumPartitions()))).mapInArrow(added, schema).collect()
+        return [sum(np.frombuffer(x, float) for x in column) for column in zip(*parts, strict=True)]
 
     def start(p: _Part):
         z, square = p.pieces(np.ones(len(p.y)))
@@ -292,7 +302,7 @@ def ppml(df: DataFrame, formula: str, cluster: str | None = None, omit: dict | N
         part = rows.mapInArrow(by_cluster, "c string, v array<double>")
         whole = part.select("c", F.posexplode("v").alias("j", "v")).groupBy("c", "j").agg(F.sum("v").alias("v")).groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda q: q["v"]).alias("v"))
         meat, groups = np.zeros((len(keep), len(keep))), 0
-        for r in whole.mapInArrow(square_of, "m binary, n long").toLocalIterator():
+        for r in whole.repartition(16).mapInArrow(square_of, "m binary, n long").collect():  # a matrix for each of a few tasks
             meat, groups = meat + np.frombuffer(r[0], float).reshape(meat.shape), groups + r[1]
         factor = groups / max(1, groups - 1) * (n - 1) / max(1, n - len(keep))
     else:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from .joins import closure
+from .joins import closure, sized
 from .ordered import best_per_key
 
 # ---- fixed values: flags of terms that are codes, not names
@@ -59,7 +59,7 @@ def build_index(tables: dict[str, DataFrame], remap: DataFrame | None = None) ->
     flag = F.coalesce(F.trim("OTHER_FLAGS"), F.lit(""))
     terms = tables["terms"].where(~flag.isin(*CODES))
     if remap is not None:
-        moved = F.broadcast(remap.select(F.col("from_subject_id").alias("SUBJECT_ID"), "to_subject_id"))
+        moved = sized(remap.select(F.col("from_subject_id").alias("SUBJECT_ID"), "to_subject_id"))
         terms = terms.join(moved, "SUBJECT_ID", "left").withColumn("SUBJECT_ID", F.coalesce("to_subject_id", "SUBJECT_ID")).drop("to_subject_id")
     terms = terms.withColumn("term_quality", quality(F.col("PREFERRED"), F.col("VERNACULAR"), F.col("HISTORIC_FLAG")))
     terms = best_per_key(terms, ["SUBJECT_ID", "TERM"], [F.desc("term_quality"), F.asc("TERM_ID")])

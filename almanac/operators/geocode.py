@@ -52,7 +52,7 @@ def corrected(strings: DataFrame, corrections: DataFrame | None, territories: st
     rows = corrections if territories != "self" else corrections.where(~F.col("category").eqNullSafe("territory_seat"))
     rows = rows.withColumns({"_key": key("raw"), "canonical": text.null_if_empty(F.col("canonical")), "context": text.null_if_empty(F.col("context"))})
     one = best_per_key(rows, ["_key"], ["raw", "canonical"]).select("_key", "canonical", "context", F.lit(True).alias("_in"))
-    out = strings.withColumn("_key", key("src_raw")).join(F.broadcast(one), "_key", "left")
+    out = strings.withColumn("_key", key("src_raw")).join(sized(one), "_key", "left")
     there = F.coalesce("_in", F.lit(False))
     return out.withColumns({
         "corrected": there & F.col("canonical").isNotNull(), "not_a_place": there & F.col("canonical").isNull(), "src": F.coalesce("canonical", "src_raw"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import cut, ship
 from ..functions import text
 from .aggregates import key_share, mode_smallest
-from .joins import multi_rule_pairs
+from .joins import multi_rule_pairs, sized
 
 LEVELS = {"sn": 4, "gn": 7, "geo": 4, "yr": 5, "pt": 3}
 RETAIN, SPAN, SCHOOLS, OVERLAP = -2.0, 9, 3, 1
@@ -101,7 +101,7 @@ def spell_table(chained: DataFrame) -> DataFrame:
 def block(spell: DataFrame, region_share: float = 0.002, enforce_gap: bool = False, most_gap: int = 9) -> DataFrame:
     """Pairs lid < rid of different schools that agree on one of five rules and don't overlap by more than two years."""
     big = key_share(spell, "location_id").where(F.col("share") >= region_share).select("location_id")
-    ok = spell.join(F.broadcast(big.withColumn("_big", F.lit(True))), "location_id", "left").withColumn("ok_place", F.when(F.col("_big").isNull(), F.col("location_id")))
+    ok = spell.join(sized(big.withColumn("_big", F.lit(True))), "location_id", "left").withColumn("ok_place", F.when(F.col("_big").isNull(), F.col("location_id")))
     ok = ok.withColumn("phon3", F.substring("ln_phon", 1, 3))
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     apart = F.greatest(r("first_seen") - l("last_seen"), l("first_seen") - r("last_seen"))
@@ -115,7 +115,8 @@ def block(spell: DataFrame, region_share: float = 0.002, enforce_gap: bool = Fal
 def compare(pairs: DataFrame, spell: DataFrame, annual: list[str]) -> DataFrame:
     """lid, rid, levels sn gn geo yr pt, stratum, tf_sn, tf_geo (products of both sides' shares)."""
     tf = lambda c, n: key_share(spell, c, n)
-    own = spell.join(tf("ln_phon", "f_sn"), "ln_phon", "left").join(tf("location_id", "f_geo"), "location_id", "left").fillna(1.0, ["f_sn", "f_geo"])
+    needed = ["spell_id", "school", "first_seen", "last_seen", "ln_norm", "ln_phon", "ln_particle", "gn_set", "gn_init", "gn_init_set", "gn_i1", "gn_has_full", "location_id"]
+    own = spell.select(*needed).join(tf("ln_phon", "f_sn"), "ln_phon", "left").join(tf("location_id", "f_geo"), "location_id", "left").fillna(1.0, ["f_sn", "f_geo"])
     a, b = own.alias("l"), own.alias("r")
     both = pairs.join(a, F.col("lid") == F.col("l.spell_id")).join(b, F.col("rid") == F.col("r.spell_id"))
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
@@ -265,7 +266,7 @@ def merge(rows: list[tuple], spans: dict) -> dict:
             continue
         group = [spans[i] for i in members[a] + members[b]]
         schools = [g[0] for g in group]
-        if len(set(schools)) < len(schools) or len(schools) > SCHOOLS or max(g[2] for g in group) - min(g[1] for g in group) > SPAN:
+        if len(set(schools)) < len(schools) or len(schools) > SCHOOLS or max(g[2] for g in group) - min(g[1] for g in group) + 1 > SPAN:
             continue
         if any(min(p[2], q[2]) - max(p[1], q[1]) + 1 > OVERLAP for i, p in enumerate(group) for q in group[:i]):
             continue

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import sized
+
 
 def window(by: list[str], order: list):
     return Window.partitionBy(*by).orderBy(*order)
@@ -16,6 +18,26 @@ def forward_fill(c: Column, by: list[str], order: list, limit: int | None = None
     return F.last(c, ignorenulls=True).over(window(by, order).rowsBetween(start, Window.currentRow))
 
 
+def fill_across(df: DataFrame, name: str, c: Column, block: str, order: list, limit: int | None = None) -> DataFrame:
+    """df with ``name``: forward_fill() of c over the whole sequence (block, then order within it), without one task for all rows.
+
+    Each block fills itself; a block's rows before its first value take the last one of the blocks before it, if that lies at most
+    ``limit`` rows back. Only one row for each block (its number of rows, and its last value's place) meets in one window."""
+    own, whole = window([block], order), Window.orderBy(block)
+    told = df.withColumns({"_v": c, "_i": F.row_number().over(own)})
+    last = F.max(F.when(F.col("_v").isNotNull(), F.struct(F.col("_i").alias("i"), F.col("_v").alias("v"))))
+    ends = told.groupBy(block).agg(F.count(F.lit(1)).alias("_n"), last.alias("_last"))
+    starts = ends.withColumn("_before", F.sum("_n").over(whole) - F.col("_n"))
+    carried = F.last(F.when(F.col("_last").isNotNull(), F.struct((F.col("_before") + F.col("_last.i")).alias("i"), F.col("_last.v").alias("v"))), ignorenulls=True)
+    starts = starts.select(F.col(block).alias("_b"), "_before", carried.over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    both = told.withColumn("_near", F.last(F.when(F.col("_v").isNotNull(), F.struct(F.col("_i").alias("i"), F.col("_v").alias("v"))), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    both = both.join(sized(starts), F.col(block).eqNullSafe(F.col("_b")))
+    at, from_ = F.col("_before") + F.col("_i"), F.when(F.col("_near").isNotNull(), F.col("_before") + F.col("_near.i")).otherwise(F.col("_carry.i"))
+    value = F.when(F.col("_near").isNotNull(), F.col("_near.v")).otherwise(F.col("_carry.v"))
+    filled = value if limit is None else F.when(at - from_ <= limit, value)
+    return both.withColumn(name, filled).drop("_v", "_i", "_b", "_before", "_carry", "_near")
+
+
 def without_marks(c: Column, marks) -> Column:
     """Null where c is one of the marks that repeat the line above."""
     return F.when(c.isin(*marks), None).otherwise(c)
@@ -25,8 +47,16 @@ def ditto_fill(c: Column, marks, by: list[str], order: list, limit: int | None =
     """Marks take the value above; keep_nulls: null values stay null and are not filled over."""
     if not keep_nulls:
         return forward_fill(without_marks(c, marks), by, order, limit)
-    filled = forward_fill(without_marks(F.coalesce(c, F.lit("\0")), marks), by, order, limit)
-    return F.nullif(filled, F.lit("\0"))
+    return real_nulls(forward_fill(without_marks(stand_ins(c), marks), by, order, limit))
+
+
+def stand_ins(c: Column) -> Column:
+    """c with a sign in place of null, so that a fill stops there; real_nulls() turns it back."""
+    return F.coalesce(c, F.lit("\0"))
+
+
+def real_nulls(c: Column) -> Column:
+    return F.nullif(c, F.lit("\0"))
 
 
 def best_per_key(df: DataFrame, by: list[str], order: list) -> DataFrame:
@@ -77,7 +107,7 @@ def steps_of_one(df: DataFrame, value: str, by: list[str], order: list) -> DataF
 
 def anchored(df: DataFrame, anchors: DataFrame, on: list[str], value: str, by: list[str], order: list) -> DataFrame:
     """value from anchors where a row has one, else from the row before."""
-    joined = df.join(F.broadcast(anchors.select(*on, F.col(value).alias("_a"))), on, "left")
+    joined = df.join(sized(anchors.select(*on, F.col(value).alias("_a"))), on, "left")
     own = F.coalesce(F.col(value), F.col("_a")) if value in df.columns else F.col("_a")
     return joined.withColumn(value, forward_fill(own, by, order)).drop("_a")
 

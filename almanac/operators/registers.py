@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from .aggregates import union_relaxed
-from .ordered import ditto_fill, forward_fill, record_id
+from .joins import sized
+from .ordered import ditto_fill, fill_across, forward_fill, real_nulls, record_id, stand_ins, without_marks
 
 GROUPS = ("law_admin", "theology", "medicine", "sciences", "humanities")
 ORDER = ["file_rank", "line_no"]
-VETERINARY = ["Medizin", "Chirurgie", "Pharmazie", "Veterinärmedizin", "Tierheilkunde", "Medizin und Chirurgie"]
-BUILDING = ["Forstwissenschaft", "Res saltuaria (Forstwissenschaft)", "Mathematik", "Bergbauwissenschaft", "Chemie"]
+#: A school's rows are one sequence: file after file, and by line within each.
+SEQUENCE = ("file_rank", ["line_no"])
 
 
 @dataclass
@@ -47,10 +48,10 @@ SPECS = {
     "heidelberg": Spec(("heidelberg",), (["Cameralia", "Jura Cameralia", "Jura", "Criminalia", "Jura, Cameralia", "Notariat", "Jura und Cameralia", "juris candidatus", "Staatswissenschaften"], ["Theologie", "Theologie Philosophie", "Philosophie Theologie"], ["Medizin", "Cr.", "Chirurgie", "Pharmacie", "Pharmazie", "Medizin Chirurgie"], ["Forstwissenschaft", "Mathematik", "Naturwissenschaften"], ["Philosophie", "Pl.", "Philologie", "Geschichte"]), year="page", place="hometown", expanded=True),
     "jena": Spec(("jena", "jona"), (["J.", "Cam.", "J.u.C.", "J. u. C."], ["T.", "Th.", "T. u. P.", "T.u.P."], ["M.", "Pm.", "Ph.", "Chir."], ["Math."], ["P.", "Oec.", "Phil.", "Phll."]), place="jena", sort=("volume_id",)),
     "kiel": Spec(("kiel",), (["Jura", "Cameralwissenschaft", "Jura und Cameralwissenschaft"], ["Theologie", "Theologie und Philologie", "Theologie und Philosophie", "Philosophie und Theologie", "Philologie und Theologie"], ["Medizin", "Pharmazie", "Medizin und Chirurgie", "Pharmacie"], ["Mathematik", "Chemie"], ["Philosophie", "Philologie"]), year="date_year", place="hometown", expanded=True),
-    "marburg": Spec(("marburg",), (["Rechtswissenschaft (Jura)", "Rechtswissenschaft", "Oeconomia politica (Staatswirtschaft)", "Kameralwissenschaft", "Staatswirtschaft", "Rechtswissenschaft und Staatswirtschaft"], ["Theologie", "Theologie und Philologie", "Theologie & Philologie"], VETERINARY, [*BUILDING, "Architektur"], ["Philosophie", "Philologie"]), year="date_iso_filled", expanded=True),
-    "muenchen": Spec(("muenchen",), (["Jura", "Cameralwissenschaft", "Jura Cameralwissenschaft", "Jura, Cameralwissenschaft"], ["Theologie", "Theologie Philosophie"], VETERINARY, [*BUILDING, "Logik", "Architektur", "Log.", "Archit.", "Phys.", "Physik", "Bergw.", "Bauw.", "Bauwesen"], ["Philosophie", "Philologie", "Philol."]), year="academic", expanded=True),
+    "marburg": Spec(("marburg",), (["Rechtswissenschaft (Jura)", "Rechtswissenschaft", "Oeconomia politica (Staatswirtschaft)", "Kameralwissenschaft", "Staatswirtschaft", "Rechtswissenschaft und Staatswirtschaft"], ["Theologie", "Theologie und Philologie", "Theologie & Philologie"], ["Medizin", "Chirurgie", "Pharmazie", "Veterinärmedizin", "Tierheilkunde", "Medizin und Chirurgie"], ["Forstwissenschaft", "Res saltuaria (Forstwissenschaft)", "Mathematik", "Bergbauwissenschaft", "Chemie", "Architektur"], ["Philosophie", "Philologie"]), year="date_iso_filled", expanded=True),
+    "muenchen": Spec(("muenchen",), (["Jura", "Cameralwissenschaft", "Jura Cameralwissenschaft", "Jura, Cameralwissenschaft"], ["Theologie", "Theologie Philosophie"], ["Medizin", "Chirurgie", "Pharmazie", "Veterinärmedizin", "Tierheilkunde", "Medizin und Chirurgie"], ["Forstwissenschaft", "Res saltuaria (Forstwissenschaft)", "Mathematik", "Bergbauwissenschaft", "Chemie", "Logik", "Architektur", "Log.", "Archit.", "Phys.", "Physik", "Bergw.", "Bauw.", "Bauwesen"], ["Philosophie", "Philologie", "Philol."]), year="academic", expanded=True),
     "tuebingen": Spec(("tuebingen",), ("(Rechts|Cameral|Staats)", "(Theol|theol|Théol)", "(Med|Medicin|Chirur|Pharm)", "Forstwissenschaft", "(Phil)"), year="years", fill={"field": ((), None, True)}, place="hometown_full", squash=True, sort=("first_year", "last_name", "first_names")),
-    "wuerzburg": Spec(("wuerzburg",), (["Jura", "Kameralwissenschaft", "Cameralia", "Oeconomie", "Staatswirtschaft", "Jura und Kameralwissenschaft", "Kameralistik"], ["Theologie"], VETERINARY, [*BUILDING[:4], "Logik", "Architektur", "Log.", "Archit.", "Phys.", "Physik", "Bergw.", "Bauw.", "Bauwesen", "Technologie"], ["Philosophie", "Philologie", "Philol."]), year="date_iso", place="hometown", expanded=True),
+    "wuerzburg": Spec(("wuerzburg",), (["Jura", "Kameralwissenschaft", "Cameralia", "Oeconomie", "Staatswirtschaft", "Jura und Kameralwissenschaft", "Kameralistik"], ["Theologie"], ["Medizin", "Chirurgie", "Pharmazie", "Veterinärmedizin", "Tierheilkunde", "Medizin und Chirurgie"], ["Forstwissenschaft", "Res saltuaria (Forstwissenschaft)", "Mathematik", "Bergbauwissenschaft", "Logik", "Architektur", "Log.", "Archit.", "Phys.", "Physik", "Bergw.", "Bauw.", "Bauwesen", "Technologie"], ["Philosophie", "Philologie", "Philol."]), year="date_iso", place="hometown", expanded=True),
 }
 #: Volumes whose page years were confirmed against the print.
 STRICT_VOLUMES = ("heidelberg_1846",)
@@ -72,7 +73,7 @@ def page_corrected(df: DataFrame, page_years: DataFrame) -> DataFrame:
 
     Strict volumes: no entry is older than its page or more than two years younger. Others: an entry with the volume's
     opening year on a later page, or more than two years off, takes the page's."""
-    joined = df.join(F.broadcast(page_years), ["volume_id", "source_page"], "left")
+    joined = df.join(sized(page_years), ["volume_id", "source_page"], "left")
     order = ["source_page", *ORDER]
     page = forward_fill(F.col("year_helper"), ["volume_id"], order)
     joined = joined.withColumn("_p", page)
@@ -92,7 +93,7 @@ def page_years(heads: DataFrame) -> DataFrame:
 
 
 def with_year(df: DataFrame, rule: str, anchors: DataFrame | None, helper: DataFrame | None) -> DataFrame:
-    whole: list[str] = []
+    across = lambda df, c: fill_across(df, "first_year", c, *SEQUENCE)
     if rule == "volume":
         return df.withColumn("first_year", dates.volume_year(F.col("volume_id")))
     if rule in ("year", "matrikel_year", "date_year"):
@@ -103,14 +104,14 @@ def with_year(df: DataFrame, rule: str, anchors: DataFrame | None, helper: DataF
         out = df.withColumn("first_year", dates.year_in(F.col("date_iso")))
         if rule == "page":
             return page_corrected(out.withColumn("source_page", dates.number(F.col("source_page"))), helper) if helper is not None else out
-        return out.withColumn("first_year", forward_fill(F.col("first_year"), whole, ORDER)) if rule.endswith("filled") else out
+        return across(out, F.col("first_year")) if rule.endswith("filled") else out
     if rule == "years":
         return df.withColumn("first_year", F.coalesce(dates.year_in(F.col("years")), dates.volume_year(F.col("volume_id"))))
     if rule == "anchored":
         out = df.withColumns({"first_year": dates.year_in(F.col("date")), "source_page": dates.number(F.col("source_page"))})
         if anchors is not None:
-            out = out.join(F.broadcast(anchors), ["last_name", "first_names", "source_page"], "left").withColumn("first_year", F.coalesce("first_year", "year_helper")).drop("year_helper")
-        return out.withColumn("first_year", forward_fill(F.col("first_year"), whole, ORDER))
+            out = out.join(sized(anchors), ["last_name", "first_names", "source_page"], "left").withColumn("first_year", F.coalesce("first_year", "year_helper")).drop("year_helper")
+        return across(out, F.col("first_year"))
     if rule == "academic":
         known = F.when((F.col("academic_year") == "ibid") | F.coalesce(F.col("extraction_notes").rlike(r"Year\w* inferred"), F.lit(False)), None).otherwise(F.col("academic_year"))
         notes = F.coalesce(F.col("extraction_notes"), F.lit(""))
@@ -120,10 +121,10 @@ def with_year(df: DataFrame, rule: str, anchors: DataFrame | None, helper: DataF
         }).where((F.col("first_year") >= 1799) & (F.col("source_page") != 261))
         if helper is None:
             return out
-        out = out.join(F.broadcast(helper), ["source_page"], "left")
+        out = out.join(sized(helper), ["source_page"], "left")
         bad = F.col("year_helper").isNull() | (F.abs(F.col("first_year") - F.col("year_helper")) > 2) | (F.col("source_page") == 262)
         kept = F.coalesce(F.when(~bad, F.col("first_year")), F.col("year_helper"))
-        return out.withColumn("first_year", forward_fill(kept, whole, ORDER)).drop("year_helper")
+        return across(out, kept).drop("year_helper")
     raise ValueError(rule)
 
 
@@ -133,23 +134,28 @@ COLUMNS = ("last_name", "first_names", "first_year", "field", "hometown", "regio
 def clean(raw: DataFrame, school: str, anchors: DataFrame | None = None, helper: DataFrame | None = None, spec: Spec | None = None) -> DataFrame:
     """One school's rows (as text, with file_rank and line_no) in the common columns.
 
-    Fills run in register order; that order is one sequence over a school's volumes, as ditto marks cross them."""
+    Fills run in register order; that order is one sequence over a school's volumes, as ditto marks cross them. Each volume is
+    filled apart, and what it begins with comes from the volumes before."""
     spec = spec or SPECS[school]
     there = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     df = raw
     for c, (marks, most, by_file) in spec.fill.items():
         if c in df.columns:
-            by = ["file_rank"] if by_file else []
-            order = ORDER if by else ORDER
-            filled = ditto_fill(F.col(c), marks, by, order, most, keep_nulls=bool(marks) and "" not in marks) if marks else forward_fill(F.col(c), by, order, most)
-            df = df.withColumn(c, filled)
+            keep_nulls = bool(marks) and "" not in marks
+            if by_file:
+                df = df.withColumn(c, ditto_fill(F.col(c), marks, ["file_rank"], ORDER, most, keep_nulls) if marks else forward_fill(F.col(c), ["file_rank"], ORDER, most))
+            else:
+                value = stand_ins(F.col(c)) if keep_nulls else F.col(c)
+                df = fill_across(df, c, without_marks(value, marks) if marks else value, *SEQUENCE, most)
+                df = df.withColumn(c, real_nulls(F.col(c))) if keep_nulls else df
     df = df.withColumn("first_names", F.coalesce(there("first_names"), there("first_name")))
     df = with_year(df, spec.year, anchors, helper)
     df = df.withColumn("field", F.coalesce(there("field_expanded"), there("field")) if spec.expanded else (there("field_of_study") if school == "giessen" else there("field")))
     both = text.place(there("hometown"), there("region"))
     if spec.place == "jena":
         df = df.withColumns({c: F.regexp_replace(there(c), r"\.$", "") for c in ("hometown", "region")})
-        both = forward_fill(F.nullif(text.strip(text.place(F.col("hometown"), F.col("region"))), F.lit("Daher")), [], ["volume_id", *ORDER], 10)
+        df = fill_across(df, "_place", F.nullif(text.strip(text.place(F.col("hometown"), F.col("region"))), F.lit("Daher")), "volume_id", ORDER, 10)
+        both = F.col("_place")
     df = df.withColumn("location_full", {"both": both, "jena": both, "given": there("location_full")}.get(spec.place, there(spec.place)))
     df = df.withColumn("address", there("lodging") if school == "jena" else F.concat(there("street"), F.lit(" "), there("house_number")))
     if school == "giessen":

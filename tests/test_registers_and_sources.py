@@ -102,14 +102,43 @@ def test_shapefile(spark, tmp_path):
     assert len(rows) == 1 and rows[0]["attributes"] == {"NAME": "Baden"} and rows[0]["tag"] == "1819" and [(p["x"], p["y"]) for p in rows[0]["rings"][0]] == ring
 
 
-def test_latex():
-    assert [sinks.num(x) for x in (1.23456, -0.5, -0.0001, None, float("nan"))] == ["$1.235$", "$-0.500$", "$0.000$", "", ""]
-    assert sinks.se(0.1) == "(0.100)" and [sinks.stars(p) for p in (0.001, 0.03, 0.07, 0.5)] == ["$^{***}$", "$^{**}$", "$^{*}$", ""]
-    assert sinks.pvalue(0.0001) == "$<$0.001" and sinks.integer(12345) == "12,345" and sinks.escape("a_b & 5%") == r"a\_b \& 5\%"
+def test_cells():
+    assert [sinks.shown(x, "number") for x in (1.23456, -0.5, -0.0001, None, float("nan"))] == ["$1.235$", "$-0.500$", "$0.000$", "", ""]
+    assert sinks.shown(0.1, "error") == "(0.100)" and [sinks.shown(p, "significance") for p in (0.001, 0.03, 0.07, 0.5)] == ["$^{***}$", "$^{**}$", "$^{*}$", ""]
+    assert sinks.shown(0.0001, "probability") == "$<$0.001" and sinks.shown(12345, "count") == "12,345" and sinks.shown("a_b & 5%") == r"a\_b \& 5\%"
+
+
+def test_coefficient_report(spark):
+    rows = spark.createDataFrame([("a", "x", -1.5, 0.2, 0.001), ("b", "x", 0.25, 0.2, 0.2), ("a", "y", 9.0, 1.0, 0.5)], "model string, term string, estimate double, error double, p double")
+    t = sinks.latex(sinks.coefficient_report(rows, {"a": "Flow", "b": "Share"}, {"x": "Distance", "z": "None"}, [("N", ["1,000", "900"])])).splitlines()
+    assert t == [
+        r"\begin{tabular}{lcc}", r"\toprule", r" & (1) & (2) \\", r" & Flow & Share \\", r"\midrule", r"Distance & $-1.500$$^{***}$ & $0.250$ \\", r" & (0.200) & (0.200) \\", r"None &  &  \\", r" &  &  \\",
+        r"\midrule", r"N & 1,000 & 900 \\", r"\bottomrule", r"\end{tabular}",
+    ]
+
+
+def test_frame_report_and_groups(spark):
+    df = spark.createDataFrame([("a_b", 1234, 0.5), (None, None, None)], "name string, n long, x double")
+    report = sinks.frame_report(df)
+    report.groups = [(2, 3, "Both")]
+    assert sinks.latex(report).splitlines()[2:7] == [r" & \multicolumn{2}{c}{Both} \\", r"\cmidrule(lr){2-3}", r"name & n & x \\", r"\midrule", r"a\_b & 1,234 & $0.500$ \\"]
+    with pytest.raises(ValueError):
+        sinks.frame_report(df, most=1)
+
+
+def test_fills_across_volumes(spark):
+    import random
 
-    class Fit:
-        def tidy(self):
-            return [("x", -1.5, 0.2, 0.001)]
+    from almanac.operators import ordered
 
-    t = sinks.regressions(["Flow"], [Fit()], [("Distance", ["x"]), ("None", [None])], [("N", ["1,000"])]).text().splitlines()
-    assert t == [r"\begin{tabular}{lc}", r"\toprule", r" & (1) \\", r" & Flow \\", r"\midrule", r"Distance & $-1.500$$^{***}$ \\", r" & (0.200) \\", r"None &  \\", r" &  \\", r"\midrule", r"N & 1,000 \\", r"\bottomrule", r"\end{tabular}"]
+    r = random.Random(5)
+    rows = [(f, i, r.choice([None, None, None, "a", "b", "="])) for f in range(7) for i in range(r.choice([0, 1, 3, 30]))]
+    df = spark.createDataFrame(rows, "file_rank int, line_no long, v string")
+    for limit in (None, 2, 12):
+        seen, want = None, {}
+        for at, (f, i, v) in enumerate(rows):
+            if v is not None:
+                seen = (at, v)
+            want[f, i] = seen[1] if seen and (limit is None or at - seen[0] <= limit) else None
+        got = {(x["file_rank"], x["line_no"]): x["filled"] for x in ordered.fill_across(df, "filled", F.col("v"), "file_rank", ["line_no"], limit).collect()}
+        assert got == want
