@@ -1,8 +1,9 @@
 """Media columns: whole texts stored as lossless WebP images, read back, and described.
 
-A text's UTF-8 bytes, padded with 255 to a positive multiple of 576, become rows of 192 RGB pixels.
-A payload of more than 16,384 rows (the format's limit) becomes several images one after the other,
-so no text is cut. All columns are computed from the stored bytes as decoded.
+A text's UTF-8 bytes, padded with 255 to a positive multiple of 576, become rows of 576 grey pixels or, where their
+triples repeat much, of 192 RGB pixels, whose colour cache then does the work. A payload of more than 16,384 rows (the
+format's limit) becomes several images one after the other, so no text is cut. All columns are computed from the
+stored bytes as decoded; an image's width tells which of the two it is.
 
 Defined cases: null text counts as empty (one row of 255s); an empty table gives no rows; equal
 texts get equal values; a null id stays null; other columns are not read."""
@@ -22,12 +23,22 @@ UNIT, WIDTH, FILL = 576, 192, 255
 SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def repeats(samples: np.ndarray) -> bool:
+    """Whether under a fifth of the triples are distinct, and a palette of single samples would not do."""
+    triples = samples.reshape(-1, 3)
+    codes = triples[:, 0].astype(np.uint32) << 16 | triples[:, 1].astype(np.uint32) << 8 | triples[:, 2]
+    return 5 * len(np.unique(codes)) < len(codes) and len(np.flatnonzero(np.bincount(samples))) > 16
+
+
 def store(text: str | None) -> bytes:
     """The stored form of a text."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     raw += bytes([FILL]) * (-len(raw) % UNIT if raw else UNIT)
-    step = webp.SIDE * UNIT
-    return b"".join(webp.encode(np.frombuffer(raw[i : i + step], np.uint8), WIDTH) for i in range(0, len(raw), step))
+    step, out = webp.SIDE * UNIT, []
+    for i in range(0, len(raw), step):
+        samples = np.frombuffer(raw[i : i + step], np.uint8)
+        out.append(webp.encode(samples, WIDTH) if repeats(samples) else webp.encode_grey(samples, UNIT))
+    return b"".join(out)
 
 
 def load(media: bytes) -> bytes:
@@ -36,7 +47,7 @@ def load(media: bytes) -> bytes:
     while media:
         image, size = webp.decode(media)
         bgra = image.reshape(-1).view(np.uint8).reshape(-1, 4)
-        out.append(bgra[:, 2::-1].tobytes())
+        out.append(bgra[:, 1].tobytes() if image.shape[1] == UNIT else bgra[:, 2::-1].tobytes())
         media = media[size:]
     return b"".join(out)
 

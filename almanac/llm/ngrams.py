@@ -57,7 +57,7 @@ def quantised(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 / STEP), 0, 65535).astype(np.uint16)
 
 
-def tokens(texts: list, size: int = 8 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def tokens(texts: list, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hashes of the tokens of some texts, end of each text in them), for texts of about ``size`` bytes at a time."""
     hashes, ends, total, held = [], [], 0, 0
     for _, offsets, raw in chunks(texts):
@@ -543,13 +543,10 @@ def score_texts(m: Model, texts: list) -> list[tuple]:
             items, back = np.unique(up[has], return_inverse=True)
             score[has] -= STEP * m.back3.take("back", items).astype(np.float64)[back]
             at, keys = m.triple_keys(pair, w.numbers, ends)
-            distinct, back = np.unique(keys, return_inverse=True)
-            found = m.triples.find(distinct)
+            order = np.argsort(keys)  # triples seldom occur twice in a batch; in order, neighbours touch the same places
+            found = m.triples.find(keys[order])
             got = np.flatnonzero(found >= 0)
-            p3 = np.zeros(len(distinct))
-            p3[got] = -STEP * m.triples.take("p", found[got]).astype(np.float64)
-            held = found[back] >= 0
-            score[at[held]] = p3[back[held]]
+            score[at[order[got]]] = -STEP * m.triples.take("p", found[got]).astype(np.float64)
         out += zip(
             np.diff(ends, prepend=0).tolist(), np.add.reduceat(known.astype(np.int64), start).tolist(),
             np.add.reduceat(base, start).tolist(), np.add.reduceat(score, start).tolist(), strict=True,

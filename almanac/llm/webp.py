@@ -5,16 +5,18 @@ transform where they lower the samples' entropy. Pixels become back-references t
 cache codes and literals, under prefix codes made from their counts.
 
 Decoder: simple and normal prefix codes, meta prefix images, back-references with the two-dimensional
-distance map, the colour cache; inverts predictor, cross-colour, subtract-green and palette transforms. An
-image with one group of codes is read by tables: the symbol that would begin at each bit is looked up
-for all bits at once, the chain of symbols is followed from the first, and what a reference or a cache code stands for is
-found by following links, doubled each time. Images with several groups take the symbol loop.
+distance map, the colour cache; inverts predictor, cross-colour, subtract-green and palette transforms. Symbols are
+looked up by nine bits, longer ones in a whole table; images of grey samples or indexes are built as bytes, whose
+back-references are slices. Prefix codes are those of Deflate, bit for bit, so a run of literals alone, which the writer makes where
+back-references would not pay, is handed to zlib under a Deflate head with the same code lengths. Transforms are inverted for all pixels at once where they are the same for the whole image.
 
 Format facts follow the public "WebP Lossless Bitstream Specification"."""
 
 from __future__ import annotations
 
 import struct
+import zlib
+from bisect import bisect_left
 
 import numpy as np
 
@@ -91,69 +93,114 @@ def spelled(lengths) -> tuple[np.ndarray, np.ndarray]:
     return codes, lengths
 
 
+#: Bits of the short tables.
+SHORT = 9
+
+
 class Prefix:
-    """A prefix code as tables of symbols and lengths by the next ``width`` bits."""
+    """A prefix code as tables by the next bits: symbol << 4 | length for SHORT bits (0 where the code is longer), and whole."""
+
+    #: Where the code's lengths stand in the stream, under which code; and whether symbol 256 has a code.
+    stored: tuple | None = None
+    ends = False
 
     def __init__(self, lengths):
         lengths = np.asarray(lengths, np.int64)
         used = np.flatnonzero(lengths)
         self.only = int(used[0]) if len(used) == 1 else None
-        self.width = 0 if self.only is not None else int(lengths.max())
+        if self.only is not None:
+            return
         used = used[np.argsort(lengths[used], kind="stable")]
-        share = 1 << (self.width - lengths[used]) if self.width else np.ones(1, np.int64)
-        if int(share.sum()) != 1 << self.width or not len(used):
+        own = lengths[used]
+        self.width = int(own[-1]) if len(own) else 0
+        share = 1 << (self.width - own)
+        if not len(used) or int(share.sum()) != 1 << self.width:
             raise ValueError("an incomplete prefix code")
-        at = turned(self.width)
-        self.symbols, self.lengths = np.repeat(used, share)[at], np.repeat(lengths[used] if self.width else [0], share)[at]
-        self.pairs = None
+        self.whole = np.repeat(used << 4 | own, share)[turned(self.width)]
+        part = self.whole[: 1 << SHORT]
+        if self.width > SHORT:
+            part = np.where(part & 15 <= SHORT, part, 0)
+        self.short, self.mask = part.tolist(), len(part) - 1
+
+    @classmethod
+    def single(cls, symbol: int) -> Prefix:
+        out = cls.__new__(cls)
+        out.only = symbol
+        return out
+
+    def long(self, word: int) -> int:
+        return int(self.whole[word & ((1 << self.width) - 1)])
 
     def next(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
-        if self.pairs is None:
-            self.pairs = list(zip(self.symbols.tolist(), self.lengths.tolist(), strict=True))
-        s, n = self.pairs[bits.peek(self.width)]
-        bits.at += n
+        word = bits.peek(15)
+        e = self.short[word & self.mask] or self.long(word)
+        bits.at += e & 15
         if bits.at > bits.end:
             raise ValueError("the bitstream ends early")
-        return s
+        return e >> 4
+
+
+_kept: dict[tuple, Prefix] = {}
+
+
+def kept_prefix(lengths: tuple) -> Prefix:
+    """A code for code lengths; few of them occur, so they are kept."""
+    if lengths not in _kept:
+        if len(_kept) > 1000:
+            _kept.clear()
+        _kept[lengths] = Prefix(lengths)
+    return _kept[lengths]
 
 
 def read_prefix(bits: Bits, size: int) -> Prefix:
-    lengths = [0] * size
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
+        first = bits.read(8 if wide else 1)
+        if not two:
+            return Prefix.single(first)
+        lengths = [0] * max(size, 256)
+        lengths[first] = lengths[bits.read(8)] = 1
         return Prefix(lengths)
     own = [0] * 19
-    for i in range(4 + bits.read(4)):
-        own[LENGTH_ORDER[i]] = bits.read(3)
-    code = Prefix(own)
+    n = 4 + bits.read(4)
+    stored = bits.read(3 * n)
+    for i in range(n):
+        own[LENGTH_ORDER[i]] = stored >> 3 * i & 7
+    code, begin = kept_prefix(tuple(own)), bits.at + 1
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, last = 0, 8
-    while at < size and left:
+    lengths, last, data, at, number = [], 8, bits.data, bits.at, int.from_bytes
+    short, mask = ([code.only << 4], 0) if code.only is not None else (code.short, code.mask)
+    word = spare = 0  # the next bits, and how many of them are good
+    while len(lengths) < size and left:
         left -= 1
-        s = code.next(bits)
+        if spare < 16:
+            word = number(data[at >> 3 : (at >> 3) + 48], "little") >> (at & 7)
+            spare = 376
+        e = short[word & mask]
+        s, n = e >> 4, e & 15
+        word >>= n
         if s < 16:
-            lengths[at], at = s, at + 1
+            lengths.append(s)
             last = s or last
-            continue
-        value, n = (last, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
-        if at + n > size:
-            raise ValueError("code lengths run over")
-        lengths[at : at + n] = [value] * n
+        else:
+            value, many, extra = (last, 3 + (word & 3), 2) if s == 16 else (0, 3 + (word & 7), 3) if s == 17 else (0, 11 + (word & 127), 7)
+            word >>= extra
+            n += extra
+            lengths += [value] * many
         at += n
-    return Prefix(lengths)
-
-
-def extended(bits: Bits, s: int) -> int:
-    """A length or distance from its prefix symbol."""
-    if s < 4:
-        return s + 1
-    extra = (s - 2) >> 1
-    return ((2 + (s & 1)) << extra) + bits.read(extra) + 1
+        spare -= n
+    if len(lengths) > size:
+        raise ValueError("code lengths run over")
+    if at > bits.end:
+        raise ValueError("the bitstream ends early")
+    bits.at = at
+    out = Prefix(lengths + [0] * (size - len(lengths)))
+    if size == 280 and len(lengths) == size and left >= 0 and code.only is None:
+        out.stored = (tuple(own), begin, at)  # all lengths, as they stand in the stream
+        out.ends = len(lengths) > 256 and lengths[256] > 0
+    return out
 
 
 def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -169,191 +216,177 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     g = groups[0]
     if meta is None and all(c.only is not None for c in g[:4]) and g[0].only < 256:
         return np.full(n, g[3].only << 24 | g[1].only << 16 | g[0].only << 8 | g[2].only, np.uint32)
-    if meta is None:
-        begin = bits.at
-        found = tabled(bits, g, n, width, cache_bits)
-        if found is not None:
-            return found
-        bits.at = begin
-    out, at = np.zeros(n, np.uint32), 0
+    if meta is None and not cache_bits and all(c.only is not None for c in g[1:4]):
+        found = literals(bits, g, n) if main else None
+        return grey_pixels(bits, g, n, width) if found is None else found
+    out: list[int] = []
     cache, cached = [0] * (1 << cache_bits), 0
-    while at < n:
+    green, red, blue, alpha, far = g
+    short, data, at, number = near(width), bits.data, bits.at, int.from_bytes
+    while len(out) < n:
         if meta is not None:
-            g = groups[meta[(at // width >> tile) * across + (at % width >> tile)]]
-        s = g[0].next(bits)
+            here = len(out)
+            green, red, blue, alpha, far = groups[meta[(here // width >> tile) * across + (here % width >> tile)]]
+        word = number(data[at >> 3 : (at >> 3) + 24], "little") >> (at & 7)  # as much as a symbol with all that belongs to it takes
+        before, e = word, 0
+        if green.only is not None:
+            s, used = green.only, 0
+        else:
+            e = green.short[word & green.mask] or green.long(word)
+            s, used = e >> 4, e & 15
         if s < 256:
-            red, blue, alpha = g[1].next(bits), g[2].next(bits), g[3].next(bits)
-            out[at] = alpha << 24 | red << 16 | s << 8 | blue
-            at += 1
+            colour = s << 8
+            for code, shift in ((red, 16), (blue, 0), (alpha, 24)):
+                if code.only is not None:
+                    colour |= code.only << shift
+                else:
+                    word = before >> used
+                    e = code.short[word & code.mask] or code.long(word)
+                    colour |= e >> 4 << shift
+                    used += e & 15
+            out.append(colour)
         elif s < 280:
-            length = extended(bits, s - 256)
-            code = extended(bits, g[4].next(bits))
-            if code > 120:
-                back = code - 120
+            length, used = number_of(s - 256, before, used)
+            if far.only is not None:
+                s = far.only
             else:
-                x, y = NEAR[code - 1]
-                back = max(1, x + y * width)
-            if back > at or at + length > n:
-                raise ValueError("a back-reference leaves the image")
-            for i in range(at, at + length):
-                out[i] = out[i - back]
-            at += length
+                word = before >> used
+                e = far.short[word & far.mask] or far.long(word)
+                s = e >> 4
+                used += e & 15
+            code, used = number_of(s, before, used)
+            copy(out, code - 120 if code > 120 else short[code], length, n)
         else:
-            if cache_bits:  # pixels enter the cache in order, up to here
-                for i in range(cached, at):
-                    cache[(int(out[i]) * 0x1E35A7BD & 0xFFFFFFFF) >> (32 - cache_bits)] = out[i]
-                cached = at
-            out[at] = cache[s - 280]
-            at += 1
-    return out
+            for colour in out[cached:]:  # pixels enter the cache in order, up to here
+                cache[(colour * 0x1E35A7BD & 0xFFFFFFFF) >> (32 - cache_bits)] = colour
+            cached = len(out)
+            out.append(cache[s - 280])
+        at += used
+        if at > bits.end:
+            raise ValueError("the bitstream ends early")
+    bits.at = at
+    return np.array(out, np.uint32)
+
+
+#: Fixed values of Deflate: the order in which it stores the lengths of the code-length code.
+DEFLATE_ORDER = (16, 17, 18, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 15)
+
+
+def literals(bits: Bits, g: list, n: int) -> np.ndarray | None:
+    """n grey pixels that are all literals, the last thing in the stream; None where they aren't, or Deflate can't say it.
+
+    Symbol 256 alone of those after the literals has a code: Deflate's end, which nothing here reaches."""
+    green = g[0]
+    if not green.stored or not green.ends or int(green.whole.max()) >> 4 != 256:
+        return None
+    own, begin, end = green.stored
+    codes, sizes = spelled(own)
+    if not sizes[0]:
+        return None
+    head = Writer()
+    head.put(0b101, 3)  # the last block, with codes of its own
+    head.put(280 - 257, 5)
+    head.put(0, 5)
+    head.put(15, 4)
+    for s in DEFLATE_ORDER:
+        head.put(own[s], 3)
+    raw = int.from_bytes(bits.data[begin >> 3 : (end >> 3) + 1], "little") >> (begin & 7)
+    head.put(raw & ((1 << (end - begin)) - 1), end - begin)
+    head.put(int(codes[0]), int(sizes[0]))  # one distance, of no bits
+    rest = int.from_bytes(bits.data[bits.at >> 3 :], "little") >> (bits.at & 7)
+    size = head.at + bits.end - bits.at
+    out = zlib.decompressobj(-15).decompress((head.value | rest << head.at).to_bytes((size >> 3) + 2, "little"), n)
+    if len(out) < n:
+        raise ValueError("the bitstream ends early")
+    bits.at = bits.end
+    return np.frombuffer(out, np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(g[3].only << 24 | g[1].only << 16 | g[2].only)
 
 
-#: Bits that are looked up at once.
-REACH = 1 << 20
-#: Bits that the longest symbol with all that belongs to it takes, and some more.
-MORE = 160
+def number_of(s: int, word: int, used: int) -> tuple[int, int]:
+    """A length or distance from its prefix symbol and the bits of word after the first ``used``; the bits used then."""
+    if s < 4:
+        return s + 1, used
+    extra = (s - 2) >> 1
+    return ((2 + (s & 1)) << extra) + (word >> used & ((1 << extra) - 1)) + 1, used + extra
 
 
-def tabled(bits: Bits, g: list, n: int, width: int, cache_bits: int) -> np.ndarray | None:
-    """n pixels of one group of codes; None if a cache code stands for a colour that never came in."""
-    kinds, firsts, counts, at, seen = [], [], [], bits.at, 0
-    while seen < n:
-        reach = min(REACH, bits.end - at)
-        if reach <= 0:
-            raise ValueError("the bitstream ends early")
-        places, symbol, value, count, after = symbols(bits, g, at, reach, width)
-        total = np.cumsum(count)
-        last = int(np.searchsorted(total, n - seen))
-        if last < len(total):
-            if seen + int(total[last]) > n:
-                raise ValueError("a back-reference leaves the image")
-            places, symbol, value, count, after = (x[: last + 1] for x in (places, symbol, value, count, after))
-        kinds.append(symbol)
-        firsts.append(value)
-        counts.append(count)
-        seen += int(count.sum())
-        at = int(after[-1])
+def copy(out, back: int, length: int, n: int) -> None:
+    """Adds ``length`` items from ``back`` before the end of a list or bytearray; they may reach into themselves."""
+    at = len(out)
+    if back > at or at + length > n:
+        raise ValueError("a back-reference leaves the image")
+    if back >= length:
+        out += out[at - back : at - back + length]
+    else:
+        piece = out[at - back :]
+        out += (piece * (length // back + 1))[:length]
+
+
+def grey_pixels(bits: Bits, g: list, n: int, width: int) -> np.ndarray:
+    """n pixels whose red, blue and alpha take no bits."""
+    out, data, at, number, short_codes = bytearray(), bits.data, bits.at, int.from_bytes, near(width)
+    append, green, far = out.append, g[0], g[4]
+    if green.only is not None:
+        raise ValueError("symbols without bits")
+    short, mask, word, spare, left = green.short, green.mask, 0, 0, n
+    while left > 0:
+        if spare < 96:
+            word, spare = number(data[at >> 3 : (at >> 3) + 48], "little") >> (at & 7), 376
+        e = short[word & mask] or green.long(word)
+        k = e & 15
+        at += k
+        if e < 4096:  # a literal
+            append(e >> 4)
+            left -= 1
+            word >>= k
+            spare -= k
+            continue
+        if e >= 280 << 4:
+            raise ValueError("a cache code without a cache")
+        length, used = number_of((e >> 4) - 256, word, k)
+        if far.only is not None:
+            s = far.only
+        else:
+            e = far.short[word >> used & far.mask] or far.long(word >> used)
+            s = e >> 4
+            used += e & 15
+        code, used = number_of(s, word, used)
+        copy(out, code - 120 if code > 120 else short_codes[code], length, n)
+        left -= length
+        at += used - k
+        word >>= used
+        spare -= used
     if at > bits.end:
         raise ValueError("the bitstream ends early")
     bits.at = at
-    symbol, value, count = (np.concatenate(x) for x in (kinds, firsts, counts))
-    return linked(symbol, value, count, n, cache_bits)
-
-
-def symbols(bits: Bits, g: list, start: int, reach: int, width: int) -> tuple[np.ndarray, ...]:
-    """The symbols that begin in ``reach`` bits from start on: place, green symbol, colour or distance, pixels, place of the next."""
-    first, size = start >> 3, (reach + MORE >> 3) + 2
-    raw = np.zeros(size + 8, np.uint8)
-    piece = np.frombuffer(bits.data, np.uint8, min(size, len(bits.data) - first), first)
-    raw[: len(piece)] = piece
-    words = np.ndarray((size,), "<u8", raw, strides=(1,))
-    at = np.arange(start & 7, (start & 7) + reach + MORE - 8)
-    window = words[at >> 3] >> (at & 7).astype(np.uint64)
-    low = (window & np.uint64(0x7FFF)).astype(np.int64)
-    size = len(at)
-
-    def table(code: Prefix):
-        """The symbol at each bit and where it ends, from the first bit on."""
-        if code.only is not None:
-            return None
-        by = low & ((1 << code.width) - 1)
-        return code.symbols[by], code.lengths[by]
-
-    def step(found, code: Prefix, place: np.ndarray):
-        """The symbols at places, and where they end."""
-        if found is None:
-            return code.only, place
-        return found[0][place], np.minimum(place + found[1][place], size - 1)
-
-    tables = [table(c) for c in g]
-    place = np.arange(size)
-    green, end = step(tables[0], g[0], place)
-    green = np.broadcast_to(green, (size,))
-    red, end_red = step(tables[1], g[1], end)
-    blue, end_blue = step(tables[2], g[2], end_red)
-    alpha, after = step(tables[3], g[3], end_blue)
-    colour = np.broadcast_to(np.asarray(alpha, np.int64) << 24 | np.asarray(red, np.int64) << 16 | green << 8 | blue, (size,))
-    copies = np.flatnonzero((green >= 256) & (green < 280))
-    cached = green >= 280
-    after = np.where(cached, end, np.broadcast_to(after, (size,)))
-    count, value = np.ones(size, np.int64), np.array(colour)
-    if len(copies):
-
-        def numbers(prefix, where):
-            """Lengths or distances from their prefix symbols, whose extra bits begin at where."""
-            extra = np.where(prefix < 4, 0, (prefix - 2) >> 1)
-            own = (window[where] & ((np.uint64(1) << extra.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
-            return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + own + 1), np.minimum(where + extra, size - 1)
-
-        count[copies], where = numbers(green[copies] - 256, end[copies])
-        prefix, where = step(tables[4], g[4], where)
-        code, where = numbers(np.broadcast_to(prefix, (len(copies),)), where)
-        value[copies], after[copies] = np.where(code > 120, code - 120, near(width)[np.minimum(code, 120)]), where
-    # the chain from the first bit on; an only symbol of no bits stands as often as it has to
-    steps, chain, p = after.tolist(), [], 0
-    if (after[:1] == 0).any():
-        raise ValueError("symbols without bits")
-    append = chain.append
-    while p < reach:
-        append(p)
-        p = steps[p]
-    chain = np.array(chain)
-    return chain + start, green[chain], value[chain], count[chain], after[chain] + start
+    return np.frombuffer(out, np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(g[3].only << 24 | g[1].only << 16 | g[2].only)
 
 
-_near: dict[int, np.ndarray] = {}
+_near: dict[int, list[int]] = {}
 
 
-def near(width: int) -> np.ndarray:
+def near(width: int) -> list[int]:
     """The distance in pixels of each short distance code."""
     if width not in _near:
-        _near[width] = np.array([1] + [max(1, x + y * width) for x, y in NEAR])
+        _near[width] = [1] + [max(1, x + y * width) for x, y in NEAR]
     return _near[width]
 
 
+_shortest: dict[int, dict[int, int]] = {}
+
+
+def shortest(width: int) -> dict[int, int]:
+    """The first short code of each distance that has one."""
+    if width not in _shortest:
+        _shortest[width] = {int(d): c for c, d in reversed(list(enumerate(near(width)))) if c}
+    return _shortest[width]
+
+
 def slots(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
     """The place of each colour in the cache."""
     return ((pixels.astype(np.uint32) * np.uint32(0x1E35A7BD)) >> np.uint32(32 - cache_bits)).astype(np.int64)
 
 
-def followed(link: np.ndarray) -> np.ndarray:
-    """Where each chain of links ends; ends link to themselves."""
-    while True:
-        on = link[link]
-        if (on == link).all():
-            return link
-        link = on
-
-
-def linked(symbol: np.ndarray, value: np.ndarray, count: np.ndarray, n: int, cache_bits: int) -> np.ndarray | None:
-    """The pixels that symbols stand for."""
-    begin = np.cumsum(count) - count
-    own = np.arange(n)
-    copy = (symbol >= 256) & (symbol < 280)
-    if (value[copy] > begin[copy]).any():
-        raise ValueError("a back-reference leaves the image")
-    back = np.repeat(np.where(copy, value, 0), count)
-    link = own - back
-    pixels = np.zeros(n, np.uint32)
-    literal = symbol < 256
-    pixels[begin[literal]] = value[literal].astype(np.uint32)
-    hit = begin[symbol >= 280]
-    if len(hit):
-        # a copied pixel has its source's slot, a cached one has the slot that its code names
-        slot = slots(pixels, cache_bits)
-        slot[hit] = symbol[symbol >= 280] - 280
-        slot = slot[followed(link)]
-        order = np.argsort(slot, kind="stable")
-        before = np.full(n, -1)
-        same = slot[order[1:]] == slot[order[:-1]]
-        before[order[1:][same]] = order[:-1][same]
-        if (before[hit] < 0).any():
-            return None
-        link = link.copy()
-        link[hit] = before[hit]
-    return pixels[followed(link)]
-
-
 def average(a, b):
     return (a & b) + ((a ^ b) >> 1)
 
@@ -406,8 +439,11 @@ def undo_predictor(pixels: np.ndarray, width: int, height: int, tile: int, data:
 
 
 def undo_cross_colour(pixels: np.ndarray, width: int, height: int, tile: int, data: np.ndarray) -> np.ndarray:
-    y, x = np.divmod(np.arange(width * height), width)
-    by = data[(y >> tile) * (-(-width >> tile)) + (x >> tile)]
+    if (data == data[0]).all():
+        by = data[:1]
+    else:
+        y, x = np.divmod(np.arange(width * height), width)
+        by = data[(y >> tile) * (-(-width >> tile)) + (x >> tile)]
     signed = lambda a, shift: ((a >> shift) & 255).astype(np.uint8).view(np.int8).astype(np.int32)
     red_to_blue, green_to_blue, green_to_red = signed(by, 16), signed(by, 8), signed(by, 0)
     green = signed(pixels, 8)
@@ -475,10 +511,21 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
 # ---------------------------------------------------------------- the writer
 
 
+_logs = np.arange(1, 1 << 14) * np.log2(np.arange(1, 1 << 14))
+
+
 def entropy(counts: np.ndarray) -> float:
     """Bits that symbols with these counts take, and about five for each symbol that occurs."""
     c = counts[counts > 0]
-    return float(c.sum() * np.log2(max(1, c.sum())) - (c * np.log2(c)).sum()) + 5 * len(c) * (len(c) > 1)
+    total = int(c.sum())
+    if len(c) < 2:
+        return 0.0
+    own = _logs[c - 1].sum() if total < 1 << 14 else (c * np.log2(c)).sum()
+    return float(total * np.log2(total) - own) + 5 * len(c)
+
+
+#: Lengths of the code under which the writer stores code lengths: complete, short for those that texts' codes have.
+STORED = (3, 7, 7, 7, 5, 4, 3, 3, 3, 3, 4, 5, 7, 7, 7, 7, 7, 4, 4)
 
 
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
@@ -516,41 +563,53 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
         weights = np.sort((weights >> 1) + 1 + weights.sum() // (1 << most))
 
 
+_stored: list = []
+
+
+def stored() -> tuple:
+    """What comes before code lengths in the stream, the codes of their marks, and their bits."""
+    if not _stored:
+        codes, bits = spelled(STORED)
+        head = Writer()
+        head.put(0, 1)
+        head.put(15, 4)
+        for s in LENGTH_ORDER:
+            head.put(STORED[s], 3)
+        head.put(0, 1)  # all lengths are there
+        _stored.append((head, codes.tolist(), bits.tolist()))
+    return _stored[0]
+
+
 def put_lengths(to: Writer, lengths: np.ndarray) -> None:
-    """A prefix code's lengths: simple for one or two symbols, else under a code of their own with runs."""
-    used = np.flatnonzero(lengths).tolist()
-    if len(used) <= 2 and used and used[-1] < 256:
+    """A prefix code's lengths: simple for one or two symbols, else under the code STORED, with runs."""
+    used = np.flatnonzero(lengths)
+    if 0 < len(used) <= 2 and used[-1] < 256:
+        used = used.tolist()
         to.put(1 | (len(used) - 1) << 1 | (used[0] > 1) << 2, 3)
         to.put(used[0], 8 if used[0] > 1 else 1)
         if len(used) == 2:
             to.put(used[1], 8)
         return
-    edges = np.flatnonzero(np.diff(lengths, prepend=-1)).tolist() + [len(lengths)]
-    marks: list[tuple[int, int, int]] = []  # symbol, extra bits, how many
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        value, left = int(lengths[a]), b - a
-        if value:
-            marks.append((value, 0, 0))
+    head, codes, bits = stored()
+    edges = np.flatnonzero(lengths[1:] != lengths[:-1]) + 1
+    begin = [0, *edges.tolist()]
+    which = lengths[begin].tolist()
+    value, at = head.value, head.at
+    for a, b, n in zip(begin, [*begin[1:], len(lengths)], which, strict=True):
+        left = b - a
+        if n:
+            value |= codes[n] << at
+            at += bits[n]
             left -= 1
         while left >= 3:
-            now = min(left, 138 if not value else 6)
-            marks.append((16, now - 3, 2) if value else (17, now - 3, 3) if now <= 10 else (18, now - 11, 7))
+            now = min(left, 138 if not n else 6)
+            s, extra, more = (16, now - 3, 2) if n else (17, now - 3, 3) if now <= 10 else (18, now - 11, 7)
+            value |= (codes[s] | extra << bits[s]) << at
+            at += bits[s] + more
             left -= now
-        marks += [(value, 0, 0)] * left
-    own = code_lengths(np.bincount([m[0] for m in marks], minlength=19), 7)
-    codes, bits = spelled(own)
-    stored = [int(own[s]) for s in LENGTH_ORDER]
-    many = max(4, max(i + 1 for i, n in enumerate(stored) if n))
-    to.put(0, 1)
-    to.put(many - 4, 4)
-    for n in stored[:many]:
-        to.put(n, 3)
-    to.put(0, 1)  # all lengths are there
-    codes, bits = codes.tolist(), bits.tolist()
-    value, at = 0, 0
-    for s, extra, n in marks:
-        value |= (codes[s] | extra << bits[s]) << at
-        at += bits[s] + n
+        for _ in range(left):
+            value |= codes[n] << at
+            at += bits[n]
     to.put(value, at)
 
 
@@ -581,11 +640,11 @@ def matches(pixels: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.
     stop = np.where(on, n, np.arange(n))
     length = np.minimum.accumulate(stop[::-1])[::-1] - np.arange(n) + 3
     good = np.flatnonzero((before >= 0) & (length >= least))
-    places, lengths, at, taken = good.tolist(), length[good].tolist(), 0, []
-    for k, i in enumerate(places):
-        if i >= at:
-            taken.append(k)
-            at = i + lengths[k]
+    places, k, taken = good.tolist(), 0, []
+    ends = (good + length[good]).tolist()
+    while k < len(places):
+        taken.append(k)
+        k = bisect_left(places, ends[k], k + 1)
     taken = good[np.array(taken, np.int64)]
     length, back = length[taken], taken - before[taken]
     if (length > 4096).any():  # the format's longest run
@@ -596,25 +655,34 @@ def matches(pixels: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.
     return taken, length, back
 
 
+def pays(pixels: np.ndarray) -> bool:
+    """Whether back-references save a quarter of a grey image, by a quick try with others than the format's."""
+    samples = (pixels >> np.uint32(8)).astype(np.uint8)
+    return 8 * len(zlib.compress(samples.tobytes(), 1)) < 0.75 * entropy(np.bincount(samples))
+
+
 def put_pixels(to: Writer, pixels: np.ndarray, width: int, main: bool) -> bytes:
     """An image's pixels after what is in ``to``; returned as bytes if main, else added to it."""
     n = len(pixels)
     flat = main and len(pixels) > 3 and not (pixels & np.uint32(0xFF00FF)).any()  # samples in green alone
-    start, length, back = matches(pixels, 4 if flat else 3) if main else (np.empty(0, np.int64),) * 3
+    start, length, back = matches(pixels, 4 if flat else 3) if main and (not flat or pays(pixels)) else (np.empty(0, np.int64),) * 3
     inside = np.zeros(n + 1, np.int64)
     np.add.at(inside, start, 1)
     np.add.at(inside, start + length, -1)
     alone = np.cumsum(inside[:-1]) == 0
     single = pixels[alone]
     channel = lambda p, shift: ((p >> np.uint32(shift)) & np.uint32(255)).astype(np.int64)
-    parts = [channel(pixels, s) for s in (8, 16, 0)]
+    parts = [channel(pixels, s) for s in ((8,) if flat else (8, 16, 0))] + [None, None] * flat
     len_symbol, len_extra, len_bits = prefixes(length)
-    short = {int(d): c for c, d in reversed(list(enumerate(near(width).tolist()))) if c}
+    short = shortest(width)
     code = np.array([short.get(d, d + 120) for d in back.tolist()], np.int64)
     far_symbol, far_extra, far_bits = prefixes(code)
     runs = np.bincount(256 + len_symbol, minlength=280)
-    counts = [np.bincount(p[alone], minlength=280 if i == 0 else 256) for i, p in enumerate(parts)]
+    none = np.bincount([0], minlength=256)
+    counts = [np.bincount(p[alone], minlength=280) if i == 0 else none if flat else np.bincount(p[alone], minlength=256) for i, p in enumerate(parts)]
     counts[0] += runs
+    if flat and not len(start):
+        counts[0][256] = 1  # see literals()
     cache_bits, hit = 0, np.zeros(n, bool)
     if main and not flat and len(single) > 16:
         try_bits = min(10, max(2, len(single).bit_length() - 2))
@@ -630,8 +698,9 @@ def put_pixels(to: Writer, pixels: np.ndarray, width: int, main: bool) -> bytes:
         if sum(map(entropy, other)) < sum(map(entropy, counts)):
             cache_bits, hit, counts = try_bits, hits, other
             parts[0] = np.where(hit, 280 + slot, parts[0])
-    lengths = [code_lengths(c, 15) for c in counts]
-    lengths += [code_lengths(np.bincount(channel(single, 24), minlength=256) if len(single) else np.bincount([255]), 15), code_lengths(np.bincount(far_symbol, minlength=40), 15)]
+    lengths = [code_lengths(c, 11) for c in counts]  # short tables read them faster than the format's 15 bits
+    opaque = np.bincount(channel(single[:1] if flat else single, 24), minlength=256) if len(single) else np.bincount([255])
+    lengths += [code_lengths(opaque, 15), code_lengths(np.bincount(far_symbol, minlength=40), 15)]
     to.put(cache_bits << 1 | 1 if cache_bits else 0, 5 if cache_bits else 1)
     if main:
         to.put(0, 1)  # one group of codes
@@ -640,8 +709,20 @@ def put_pixels(to: Writer, pixels: np.ndarray, width: int, main: bool) -> bytes:
             x[0] = 1
         put_lengths(to, x)
     codes, sizes = zip(*map(spelled, lengths), strict=True)
-    # three numbers for each symbol: green, cache code or length; red or distance; blue and alpha
     heads = np.flatnonzero(alone)
+    if flat and len(single):  # a literal is its green sample alone; a copy its length, then its distance
+        at = np.argsort(np.concatenate([heads, start]), kind="stable")
+        values, many = np.zeros((2, len(heads) + len(start)), np.int64), np.zeros((2, len(heads) + len(start)), np.int64)
+        k, s = len(heads), 256 + len_symbol
+        values[0, :k], many[0, :k] = codes[0][parts[0][heads]], sizes[0][parts[0][heads]]
+        values[0, k:], many[0, k:] = codes[0][s] | len_extra << sizes[0][s], sizes[0][s] + len_bits
+        values[1, k:], many[1, k:] = codes[4][far_symbol] | far_extra << sizes[4][far_symbol], sizes[4][far_symbol] + far_bits
+        if len(start):
+            values, many = values[:, at].T.reshape(-1), many[:, at].T.reshape(-1)
+        else:
+            values, many = values[0], many[0]
+        return joined(to.value, to.at, values, many).tobytes()
+    # three numbers for each symbol: green, cache code or length; red or distance; blue and alpha
     at = np.argsort(np.concatenate([heads, start]), kind="stable")
     plain = ~hit[heads]
     values, many = np.zeros((3, len(heads) + len(start)), np.int64), np.zeros((3, len(heads) + len(start)), np.int64)
@@ -720,31 +801,84 @@ def argb(image: np.ndarray) -> np.ndarray:
     return np.uint32(0xFF000000) | flat[:, 0] << np.uint32(16) | flat[:, 1] << np.uint32(8) | flat[:, 2]
 
 
-def encode(samples: np.ndarray, width: int) -> bytes:
-    """samples: uint8, three for each pixel (red, green, blue), rows of ``width`` pixels."""
-    image = np.ascontiguousarray(samples).reshape(-1, width, 3)
-    height = len(image)
+def put_palette(to: Writer, colours: np.ndarray, index: np.ndarray, width: int, height: int) -> tuple[np.ndarray, int]:
+    """Writes the colours (ARGB); the indexes as pixels, several to a pixel if there are few colours, and their width."""
+    packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+    to.put(1, 1)
+    to.put(3, 2)
+    to.put(len(colours) - 1, 8)
+    deltas = np.diff(colours.view(np.uint8).reshape(-1, 4), axis=0, prepend=np.zeros((1, 4), np.uint8))
+    put_pixels(to, np.ascontiguousarray(deltas).view(np.uint32).reshape(-1), len(colours), False)
+    inner = -(-width >> packed)
+    wide = np.zeros((height, inner << packed), np.uint32)
+    wide[:, :width] = index.reshape(height, width)
+    wide = wide.reshape(height, inner, 1 << packed) << (np.arange(1 << packed, dtype=np.uint32) * np.uint32(8 >> packed))
+    return np.uint32(0xFF000000) | wide.sum(axis=2, dtype=np.uint32).reshape(-1) << np.uint32(8), inner
+
+
+def put_transform(to: Writer, kind: int, red: int, green: int, blue: int) -> None:
+    """The predictor (0) or the cross-colour transform (1), the same for the whole image."""
+    to.put(1, 1)
+    to.put(kind, 2)
+    to.put(7, 3)  # tiles of 512 pixels
+    constant(to, red, green, blue)
+
+
+def contained(stream: bytes) -> bytes:
+    pad = b"\0" * (len(stream) & 1)
+    return b"RIFF" + struct.pack("<I", 12 + len(stream) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + pad
+
+
+def opening(width: int, height: int) -> Writer:
     to = Writer()
     to.put(0x2F, 8)
     to.put(width - 1, 14)
     to.put(height - 1, 14)
     to.put(0, 4)
+    return to
+
+
+def encode_grey(samples: np.ndarray, width: int) -> bytes:
+    """samples: uint8, one for each pixel, rows of ``width`` pixels.
+
+    Red and blue equal green, which the cross-colour transform takes out of them (32 / 32 of it), so that they need no bits."""
+    image = np.ascontiguousarray(samples).reshape(-1, width)
+    height, to = len(image), opening(width, len(image))
+    counts = np.bincount(samples, minlength=256)
+    used = np.flatnonzero(counts)
+    if len(used) <= 16:
+        index = np.zeros(256, np.uint32)
+        index[used] = np.arange(len(used))
+        colours = np.uint32(0xFF000000) | used.astype(np.uint32) * np.uint32(0x10101)
+        pixels, width = put_palette(to, colours, index[samples], width, height)
+    else:
+        best, mode = entropy(counts), 0
+        for m in (1, 2):
+            left = residues(image, m)
+            if (c := entropy(np.bincount(left.reshape(-1), minlength=256)) + 80) < best:
+                best, mode, chosen = c, m, left
+        if mode:
+            image = chosen
+            put_transform(to, 0, 0, mode, 0)
+        put_transform(to, 1, 0, 32, 32)
+        pixels = image.reshape(-1).astype(np.uint32) << np.uint32(8)
+        if not mode:  # with a predictor only the first pixel's alpha is predicted as 255, all others' as that of a neighbour
+            pixels |= np.uint32(0xFF000000)
+    to.put(0, 1)
+    return contained(put_pixels(to, pixels, width, True))
+
+
+def encode(samples: np.ndarray, width: int) -> bytes:
+    """samples: uint8, three for each pixel (red, green, blue), rows of ``width`` pixels."""
+    image = np.ascontiguousarray(samples).reshape(-1, width, 3)
+    height = len(image)
+    to = opening(width, height)
     pixels, inner = argb(image), width
-    colours, index = np.unique(pixels, return_inverse=True)
-    plain = cost(image)
-    if len(colours) <= 256 and entropy(np.bincount(index)) + 20 * len(colours) < plain:
-        packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
-        to.put(1, 1)
-        to.put(3, 2)
-        to.put(len(colours) - 1, 8)
-        deltas = np.diff(colours.view(np.uint8).reshape(-1, 4), axis=0, prepend=np.zeros((1, 4), np.uint8))
-        put_pixels(to, np.ascontiguousarray(deltas).view(np.uint32).reshape(-1), len(colours), False)
-        inner = -(-width >> packed)
-        wide = np.zeros((height, inner << packed), np.uint32)
-        wide[:, :width] = index.reshape(height, width)
-        bits = 8 >> packed
-        wide = wide.reshape(height, inner, 1 << packed) << (np.arange(1 << packed, dtype=np.uint32) * np.uint32(bits))
-        pixels = np.uint32(0xFF000000) | wide.sum(axis=2, dtype=np.uint32).reshape(-1) << np.uint32(8)
+    colours, plain, index = np.unique(pixels), cost(image), None
+    if len(colours) <= 256:
+        index = np.searchsorted(colours, pixels)
+    if index is not None and entropy(np.bincount(index)) + 20 * len(colours) < plain:
+        pixels, inner = put_palette(to, colours, index, width, height)
     else:
         best, mode = plain, 0
         for m in (1, 2):
@@ -753,24 +887,16 @@ def encode(samples: np.ndarray, width: int) -> bytes:
                 best, mode, chosen = c, m, left
         if mode:
             image = chosen
-            to.put(1, 1)
-            to.put(0, 2)
-            to.put(7, 3)  # tiles of 512 pixels
-            constant(to, 0, mode, 0)
+            put_transform(to, 0, 0, mode, 0)
         to_red = slope(image[..., 1].copy(), image[..., 0].copy())
         to_blue = slope(image[..., 1].copy(), image[..., 2].copy())
         red_too = slope(image[..., 0].copy(), less_cross(image, (0, to_blue, 0))[..., 2].copy())
         by = (to_red, to_blue, red_too)
         if any(by) and cost(less := less_cross(image, by)) + 80 < best:
             image = less
-            to.put(1, 1)
-            to.put(1, 2)
-            to.put(7, 3)
-            constant(to, red_too & 255, to_blue & 255, to_red & 255)
+            put_transform(to, 1, red_too & 255, to_blue & 255, to_red & 255)
         pixels = argb(image)
         if mode:  # the first pixel's alpha is predicted as 255, all others' as that of a neighbour
             pixels &= np.uint32(0xFFFFFF)
     to.put(0, 1)
-    stream = put_pixels(to, pixels, inner, True)
-    pad = b"\0" * (len(stream) & 1)
-    return b"RIFF" + struct.pack("<I", 12 + len(stream) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + pad
+    return contained(put_pixels(to, pixels, inner, True))

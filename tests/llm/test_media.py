@@ -246,3 +246,65 @@ def test_query_rows(spark):
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert (r["media_bytes"], r["media_sha256"]) == (len(r["media"]), hashlib.sha256(bytes(r["media"])).hexdigest())
     assert media.media_columns(df.limit(0)).count() == 0
+
+
+def kinds(media_bytes):
+    """What an image's stream holds: its transforms, and whether cache and back-references occur."""
+    bits = webp.Bits(media_bytes[20:])
+    bits.read(40)
+    found = []
+    seen = {"copy": False, "cache": False}
+    while bits.read(1):
+        kind = bits.read(2)
+        found.append(kind)
+        if kind in (0, 1):
+            bits.read(3)
+            webp.read_image(bits, 1, 1, False)
+        elif kind == 3:
+            webp.read_image(bits, bits.read(8) + 1, 1, False)
+    seen["cache"] = bool(bits.peek(1))
+    return found, seen
+
+
+def test_the_writer_uses_what_helps(monkeypatch):
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghilmnoprstuvwz") for _ in range(r.randint(2, 9)))
+    prose = " ".join(word() for _ in range(600))
+    plain, repeated, few = prose, (prose[:499] + "\n") * 9, "ab" * 3000
+    triples = "".join(r.choice(["abc", "def", "ghi", "jkl", "mno", "pqr", "stu", "vwx"]) for _ in range(3000))
+    ramp = "".join(chr(32 + (i + i // 576) % 90) for i in range(20_000))
+    copies = []
+    real = webp.copy
+    monkeypatch.setattr(webp, "copy", lambda *a: (copies.append(1), real(*a))[1])
+    for text, transforms, copied, cached in ((plain, [1], False, False), (repeated, [1], True, False), (few, [3], True, False), (triples, [3], None, False), (ramp, [0], None, False)):
+        copies.clear()
+        stored = media.store(text)
+        assert media.load(stored)[: len(text)] == text.encode()
+        found, seen = kinds(stored)
+        assert found == transforms or text is triples, (text[:20], found)
+        assert copied is None or bool(copies) == copied, text[:20]
+        assert len(stored) < 0.75 * len(text)
+
+
+def test_literals_by_deflate_are_those_of_the_symbol_loop(monkeypatch):
+    import random
+
+    r = random.Random(9)
+    texts = ["".join(chr(r.randint(32, 32 + k)) for _ in range(r.randint(1, 4000))) for k in (20, 40, 90, 400, 5000) for _ in range(4)]
+    stored = [media.store(t) for t in texts]
+    quick = [media.load(m) for m in stored]
+    monkeypatch.setattr(webp, "literals", lambda *a: None)
+    assert [media.load(m) for m in stored] == quick
+    assert all(q[: len(t.encode())] == t.encode() for q, t in zip(quick, texts, strict=True))
+
+
+def test_rgb_images_with_a_colour_cache():
+    rng = np.random.default_rng(3)
+    colours = rng.integers(0, 256, (700, 3), dtype=np.uint8)
+    image = colours[rng.zipf(1.3, 6 * 192) % 700].reshape(-1)
+    stored = webp.encode(image, 192)
+    assert kinds(stored)[1]["cache"]
+    back, _ = webp.decode(stored)
+    assert (back.reshape(-1).view(np.uint8).reshape(-1, 4)[:, 2::-1].reshape(-1) == image).all()
