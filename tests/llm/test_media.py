@@ -307,7 +307,7 @@ def test_literals_by_deflate_are_those_of_the_symbol_loop(monkeypatch):
 def test_rgb_images_with_a_colour_cache():
     rng = np.random.default_rng(3)
     colours = rng.integers(0, 256, (700, 3), dtype=np.uint8)
-    image = colours[rng.zipf(1.3, 6 * 192) % 700].reshape(-1)
+    image = colours[rng.zipf(1.3, 30 * 192) % 700].reshape(-1)
     stored = webp.encode(image, 192)
     assert kinds(stored)[1]["cache"]
     back, _ = webp.decode(stored)
