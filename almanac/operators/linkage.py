@@ -309,6 +309,69 @@ def evaluate(clusters: DataFrame, truth: DataFrame, id_: str = "spell_id", found
     return one.select((F.col("pure") / F.col("n")).alias("purity"), p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"))
 
 
+def _pairs(df: DataFrame, *by: str) -> DataFrame:
+    """One row: how many pairs of spells of different schools agree on ``by``, from counts (no pairs are made)."""
+    two = lambda n: n * (n - 1) / 2
+    cells = df.groupBy(*by, "school").agg(F.count(F.lit(1)).alias("n"))
+    whole = cells.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(two(F.col("n"))).alias("same"))
+    return whole.agg(F.coalesce(F.sum(two(F.col("n")) - F.col("same")), F.lit(0.0)).cast("long").alias("n"))
+
+
+def cross_school_quality(found: DataFrame) -> DataFrame:
+    """One row: predicted, actual and correct pairs of different schools, precision, recall, F1. found: student_id, person, school."""
+    one = _pairs(found, "student_id").withColumnRenamed("n", "predicted").crossJoin(_pairs(found, "person").withColumnRenamed("n", "actual")).crossJoin(_pairs(found, "student_id", "person").withColumnRenamed("n", "correct"))
+    p, r = F.try_divide("correct", "predicted"), F.try_divide("correct", "actual")
+    return one.select("predicted", "actual", "correct", p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"))
+
+
+def blocking_recall(blocked: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: pairs of one person at two schools, and how many of them the blocks (lid, rid) hold. truth: spell_id, person, school."""
+    side = lambda p, k: truth.select(F.col("spell_id").alias(k), F.col("person").alias(p + "p"), F.col("school").alias(p + "s"))
+    told = blocked.join(side("l", "lid"), "lid").join(side("r", "rid"), "rid").where("lp = rp and ls != rs")
+    held = told.agg(F.count(F.lit(1)).alias("in_blocks"))
+    return _pairs(truth, "person").withColumnRenamed("n", "true_pairs").crossJoin(held).withColumn("recall", F.try_divide("in_blocks", "true_pairs"))
+
+
+def threshold_sweep(scored: DataFrame, truth: DataFrame, thresholds: tuple = (0.5, 0.7, 0.8, 0.9, 0.95, 0.99)) -> DataFrame:
+    """A row for each threshold: edges at or over it, their precision, and the share of true pairs among them; one pass."""
+    side = lambda p, k: truth.select(F.col("spell_id").alias(k), F.col("person").alias(p))
+    told = scored.join(side("_l", "lid"), "lid").join(side("_r", "rid"), "rid").withColumn("_ok", F.col("_l") == F.col("_r"))
+    cells = []
+    for i, th in enumerate(thresholds):
+        over = F.col("probability") >= th
+        cells += [F.count_if(over).alias(f"n{i}"), F.count_if(over & F.col("_ok")).alias(f"k{i}")]
+    one = told.agg(*cells).crossJoin(_pairs(truth, "person"))
+    rows = [F.struct(F.lit(th).alias("threshold"), F.col(f"n{i}").alias("edges"), F.try_divide(f"k{i}", f"n{i}").alias("precision"), F.try_divide(F.col(f"k{i}"), F.col("n")).alias("recall")) for i, th in enumerate(thresholds)]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def recall_by(found: DataFrame, label: str, least: int = 1) -> DataFrame:
+    """a, b (labels of both spells, a <= b), true pairs and the share of them that is linked. found: student_id, person, school, ``label``.
+
+    A person has few labels, so counts by person and label meet, not spells."""
+    both = None
+    for name, by in (("true_pairs", ["person"]), ("linked", ["person", "student_id"])):
+        n = found.groupBy(*by, "school", label).agg(F.count(F.lit(1)).alias("n"))
+        l, r = n.select(*by, F.col("school").alias("ls"), F.col(label).alias("a"), F.col("n").alias("ln")), n.select(*by, F.col("school").alias("rs"), F.col(label).alias("b"), F.col("n").alias("rn"))
+        # each pair of cells once: by school, as schools differ
+        cells = l.join(r, by).where("ls < rs").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("ln") * F.col("rn")).alias("n"))
+        total = cells.groupBy("a", "b").agg(F.sum("n").alias(name))
+        both = total if both is None else both.join(total, ["a", "b"], "left")
+    return both.where(F.col("true_pairs") >= least).select("a", "b", "true_pairs", (F.coalesce("linked", F.lit(0)) / F.col("true_pairs")).alias("recall"))
+
+
+def gold_validation(found: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: of the spells whose earlier school is stated, how many were linked to it, to other schools only, or to none.
+
+    found: spell_id, student_id, school; gold: spell_id, target."""
+    schools = found.groupBy("student_id").agg(F.collect_set("school").alias("_s"))
+    told = gold.join(found.select("spell_id", "student_id"), "spell_id").join(schools, "student_id")
+    hit = F.array_contains("_s", F.col("target"))
+    return told.agg(
+        F.count(F.lit(1)).alias("reachable"), F.count_if(hit).alias("hit"), F.count_if(~hit & (F.size("_s") > 1)).alias("wrong_school"), F.count_if(F.size("_s") == 1).alias("unlinked")
+    )
+
+
 def link(records: DataFrame, annual: list[str], threshold: float = 0.95, mean_schools: float = 1.45, sample: int = 3000, rare: float = 2e-4) -> DataFrame:
     """record_id, spell_id, student_id for records; the whole chain."""
     prepared = prepare(records)

@@ -78,3 +78,41 @@ def polity_id(state: Column, province: Column, name: Column, override: dict[str,
     for n, v in override.items():
         out = F.when(name == n, v).otherwise(out)
     return out
+
+
+def place_label(state: Column, province: Column) -> Column:
+    """'state/province', or the one that is there."""
+    return F.concat_ws("/", state, province)
+
+
+def broad_europe(in_borders: Column, lat: Column, lon: Column) -> Column:
+    """Within the borders, or in a wide box around Europe."""
+    return F.coalesce(in_borders, F.lit(False)) | F.coalesce(lat.between(34, 72) & lon.between(-25, 45), F.lit(False))
+
+
+def polities_by_year(points: DataFrame, states: DataFrame, provinces: DataFrame, years: list[int], x: str, y: str, cell: float = 1.0) -> DataFrame:
+    """points in each map year with their state and province of that year's map, label and polity id.
+
+    states: year, state, state_id, rings; provinces: year, province, province_id, rings."""
+    from .geometry import point_in_polygon
+
+    dated = points.crossJoin(F.broadcast(points.sparkSession.createDataFrame([(v,) for v in years], "year int")))
+    both = point_in_polygon(point_in_polygon(dated, states, x, y, ["year"], cell=cell), provinces, x, y, ["year"], cell=cell)
+    return both.withColumns({"label": place_label(F.col("state"), F.col("province")), "polity_id": polity_id(F.coalesce("state_id", F.lit(0)), F.col("province_id"), F.col("state"), {})})
+
+
+def polity_report(found: DataFrame, key: str, years: int) -> DataFrame:
+    """A row for each point: rows, years without a state or a province, years with several states, and whether all is well."""
+    per = found.groupBy(key, "year").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("state").alias("s"), F.count("province").alias("p"))
+    out = per.groupBy(key).agg(F.sum("n").alias("n_rows"), F.count_if(F.col("s") == 0).alias("no_state"), F.count_if(F.col("p") == 0).alias("no_province"), F.count_if(F.col("s") > 1).alias("several_states"))
+    return out.withColumn("ok", (F.col("n_rows") == years) & (F.col("no_state") == 0) & (F.col("several_states") == 0))
+
+
+def donor_pool(grid: DataFrame, dest: str, keep: list[str] | None) -> DataFrame:
+    """The rows of the destinations of a pool; None stands for all."""
+    return grid if keep is None else grid.where(F.col(dest).isin(*keep))
+
+
+def far_shares(df: DataFrame, by: list[str], far: Column) -> DataFrame:
+    """The share of far rows, and how many rows there are, in each group."""
+    return df.groupBy(*by).agg(F.avg(far.cast("int")).alias("share_far"), F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geo
 from ..operators import gazetteer, geocode
 from .catalog import query, t
 
@@ -54,13 +53,13 @@ def tables(spark, d) -> dict:
         "placetypes": kinds.union(p.where(k % 5 == 0).select("id", F.lit(2), F.lit("N"), F.lit("County seat"))),
         "rels": p.where("up is not null").select(F.col("up").alias("PARENT_ID"), F.col("id").alias("CHILD_ID"), F.lit("P ").alias("PREFERRED")),
         "coords": p.where("k is not null").select(F.col("id").alias("SUBJECT_ID"), lat.alias("LAT"), lon.alias("LON"), box(lat, -0.1).alias("LAT_MIN_BOX"), box(lat, 0.1).alias("LAT_MAX_BOX"), box(lon, -0.2).alias("LON_MIN_BOX"), box(lon, 0.2).alias("LON_MAX_BOX")),
-        "languages": p.select(F.col("id").alias("SUBJECT_ID"), F.explode(F.sequence(F.lit(1), F.col("langs"))).cast("string").alias("LANGUAGE_CODE")),
+        "languages": p.select(F.col("id").alias("SUBJECT_ID"), F.explode(F.sequence(F.lit(1), F.col("langs"))).alias("LANGUAGE_CODE")),
         "sources": p.select(F.col("id").alias("SUBJECT_ID"), F.coalesce(k % 6, F.lit(3)).alias("n_sources")),
     }
 
 
 INDEX = f"""
-WITH p AS ({PLACES}), terms AS (SELECT name AS "TERM", id * 10 AS "TERM_ID", id, 1.0 AS q FROM p UNION ALL SELECT name || ' Stadt', id * 10 + 1, id, 0.8 FROM p WHERE k % 3 = 0),
+WITH p AS ({PLACES}), terms AS (SELECT name AS "TERM", id * 10 AS "TERM_ID", id, 1.0::double AS q FROM p UNION ALL SELECT name || ' Stadt', id * 10 + 1, id, 0.8::double FROM p WHERE k % 3 = 0),
      live AS (SELECT * FROM p WHERE coalesce(k % 41, 1) <> 0 AND coalesce(k % 50, 1) <> 0),
      n AS (SELECT id, count(*) AS n_terms FROM terms GROUP BY 1), ch AS (SELECT up AS id, count(*) AS n_children FROM p WHERE up IS NOT NULL GROUP BY 1),
      a AS (SELECT live.*, n_terms, coalesce(n_children, 0) AS n_children, kind IN ('city', 'village', 'suburb') AS is_settlement,
@@ -79,7 +78,7 @@ def index(spark, d):
 
 @query(INDEX + """
 SELECT "TERM", "TERM_ID", i.id AS "SUBJECT_ID", q AS term_quality, n_terms, geo_precision, is_settlement, is_sub AS is_sub_settlement, up AS parent_id, round(lat, 6) AS "LAT", round(lon, 6) AS "LON", round(prominence, 6) AS prominence,
-       lower("TERM") AS k_fold FROM i JOIN terms ON terms.id = i.id
+       lower(replace("TERM", '_', ' ')) AS k_fold FROM i JOIN terms ON terms.id = i.id
 """)
 def gazetteer_index(spark, d):
     """Terms without codes, living places only, with precision, sub-settlements, prominence and keys."""
@@ -87,11 +86,15 @@ def gazetteer_index(spark, d):
     return out.select("TERM", "TERM_ID", "SUBJECT_ID", "term_quality", "n_terms", "geo_precision", "is_settlement", "is_sub_settlement", "parent_id", F.round("LAT", 6).alias("LAT"), F.round("LON", 6).alias("LON"), F.round("prominence", 6).alias("prominence"), "k_fold")
 
 
-@query(INDEX + """, s AS (SELECT DISTINCT CASE k % 4 WHEN 0 THEN name WHEN 1 THEN upper(name) WHEN 2 THEN '  ' || name || '! ' ELSE name || ' Stadt' END AS src FROM p WHERE k IS NOT NULL),
-     x AS (SELECT terms.*, trim(regexp_replace(lower("TERM"), '[^a-z ]', '', 'g')) AS kf FROM terms JOIN i ON terms.id = i.id), e AS (SELECT src, x.*, 0 AS rung FROM s JOIN x ON src = "TERM" UNION ALL
-     SELECT src, x.*, 1 FROM s JOIN x ON trim(regexp_replace(lower(src), '[^a-z ]', '', 'g')) = kf), h AS (SELECT * FROM e QUALIFY rung = min(rung) OVER (PARTITION BY src)),
+def _plain(c: str) -> str:
+    return f"trim(regexp_replace(replace(lower({c}), '_', ' '), '[^a-z0-9 ]', '', 'g'))"
+
+
+@query(INDEX + f""", s AS (SELECT DISTINCT CASE k % 4 WHEN 0 THEN name WHEN 1 THEN upper(name) WHEN 2 THEN '  ' || name || '! ' ELSE name || ' Stadt' END AS src FROM p WHERE k IS NOT NULL),
+     x AS (SELECT terms.*, {_plain('"TERM"')} AS kf FROM terms JOIN i ON terms.id = i.id), e AS (SELECT src, x.*, 0 AS rung FROM s JOIN x ON src = "TERM" UNION ALL
+     SELECT src, x.*, 1 FROM s JOIN x ON {_plain('src')} = kf), h AS (SELECT * FROM e QUALIFY rung = min(rung) OVER (PARTITION BY src)),
      f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY src, id ORDER BY q DESC, "TERM_ID") = 1)
-SELECT src AS src_raw, id AS "SUBJECT_ID", "TERM_ID", CASE rung WHEN 0 THEN 'exact' ELSE 'fold' END AS match_method, CASE rung WHEN 0 THEN 1.0 ELSE 0.92 END AS string_score FROM f
+SELECT src AS src_raw, id AS "SUBJECT_ID", "TERM_ID", CASE rung WHEN 0 THEN 'exact' ELSE 'fold' END AS match_method, (CASE rung WHEN 0 THEN 1.0 ELSE 0.92 END)::double AS string_score FROM f
 """)
 def place_hits(spark, d):
     """Strings on their first rung of the ladder, one row for each place."""
@@ -225,5 +228,3 @@ def place_resolution(spark, d):
     out = geocode.geocode(students, index(spark, d), seats)
     return out.select("student", "location_id", "matched", "match_method", "geo_precision", F.round("dist", 6).alias("dist"), F.round("score_margin", 6).alias("score_margin"))
 
-
-_ = geo

@@ -102,7 +102,7 @@ def _shares(tilt: float) -> dict:
     return out
 
 
-M, U, LAM = _shares(2.0), _shares(-0.5), 0.01
+M, U, LAM = _shares(2.0), _shares(-0.5), 0.2
 
 
 def _weight() -> str:
@@ -218,3 +218,77 @@ def phonetic_places(spark, d):
     """The codes of the words of place names."""
     w = said(spark, d).select(F.explode(F.split(F.lower("name"), " ")).alias("name")).distinct().where(F.regexp_replace("name", "[^a-z]", "") != "")
     return w.select("name", text.phonetic_word(F.col("name")).alias("code"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+FOUND = "SELECT c_custkey AS spell_id, c_custkey // 3 % 500 AS student_id, c_custkey // 4 % 400 AS person, ['berlin', 'jena', 'kiel'][c_custkey * 5 % 3 + 1] AS school, CASE WHEN c_custkey % 7 < 4 THEN 'full' ELSE 'short' END AS kind FROM customer"
+TRUTH = "SELECT a.spell_id AS l, b.spell_id AS r, a.student_id = b.student_id AS linked, a.school AS s1, b.school AS s2, a.kind AS k1, b.kind AS k2 FROM s a JOIN s b ON a.person = b.person AND a.spell_id < b.spell_id AND a.school <> b.school"
+
+
+def found(spark, d):
+    k = F.col("c_custkey")
+    return t(spark, d, "customer").select(
+        k.alias("spell_id"), (F.floor(k / 3) % 500).alias("student_id"), (F.floor(k / 4) % 400).alias("person"),
+        F.element_at(F.array(F.lit("berlin"), F.lit("jena"), F.lit("kiel")), (k * 5 % 3 + 1).cast("int")).alias("school"), F.when(k % 7 < 4, "full").otherwise("short").alias("kind"),
+    )
+
+
+@query(f"""
+WITH s AS ({FOUND}), t AS ({TRUTH}), p AS (SELECT a.person = b.person AS ok FROM s a JOIN s b ON a.student_id = b.student_id AND a.spell_id < b.spell_id AND a.school <> b.school),
+     n AS (SELECT (SELECT count(*) FROM p) AS predicted, (SELECT count(*) FROM t) AS actual, (SELECT count(*) FROM p WHERE ok) AS correct)
+SELECT predicted, actual, correct, round(correct / predicted, 9) AS precision, round(correct / actual, 9) AS recall, round(2 * (correct / predicted) * (correct / actual) / (correct / predicted + correct / actual), 9) AS f1 FROM n
+""")
+def linkage_quality(spark, d):
+    """Pairs of different schools: predicted, actual, correct."""
+    out = linkage.cross_school_quality(found(spark, d))
+    return out.select("predicted", "actual", "correct", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"""
+WITH s AS ({FOUND}), t AS ({TRUTH}), b AS (SELECT l.spell_id AS lid, r.spell_id AS rid FROM s l JOIN s r ON l.person = r.person AND l.kind = r.kind AND l.spell_id < r.spell_id)
+SELECT count(*) AS true_pairs, count(b.lid) AS in_blocks, round(count(b.lid) / count(*), 9) AS recall FROM t LEFT JOIN b ON lid = l AND rid = r
+""")
+def linkage_blocking_recall(spark, d):
+    """The share of true pairs that the blocks hold, the ceiling of all that follows."""
+    s = found(spark, d)
+    out = linkage.blocking_recall(linkage.multi_rule_pairs(s, "spell_id", [["person", "kind"]]), s.select("spell_id", "person", "school"))
+    return out.withColumn("recall", F.round("recall", 9))
+
+
+@query(f"""
+WITH s AS ({FOUND}), t AS ({TRUTH}), e AS (SELECT a.person = b.person AS ok, (a.spell_id * 13 + b.spell_id * 7) % 100 / 100.0 AS p FROM s a JOIN s b ON a.student_id = b.student_id AND a.spell_id < b.spell_id AND a.school <> b.school),
+     h AS (SELECT unnest([0.5, 0.7, 0.8, 0.9, 0.95, 0.99]) AS threshold)
+SELECT threshold::double AS threshold, count(*) FILTER (p >= threshold) AS edges, round(count(*) FILTER (p >= threshold AND ok) / nullif(count(*) FILTER (p >= threshold), 0), 9) AS precision,
+       round(count(*) FILTER (p >= threshold AND ok) / (SELECT count(*) FROM t), 9) AS recall FROM e, h GROUP BY threshold
+""")
+def linkage_thresholds(spark, d):
+    """Edges, their precision and recall at six thresholds."""
+    s = found(spark, d)
+    edges = linkage.multi_rule_pairs(s, "spell_id", [["student_id"]], F.col("l.school") != F.col("r.school")).withColumn("probability", ((F.col("lid") * 13 + F.col("rid") * 7) % 100) / 100.0)
+    out = linkage.threshold_sweep(edges, s.select("spell_id", "person", "school"))
+    return out.select("threshold", "edges", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+@query(f"""
+WITH s AS ({FOUND}), t AS ({TRUTH}), x AS (SELECT 'school' AS by, least(s1, s2) AS a, greatest(s1, s2) AS b, linked FROM t UNION ALL SELECT 'stratum', least(k1, k2), greatest(k1, k2), linked FROM t)
+SELECT "by", a, b, count(*) AS true_pairs, round(avg(linked::int), 9) AS recall FROM x GROUP BY ALL HAVING count(*) >= 60 OR "by" = 'stratum'
+""".replace("AS by", 'AS "by"'))
+def linkage_recall(spark, d):
+    """Recall by pair of schools (of sixty true pairs and more) and by abbreviation stratum."""
+    s = found(spark, d)
+    schools, strata = linkage.recall_by(s, "school", 60), linkage.recall_by(s, "kind")
+    both = schools.withColumn("by", F.lit("school")).union(strata.withColumn("by", F.lit("stratum")))
+    return both.select("by", "a", "b", "true_pairs", F.round("recall", 9).alias("recall"))
+
+
+@query(f"""
+WITH s AS ({FOUND}), c AS (SELECT student_id, list(DISTINCT school) AS schools FROM s GROUP BY 1), g AS (SELECT spell_id, ['berlin', 'jena', 'bonn'][spell_id % 3 + 1] AS target FROM s WHERE spell_id % 4 = 0)
+SELECT count(*) AS reachable, count(*) FILTER (list_contains(schools, target)) AS hit, count(*) FILTER (NOT list_contains(schools, target) AND len(schools) > 1) AS wrong_school, count(*) FILTER (len(schools) = 1) AS unlinked
+FROM g JOIN s USING (spell_id) JOIN c USING (student_id)
+""")
+def linkage_gold(spark, d):
+    """Clusters against stated earlier schools."""
+    s, k = found(spark, d), F.col("spell_id")
+    gold = s.where(k % 4 == 0).select("spell_id", F.element_at(F.array(F.lit("berlin"), F.lit("jena"), F.lit("bonn")), (k % 3 + 1).cast("int")).alias("target"))
+    return linkage.gold_validation(s.select("spell_id", "student_id", "school"), gold)

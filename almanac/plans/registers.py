@@ -11,7 +11,7 @@ from .. import checkpoint_dir
 from ..functions import dates, geo, text
 from ..operators import ordered, panel, registers
 from ..sources import contracts, readers, sinks
-from .catalog import GEO, people, places, query, t
+from .catalog import GEO, places, query, t
 
 
 def folder(spark, name: str) -> str:
@@ -344,4 +344,53 @@ def professions(spark, d):
     return registers.canonical(rows, "profession", {"kfm": "trade"}, [("förster", "forestry")])
 
 
-__all__ = ["people"]
+@query("""
+WITH y AS (SELECT unnest([1820, 1848]) AS year), c AS (SELECT s_suppkey AS k, (s_suppkey % 100) / 10.0 AS x, (s_suppkey * 7 % 100) / 10.0 AS y_ FROM supplier),
+     g AS (SELECT k, year, x, y_, CASE WHEN year = 1820 AND x <= 5 THEN 'West' WHEN year = 1848 AND x <= 7 THEN 'West' WHEN year = 1848 AND x >= 8 THEN 'East' END AS state,
+           CASE WHEN year = 1820 AND y_ <= 4 AND x <= 5 THEN 'South' END AS province FROM c, y)
+SELECT k, year, concat_ws('/', state, province) AS label, CASE state WHEN 'West' THEN 100 WHEN 'East' THEN 200 ELSE 0 END + CASE WHEN province IS NULL THEN 0 ELSE 7 END AS polity_id, y_ BETWEEN 34 AND 72 OR state IS NOT NULL AS broad FROM g
+""")
+def polities_by_map_year(spark, d):
+    """States and provinces of two map years, labels, ids, and the wide box."""
+    out = panel.polities_by_year(*_polities(spark, d), [1820, 1848], "x", "y", cell=2.0)
+    return out.select("k", "year", "label", "polity_id", panel.broad_europe(F.col("state").isNotNull(), F.col("y"), F.col("x")).alias("broad"))
+
+
+def _polities(spark, d):
+    from ..operators.geometry import RINGS
+
+    ring = lambda a, b, c, e: [{"x": float(x), "y": float(y)} for x, y in ((a, c), (b, c), (b, e), (a, e), (a, c))]
+    states = spark.createDataFrame([(1820, "West", 1, [ring(0, 5, 0, 10)]), (1848, "West", 1, [ring(0, 7, 0, 10)]), (1848, "East", 2, [ring(8, 10, 0, 10)])], f"year int, state string, state_id int, rings {RINGS}")
+    provinces = spark.createDataFrame([(1820, "South", 7, [ring(0, 5, 0, 4)])], f"year int, province string, province_id int, rings {RINGS}")
+    k = F.col("s_suppkey")
+    return t(spark, d, "supplier").select(k.alias("k"), (k % 100 / 10).alias("x"), (k * 7 % 100 / 10).alias("y")), states, provinces
+
+
+@query("""
+WITH y AS (SELECT unnest([1820, 1848]) AS year), g AS (SELECT s_suppkey AS k, year, CASE WHEN year = 1820 THEN s_suppkey % 100 / 10.0 <= 5 ELSE s_suppkey % 100 / 10.0 <= 7 OR s_suppkey % 100 / 10.0 >= 8 END AS s,
+     year = 1820 AND (s_suppkey * 7 % 100) / 10.0 <= 4 AND s_suppkey % 100 / 10.0 <= 5 AS p FROM supplier, y)
+SELECT k, count(*) AS n_rows, count(*) FILTER (NOT s) AS no_state, count(*) FILTER (NOT p) AS no_province, 0::bigint AS several_states, count(*) = 2 AND count(*) FILTER (NOT s) = 0 AS ok FROM g GROUP BY 1
+""")
+def polity_quality(spark, d):
+    """What the polity join left open, for each place."""
+    return panel.polity_report(panel.polities_by_year(*_polities(spark, d), [1820, 1848], "x", "y", cell=2.0), "k", 2)
+
+
+@query("""
+WITH s AS (SELECT o_orderkey, 1 + o_orderkey % 4 AS era, ['catholic', 'protestant', 'jewish'][o_orderkey % 3 + 1] AS rel, o_totalprice / 1000 > 150 AS far FROM orders)
+SELECT era, rel, round(avg(far::int), 9) AS share_far, count(*) AS n FROM s GROUP BY 1, 2
+""")
+def religion_far_shares(spark, d):
+    """The share of far origins by era and religion."""
+    o = F.col("o_orderkey")
+    rows = t(spark, d, "orders").select((1 + o % 4).alias("era"), F.element_at(F.array(F.lit("catholic"), F.lit("protestant"), F.lit("jewish")), (o % 3 + 1).cast("int")).alias("rel"), (F.col("o_totalprice") / 1000 > 150).alias("far"))
+    return panel.far_shares(rows, ["era", "rel"], F.col("far")).withColumn("share_far", F.round("share_far", 9))
+
+
+@query("""
+WITH p AS (SELECT o_orderpriority AS dest, o_custkey % 25 AS origin, count(*) AS flow FROM orders GROUP BY ALL)
+SELECT dest, origin, flow FROM p WHERE dest IN ('1-URGENT', '2-HIGH', '5-LOW')
+""")
+def donor_pools(spark, d):
+    rows = t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("dest"), (F.col("o_custkey") % 25).alias("origin")).agg(F.count(F.lit(1)).alias("flow"))
+    return panel.donor_pool(rows, "dest", ["1-URGENT", "2-HIGH", "5-LOW"])
