@@ -18,7 +18,8 @@ A pair at the threshold is missed by all 25 bands of 5 samples with a chance und
 
 Defined cases: null text or no words: empty set, n_shingles 0, linked with nothing; fewer words than a
 shingle: the whole sequence as one; repeated rows share a class and a decision; a null id joins its
-class but never names it; an empty table gives no rows; other columns are not read."""
+class but never names it; several rows of one id with different texts share one of these texts' links; ids that are
+no whole numbers are an error; an empty table gives no rows; other columns are not read."""
 
 from __future__ import annotations
 
@@ -225,8 +226,11 @@ def crossing(buckets: DataFrame, labels: DataFrame, sets: DataFrame, most: int,
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key: str = "doc_id", width: int = SHINGLE) -> DataFrame:
-    """key, n_shingles, component_id, kept: one row for each row of docs."""
-    most = most_flips(percent / 100)
+    """key, n_shingles, component_id, kept: one row for each row of docs. Ids are whole numbers of any width."""
+    most, kind = most_flips(percent / 100), docs.schema[key].dataType
+    if kind.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"ids have to be whole numbers, not {kind.simpleString()}")
+    docs = docs.withColumn(key, F.col(key).cast("long"))
     own = cut(signatures(docs, text, key, width))
     classes = cut(
         own.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -264,7 +268,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
     linked = own.where("n > 0").select("id", "n", "d1", "d2").join(known, ["n", "d1", "d2"]).select("id", "n", "component_id")
     alone = own.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return linked.union(alone).select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+        F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.col("component_id").cast(kind).alias("component_id"), F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 

@@ -7,9 +7,9 @@ traversal is below it, so a common prefix is computed once.
 
 The vocabulary is a BPE one: its scores order merges, and the path of the largest score sum is not
 the tokenizer's. So a transition from the last piece of a prefix to the next piece is open only if
-merging both pieces' characters gives these two back. Of the open transitions the best scored
-one is kept; the library's own segmentation comes out (tested against it). Characters without a piece end
-such a chain and become bytes.
+merging both pieces' characters gives these two back. Merging leaves one segmentation of each prefix, so the first
+open transition is the only one, and the maximum over transitions needs no comparison of scores; the library's own
+segmentation comes out (tested against it). Characters without a piece end such a chain and become bytes.
 
 Defined cases: null or empty text: no ids, decoded as empty; the mark itself in a text reads back as a
 blank, as with the library; repeated rows are encoded each; an empty table gives no rows; other
@@ -84,17 +84,17 @@ class Pieces:
 
     def learn(self, words: list[str]) -> None:
         """Encodes sorted distinct words into ``self.words``, as bytes of 32-bit ids."""
-        root, pair, scores, joins = self.ends, self.pairs.get, self.scores, self.joins
-        # for each prefix length of the current word: last piece (-1: bytes), where it starts, score so far
-        last, begin, total = [-2], [0], [0.0]
+        root, pair, joins = self.ends, self.pairs.get, self.joins
+        # for each prefix length of the current word: last piece (-1: bytes), where it starts
+        last, begin = [-2], [0]
         before = ""
         for word in words:
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :], begin[shared + 1 :], total[shared + 1 :]
+            del last[shared + 1 :], begin[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                # pieces that end here, from the shortest on, until one may follow the best one before it
+                # pieces that end here, from the shortest on, until one may follow the piece before it
                 node, i = root, end
                 while i:
                     i -= 1
@@ -114,7 +114,6 @@ class Pieces:
                     i, p = end - 1, -1
                 last.append(p)
                 begin.append(i)
-                total.append(total[i] + scores[p] if p >= 0 else total[i])
             before = word
             out, end = [], len(word)
             while end:

@@ -94,3 +94,13 @@ def test_odd_sketches_estimate():
         estimate = 1 + N.SKETCH_BITS / (4 * N.SAMPLES) * np.log(1 - 2 * d / N.SKETCH_BITS)
         assert abs(estimate - real) < 0.15
         assert real < 0.85 or d <= N.most_flips(0.85)
+
+
+def test_narrow_ids_and_ids_that_are_no_numbers(spark):
+    import pytest
+
+    text = "one two three four five six seven eight nine ten"
+    out = N.near_duplicates(spark.createDataFrame([(3, text), (1, text), (2, "other words here")], "doc_id int, text string"))
+    assert dict(out.dtypes)["component_id"] == "int" and {(r["doc_id"], r["component_id"]) for r in out.collect()} == {(3, 1), (1, 1), (2, 2)}
+    with pytest.raises(TypeError):
+        N.near_duplicates(spark.createDataFrame([("a", text)], "doc_id string, text string"))
