@@ -57,7 +57,7 @@ def quantised(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 / STEP), 0, 65535).astype(np.uint16)
 
 
-def tokens(texts: list, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def tokens(texts: list, size: int = 8 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hashes of the tokens of some texts, end of each text in them), for texts of about ``size`` bytes at a time."""
     hashes, ends, total, held = [], [], 0, 0
     for _, offsets, raw in chunks(texts):
@@ -520,7 +520,7 @@ def join_filters(spark, folder: str, sizes: list[int]) -> None:
 def score_texts(m: Model, texts: list) -> list[tuple]:
     """(n_tokens, n_known, base_score, score) of each text."""
     out = []
-    for h, ends in tokens(texts):
+    for h, ends in tokens(texts, 1 << 20):  # what is looked up fits into a processor's own memory
         start = np.concatenate([[0], ends[:-1]])
         if not m.words.n:
             base = np.full(len(h), np.log10(m.unigram(np.zeros(1))[0]))
