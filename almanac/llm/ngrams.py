@@ -44,7 +44,7 @@ ADD = 0.1
 #: Places that a pair or triple needs to be held: all are.
 LEAST = 1
 #: Characters of input for each part of level 1; places (tokens) for each part of levels 2 and 3.
-SHARD_CHARS, PART = 12_000_000, 2_000_000
+SHARD_CHARS, PART = 12_000_000, 4_000_000
 #: Keys that a task gathers before it sends them.
 RUN = 1_000_000
 #: Texts that are handled at once: many, as distinct words of a batch are looked up once.
@@ -520,7 +520,7 @@ def join_filters(spark, folder: str, sizes: list[int]) -> None:
 def score_texts(m: Model, texts: list) -> list[tuple]:
     """(n_tokens, n_known, base_score, score) of each text."""
     out = []
-    for h, ends in tokens(texts, 1 << 20):  # what is looked up fits into a processor's own memory
+    for h, ends in tokens(texts):
         start = np.concatenate([[0], ends[:-1]])
         if not m.words.n:
             base = np.full(len(h), np.log10(m.unigram(np.zeros(1))[0]))
