@@ -80,6 +80,12 @@ def sum_of(columns: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0)) for c in columns])
 
 
+def fill_mean(df: DataFrame, column: str, default: float = 0.0) -> DataFrame:
+    """Null in a column becomes the mean over all rows, or ``default`` where there is none; one aggregate, one number."""
+    mean = df.agg(F.avg(column).alias("m")).first()["m"]
+    return df.withColumn(column, F.coalesce(F.col(column), F.lit(default if mean is None else mean)))
+
+
 def key_share(df: DataFrame, key: str, name: str = "share") -> DataFrame:
     """key and the share of rows that have it, of those with a key."""
     total = df.agg(F.count(key).alias("_t"))

@@ -351,3 +351,12 @@ def placebos(df: DataFrame, y: str, dest: str, post: str, effects: str, names: l
 def series(base: float, base_se: float, steps: dict, z: float = 1.96) -> list[tuple]:
     """(period, base + step, low, high), with the errors added up: a conservative interval."""
     return [(k, base + b, base + b - z * (base_se + s), base + b + z * (base_se + s)) for k, (b, s) in sorted(steps.items())]
+
+
+def robustness(df: DataFrame, checks: list[tuple], cluster: str | None = None) -> list[tuple]:
+    """(check, term, estimate, standard error, p, rows) of each (check, condition on rows or None, formula), in order."""
+    out = []
+    for name, where, formula in checks:
+        f = ppml(df if where is None else df.where(where), formula, cluster)
+        out += [(name, *row, f.n) for row in f.tidy()]
+    return out

@@ -278,9 +278,14 @@ def merge(rows: list[tuple], spans: dict) -> dict:
 def cluster(scored: DataFrame, spell: DataFrame, threshold: float = 0.95) -> DataFrame:
     """spell_id, student_id: constrained clusters of the pairs with at least ``threshold``.
 
-    Merges never leave a component of the graph, so components are merged apart, each in the global edge order."""
+    Pairs that may not share a cluster by themselves never lead to a merge, so they go first, which also takes large components
+    of common names apart. Merges never leave a component of the graph, so components are merged apart, each in the global edge order."""
     ship(spell.sparkSession)
-    edges = scored.where(F.col("probability") >= threshold)
+    span = lambda p, k: spell.select(F.col("spell_id").alias(k), F.struct("school", "first_seen", "last_seen").alias(p))
+    told = scored.where(F.col("probability") >= threshold).join(span("_l", "lid"), "lid").join(span("_r", "rid"), "rid")
+    first, last = (lambda f: f(F.col("_l.first_seen"), F.col("_r.first_seen"))), (lambda f: f(F.col("_l.last_seen"), F.col("_r.last_seen")))
+    apart = (F.col("_l.school") != F.col("_r.school")) & (last(F.greatest) - first(F.least) + 1 <= SPAN) & (last(F.least) - first(F.greatest) + 1 <= OVERLAP)
+    edges = cut(told.where(apart).select("lid", "rid", "weight"))
     comp = connected(edges)
     kept = edges.join(comp, F.col("lid") == F.col("id")).select("component", "weight", "lid", "rid")
     nodes = comp.join(spell, F.col("id") == F.col("spell_id")).select(F.col("component").alias("own"), "spell_id", "school", "first_seen", "last_seen")

@@ -147,6 +147,12 @@ def key_share(spark, d):
     return aggregates.key_share(t(spark, d, "customer").select(F.col("c_mktsegment").alias("key")), "key")
 
 
+@query("""SELECT event_id, round(coalesce(CASE WHEN event_id % 9 > 0 THEN value END, (SELECT avg(value) FROM events WHERE event_id % 9 > 0)), 6) AS value FROM events""")
+def mean_fill(spark, d):
+    e = t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 9 > 0, F.col("value")).alias("value"))
+    return aggregates.fill_mean(e, "value").select("event_id", F.round("value", 6).alias("value"))
+
+
 @query("""
 WITH x AS (SELECT o_orderpriority AS dest, year(o_orderdate) >= 1998 AS post, c_nationkey >= 12 AS far, count(*) AS w FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
      s AS (SELECT dest, far, post, w / sum(w) OVER (PARTITION BY post, far) AS share FROM x)

@@ -73,3 +73,12 @@ def test_distributions():
         assert econ.chi2_p(x, k) == pytest.approx(p, rel=2e-3)
     assert econ.parse("y ~ a + a:C(b) | f + g^h") == ("y", ["a", "a:C(b)"], ["f", "g^h"])
     assert econ.series(1.0, 0.1, {2: (0.5, 0.1)})[0][:2] == (2, 1.5)
+
+
+def test_robustness_is_a_fit_for_each_check(spark):
+    df = spark.createDataFrame(panel(), SCHEMA)
+    checks = [("all", None, "flow ~ log_dist | origin_id + dest^first_year"), ("near", F.col("log_dist") < 4, "flow ~ log_dist | origin_id + dest"), ("without A", "dest != 'A'", "flow ~ log_dist | dest + first_year")]
+    rows = econ.robustness(df, checks, "origin_id")
+    assert [r[0] for r in rows] == ["all", "near", "without A"] and all(r[1] == "log_dist" for r in rows)
+    alone = econ.ppml(df.where("dest != 'A'"), "flow ~ log_dist | dest + first_year", "origin_id")
+    assert rows[2][2] == pytest.approx(alone["log_dist"][0]) and rows[2][3] == pytest.approx(alone["log_dist"][1]) and rows[2][5] == alone.n < rows[0][5]
