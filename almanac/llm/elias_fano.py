@@ -76,7 +76,7 @@ class EliasFano:
 
     @classmethod
     def open(cls, path: str, name: str = "") -> EliasFano:
-        return cls({k: np.load(f"{path}/{name}{k}.npy", mmap_mode="r") for k in ("head", "low", "high", "ones", "marks")})
+        return cls({k: np.load(f"{path}/{name}{k}.npy", mmap_mode="r").view(np.ndarray) for k in ("head", "low", "high", "ones", "marks")})
 
     def window(self, at: np.ndarray) -> np.ndarray:
         """57 bits or more from each place."""

@@ -44,7 +44,7 @@ ADD = 0.1
 #: Places that a pair or triple needs to be held: all are.
 LEAST = 1
 #: Characters of input for each part of level 1; places (tokens) for each part of levels 2 and 3.
-SHARD_CHARS, PART = 12_000_000, 4_000_000
+SHARD_CHARS, PART = 48_000_000, 4_000_000
 #: Keys that a task gathers before it sends them.
 RUN = 1_000_000
 #: Texts that are handled at once: many, as distinct words of a batch are looked up once.
@@ -174,7 +174,7 @@ class Lazily:
 
 
 def mapped(path: str) -> np.ndarray:
-    return np.load(path, mmap_mode="r")
+    return np.load(path, mmap_mode="r").view(np.ndarray)
 
 
 class Level:
@@ -222,8 +222,6 @@ class Model:
             self.pairs = Level(f, "2", about["sizes2"], about["firsts2"], {"counts": "2", "p": "2p"})
             self.starts = Lazily(own, lambda p: EliasFano.open(f"{f}/2s/{p}"))
             self.back = Lazily(own, lambda p: mapped(f"{f}/2p/{p}/back.npy"))
-            self.regions = regions(about["sizes2"])
-            self.filter = mapped(f"{f}/filter.npy") if "filter" in about else None
         if "sizes3" in about:
             cuts = about["cuts3"]
             self.triples = Level(f, "3", about["sizes3"], about["firsts3"], {"p": "3p"})
@@ -236,14 +234,8 @@ class Model:
         out = np.full(len(w.numbers), -1, np.int64)
         ask = np.flatnonzero((w.before >= 0) & (w.numbers >= 0))
         keys = w.before[ask].astype(np.uint64) * np.uint64(self.words.n) + w.numbers[ask].astype(np.uint64)
-        # most pairs end at the filter: the region of the first word's part, eight bits for each held pair
-        part = np.maximum(np.searchsorted(self.cuts, w.distinct, side="right") - 1, 0)[w.place[ask]]
-        size = self.regions[part + 1] - self.regions[part]
-        slot = (hashed(keys) % np.maximum(8 * size, 1).astype(np.uint64)).astype(np.int64)
-        bits = self.filter[np.minimum(self.regions[part] + (slot >> 3), len(self.filter) - 1)]
-        maybe = np.flatnonzero((size > 0) & ((bits >> (slot & 7).astype(np.uint8)) & 1 > 0))
-        keys, back = np.unique(keys[maybe], return_inverse=True)
-        out[ask[maybe]] = self.pairs.find(keys)[back]
+        keys, back = np.unique(keys, return_inverse=True)
+        out[ask] = self.pairs.find(keys)[back]
         return out
 
     def first_of(self, words: np.ndarray) -> np.ndarray:
@@ -286,15 +278,6 @@ def opened(about: dict) -> Model:
     return _models[key]
 
 
-def hashed(keys: np.ndarray) -> np.ndarray:
-    return keys * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)
-
-
-def regions(sizes: list[int]) -> np.ndarray:
-    """Where each part's bytes of the filter begin, and the end."""
-    return np.concatenate([[0], np.cumsum([max(8, n) if n else 0 for n in sizes])]).astype(np.int64)
-
-
 def contexts(numbers: np.ndarray, ends: np.ndarray, end: int) -> np.ndarray:
     """The number of the token before each; that of the end before a text's first."""
     out = np.roll(numbers, 1)
@@ -384,7 +367,7 @@ def learn(train: DataFrame, text: str = "text", least: int = LEAST) -> dict:
         few, keys, counts = kept(keys, counts, least)
         begin = np.searchsorted((keys // vocabulary).astype(np.int64), np.arange(cuts2[p], cuts2[p + 1]))
         per = np.diff(np.append(begin, len(keys)))
-        elias_fano.write(f"{folder}/2/{p}", {**elias_fano.build(keys, int(vocabulary) ** 2), "counts": small(counts), "filter": bitmap(keys)})
+        elias_fano.write(f"{folder}/2/{p}", {**elias_fano.build(keys, int(vocabulary) ** 2), "counts": small(counts)})
         elias_fano.write(f"{folder}/2s/{p}", elias_fano.build(begin.astype(np.uint64), len(keys) + 1))
         return pd.DataFrame({"part": [p], "n": [len(keys)], "ones": [few[0]], "twos": [few[1]], "span": [int(per.max(initial=0))], "cuts": [borders(counts, PART)]})
 
@@ -413,8 +396,7 @@ def learn(train: DataFrame, text: str = "text", least: int = LEAST) -> dict:
         elias_fano.write(f"{folder}/2p/{p}", {"p": quantised(np.log10(p2)), "back": quantised(np.log10(back))})
 
     over_parts(spark, probabilities2, len(sizes2))
-    join_filters(spark, folder, sizes2)
-    about["filter"] = True
+    about["p2"] = True  # their probabilities are there
     if not sum(sizes2):
         return about
     bases2 = np.concatenate([[0], np.cumsum(sizes2)]).astype(np.int64)
@@ -492,31 +474,6 @@ def discount(laid: list) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones + twos else 0.5
 
 
-def bitmap(keys: np.ndarray) -> np.ndarray:
-    """A part's region of the filter."""
-    bits = np.zeros(max(8, len(keys)), np.uint8)
-    slot = (hashed(keys) % np.uint64(8 * len(bits))).astype(np.int64)
-    np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-    return bits
-
-
-def join_filters(spark, folder: str, sizes: list[int]) -> None:
-    """One file of all parts' regions, each written by a task of its own place."""
-    at = regions(sizes)
-    np.lib.format.open_memmap(f"{folder}/filter.npy", "w+", np.uint8, (max(1, int(at[-1])),)).flush()
-
-    def run(p: int) -> None:
-        if sizes[p]:
-            whole = np.load(f"{folder}/filter.npy", mmap_mode="r+")
-            whole[at[p] : at[p + 1]] = mapped(f"{folder}/2/{p}/filter.npy")
-            whole.flush()
-
-    over_parts(spark, run, len(sizes))
-    for p in range(len(sizes)):
-        if sizes[p]:
-            os.remove(f"{folder}/2/{p}/filter.npy")
-
-
 def score_texts(m: Model, texts: list) -> list[tuple]:
     """(n_tokens, n_known, base_score, score) of each text."""
     out = []
