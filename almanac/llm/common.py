@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable
@@ -37,6 +38,12 @@ def sliced(batches, rows: int = 500):
             yield b.slice(i, rows)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are gone: it does so when the driver has collected its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, all other characters as they are."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import elias_fano
-from .common import per_text, shared_folder, ship, sliced
+from .common import per_text, release, shared_folder, ship, sliced
 from .elias_fano import EliasFano
 from .toxicity import fold
 from .words import chunks, spans
@@ -350,6 +350,8 @@ def learn(train: DataFrame, text: str = "text", least: int = LEAST) -> dict:
     if not model.words.n:
         return about
 
+    release(spark)
+
     # ---- level 2: parts are ranges of first words
     cuts2 = joined(found, model.words.bases)
 
@@ -379,6 +381,8 @@ def learn(train: DataFrame, text: str = "text", least: int = LEAST) -> dict:
         sizes2[r["part"]] = r["n"]
     about |= {"sizes2": sizes2, "cuts2": cuts2, "firsts2": cuts2[:-1].astype(np.uint64) * vocabulary, "span": max((r["span"] for r in laid), default=1)}
     discount2 = discount(laid)
+    del runs
+    release(spark)
 
     def probabilities2(p: int) -> None:
         m = opened(about)
@@ -428,6 +432,8 @@ def learn(train: DataFrame, text: str = "text", least: int = LEAST) -> dict:
     for r in laid:
         sizes3[r["part"]] = r["n"]
     discount3 = discount(laid)
+    del runs
+    release(spark)
 
     def probabilities3(p: int) -> None:
         m = opened(about)
