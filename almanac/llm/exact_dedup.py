@@ -6,7 +6,7 @@ Three stages, each comparing digest and full normalised text:
 2. salted: groups of one digest meet per salt. A digest held by more than ``bound`` rows is
    spread over ceil(rows / bound) salts, so that no task and no member list grows with a group;
 3. global: the winners of the salts of those hot digests are combined, and the result goes back
-   to the salted groups as a broadcast of at most two rows for each ``bound`` rows of input.
+   to the salted groups: broadcast while there are at most FEW hot digests (they are counted), joined beyond.
 
 Members travel as a list inside their salted group, so nothing is joined back to the texts.
 
@@ -20,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, cut
 
-#: Rows of one digest that may meet in one group; grows with the input so that hot digests stay under FAN.
+#: Rows of one digest that may meet in one group, at every size of the input.
 BOUND = 4096
-FAN = 20_000
+#: Hot digests up to which their table, some 100 bytes a row, is broadcast.
+FEW = 100_000
 
 
 def exact_dedup(
@@ -35,8 +36,7 @@ def exact_dedup(
     carry: columns of docs that are returned (default: the key only); text may be one of them.
     only_kept: the rows that stay, with the columns of carry alone."""
     carry = [key] if carry is None else carry
-    rows = docs.count()
-    bound = bound or max(BOUND, rows // FAN)
+    bound = bound or BOUND
     norm = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " ")
     base = docs.select(
         norm.alias("_norm"),
@@ -48,11 +48,13 @@ def exact_dedup(
         ).alias("_row"),
     ).withColumn("_sha", F.sha2("_norm", 256))
 
-    hot = (
+    hot = cut(
         base.groupBy("_sha").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bound)
         .select("_sha", F.ceil(F.col("_n") / bound).cast("int").alias("_salts"))
     )
-    salted = base.join(F.broadcast(hot), "_sha", "left").withColumn(
+    few = hot.limit(FEW + 1).count() <= FEW
+    hinted = F.broadcast if few else (lambda df: df)
+    salted = base.join(hinted(hot), "_sha", "left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_salts")), F.lit(0)).cast("int")
     )
     groups = salted.groupBy("_sha", "_norm", "_salt").agg(
@@ -71,7 +73,7 @@ def exact_dedup(
         .withColumn("_texts", F.count(F.lit(1)).over(Window.partitionBy("_sha")))
         .select("_sha", F.when(F.col("_texts") > 1, F.col("_norm")).alias("_other"), "_first", "_total")
     )
-    g, w = groups.alias("g"), F.broadcast(winners).alias("w")
+    g, w = groups.alias("g"), hinted(winners).alias("w")
     whole = g.join(w, (F.col("g._sha") == F.col("w._sha")) & (F.col("w._other").isNull() | (F.col("w._other") == F.col("g._norm"))), "left").select(
         F.col("g._sha").alias("_sha"), "_norm", "_members",
         F.when(F.col("_first").isNull(), F.col("_low")).otherwise(F.col("_first.low")).alias("keep_id"),
