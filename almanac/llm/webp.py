@@ -439,11 +439,17 @@ def undo_predictor(pixels: np.ndarray, width: int, height: int, tile: int, data:
 
 
 def undo_cross_colour(pixels: np.ndarray, width: int, height: int, tile: int, data: np.ndarray) -> np.ndarray:
-    if (data == data[0]).all():
-        by = data[:1]
-    else:
-        y, x = np.divmod(np.arange(width * height), width)
-        by = data[(y >> tile) * (-(-width >> tile)) + (x >> tile)]
+    if (data == data[0]).all():  # the same for the whole image
+        out = pixels.view(np.uint8).reshape(-1, 4).copy()
+        red_to_blue, green_to_blue, green_to_red = (int(v) - 256 * (v > 127) for v in (data[0] >> 16 & 255, data[0] >> 8 & 255, data[0] & 255))
+        green = out[:, 1].view(np.int8).astype(np.int16)
+        out[:, 2] += (green * np.int16(green_to_red) >> 5).astype(np.uint8)
+        out[:, 0] += (green * np.int16(green_to_blue) >> 5).astype(np.uint8)
+        if red_to_blue:
+            out[:, 0] += (out[:, 2].view(np.int8).astype(np.int16) * np.int16(red_to_blue) >> 5).astype(np.uint8)
+        return out.view(np.uint32).reshape(-1)
+    y, x = np.divmod(np.arange(width * height), width)
+    by = data[(y >> tile) * (-(-width >> tile)) + (x >> tile)]
     signed = lambda a, shift: ((a >> shift) & 255).astype(np.uint8).view(np.int8).astype(np.int32)
     red_to_blue, green_to_blue, green_to_red = signed(by, 16), signed(by, 8), signed(by, 0)
     green = signed(pixels, 8)
@@ -655,6 +661,17 @@ def matches(pixels: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.
     return taken, length, back
 
 
+def put_green(to: Writer, counts: np.ndarray, alpha: int) -> tuple[np.ndarray, np.ndarray]:
+    """The heads of a main image of literals in green; their codes and bits."""
+    to.put(0, 2)  # no colour cache, one group of codes
+    lengths = code_lengths(counts, 11)
+    put_lengths(to, lengths)
+    for symbol in (0, 0, alpha):
+        to.put(0b101 | symbol << 3, 11)
+    to.put(0b0001, 4)
+    return spelled(lengths)
+
+
 def pays(pixels: np.ndarray) -> bool:
     """Whether back-references save a quarter of a grey image, by a quick try with others than the format's."""
     samples = (pixels >> np.uint32(8)).astype(np.uint8)
@@ -698,6 +715,9 @@ def put_pixels(to: Writer, pixels: np.ndarray, width: int, main: bool) -> bytes:
         if sum(map(entropy, other)) < sum(map(entropy, counts)):
             cache_bits, hit, counts = try_bits, hits, other
             parts[0] = np.where(hit, 280 + slot, parts[0])
+    if flat and not len(start):  # a code for green alone; the others' only symbols are 0, 0 and the one alpha
+        codes, sizes = put_green(to, counts[0], int(pixels[0] >> np.uint32(24)))
+        return joined(to.value, to.at, codes[parts[0]], sizes[parts[0]]).tobytes()
     lengths = [code_lengths(c, 11) for c in counts]  # short tables read them faster than the format's 15 bits
     opaque = np.bincount(channel(single[:1] if flat else single, 24), minlength=256) if len(single) else np.bincount([255])
     lengths += [code_lengths(opaque, 15), code_lengths(np.bincount(far_symbol, minlength=40), 15)]
