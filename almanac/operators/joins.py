@@ -11,6 +11,8 @@ from ..functions import text
 
 #: Rows of a side up to which it may be broadcast; the side is counted before.
 BROADCAST_ROWS = 200_000
+#: Pairs that one task of a join within blocks makes, about.
+TASK_PAIRS = 20_000_000
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -18,6 +20,32 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def block_sizes(left: DataFrame, right: DataFrame, lkeys: list[str], rkeys: list[str]) -> tuple[DataFrame, int, int]:
+    """Pairs (_n) by key (_b0, ...) of an equi join, their sum, and the number of partitions that make them."""
+    names = [f"_b{i}" for i in range(len(lkeys))]
+    count = lambda df, keys, n: df.groupBy(*[F.col(k).alias(b) for k, b in zip(keys, names, strict=True)]).agg(F.count(F.lit(1)).alias(n))
+    blocks = count(left, lkeys, "_l").join(count(right, rkeys, "_r"), names).select(*names, (F.col("_l") * F.col("_r")).alias("_n"))
+    total = blocks.agg(F.sum("_n")).first()[0] or 0
+    return blocks, total, int(min(20_000, max(2 * left.sparkSession.sparkContext.defaultParallelism, total // TASK_PAIRS * 2)))
+
+
+def spread(left: DataFrame, right: DataFrame, lkeys: list[str], rkeys: list[str], by: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equi join with ``_salt``, dealt so that no task makes many more than TASK_PAIRS pairs.
+
+    Keys with more pairs are cut into salts: rows of left fall into one by ``by``, rows of right go to each. Join on the keys and _salt."""
+    known = lambda df, keys: df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    left, right = known(left, lkeys), known(right, rkeys)
+    blocks, total, n = block_sizes(left, right, lkeys, rkeys)
+    if total <= TASK_PAIRS:
+        return left.withColumn("_salt", F.lit(0)), right.withColumn("_salt", F.lit(0))
+    names = [f"_b{i}" for i in range(len(lkeys))]
+    hot = sized(blocks.where(F.col("_n") > TASK_PAIRS).select(*names, F.ceil(F.col("_n") / TASK_PAIRS).cast("int").alias("_salts")))
+    salts = lambda df, keys: df.join(hot, reduce(lambda a, b: a & b, [F.col(k) == F.col(b) for k, b in zip(keys, names, strict=True)]), "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    a = salts(left, lkeys).withColumn("_salt", F.pmod(F.xxhash64(by), F.col("_salts")).cast("int"))
+    b = salts(right, rkeys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    return a.drop("_salts", *names).repartition(n, *lkeys, "_salt"), b.drop("_salts", *names).repartition(n, *rkeys, "_salt")
+
+
 def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Nulls of keys equal each other; keys come from the left."""
     r = right.select(*[F.col(c).alias(f"_k_{c}") if c in on else F.col(c) for c in right.columns])
@@ -39,18 +67,26 @@ def full_with_zeros(left: DataFrame, right: DataFrame, on: list[str], values: li
     return left.join(right, on, "full").fillna(0, values)
 
 
-def multi_rule_pairs(records: DataFrame, id_: str, rules: list[list[str]], where: Column | None = None) -> DataFrame:
+def multi_rule_pairs(records: DataFrame, id_: str, rules: list[list[str]], where: Column | None = None, near: tuple[str, DataFrame] | None = None) -> DataFrame:
     """Pairs lid < rid that agree on all columns of at least one rule, once each.
 
-    Each rule is an equi join, so an OR never becomes a nested loop. where: on columns l.* and r.*"""
+    Each rule is an equi join, so an OR never becomes a nested loop; a pair comes from the first rule on which it agrees, so pairs
+    aren't shuffled to find doubles (but for records whose ids repeat). where: on columns l.* and r.*. near: a column and the
+    pairs (_x, _y) of its values that a left and a right row may have; they become part of each rule's equality."""
+    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    agree = lambda rule: reduce(lambda x, y: x & y, [F.coalesce(l(c) == r(c), F.lit(False)) for c in rule])
     out = None
-    for rule in rules:
-        known = records.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in rule]))
-        a, b = known.alias("l"), known.alias("r")
-        on = reduce(lambda x, y: x & y, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in rule]) & (F.col(f"l.{id_}") < F.col(f"r.{id_}"))
-        hits = a.join(b, on if where is None else on & where).select(F.col(f"l.{id_}").alias("lid"), F.col(f"r.{id_}").alias("rid"))
+    for i, rule in enumerate(rules):
+        a = records if near is None else records.join(sized(near[1].withColumnsRenamed({"_x": near[0], "_y": "_y"})), near[0])
+        a, b = spread(a, records, [*rule, *(["_y"] if near else [])], [*rule, *([near[0]] if near else [])], id_)
+        a, b = a.alias("l"), b.alias("r")
+        on = reduce(lambda x, y: x & y, [l(c) == r(c) for c in rule] + ([l("_y") == r(near[0])] if near else []) + [l("_salt") == r("_salt"), l(id_) < r(id_)])
+        for earlier in rules[:i]:
+            on = on & ~agree(earlier)
+        hits = a.join(b, on if where is None else on & where).select(l(id_).alias("lid"), r(id_).alias("rid"))
         out = hits if out is None else out.union(hits)
-    return out.distinct()
+    twice = records.groupBy(id_).count().where("count > 1").limit(1).count()
+    return out.distinct() if twice else out
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, lkey: str, rkey: str, prefix: int = 2, slack: int = 3, least: float = 0.92) -> DataFrame:
@@ -65,14 +101,30 @@ def fuzzy_join(left: DataFrame, right: DataFrame, lkey: str, rkey: str, prefix:
 def ladder_join(left: DataFrame, right: DataFrame, lid: str, keys: list[str], value: str) -> DataFrame:
     """(lid, value, rung) for the first key of the ladder on which a row of left meets right.
 
-    All rungs are joined; only hits on each row's lowest rung stay."""
-    hits = None
-    for rung, k in enumerate(keys):
-        h = left.select(lid, F.col(k).alias("_k")).where("_k is not null").join(right.select(value, F.col(k).alias("_k")).where("_k is not null").distinct(), "_k")
-        h = h.select(lid, value, F.lit(rung).alias("rung"))
-        hits = h if hits is None else hits.union(h)
-    best = hits.groupBy(lid).agg(F.min("rung").alias("rung"))
-    return hits.join(best, [lid, "rung"]).select(lid, value, "rung").distinct()
+    The rung is found from the keys alone; only hits on it are made, and only ids with several keys on it can have doubles."""
+    told = left.select(lid, *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    for i, k in enumerate(keys):
+        told = told.join(sized(right.select(F.col(k).alias(f"_k{i}")).where(F.col(f"_k{i}").isNotNull()).distinct().withColumn(f"_s{i}", F.col(f"_k{i}").cast("string"))), f"_k{i}", "left")
+    met = F.filter(F.array(*[F.when(F.col(f"_s{i}").isNotNull(), F.struct(F.lit(i).alias("rung"), F.col(f"_s{i}").alias("k"))) for i in range(len(keys))]), lambda x: x.isNotNull())
+    best = told.select(lid, F.explode(met).alias("_m")).groupBy(lid).agg(F.collect_set("_m").alias("_m"), F.min("_m.rung").alias("rung"))
+    best = best.select(lid, "rung", F.transform(F.filter("_m", lambda x: x["rung"] == F.col("rung")), lambda x: x["k"]).alias("_k"))
+    values = None
+    for i, k in enumerate(keys):
+        v = right.select(F.lit(i).alias("rung"), F.col(k).cast("string").alias("_k"), value).where("_k is not null").distinct()
+        values = v if values is None else values.union(v)
+    few = values.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+    def hits(rows):
+        on = ["rung", "_k"]
+        if few:
+            # dealt by id, each task meets the whole of right
+            return rows.repartition(block_sizes(rows, values, on, on)[2], lid).join(F.broadcast(values), on).select(lid, value, "rung")
+        a, b = spread(rows, values, on, on, lid)
+        return a.join(b, ["rung", "_k", "_salt"]).select(lid, value, "rung")
+
+    one = hits(best.where(F.size("_k") == 1).select(lid, "rung", F.col("_k")[0].alias("_k")))
+    more = hits(best.where(F.size("_k") > 1).select(lid, "rung", F.explode("_k").alias("_k"))).distinct()
+    return one.unionByName(more)
 
 
 def keep_satisfied(df: DataFrame, by: list[str], ok: Column) -> DataFrame:
