@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from .. import cut, ship
 from ..functions import text
 from .aggregates import key_share, mode_smallest
-from .joins import multi_rule_pairs, sized
+from .joins import multi_rule_pairs, sized, spread
 
 LEVELS = {"sn": 4, "gn": 7, "geo": 4, "yr": 5, "pt": 3}
 RETAIN, SPAN, SCHOOLS, OVERLAP = -2.0, 9, 3, 1
+#: Kinds of spells (name columns and shares) up to which pairs of kinds are compared instead of pairs of spells.
+KINDS = 500
 
 
 def prepare(df: DataFrame) -> DataFrame:
@@ -112,38 +114,159 @@ def block(spell: DataFrame, region_share: float = 0.002, enforce_gap: bool = Fal
     return multi_rule_pairs(ok, "spell_id", rules, where)
 
 
-def compare(pairs: DataFrame, spell: DataFrame, annual: list[str]) -> DataFrame:
-    """lid, rid, levels sn gn geo yr pt, stratum, tf_sn, tf_geo (products of both sides' shares)."""
+#: Columns that the levels of names, the stratum and the shares are made of.
+NAMED = ["ln_norm", "ln_phon", "ln_particle", "gn_set", "gn_init", "gn_init_set", "gn_i1", "gn_has_full", "f_sn", "f_geo"]
+SEEN = ["spell_id", "school", "first_seen", "last_seen", "location_id"]
+
+
+def _own(spell: DataFrame) -> DataFrame:
+    """The columns of spells that a comparison takes, with the shares of their surnames' sounds and places."""
     tf = lambda c, n: key_share(spell, c, n)
-    needed = ["spell_id", "school", "first_seen", "last_seen", "ln_norm", "ln_phon", "ln_particle", "gn_set", "gn_init", "gn_init_set", "gn_i1", "gn_has_full", "location_id"]
-    own = spell.select(*needed).join(tf("ln_phon", "f_sn"), "ln_phon", "left").join(tf("location_id", "f_geo"), "location_id", "left").fillna(1.0, ["f_sn", "f_geo"])
-    a, b = own.alias("l"), own.alias("r")
-    both = pairs.join(a, F.col("lid") == F.col("l.spell_id")).join(b, F.col("rid") == F.col("r.spell_id"))
+    rows = spell.select(*SEEN, *NAMED[:-2]).join(sized(tf("ln_phon", "f_sn")), "ln_phon", "left").join(sized(tf("location_id", "f_geo")), "location_id", "left")
+    return rows.fillna(1.0, ["f_sn", "f_geo"])
+
+
+def _similar(both: DataFrame) -> DataFrame:
+    """both (l.*, r.*) with _jw where names that differ in sound are alike; computed once for each distinct pair of names."""
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
-    first = l("first_seen") <= r("first_seen")
-    e, t = (lambda c: F.when(first, l(c)).otherwise(r(c))), (lambda c: F.when(first, r(c)).otherwise(l(c)))
-    # similarity once for each distinct pair of names that differ in sound
     differ = (l("ln_norm") != r("ln_norm")) & ~F.coalesce(l("ln_phon") == r("ln_phon"), F.lit(False))
     named = both.where(differ).select(l("ln_norm").alias("_ln"), r("ln_norm").alias("_rn")).distinct()
     near = named.where(F.least(F.length("_ln"), F.length("_rn")) >= 0.6 * F.greatest(F.length("_ln"), F.length("_rn"))).withColumn("_jw", text.jaro_winkler(F.col("_ln"), F.col("_rn"))).where("_jw >= 0.92")
-    both = both.join(near, (l("ln_norm") == F.col("_ln")) & (r("ln_norm") == F.col("_rn")), "left")
-    gap = F.greatest(F.lit(0), t("first_seen") - e("last_seen") - F.when(e("school").isin(*annual), 0).otherwise(2))
+    return both.join(near, (l("ln_norm") == F.col("_ln")) & (r("ln_norm") == F.col("_rn")), "left")
+
+
+def _name_levels() -> dict[str, Column]:
+    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     full = l("gn_has_full") & r("gn_has_full")
     none = lambda c: c.isNull() | (c == "")
     two = F.length(l("gn_init")) >= 2
-    return both.select(
-        "lid", "rid",
-        F.when(l("ln_norm") == r("ln_norm"), 0).when(l("ln_phon") == r("ln_phon"), 1).when(F.col("_jw").isNotNull(), 2).otherwise(3).alias("sn"),
-        F.when(full & (l("gn_set") == r("gn_set")), 0)
+    return {
+        "sn": F.when(l("ln_norm") == r("ln_norm"), 0).when(l("ln_phon") == r("ln_phon"), 1).when(F.col("_jw").isNotNull(), 2).otherwise(3),
+        "gn": F.when(full & (l("gn_set") == r("gn_set")), 0)
         .when(full & (F.size(F.array_intersect(l("gn_set"), r("gn_set"))) > 0) & (l("gn_i1") == r("gn_i1")), 1)
         .when((l("gn_init") == r("gn_init")) & two, 2).when((l("gn_init_set") == r("gn_init_set")) & two, 3).when(l("gn_i1") == r("gn_i1"), 4)
-        .when(none(l("gn_i1")) | none(r("gn_i1")), 5).otherwise(6).alias("gn"),
-        F.when(l("location_id").isNull() | r("location_id").isNull(), 3).when(l("location_id") == r("location_id"), 0).otherwise(2).alias("geo"),
-        F.when(gap <= 1, 0).when(gap == 2, 1).when(gap <= 4, 2).when(gap <= 8, 3).otherwise(4).alias("yr"),
-        F.when((F.coalesce(l("ln_particle"), F.lit("")) == F.coalesce(r("ln_particle"), F.lit(""))), F.when(none(l("ln_particle")), 1).otherwise(0)).otherwise(2).alias("pt"),
-        F.when(full, "both_full").when(l("gn_has_full") | r("gn_has_full"), "mixed").otherwise("both_abbrev").alias("stratum"),
-        (l("f_sn") * r("f_sn")).alias("tf_sn"), (l("f_geo") * r("f_geo")).alias("tf_geo"), F.greatest(l("f_sn"), r("f_sn")).alias("rare"),
-    )
+        .when(none(l("gn_i1")) | none(r("gn_i1")), 5).otherwise(6),
+        "pt": F.when((F.coalesce(l("ln_particle"), F.lit("")) == F.coalesce(r("ln_particle"), F.lit(""))), F.when(none(l("ln_particle")), 1).otherwise(0)).otherwise(2),
+        "stratum": F.when(full, "both_full").when(l("gn_has_full") | r("gn_has_full"), "mixed").otherwise("both_abbrev"),
+        "tf_sn": l("f_sn") * r("f_sn"), "tf_geo": l("f_geo") * r("f_geo"), "rare": F.greatest(l("f_sn"), r("f_sn")),
+    }
+
+
+def _years(annual: list[str]) -> Column:
+    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    first = l("first_seen") <= r("first_seen")
+    e, t = (lambda c: F.when(first, l(c)).otherwise(r(c))), (lambda c: F.when(first, r(c)).otherwise(l(c)))
+    gap = F.greatest(F.lit(0), t("first_seen") - e("last_seen") - F.when(e("school").isin(*annual), 0).otherwise(2))
+    return F.when(gap <= 1, 0).when(gap == 2, 1).when(gap <= 4, 2).when(gap <= 8, 3).otherwise(4)
+
+
+def _place_and_years(annual: list[str]) -> dict[str, Column]:
+    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    return {"geo": F.when(l("location_id").isNull() | r("location_id").isNull(), 3).when(l("location_id") == r("location_id"), 0).otherwise(2), "yr": _years(annual)}
+
+
+COMPARED = ["sn", "gn", "geo", "yr", "pt", "stratum", "tf_sn", "tf_geo", "rare"]
+
+
+def compare(pairs: DataFrame, spell: DataFrame, annual: list[str]) -> DataFrame:
+    """lid, rid, levels sn gn geo yr pt, stratum, tf_sn, tf_geo (products of both sides' shares)."""
+    own = _own(spell)
+    both = pairs.join(own.alias("l"), F.col("lid") == F.col("l.spell_id")).join(own.alias("r"), F.col("rid") == F.col("r.spell_id"))
+    found = {**_name_levels(), **_place_and_years(annual)}
+    return _similar(both).select("lid", "rid", *[found[c].alias(c) for c in COMPARED])
+
+
+class Blocks:
+    """Pairs lid < rid of spells that agree on ``by`` (and ``where``, on l.* and r.*), compared without a row for each pair before its levels.
+
+    Spells are of few kinds (name columns and shares), so pairs of kinds are compared, and pairs of spells look theirs up; with more
+    than KINDS kinds each pair is compared by itself. Spells are dealt by block, so no pair is shuffled."""
+
+    def __init__(self, spell: DataFrame, by: list[str], annual: list[str], where: Column | None = None):
+        self.annual, self.keys = annual, [f"_by{i}" for i in range(len(by))]
+        own = cut(_own(spell).join(spell.select("spell_id", *[F.expr(b).alias(k) for b, k in zip(by, self.keys, strict=True)]), "spell_id"))
+        kinds = own.select(*NAMED).distinct()
+        self.few = kinds.limit(KINDS + 1).count() <= KINDS
+        if self.few:
+            kinds = cut(kinds.withColumn("kind", F.row_number().over(Window.orderBy(*NAMED))))
+            key = F.struct(*NAMED)
+            told = F.broadcast(kinds.select(key.alias("_key"), "kind"))
+            own = cut(own.withColumn("_key", key).join(told, "_key").select(*SEEN, *self.keys, "kind"))
+            pairs = _similar(kinds.alias("l").join(F.broadcast(kinds.alias("r")), F.lit(True)))
+            self.kinds = cut(pairs.select(F.col("l.kind").alias("lk"), F.col("r.kind").alias("rk"), *[c.alias(n) for n, c in _name_levels().items()]))
+        self.own, self.where = own, F.lit(True) if where is None else where
+
+    def _both(self, left: DataFrame | None = None, lkeys: list[str] = (), rkeys: list[str] = ()) -> DataFrame:
+        """Pairs of rows of own (l.*, r.*) with the smaller id first, where further keys agree too; left: own with further columns."""
+        lkeys, rkeys = [*self.keys, *lkeys], [*self.keys, *rkeys]
+        a, b = spread(self.own if left is None else left, self.own, lkeys, rkeys, "spell_id")
+        on = (F.col("l._salt") == F.col("r._salt")) & (F.col("l.spell_id") < F.col("r.spell_id")) & self.where
+        for x, y in zip(lkeys, rkeys, strict=True):
+            on = on & (F.col(f"l.{x}") == F.col(f"r.{y}"))
+        return a.alias("l").join(b.alias("r"), on)
+
+    def _told(self, both: DataFrame) -> DataFrame:
+        """lid, rid, both kinds, geo, yr of each pair."""
+        return both.select(F.col("l.spell_id").alias("lid"), F.col("r.spell_id").alias("rid"), F.col("l.kind").alias("lk"), F.col("r.kind").alias("rk"), *[c.alias(n) for n, c in _place_and_years(self.annual).items()])
+
+    def _each(self) -> DataFrame:
+        found = {**_name_levels(), **_place_and_years(self.annual)}
+        return _similar(self._both()).select(F.col("l.spell_id").alias("lid"), F.col("r.spell_id").alias("rid"), *[found[c].alias(c) for c in COMPARED])
+
+    def compared(self, change: dict[str, Column] | None = None) -> DataFrame:
+        """As compare(); change: columns made of those that hang on kinds alone."""
+        change = change or {}
+        if not self.few:
+            return self._each().withColumns(change)
+        return self._told(self._both()).join(F.broadcast(self.kinds.withColumns(change)), ["lk", "rk"]).select("lid", "rid", *COMPARED)
+
+    def _symmetric(self) -> bool:
+        """Whether a pair has the same levels with its sides exchanged."""
+        told = ["sn", "gn", "pt", "stratum"]
+        turned = self.kinds.select(F.col("rk").alias("lk"), F.col("lk").alias("rk"), F.struct(*told).alias("_t"))
+        names = self.kinds.join(turned, ["lk", "rk"]).where(F.struct(*told) != F.col("_t")).limit(1).count()
+        return not names and not self.own.where("first_seen is null or last_seen is null or last_seen < first_seen").limit(1).count()
+
+    def _counted(self, *by: str) -> DataFrame:
+        """lk, rk, geo, yr, _n: twice the pairs of spells, from pairs of cells (own's rows by keys, kind, school, years and ``by``)."""
+        columns = [*self.keys, "kind", "school", "first_seen", "last_seen", *by]
+        cells = cut(self.own.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).withColumns({"cell": F.struct(*columns), "_c": F.xxhash64(*columns)}))
+        keys = [*self.keys, *[c for c in by if c == "location_id"]]
+        a, b = spread(cells, cells, keys, keys, "_c")
+        on = (F.col("l._salt") == F.col("r._salt")) & self.where
+        for k in keys:
+            on = on & (F.col(f"l.{k}") == F.col(f"r.{k}"))
+        geo = F.lit(0) if "location_id" in by else F.when(F.col("l.located") & F.col("r.located"), 2).otherwise(3)
+        n = F.col("l.n") * F.col("r.n") - F.when(F.col("l.cell") == F.col("r.cell"), F.col("l.n")).otherwise(0)
+        both = a.alias("l").join(b.alias("r"), on).select(F.col("l.kind").alias("lk"), F.col("r.kind").alias("rk"), geo.alias("geo"), _years(self.annual).alias("yr"), n.alias("_n"))
+        return both.groupBy("lk", "rk", "geo", "yr").agg(F.sum("_n").alias("_n"))
+
+    def patterns(self) -> list:
+        """As patterns(), from counts of cells (no pairs are made) where levels don't hang on the order; ``where`` may take school and years."""
+        if not self.few:
+            return patterns(self._each())
+        if self._symmetric():
+            own, self.own = self.own, self.own.withColumn("located", F.col("location_id").isNotNull())
+            same = cut(self._counted("location_id"))
+            cells = self._counted("located").union(same).union(same.select("lk", "rk", F.lit(2), "yr", -F.col("_n")))
+            self.own, half = own, 2
+        else:
+            cells, half = self._told(self._both()).groupBy("lk", "rk", "geo", "yr").agg(F.count(F.lit(1)).alias("_n")), 1
+        total = cells.join(F.broadcast(self.kinds), ["lk", "rk"]).groupBy("stratum", *LEVELS).agg((F.sum("_n") / half).cast("long").alias("count"))
+        return total.where(F.col("count") > 0).collect()
+
+    def scored(self, m: dict, u: dict, lam: float) -> DataFrame:
+        """As score(): kinds are scored for each level of place and years, and only pairs whose score stays are made."""
+        if not self.few:
+            return score(self._each(), m, u, lam)
+        level = lambda f, values: F.explode(F.array(*[F.lit(i) for i in values])).alias(f)
+        cells = self.kinds.select("*", level("geo", (0, 2, 3))).select("*", level("yr", range(LEVELS["yr"]))).withColumns({"lid": F.struct("lk", "rk", "geo", "yr"), "rid": F.lit(0)})
+        kept = cut(score(cells, m, u, lam).select("lid.*", "weight", "probability"))
+        # pairs of one place are few; others are made for kinds that stay only
+        near = self._both(None, ["location_id"], ["location_id"])
+        apart = self.own.join(sized(kept.where("geo > 0").select(F.col("lk").alias("kind"), "rk").distinct()), "kind")
+        far = self._both(apart, ["rk"], ["kind"]).where(F.coalesce(F.col("l.location_id") != F.col("r.location_id"), F.lit(True)))
+        return self._told(near).union(self._told(far)).join(sized(kept), ["lk", "rk", "geo", "yr"]).select("lid", "rid", "weight", "probability")
 
 
 def patterns(compared: DataFrame, *extra: Column) -> list:

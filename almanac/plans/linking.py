@@ -42,6 +42,11 @@ def pairs(s):
     return l.join(r, on).select(F.col("l.spell_id").alias("lid"), F.col("r.spell_id").alias("rid"))
 
 
+def blocks(s):
+    """The pairs of PAIRS, to be compared."""
+    return linkage.Blocks(s, ["first_seen", "spell_id % 3"], ["berlin", "jena"], F.col("l.school") != F.col("r.school"))
+
+
 @query(f"""
 WITH s AS ({SPELLS}), big AS (SELECT location_id FROM s WHERE location_id IS NOT NULL GROUP BY 1 HAVING count(*) / (SELECT count(location_id) FROM s) >= 0.003),
      o AS (SELECT s.*, CASE WHEN b.location_id IS NULL THEN s.location_id END AS ok, substr(ln_phon, 1, 3) AS phon3 FROM s LEFT JOIN big b ON s.location_id = b.location_id)
@@ -75,9 +80,8 @@ WITH s AS ({SPELLS}), p AS ({PAIRS}), fs AS (SELECT ln_phon, count(*) / (SELECT
 @query(LEVELS + "SELECT lid, rid, sn, gn, geo, yr, pt, stratum, round(tf_sn, 12) AS tf_sn, round(tf_geo, 12) AS tf_geo FROM x")
 def linkage_levels(spark, d):
     """The five comparison levels, the stratum and both sides' term frequencies of each pair."""
-    s = spells(spark, d)
-    out = linkage.compare(pairs(s), s, ["berlin", "jena"])
-    return out.select("lid", "rid", "sn", "gn", "geo", "yr", "pt", "stratum", F.round("tf_sn", 12).alias("tf_sn"), F.round("tf_geo", 12).alias("tf_geo"))
+    out = blocks(spells(spark, d)).compared({"tf_sn": F.round("tf_sn", 12), "tf_geo": F.round("tf_geo", 12)})
+    return out.drop("rare")
 
 
 @query(LEVELS + "SELECT stratum, sn, gn, geo, yr, pt, count(*) AS n FROM x GROUP BY ALL")
