@@ -87,8 +87,7 @@ def linkage_levels(spark, d):
 @query(LEVELS + "SELECT stratum, sn, gn, geo, yr, pt, count(*) AS n FROM x GROUP BY ALL")
 def linkage_patterns(spark, d):
     """How many pairs have each combination of levels."""
-    s = spells(spark, d)
-    rows = linkage.patterns(linkage.compare(pairs(s), s, ["berlin", "jena"]))
+    rows = blocks(spells(spark, d)).patterns()
     return spark.createDataFrame([(r["stratum"], r["sn"], r["gn"], r["geo"], r["yr"], r["pt"], r["count"]) for r in rows], "stratum string, sn int, gn int, geo int, yr int, pt int, n long")
 
 
