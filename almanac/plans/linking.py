@@ -36,12 +36,6 @@ def spells(spark, d):
     )
 
 
-def pairs(s):
-    l, r = s.alias("l"), s.alias("r")
-    on = (F.col("l.first_seen") == F.col("r.first_seen")) & (F.col("l.spell_id") < F.col("r.spell_id")) & (F.col("l.spell_id") % 3 == F.col("r.spell_id") % 3) & (F.col("l.school") != F.col("r.school"))
-    return l.join(r, on).select(F.col("l.spell_id").alias("lid"), F.col("r.spell_id").alias("rid"))
-
-
 def blocks(s):
     """The pairs of PAIRS, to be compared."""
     return linkage.Blocks(s, ["first_seen", "spell_id % 3"], ["berlin", "jena"], F.col("l.school") != F.col("r.school"))
@@ -122,8 +116,7 @@ def _weight() -> str:
 @query(LEVELS + f", w AS (SELECT lid, rid, {_weight()} AS weight FROM x) SELECT lid, rid, round(weight, 6) AS weight, round(1 / (1 + pow(2, -weight)), 9) AS probability FROM w WHERE weight > -2")
 def linkage_scores(spark, d):
     """log2 weights with term frequencies within four, probabilities, and the pairs over the retention weight."""
-    s = spells(spark, d)
-    out = linkage.score(linkage.compare(pairs(s), s, ["berlin", "jena"]), M, U, LAM)
+    out = blocks(spells(spark, d)).scored(M, U, LAM)
     return out.select("lid", "rid", F.round("weight", 6).alias("weight"), F.round("probability", 9).alias("probability"))
 
 
