@@ -81,9 +81,11 @@ def multi_rule_pairs(records: DataFrame, id_: str, rules: list[list[str]], where
         a, b = spread(a, records, [*rule, *(["_y"] if near else [])], [*rule, *([near[0]] if near else [])], id_)
         a, b = a.alias("l"), b.alias("r")
         on = reduce(lambda x, y: x & y, [l(c) == r(c) for c in rule] + ([l("_y") == r(near[0])] if near else []) + [l("_salt") == r("_salt"), l(id_) < r(id_)])
+        if where is not None:
+            on = on & where
         for earlier in rules[:i]:
             on = on & ~agree(earlier)
-        hits = a.join(b, on if where is None else on & where).select(l(id_).alias("lid"), r(id_).alias("rid"))
+        hits = a.join(b, on).select(l(id_).alias("lid"), r(id_).alias("rid"))
         out = hits if out is None else out.union(hits)
     twice = records.groupBy(id_).count().where("count > 1").limit(1).count()
     return out.distinct() if twice else out

@@ -101,17 +101,23 @@ def spell_table(chained: DataFrame) -> DataFrame:
 
 
 def block(spell: DataFrame, region_share: float = 0.002, enforce_gap: bool = False, most_gap: int = 9) -> DataFrame:
-    """Pairs lid < rid of different schools that agree on one of five rules and don't overlap by more than two years."""
+    """Pairs lid < rid of different schools that agree on one of five rules and don't overlap by more than two years.
+
+    With the bound on years, years that fit become part of each rule's equality."""
     big = key_share(spell, "location_id").where(F.col("share") >= region_share).select("location_id")
     ok = spell.join(sized(big.withColumn("_big", F.lit(True))), "location_id", "left").withColumn("ok_place", F.when(F.col("_big").isNull(), F.col("location_id")))
     ok = ok.withColumn("phon3", F.substring("ln_phon", 1, 3))
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     apart = F.greatest(r("first_seen") - l("last_seen"), l("first_seen") - r("last_seen"))
-    where = (l("school") != r("school")) & (apart >= -2)
+    where, near = (l("school") != r("school")) & (apart >= -2), None
     if enforce_gap:
-        where = where & (apart <= most_gap)
+        where = l("school") != r("school")
+        ok = ok.withColumn("_years", F.struct("first_seen", "last_seen"))
+        years = ok.select("first_seen", "last_seen", "_years").where("first_seen is not null and last_seen is not null").distinct()
+        near = ("_years", cut(years.alias("l").join(years.alias("r"), (apart >= -2) & (apart <= most_gap)).select(l("_years").alias("_x"), r("_years").alias("_y"))))
     rules = [["ln_phon", "gn_i1"], ["ln_phon", "location_id"], ["ok_place", "gn_init"], ["ln_norm"], ["phon3", "gn_init", "gn_i1"]]
-    return multi_rule_pairs(ok, "spell_id", rules, where)
+    ok = ok.select("spell_id", "school", "first_seen", "last_seen", *{c: 0 for x in rules for c in x}, *(["_years"] if near else []))
+    return multi_rule_pairs(ok, "spell_id", rules, where, near)
 
 
 #: Columns that the levels of names, the stratum and the shares are made of.

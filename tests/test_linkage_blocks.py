@@ -48,3 +48,11 @@ def test_pairs_compared_in_blocks_are_not_shuffled(spell):
     lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
     join = next(i for i, x in enumerate(lines) if "spell_id" in x and "Join" in x and "<" in x)
     assert not any("Exchange hash" in x for x in lines[:join])
+
+
+def test_bound_on_years_leaves_the_blocks_as_they_are(spell):
+    wide = linkage.block(spell, 0.9)
+    years = spell.select("spell_id", "first_seen", "last_seen")
+    a, b = years.toDF("lid", "f1", "l1"), years.toDF("rid", "f2", "l2")
+    expected = wide.join(a, "lid").join(b, "rid").where(F.greatest(F.col("f2") - F.col("l1"), F.col("f1") - F.col("l2")) <= 1).select("lid", "rid")
+    assert sorted(map(tuple, linkage.block(spell, 0.9, True, 1).collect())) == sorted(map(tuple, expected.collect())) != []
