@@ -62,30 +62,34 @@ def corrected(strings: DataFrame, corrections: DataFrame | None, territories: st
 def rung_hits(tries: DataFrame, index: DataFrame, s: Settings) -> DataFrame:
     """src_raw, try, SUBJECT_ID, TERM, TERM_ID, term_quality, match_method, string_score: hits of each (src_raw, try, src) on the first rung that has any.
 
-    All rungs are joined, as each is an equality on a key made once for each distinct string; only strings without a hit
-    go on to the similarity join."""
+    The rung is found from the distinct keys of both sides, so terms are met on one rung only, and similarities are those of distinct
+    pairs of keys; only strings without a hit go on to the phonetic rung, and to the similarity join."""
     by = ["src_raw", "try"]
-    keyed = cut(tries.join(text.ladder(tries.select("src"), "src"), "src", "left"))
-    terms = index.select("TERM", "TERM_ID", "SUBJECT_ID", "term_quality", "k_strip", *[F.col(k).alias(f"_{k}") for _, k in RUNGS])
+    terms = index.select("TERM", "TERM_ID", "SUBJECT_ID", "term_quality", F.col("k_strip").alias("_rs"), *[F.col(k).alias(f"_{k}") for _, k in RUNGS])
+    equal = [("exact", "src", "TERM"), *[(name, k, f"_{k}") for name, k in RUNGS[:-1]]]
+    keyed = tries.join(text.ladder(tries.select("src"), "src"), "src", "left")
+    for rung, (_, k, of) in enumerate(equal):
+        keyed = keyed.join(sized(terms.where(F.col(of).isNotNull()).select(F.col(of).alias(k)).distinct().withColumn(f"_at{rung}", F.lit(rung))), k, "left")
+    keyed = cut(keyed.withColumn("rung", F.coalesce(*[F.col(f"_at{i}") for i in range(len(equal))])).select(*by, "src", *[k for _, k in RUNGS], "rung"))
+    told = lambda h, name: h.select(*by, "SUBJECT_ID", "TERM", "TERM_ID", "term_quality", F.lit(name).alias("match_method"), F.lit(METHODS[name]).alias("string_score"))
     hits = None
-    for rung, (name, k) in enumerate((("exact", "src"), *RUNGS)):
-        of = F.col("TERM") if name == "exact" else F.col(f"_{k}")
-        h = keyed.where(F.col(k).isNotNull()).select(*by, F.col(k).alias("_k"), F.col("k_strip").alias("_ls")).join(
-            terms.where(of.isNotNull()).select(of.alias("_k"), F.col("k_strip").alias("_rs"), "SUBJECT_ID", "TERM", "TERM_ID", "term_quality"), "_k"
-        )
-        if name == "phonetic":
-            h = h.where(text.jaro_winkler(F.col("_ls"), F.col("_rs")) >= s.phonetic_guard)
-        h = h.select(*by, "SUBJECT_ID", "TERM", "TERM_ID", "term_quality", F.lit(rung).alias("rung"), F.lit(name).alias("match_method"), F.lit(METHODS[name]).alias("string_score"))
+    for rung, (name, k, of) in enumerate(equal):
+        h = told(keyed.where(F.col("rung") == rung).select(*by, F.col(k).alias("_k")).join(terms.withColumn("_k", F.col(of)), "_k"), name)
         hits = h if hits is None else hits.union(h)
-    hits = cut(hits)
-    left = cut(keyed.join(hits.select(*by).distinct(), by, "left_anti").where(F.length("k_strip") >= s.fuzzy_letters).select(*by, F.col("k_strip").alias("_q")))
+    rest = keyed.where("rung is null")
+    name, k = RUNGS[-1]
+    sounds = rest.select(F.col(k).alias("_k"), F.col("k_strip").alias("_ls")).where("_k is not null and _ls is not null").distinct()
+    alike = sounds.join(terms.select(F.col(f"_{k}").alias("_k"), "_rs").where("_k is not null and _rs is not null").distinct(), "_k")
+    alike = cut(alike.where(text.jaro_winkler(F.col("_ls"), F.col("_rs")) >= s.phonetic_guard))
+    heard = rest.select(*by, F.col(k).alias("_k"), F.col("k_strip").alias("_ls")).join(alike, ["_k", "_ls"]).join(terms.withColumn("_k", F.col(f"_{k}")), ["_k", "_rs"])
+    hits = hits.union(told(heard, name))
+    met = alike.select(F.col("_k").alias(k), F.col("_ls").alias("k_strip")).distinct()
+    left = cut(rest.join(met, [k, "k_strip"], "left_anti").where(F.length("k_strip") >= s.fuzzy_letters).select(*by, F.col("k_strip").alias("_q")))
     near = cut(fuzzy_join(left, index, "_q", "k_strip", least=s.fuzzy_least))
     fuzzy = left.join(near, "_q").join(index.select("k_strip", "SUBJECT_ID", "TERM", "TERM_ID"), "k_strip").select(
-        *by, "SUBJECT_ID", "TERM", "TERM_ID", F.lit(None).cast("double").alias("term_quality"), F.lit(len(RUNGS) + 1).alias("rung"), F.lit("fuzzy").alias("match_method"), (METHODS["fuzzy"] * F.col("similarity")).alias("string_score")
+        *by, "SUBJECT_ID", "TERM", "TERM_ID", F.lit(None).cast("double").alias("term_quality"), F.lit("fuzzy").alias("match_method"), (METHODS["fuzzy"] * F.col("similarity")).alias("string_score")
     )
-    both = hits.unionByName(fuzzy)
-    first = both.join(both.groupBy(*by).agg(F.min("rung").alias("rung")), [*by, "rung"])
-    return best_per_key(first, [*by, "SUBJECT_ID"], [F.desc("string_score"), F.desc_nulls_last("term_quality"), F.asc("TERM_ID"), F.asc("TERM")]).drop("rung")
+    return best_per_key(hits.unionByName(fuzzy), [*by, "SUBJECT_ID"], [F.desc("string_score"), F.desc_nulls_last("term_quality"), F.asc("TERM_ID"), F.asc("TERM")])
 
 
 def ladder_hits(strings: DataFrame, index: DataFrame, s: Settings) -> DataFrame:
