@@ -113,7 +113,7 @@ def block(spell: DataFrame, region_share: float = 0.002, enforce_gap: bool = Fal
     if enforce_gap:
         where = l("school") != r("school")
         ok = ok.withColumn("_years", F.struct("first_seen", "last_seen"))
-        years = ok.select("first_seen", "last_seen", "_years").where("first_seen is not null and last_seen is not null").distinct()
+        years = ok.select("first_seen", "last_seen", "_years").distinct()
         near = ("_years", cut(years.alias("l").join(years.alias("r"), (apart >= -2) & (apart <= most_gap)).select(l("_years").alias("_x"), r("_years").alias("_y"))))
     rules = [["ln_phon", "gn_i1"], ["ln_phon", "location_id"], ["ok_place", "gn_init"], ["ln_norm"], ["phon3", "gn_init", "gn_i1"]]
     ok = ok.select("spell_id", "school", "first_seen", "last_seen", *{c: 0 for x in rules for c in x}, *(["_years"] if near else []))

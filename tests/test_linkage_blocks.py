@@ -51,6 +51,9 @@ def test_pairs_compared_in_blocks_are_not_shuffled(spell):
 
 
 def test_bound_on_years_leaves_the_blocks_as_they_are(spell):
+    """Also where a year isn't known."""
+    k = F.col("spell_id")
+    spell = spell.withColumns({"first_seen": F.when(k % 9 != 0, F.col("first_seen")), "last_seen": F.when(k % 11 != 0, F.col("last_seen"))})
     wide = linkage.block(spell, 0.9)
     years = spell.select("spell_id", "first_seen", "last_seen")
     a, b = years.toDF("lid", "f1", "l1"), years.toDF("rid", "f2", "l2")
