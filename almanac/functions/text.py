@@ -216,6 +216,21 @@ def jaro_winkler(a: Column, b: Column, boost: float = 0.1, floor: float = 0.7) -
     return let(F.struct(by_bytes(a).alias("s"), by_bytes(b).alias("t")), lambda p: _jaro_winkler(p["s"], p["t"], boost, floor))
 
 
+def alike(a: Column, b: Column, least: float) -> Column:
+    """Whether the Jaro-Winkler similarity of a and b reaches ``least``; most pairs that don't are told by the letters they share alone."""
+    by_bytes = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    if least <= 0:
+        return jaro_winkler(a, b) >= least
+    s, t = by_bytes(a), by_bytes(b)
+    n, m = F.length(s), F.length(t)
+    # letters of a side that the other one has at all: no more can match
+    k = F.least(n - F.length(F.call_function("translate", s, t, F.lit(""))), m - F.length(F.call_function("translate", t, s, F.lit(""))))
+    most = (F.try_divide(k, n) + F.try_divide(k, m) + 1) / 3
+    prefix = sum((F.substring(s, 1, i) == F.substring(t, 1, i)).cast("int") for i in (1, 2, 3, 4))
+    may = (n > 0) & (m > 0) & (most + 0.1 * prefix * (1 - most) >= least - 1e-9)
+    return may & (jaro_winkler(a, b) >= least)
+
+
 def _jaro_winkler(s: Column, t: Column, boost: float, floor: float) -> Column:
     n, m = F.length(s), F.length(t)
     reach = F.greatest(F.floor(F.greatest(n, m) / 2) - 1, F.lit(0)).cast("int")

@@ -67,12 +67,13 @@ def full_with_zeros(left: DataFrame, right: DataFrame, on: list[str], values: li
     return left.join(right, on, "full").fillna(0, values)
 
 
-def multi_rule_pairs(records: DataFrame, id_: str, rules: list[list[str]], where: Column | None = None, near: tuple[str, DataFrame] | None = None) -> DataFrame:
+def multi_rule_pairs(records: DataFrame, id_: str, rules: list[list[str]], where: Column | None = None, near: tuple[str, DataFrame] | None = None, take: list[Column] = ()) -> DataFrame:
     """Pairs lid < rid that agree on all columns of at least one rule, once each.
 
     Each rule is an equi join, so an OR never becomes a nested loop; a pair comes from the first rule on which it agrees, so pairs
     aren't shuffled to find doubles (but for records whose ids repeat). where: on columns l.* and r.*. near: a column and the
-    pairs (_x, _y) of its values that a left and a right row may have; they become part of each rule's equality."""
+    pairs (_x, _y) of its values that a left and a right row may have; they become part of each rule's equality. take: further
+    columns of a pair, of l.* and r.*."""
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     agree = lambda rule: reduce(lambda x, y: x & y, [F.coalesce(l(c) == r(c), F.lit(False)) for c in rule])
     out = None
@@ -85,7 +86,7 @@ def multi_rule_pairs(records: DataFrame, id_: str, rules: list[list[str]], where
             on = on & where
         for earlier in rules[:i]:
             on = on & ~agree(earlier)
-        hits = a.join(b, on).select(l(id_).alias("lid"), r(id_).alias("rid"))
+        hits = a.join(b, on).select(l(id_).alias("lid"), r(id_).alias("rid"), *take)
         out = hits if out is None else out.union(hits)
     twice = records.groupBy(id_).count().where("count > 1").limit(1).count()
     return out.distinct() if twice else out

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections import defaultdict
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,14 +71,25 @@ def spells(records: DataFrame, annual: list[str]) -> DataFrame:
     keyed = records.withColumn("spell_key", key)
     single = keyed.where(~F.col("school").isin(*annual)).withColumn("chain", F.col("record_id").cast("long"))
 
-    def run(rows):
-        rows = rows.sort_values(["first_year", "record_id"])
-        return rows.assign(chain=chain(list(zip(rows["first_year"], rows["gn_init"], rows["gn_set"], strict=True))))
-
     many = keyed.where(F.col("school").isin(*annual))
-    narrow = many.select("spell_key", "record_id", "first_year", "gn_init", "gn_set").groupBy("spell_key").applyInPandas(
-        run, "spell_key string, record_id long, first_year long, gn_init string, gn_set array<string>, chain long"
-    ).select("record_id", "chain")
+
+    def run(batches):
+        import pyarrow as pa
+
+        # a key's rows may lie in several batches
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        ids, found = [], []
+        for _, of in groupby(rows, key=lambda row: row[0]):
+            of = list(of)
+            ids += [row[1] for row in of]
+            found += chain([(math.nan if year is None else year, *rest) for _, _, year, *rest in of])
+            if len(ids) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], ["record_id", "chain"])
+                ids, found = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], ["record_id", "chain"])
+
+    narrow = many.select("spell_key", "record_id", "first_year", "gn_init", "gn_set").repartition("spell_key").sortWithinPartitions("spell_key", F.asc_nulls_last("first_year"), "record_id")
+    narrow = narrow.mapInArrow(run, "record_id long, chain long")
     return many.join(narrow, "record_id").unionByName(single)
 
 
@@ -132,13 +144,16 @@ def _own(spell: DataFrame) -> DataFrame:
     return rows.fillna(1.0, ["f_sn", "f_geo"])
 
 
-def _similar(both: DataFrame) -> DataFrame:
-    """both (l.*, r.*) with _jw where names that differ in sound are alike; computed once for each distinct pair of names."""
+def _similar(both: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """both (l.*, r.*) with _jw where names that differ in sound are alike; computed once for each distinct pair of names.
+
+    named: pairs _ln, _rn that hold those of both, where they are known otherwise."""
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     differ = (l("ln_norm") != r("ln_norm")) & ~F.coalesce(l("ln_phon") == r("ln_phon"), F.lit(False))
-    named = both.where(differ).select(l("ln_norm").alias("_ln"), r("ln_norm").alias("_rn")).distinct()
-    near = named.where(F.least(F.length("_ln"), F.length("_rn")) >= 0.6 * F.greatest(F.length("_ln"), F.length("_rn"))).withColumn("_jw", text.jaro_winkler(F.col("_ln"), F.col("_rn"))).where("_jw >= 0.92")
-    return both.join(near, (l("ln_norm") == F.col("_ln")) & (r("ln_norm") == F.col("_rn")), "left")
+    if named is None:
+        named = both.where(differ).select(l("ln_norm").alias("_ln"), r("ln_norm").alias("_rn")).distinct()
+    near = named.where(F.least(F.length("_ln"), F.length("_rn")) >= 0.6 * F.greatest(F.length("_ln"), F.length("_rn"))).where(text.alike(F.col("_ln"), F.col("_rn"), 0.92)).withColumn("_jw", F.lit(True))
+    return both.join(near, differ & (l("ln_norm") == F.col("_ln")) & (r("ln_norm") == F.col("_rn")), "left")
 
 
 def _name_levels() -> dict[str, Column]:
@@ -280,20 +295,38 @@ def patterns(compared: DataFrame, *extra: Column) -> list:
     return compared.groupBy("stratum", *LEVELS, *extra).count().collect()
 
 
-def random_pairs(spell: DataFrame, n: int = 3000, seed: int = 1848) -> DataFrame:
-    """Pairs lid < rid of different schools from a seeded draw of n spells on both sides (a sampling operator).
+def _draws(spell: DataFrame, n: int, seed: int) -> list[DataFrame]:
+    """spell_id, school of two seeded draws of n spells.
 
-    The draw is one from the sorted ids at every size: it takes places in their order, so the ids stay where they are."""
+    Each draw is one from the sorted ids at every size: it takes places in their order, so the ids stay where they are."""
     from .ordered import record_id
 
     spark, total, draw = spell.sparkSession, spell.count(), random.Random(seed)
     left, right = draw.sample(range(total), min(n, total)), draw.sample(range(total), min(n, total))
     placed = cut(record_id(spell.select("spell_id", "school"), ["spell_id"], "_at"))
-    drawn = lambda at: placed.join(F.broadcast(spark.createDataFrame([(i,) for i in at], "_at long")), "_at").select("spell_id", "school")
-    a, b = drawn(left).toDF("lid", "ls"), drawn(right).toDF("rid", "rs")
+    return [placed.join(F.broadcast(spark.createDataFrame([(i,) for i in at], "_at long")), "_at").select("spell_id", "school") for at in (left, right)]
+
+
+def random_pairs(spell: DataFrame, n: int = 3000, seed: int = 1848) -> DataFrame:
+    """Pairs lid < rid of different schools from a seeded draw of n spells on both sides (a sampling operator)."""
+    left, right = _draws(spell, n, seed)
+    a, b = left.toDF("lid", "ls"), right.toDF("rid", "rs")
     return a.join(F.broadcast(b), (F.col("lid") < F.col("rid")) & (F.col("ls") != F.col("rs"))).select("lid", "rid")
 
 
+def random_patterns(spell: DataFrame, annual: list[str], n: int = 3000, seed: int = 1848) -> list:
+    """patterns() of compare() of random_pairs(): both draws' rows meet as they are, and names' similarity is that of distinct names."""
+    own = spell.withColumns({"f_sn": F.lit(1.0), "f_geo": F.lit(1.0)}).select(*SEEN, *NAMED)
+    a, b = (cut(own.join(F.broadcast(x.select("spell_id")), "spell_id")) for x in _draws(spell, n, seed))
+    name = lambda df, c: df.select(F.col("ln_norm").alias(c)).where("ln_norm is not null").distinct()
+    named = name(a, "_ln").join(F.broadcast(name(b, "_rn")), F.lit(True))
+    l, r = F.col("l.spell_id"), F.col("r.spell_id")
+    dealt = a.repartition(spell.sparkSession.sparkContext.defaultParallelism, "spell_id")
+    both = dealt.alias("l").join(F.broadcast(b.alias("r")), (l < r) & (F.col("l.school") != F.col("r.school")))
+    found = {**_name_levels(), **_place_and_years(annual)}
+    return patterns(_similar(both, named).select(*[found[c].alias(c) for c in COMPARED[:6]]))
+
+
 def smoothed(counts: dict[int, float], k: int) -> list[float]:
     total = sum(counts.values())
     return [(counts.get(i, 0) + 0.5) / (total + 0.5 * k) for i in range(k)]
@@ -346,19 +379,31 @@ def match_share(n_spells: int, n_pairs: int, mean_schools: float = 1.45) -> floa
     return min(0.5, n_spells * (1 - 1 / mean_schools) / max(1, n_pairs))
 
 
-def score(compared: DataFrame, m: dict, u: dict, lam: float) -> DataFrame:
-    """lid, rid, weight (log2), probability; pairs over the retention weight."""
+def _rarity(u: dict, f: str, tf: str) -> Column:
+    """What a pair's common value of field f adds to its weight, from the product of both sides' shares."""
+    u0 = F.create_map(*[x for s in u for x in (F.lit(s), F.lit(math.log2(u[s][f][0])))])
+    rarity = F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.element_at(u0, F.col("stratum")) - F.log2(F.col(tf))))
+    return F.when(F.col(f) == 0, rarity).otherwise(0.0)
+
+
+def _weight(m: dict, u: dict, lam: float) -> Column:
+    """The weight of a pair (log2) but for the rarity of its place."""
     weight = F.lit(math.log2(lam / (1 - lam)))
     for f in LEVELS:
         flat = {(s, i): math.log2(max(m[s][f][i], 1e-12)) - math.log2(max(u[s][f][i], 1e-12)) for s in m for i in range(LEVELS[f])}
         table = F.create_map(*[x for (s, i), v in flat.items() for x in (F.lit(f"{s}|{i}"), F.lit(v))])
         weight = weight + F.element_at(table, F.concat_ws("|", "stratum", F.col(f).cast("string")))
-    for f, tf in (("sn", "tf_sn"), ("geo", "tf_geo")):
-        u0 = F.create_map(*[x for s in u for x in (F.lit(s), F.lit(math.log2(u[s][f][0])))])
-        rarity = F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.element_at(u0, F.col("stratum")) - F.log2(F.col(tf))))
-        weight = weight + F.when(F.col(f) == 0, rarity).otherwise(0.0)
-    scored = compared.withColumn("weight", weight)
-    return scored.where(F.col("weight") > RETAIN).select("lid", "rid", "weight", (1 / (1 + F.pow(F.lit(2.0), -F.col("weight")))).alias("probability"))
+    return weight + _rarity(u, "sn", "tf_sn")
+
+
+def _probability(weight: str) -> Column:
+    return 1 / (1 + F.pow(F.lit(2.0), -F.col(weight)))
+
+
+def score(compared: DataFrame, m: dict, u: dict, lam: float) -> DataFrame:
+    """lid, rid, weight (log2), probability; pairs over the retention weight."""
+    scored = compared.withColumn("weight", _weight(m, u, lam) + _rarity(u, "geo", "tf_geo"))
+    return scored.where(F.col("weight") > RETAIN).select("lid", "rid", "weight", _probability("weight").alias("probability"))
 
 
 def connected(edges: DataFrame, a: str = "lid", b: str = "rid") -> DataFrame:
@@ -409,24 +454,45 @@ def cluster(scored: DataFrame, spell: DataFrame, threshold: float = 0.95) -> Dat
 
     Pairs that may not share a cluster by themselves never lead to a merge, so they go first, which also takes large components
     of common names apart. Merges never leave a component of the graph, so components are merged apart, each in the global edge order."""
-    ship(spell.sparkSession)
     span = lambda p, k: spell.select(F.col("spell_id").alias(k), F.struct("school", "first_seen", "last_seen").alias(p))
     told = scored.where(F.col("probability") >= threshold).join(span("_l", "lid"), "lid").join(span("_r", "rid"), "rid")
-    first, last = (lambda f: f(F.col("_l.first_seen"), F.col("_r.first_seen"))), (lambda f: f(F.col("_l.last_seen"), F.col("_r.last_seen")))
-    apart = (F.col("_l.school") != F.col("_r.school")) & (last(F.greatest) - first(F.least) + 1 <= SPAN) & (last(F.least) - first(F.greatest) + 1 <= OVERLAP)
-    edges = cut(told.where(apart).select("lid", "rid", "weight"))
-    comp = connected(edges)
-    kept = edges.join(comp, F.col("lid") == F.col("id")).select("component", "weight", "lid", "rid")
-    nodes = comp.join(spell, F.col("id") == F.col("spell_id")).select(F.col("component").alias("own"), "spell_id", "school", "first_seen", "last_seen")
+    return merged(cut(told.where(_together("_l", "_r")).select("lid", "rid", "weight", "_l", "_r")), spell)
+
 
-    def run(edge_rows, node_rows):
-        import pandas as pd
+def _together(a: str, b: str) -> Column:
+    """Whether two spells may share a cluster by themselves."""
+    of = lambda f, c: f(F.col(f"{a}.{c}"), F.col(f"{b}.{c}"))
+    spans = of(F.greatest, "last_seen") - of(F.least, "first_seen") + 1 <= SPAN
+    return (F.col(f"{a}.school") != F.col(f"{b}.school")) & spans & (of(F.least, "last_seen") - of(F.greatest, "first_seen") + 1 <= OVERLAP)
 
-        spans = {r.spell_id: (r.school, r.first_seen, r.last_seen) for r in node_rows.itertuples()}
-        found = merge(list(zip(edge_rows["weight"], edge_rows["lid"], edge_rows["rid"], strict=True)), spans)
-        return pd.DataFrame({"spell_id": list(found), "student_id": list(found.values())})
 
-    linked = kept.groupBy("component").cogroup(nodes.groupBy("own")).applyInPandas(run, "spell_id long, student_id long")
+def merged(edges: DataFrame, spell: DataFrame) -> DataFrame:
+    """spell_id, student_id of all spells: edges (lid, rid, weight, both sides' school and years _l, _r) merged within connected components."""
+    ship(spell.sparkSession)
+    comp = connected(edges)
+    kept = edges.join(comp, F.col("lid") == F.col("id")).select("component", "lid", "rid", "weight", *[f"{x}.{c}" for x in ("_l", "_r") for c in ("school", "first_seen", "last_seen")])
+    kept = kept.toDF("component", "lid", "rid", "weight", "ls", "lf", "lt", "rs", "rf", "rt").repartition("component").sortWithinPartitions("component")
+
+    def run(batches):
+        import pyarrow as pa
+
+        # a component's edges may lie in several batches
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        ids, roots = [], []
+        for _, of in groupby(rows, key=lambda row: row[0]):
+            edge, spans = [], {}
+            for _, lid, rid, weight, ls, lf, lt, rs, rf, rt in of:
+                edge.append((weight, lid, rid))
+                spans[lid], spans[rid] = (ls, lf, lt), (rs, rf, rt)
+            found = merge(edge, spans)
+            ids += found
+            roots += found.values()
+            if len(ids) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64())], ["spell_id", "student_id"])
+                ids, roots = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64())], ["spell_id", "student_id"])
+
+    linked = kept.mapInArrow(run, "spell_id long, student_id long")
     return spell.select("spell_id").join(linked, "spell_id", "left").select("spell_id", F.coalesce("student_id", "spell_id").alias("student_id"))
 
 
@@ -506,16 +572,108 @@ def gold_validation(found: DataFrame, gold: DataFrame) -> DataFrame:
     )
 
 
+class Met:
+    """Pairs of block(), as counts of level patterns and as edges; no row is made for a pair that doesn't become an edge.
+
+    Spells are of kinds (their name columns; a kind's number is its smallest id), so names are compared once for each pair of kinds.
+    Pairs of spells are counted from cells of spells of one kind, school and years: where names alone put them into a block by whether
+    both places are known, and where places agree by place."""
+
+    NAMES = [["ln_phon", "gn_i1"], ["ln_norm"], ["phon3", "gn_init", "gn_i1"]]
+    PLACES = [["location_id", "ln_phon"], ["ok_place", "gn_init"], ["location_id", "ln_norm"], ["location_id", "phon3", "gn_init", "gn_i1"]]
+
+    def __init__(self, spell: DataFrame, annual: list[str], region_share: float = 0.002):
+        self.annual, names = annual, NAMED[:-2]
+        own = cut(spell.select(*SEEN, *names).withColumn("_key", F.struct(*names)))
+        kinds = cut(own.groupBy("_key").agg(F.min("spell_id").alias("kind")).join(sized(key_share(own, "ln_phon", "f_sn")), F.col("_key.ln_phon") == F.col("ln_phon"), "left").select("kind", "_key", F.coalesce("f_sn", F.lit(1.0)).alias("f_sn"), F.lit(1.0).alias("f_geo")))
+        places = key_share(own, "location_id", "f_geo").withColumn("ok_place", F.when(F.col("f_geo") < region_share, F.col("location_id")))
+        own = own.join(sized(kinds.select("_key", "kind")), "_key").join(sized(places), "location_id", "left")
+        own = own.withColumns({"phon3": F.substring("ln_phon", 1, 3), "f_geo": F.coalesce("f_geo", F.lit(1.0))})
+        self.own = cut(own.select(*SEEN, "kind", "f_geo", *{c: 0 for rule in self.NAMES + self.PLACES for c in rule if c != "location_id"}))
+        self.kinds = kinds.select("kind", "_key.*", "f_sn", "f_geo")
+        self._count(None)
+        odd = self._levels()
+        if odd is not None:
+            # names that are alike one way round only: their spells are cells of their own, and keep their order
+            self._count(odd)
+            self._levels()
+
+    def _count(self, odd: DataFrame | None) -> None:
+        """counts: lk, rk, geo, yr, n of all pairs in blocks."""
+        l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+        rows = self.own.withColumn("single", F.lit(None).cast("long")) if odd is None else self.own.join(sized(odd.withColumn("_odd", F.lit(True))), "kind", "left").withColumn("single", F.when(F.col("_odd"), F.col("spell_id"))).drop("_odd")
+        rules = {c: 0 for rule in self.NAMES + self.PLACES for c in rule if c not in ("location_id", "ok_place")}
+        where = (l("school") != r("school")) & (F.greatest(r("first_seen") - l("last_seen"), l("first_seen") - r("last_seen")) >= -2)
+        ordered = l("single").isNotNull() & r("single").isNotNull()
+        sides = [F.when(ordered, l("kind")).otherwise(F.least(l("kind"), r("kind"))).alias("lk"), F.when(ordered, r("kind")).otherwise(F.greatest(l("kind"), r("kind"))).alias("rk")]
+
+        def pairs(by, rules_, **more):
+            cells = cut(rows.groupBy("kind", "school", "first_seen", "last_seen", "single", *by, *rules).agg(F.count(F.lit(1)).alias("n"), F.min("spell_id").alias("cell")))
+            met = multi_rule_pairs(cells, "cell", rules_, where, take=[*sides, _years(self.annual).alias("yr"), (l("n") * r("n")).alias("n"), *[c.alias(k) for k, c in more.items()]])
+            return met.groupBy("lk", "rk", "yr", *more).agg(F.sum("n").alias("n"))
+
+        rows = rows.withColumn("located", F.col("location_id").isNotNull())
+        agree = F.lit(False)
+        for rule in self.NAMES:
+            one = F.lit(True)
+            for c in rule:
+                one = one & F.coalesce(l(c) == r(c), F.lit(False))
+            agree = agree | one
+        named = pairs(["located"], self.NAMES, geo=F.when(l("located") & r("located"), 2).otherwise(3))
+        same = cut(pairs(["location_id", "ok_place"], self.PLACES, named=agree))
+        all_ = named.select("lk", "rk", "geo", "yr", "n").union(same.select("lk", "rk", F.lit(0), "yr", "n")).union(same.where("named").select("lk", "rk", F.lit(2), "yr", -F.col("n")))
+        self.counts = cut(all_.groupBy("lk", "rk", "geo", "yr").agg(F.sum("n").alias("n")).where("n > 0"))
+
+    def _levels(self) -> DataFrame | None:
+        """levels: lk, rk and their levels, both ways round; the kinds whose levels hang on the order, if there are any."""
+        pairs = self.counts.select("lk", "rk")
+        pairs = pairs.union(pairs.select("rk", "lk")).distinct()
+        both = pairs.join(sized(self.kinds).alias("l"), F.col("lk") == F.col("l.kind")).join(sized(self.kinds).alias("r"), F.col("rk") == F.col("r.kind"))
+        self.levels = cut(_similar(both).select("lk", "rk", *[c.alias(n) for n, c in _name_levels().items()]))
+        told = F.struct("sn", "gn", "pt", "stratum")
+        turned = self.levels.select(F.col("rk").alias("lk"), F.col("lk").alias("rk"), told.alias("_t"))
+        odd = self.levels.join(turned, ["lk", "rk"]).where(told != F.col("_t"))
+        return odd.select(F.col("lk").alias("kind")).distinct() if odd.limit(1).count() else None
+
+    def patterns(self, rare: float) -> list:
+        """patterns() of all pairs, by is_rare too."""
+        told = self.counts.join(sized(self.levels.withColumn("is_rare", F.col("rare") < rare)), ["lk", "rk"])
+        return sorted(told.groupBy("stratum", *LEVELS, "is_rare").agg(F.sum("n").alias("count")).collect())
+
+    def edges(self, m: dict, u: dict, lam: float, threshold: float) -> DataFrame:
+        """lid, rid, weight, _l, _r as merged() takes them, of the pairs that reach threshold and may share a cluster."""
+        told = self.levels.withColumn("tf_sn", F.when(F.col("sn") == 0, F.col("tf_sn")).otherwise(1.0))
+        by = ["stratum", "sn", "gn", "pt", "tf_sn"]
+        level = lambda f, values: F.explode(F.array(*[F.lit(i) for i in values])).alias(f)
+        cells = told.select(*by).distinct().select("*", level("geo", (0, 2, 3))).select("*", level("yr", range(LEVELS["yr"])))
+        # where places agree, the share of the place isn't known yet: the most that it may add is taken
+        cells = cells.withColumn("named", _weight(m, u, lam)).withColumn("most", F.col("named") + F.when(F.col("geo") == 0, 4.0).otherwise(0.0))
+        kept = cut(cells.where((F.col("most") > RETAIN) & (_probability("most") >= threshold)))
+        kept = cut(kept.join(told, by).select("lk", "rk", "geo", "yr", "named", "stratum"))
+        l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+        span = lambda x: F.struct(*[x(c).alias(c) for c in ("school", "first_seen", "last_seen")])
+        where = _together("l", "r") & (F.greatest(r("first_seen") - l("last_seen"), l("first_seen") - r("last_seen")) >= -2)
+        of = [l("kind").alias("lk"), r("kind").alias("rk"), _years(self.annual).alias("yr"), span(l).alias("_l"), span(r).alias("_r")]
+        pairs = multi_rule_pairs(self.own, "spell_id", self.PLACES, where, take=[*of, (l("f_geo") * r("f_geo")).alias("tf_geo")]).withColumn("geo", F.lit(0))
+        far = kept.where("geo > 0").select("lk", "rk").distinct()
+        if far.limit(1).count():
+            a, b = spread(self.own.join(sized(far), F.col("kind") == F.col("lk")).drop("lk"), self.own, ["rk"], ["kind"], "spell_id")
+            on = (l("rk") == r("kind")) & (l("_salt") == r("_salt")) & (l("spell_id") < r("spell_id")) & where & F.coalesce(l("location_id") != r("location_id"), F.lit(True))
+            geo = F.when(l("location_id").isNull() | r("location_id").isNull(), 3).otherwise(2)
+            pairs = pairs.unionByName(a.alias("l").join(b.alias("r"), on).select(l("spell_id").alias("lid"), r("spell_id").alias("rid"), *of, F.lit(1.0).alias("tf_geo"), geo.alias("geo")))
+        exact = pairs.join(sized(kept), ["lk", "rk", "geo", "yr"]).withColumn("weight", F.col("named") + _rarity(u, "geo", "tf_geo"))
+        return cut(exact.where((F.col("weight") > RETAIN) & (_probability("weight") >= threshold)).select("lid", "rid", "weight", "_l", "_r"))
+
+
 def link(records: DataFrame, annual: list[str], threshold: float = 0.95, mean_schools: float = 1.45, sample: int = 3000, rare: float = 2e-4) -> DataFrame:
     """record_id, spell_id, student_id for records; the whole chain."""
-    prepared = prepare(records)
-    chained = spells(prepared, annual).persist()
-    spell = spell_table(chained).persist()
-    compared = compare(block(spell), spell, annual).withColumn("is_rare", F.col("rare") < rare).persist()
-    n, rows = spell.count(), patterns(compared, F.col("is_rare"))
-    u = by_stratum(patterns(compare(random_pairs(spell, sample), spell, annual)), list(LEVELS))
+    chained = cut(spells(prepare(records), annual))
+    spell = cut(spell_table(chained))
+    met = Met(spell, annual)
+    n, rows = spell.count(), met.patterns(rare)
+    u = by_stratum(random_patterns(spell, annual, sample), list(LEVELS))
     lam = match_share(n, sum(r["count"] for r in rows), mean_schools)
     m = em(rows, seeds(rows, rare), u, lam)
-    clusters = cluster(score(compared, m, u, lam), spell, threshold)
+    clusters = merged(met.edges(m, u, lam, threshold), spell)
     ids = chained.select("record_id", "spell_key", "chain").join(spell.select("spell_key", "chain", "spell_id"), ["spell_key", "chain"])
     return ids.join(clusters, "spell_id").select("record_id", "spell_id", "student_id")
