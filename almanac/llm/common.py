@@ -39,7 +39,9 @@ def sliced(batches, rows: int = 500):
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are gone: it does so when the driver has collected its garbage."""
+    """Lets Spark delete the shuffle files of frames that are gone: it does so when the driver has collected its garbage.
+
+    The driver's heap shrinks to what is held, too; between long plans it else grows to its bound, with buffers and generated classes beside it."""
     gc.collect()
     spark._jvm.System.gc()
 

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, per_text
+from .common import cut, per_text, release
 from .words import hashes, lowered, mix
 
 SHINGLE = 5
@@ -143,6 +143,7 @@ def components(links: DataFrame) -> DataFrame:
         hooked = labels.join(around, labels.id == around.a).select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jumped = hooked.alias("h").join(labels.select(F.col("id").alias("up"), F.col("label").alias("top")), F.col("label") == F.col("up"), "left")
         new = cut(jumped.select("id", "old", F.least("label", F.coalesce("top", "label")).alias("label")))
+        release(links.sparkSession)
         labels = new.select("id", "label")
         if not new.where(F.col("label") != F.col("old")).limit(1).count():
             return labels
@@ -235,11 +236,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
     classes = cut(
         own.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
+    release(docs.sparkSession)
     named = classes.where("rep is not null")
     banded = named.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("head")).where("members > 1")
     buckets = cut(banded.join(shared.select("bucket", "head"), "bucket"))
     sketches = named.select(F.col("rep").alias("id"), "sketch")
+    release(docs.sparkSession)
 
     stars = buckets.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     first = cut(
@@ -258,11 +261,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
     picked = docs.select(key, text).join(wanted, key, "left_semi").dropDuplicates([key])
     sets = cut(per_text(picked, run, "items binary", text, key).withColumnRenamed(key, "id"))
 
+    release(docs.sparkSession)
     links = cut(confirmed(first, sets, percent))
     labels = components(links)
+    release(docs.sparkSession)
     more = cut(crossing(buckets.join(sketches, "id"), labels, sets, most, percent))
+    release(docs.sparkSession)
     if more.limit(1).count():
         labels = components(links.union(more))
+        release(docs.sparkSession)
 
     known = classes.select("n", "d1", "d2", "rep").join(labels, F.col("rep") == F.col("id"), "left").select("n", "d1", "d2", F.coalesce("label", "rep").alias("component_id"))
     linked = own.where("n > 0").select("id", "n", "d1", "d2").join(known, ["n", "d1", "d2"]).select("id", "n", "component_id")
