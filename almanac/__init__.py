@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -33,6 +34,14 @@ def cut(df):
     return df.checkpoint(eager=True)
 
 
+def release(spark) -> None:
+    """Lets Spark delete the shuffle files of frames that are gone: it does so when the driver has collected its garbage.
+
+    The driver's heap shrinks to what is held, too; between long plans it else grows to its bound, with buffers and generated classes beside it."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ship(spark) -> None:
     """Sends this package to the executors once for each application, for the operators that run Python there."""
     sc = spark.sparkContext

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import uuid
 from collections.abc import Callable
@@ -11,7 +10,7 @@ from urllib.parse import urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac import checkpoint_dir, cut, ship  # noqa: F401
+from almanac import checkpoint_dir, cut, release, ship  # noqa: F401
 
 #: White space of every contract: 0x09-0x0D and 0x20.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -38,14 +37,6 @@ def sliced(batches, rows: int = 500):
             yield b.slice(i, rows)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are gone: it does so when the driver has collected its garbage.
-
-    The driver's heap shrinks to what is held, too; between long plans it else grows to its bound, with buffers and generated classes beside it."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, all other characters as they are."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import cut, release
 from ..functions import geo, text
 from .joins import closure, sized
 from .ordered import best_per_key
@@ -43,14 +46,13 @@ def quality(preferred, vernacular, historic):
     return F.when(p == "P", QUALITY["preferred"]).when(v == "V", QUALITY["vernacular"]).when(h == "H", QUALITY["historic_variant"]).otherwise(QUALITY["variant"])
 
 
-def precision(placetypes: DataFrame, table=PLACE_TYPES) -> DataFrame:
-    """SUBJECT_ID, is_settlement, geo_precision, placetype: of the preferred roles the finest."""
+def precise(placetypes: DataFrame, table=PLACE_TYPES) -> DataFrame:
+    """SUBJECT_ID, settles and role of each role; the smallest role is the preferred one, or else the finest."""
     kind = text.contains_case(F.lower(F.trim("PLACETYPE")), table)
     pt = placetypes.withColumns({"_k": kind, "_pref": F.coalesce(F.trim("PREFERRED") == "P", F.lit(False)).cast("int")})
     rank = text.mapped(F.col("_k"), {k: str(v) for k, v in PRECISION.items()}).cast("int")
-    best = best_per_key(pt.where("_k is not null").withColumn("_r", rank), ["SUBJECT_ID"], [F.desc("_pref"), F.asc("_r"), F.asc("PTYPE_ROLE_ID")])
-    settle = pt.groupBy("SUBJECT_ID").agg(F.coalesce(F.bool_or(F.col("_k") == "settlement"), F.lit(False)).alias("is_settlement"), F.count(F.lit(1)).alias("n_placetypes"))
-    return settle.join(best.select("SUBJECT_ID", F.col("_k").alias("geo_precision"), F.col("PLACETYPE").alias("placetype")), "SUBJECT_ID", "left")
+    role = F.struct((-F.col("_pref")).alias("pref"), rank.alias("rank"), F.col("PTYPE_ROLE_ID").alias("id"), F.col("_k").alias("kind"), F.col("PLACETYPE").alias("name"))
+    return pt.select("SUBJECT_ID", F.coalesce(F.col("_k") == "settlement", F.lit(False)).alias("settles"), F.when(F.col("_k").isNotNull(), role).alias("role"))
 
 
 def build_index(tables: dict[str, DataFrame], remap: DataFrame | None = None) -> DataFrame:
@@ -62,34 +64,44 @@ def build_index(tables: dict[str, DataFrame], remap: DataFrame | None = None) ->
         moved = sized(remap.select(F.col("from_subject_id").alias("SUBJECT_ID"), "to_subject_id"))
         terms = terms.join(moved, "SUBJECT_ID", "left").withColumn("SUBJECT_ID", F.coalesce("to_subject_id", "SUBJECT_ID")).drop("to_subject_id")
     terms = terms.withColumn("term_quality", quality(F.col("PREFERRED"), F.col("VERNACULAR"), F.col("HISTORIC_FLAG")))
-    terms = best_per_key(terms, ["SUBJECT_ID", "TERM"], [F.desc("term_quality"), F.asc("TERM_ID")])
-    counts = terms.groupBy("SUBJECT_ID").agg(F.count(F.lit(1)).alias("n_terms"))
+    terms = cut(best_per_key(terms, ["SUBJECT_ID", "TERM"], [F.desc("term_quality"), F.asc("TERM_ID")]))
     subjects = tables["subjects"].where(F.trim("RECORD_TYPE").isin("A", "B"))
     if "merges" in tables:
         gone = tables["merges"].select("SUBJECT_ID").distinct()
         subjects = subjects.join(gone, "SUBJECT_ID", "left_anti")
     else:
         subjects = subjects.where(F.coalesce(F.trim("MERGED_STAT"), F.lit("")) != "M")
-    places = subjects.select("SUBJECT_ID").distinct().join(counts, "SUBJECT_ID", "left")
+    # what is told of a place, from all tables in one union, so that it is dealt and sorted once
+    told, features = [subjects.select("SUBJECT_ID", F.lit(True).alias("_there")), terms.select("SUBJECT_ID", F.lit(1).alias("_term"))], [F.bool_or("_there").alias("_there"), F.sum("_term").alias("n_terms")]
 
-    def joined(df: DataFrame, name: str, columns: dict) -> DataFrame:
+    def tell(name: str, rows, kinds: str, *columns) -> None:
+        """columns, over the rows that rows(table) makes, or nulls of these kinds."""
         if name in tables:
-            return df.join(columns["from"], "SUBJECT_ID", "left")
-        return df.withColumns({c: F.lit(None).cast(t) for c, t in columns["else"].items()})
+            told.append(rows(tables[name]))
+            features.extend(columns)
+        else:
+            features.extend(F.max(F.lit(None).cast(kind)).alias(c) for c, kind in (x.split() for x in kinds.split(", ")))
 
-    t = tables.get
-    places = joined(places, "placetypes", {"from": precision(t("placetypes")) if "placetypes" in tables else None, "else": {"is_settlement": "boolean", "n_placetypes": "long", "geo_precision": "string", "placetype": "string"}})
-    places = joined(places, "coords", {"from": t("coords").select("SUBJECT_ID", "LAT", "LON", geo.box_area(*[F.col(c) for c in ("LAT_MIN_BOX", "LAT_MAX_BOX", "LON_MIN_BOX", "LON_MAX_BOX")]).alias("bbox_area")).dropDuplicates(["SUBJECT_ID"]) if "coords" in tables else None, "else": {"LAT": "double", "LON": "double", "bbox_area": "double"}})
-    places = joined(places, "languages", {"from": t("languages").groupBy("SUBJECT_ID").agg(F.count_distinct("LANGUAGE_CODE").alias("n_languages")) if "languages" in tables else None, "else": {"n_languages": "long"}})
+    box = [F.col(c) for c in ("LAT_MIN_BOX", "LAT_MAX_BOX", "LON_MIN_BOX", "LON_MAX_BOX")]
+    one_of = lambda c, *names: [F.first(c, ignorenulls=True)[n].alias(n) for n in names]
+    tell("placetypes", precise, "is_settlement boolean, n_placetypes long, geo_precision string, placetype string",
+         F.bool_or("settles").alias("is_settlement"), F.count("settles").alias("n_placetypes"), F.min("role")["kind"].alias("geo_precision"), F.min("role")["name"].alias("placetype"))
+    tell("coords", lambda t: t.select("SUBJECT_ID", F.struct("LAT", "LON", geo.box_area(*box).alias("bbox_area")).alias("_at")), "LAT double, LON double, bbox_area double", *one_of("_at", "LAT", "LON", "bbox_area"))
+    tell("languages", lambda t: t.select("SUBJECT_ID", "LANGUAGE_CODE").distinct().select("SUBJECT_ID", F.col("LANGUAGE_CODE").isNotNull().cast("int").alias("_language")), "n_languages long", F.sum("_language").alias("n_languages"))
     for name, c in (("sources", "n_sources"), ("notes", "n_notes")):
-        places = joined(places, name, {"from": t(name).groupBy("SUBJECT_ID").agg(F.sum(c).alias(c)) if name in tables else None, "else": {c: "long"}})
+        tell(name, lambda t, c=c: t.select("SUBJECT_ID", F.col(c).alias(f"_{c}")), f"{c} long", F.sum(f"_{c}").alias(c))
+    if "rels" in tables:
+        tree = tables["rels"].where(F.trim("PREFERRED") == "P").select(F.col("CHILD_ID").alias("SUBJECT_ID"), F.col("PARENT_ID").alias("parent_id")).where("SUBJECT_ID != parent_id")
+        one = cut(tree.groupBy("SUBJECT_ID").agg(F.min("parent_id").alias("parent_id")))
+        told += [one, closure(one, "SUBJECT_ID", "parent_id").select("SUBJECT_ID", F.struct("ancestors", "depth").alias("_up")), one.where("parent_id is not null").select(F.col("parent_id").alias("SUBJECT_ID"), F.lit(1).alias("_child"))]
+        features += [F.min("parent_id").alias("parent_id"), *one_of("_up", "ancestors", "depth"), F.sum("_child").alias("n_children")]
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), told).repartition("SUBJECT_ID")
+    places = together.groupBy("SUBJECT_ID").agg(*features).where("_there").drop("_there")
     if "rels" in tables:
-        tree = t("rels").where(F.trim("PREFERRED") == "P").select(F.col("CHILD_ID").alias("SUBJECT_ID"), F.col("PARENT_ID").alias("parent_id")).where("SUBJECT_ID != parent_id")
-        one = tree.groupBy("SUBJECT_ID").agg(F.min("parent_id").alias("parent_id"))
-        children = one.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n_children")).withColumnRenamed("parent_id", "SUBJECT_ID")
-        places = places.join(one, "SUBJECT_ID", "left").join(closure(one, "SUBJECT_ID", "parent_id"), "SUBJECT_ID", "left").join(children, "SUBJECT_ID", "left")
-        up = places.select(F.col("SUBJECT_ID").alias("parent_id"), F.col("is_settlement").alias("parent_is_settlement"))
-        places = places.join(up, "parent_id", "left")
+        places = cut(places)
+        release(places.sparkSession)
+        up = places.where("n_children > 0").select(F.col("SUBJECT_ID").alias("parent_id"), F.col("is_settlement").alias("parent_is_settlement"))
+        places = places.join(sized(up), "parent_id", "left")
     else:
         places = places.withColumns({"parent_id": F.lit(None).cast("long"), "ancestors": F.lit(None).cast("array<bigint>"), "depth": F.lit(None).cast("int"), "n_children": F.lit(None).cast("long"), "parent_is_settlement": F.lit(None).cast("boolean")})
     places = places.withColumns({
@@ -98,4 +110,4 @@ def build_index(tables: dict[str, DataFrame], remap: DataFrame | None = None) ->
         "prominence": geo.prominence(PROMINENCE) + NOTE * F.coalesce((F.col("n_notes") > 0).cast("double"), F.lit(0.0)),
     })
     keys = text.ladder(terms, "TERM")
-    return terms.select("TERM", "TERM_ID", "SUBJECT_ID", "term_quality").join(places, "SUBJECT_ID").join(keys, "TERM", "left")
+    return terms.select("TERM", "TERM_ID", "SUBJECT_ID", "term_quality").join(places, "SUBJECT_ID").join(sized(keys), "TERM", "left")

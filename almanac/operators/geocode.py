@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import cut, ship
+from .. import cut, release, ship
 from ..functions import geo, text
 from .gazetteer import PRECISION
 from .joins import fuzzy_join, keep_satisfied, null_safe, sized
@@ -20,6 +20,8 @@ RUNGS = (("fold", "k_fold"), ("modernize", "k_modern"), ("strip", "k_strip"), ("
 # ---- fixed values: upper edges of the distance bins as log10(1 + km); one more bin lies beyond the last
 EDGES = (0.3, 0.5, 1.0, 1.3, 1.6, 1.9, 2.2, 2.5, 3.0, 3.5, 4.0)
 COARSE = ("strip", "phonetic", "fuzzy")
+#: Rows of pools that a task collapses, about.
+POOLED = 20_000
 
 
 @dataclass
@@ -113,7 +115,7 @@ def coarse_ids(strings: DataFrame, index: DataFrame, column: str, name: str) ->
 def collapse(rows: list[tuple], radius: float) -> list[int]:
     """For each (id, lat, lon, ancestors) in order the place of the row it collapses into: its own if it is kept."""
     kept: list[int] = []
-    out = []
+    out, far = [], radius * (1 + 1e-9)
     for i, (own, lat, lon, ancestors) in enumerate(rows):
         into = i
         if lat is not None and lon is not None and not (math.isnan(lat) or math.isnan(lon)):
@@ -124,7 +126,10 @@ def collapse(rows: list[tuple], radius: float) -> list[int]:
                     break
                 if lat2 is None or math.isnan(lat2):
                     continue
-                x, y = math.radians(lon - lon2) * math.cos(math.radians((lat + lat2) / 2)), math.radians(lat - lat2)
+                y = math.radians(lat - lat2)
+                if geo.RADIUS_KM * abs(y) > far:  # by latitude alone
+                    continue
+                x = math.radians(lon - lon2) * math.cos(math.radians((lat + lat2) / 2))
                 if geo.RADIUS_KM * math.hypot(x, y) <= radius:
                     into = j
                     break
@@ -148,7 +153,10 @@ def candidates(strings: DataFrame, index: DataFrame, seats: DataFrame, s: Settin
     cand = cand.join(coarse_ids(strings, index, "context", "_ctx"), "src_raw", "left").withColumn("_fits", F.col("_ctx").isNull() | F.coalesce(F.arrays_overlap("ancestors", "_ctx"), F.lit(False)) | F.array_contains("_ctx", F.col("SUBJECT_ID")))
     cand = cut(keep_satisfied(cut(cand), ["src_raw"], F.col("_fits")).drop("_ctx", "_fits"))
     order = [F.desc("is_settlement"), F.desc("string_score"), F.desc_nulls_last("depth"), F.desc("prominence"), F.asc("SUBJECT_ID")]
-    pool = cut(first_rows(cand, ["src_raw"], order, s.pool)).withColumn("_o", F.row_number().over(Window.partitionBy("src_raw").orderBy(*order)))
+    pool = cut(first_rows(cand, ["src_raw"], order, s.pool))
+    # few bytes, but much to compute: without a number of its own, all strings would meet in one task
+    tasks = max(2 * index.sparkSession.sparkContext.defaultParallelism, pool.count() // POOLED)
+    pool = pool.repartition(tasks, "src_raw").withColumn("_o", F.row_number().over(Window.partitionBy("src_raw").orderBy(*order)))
 
     def run(rows):
         rows = rows.sort_values("_o")
@@ -275,14 +283,18 @@ def difference(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
 def geocode(students: DataFrame, index: DataFrame, seats: DataFrame, corrections: DataFrame | None = None, overrides: DataFrame | None = None, s: Settings | None = None) -> DataFrame:
     """students (region, hometown, school) with their places; the whole chain."""
     s = s or Settings()
+    spark = index.sparkSession
     index = cut(index)
+    release(spark)
     strings = cut(corrected(inventory(students), corrections))
     cand = cut(candidates(strings, index, seats, s))
+    release(spark)
     keys = cut(resolution_keys(students))
     told = text.ladder(strings.where("not not_a_place").select("src"), "src").where("hint is not null").select("src", F.col("hint").alias("_hint"))
     hints = cut(coarse_ids(strings.join(told, "src"), index, "_hint", "hint_ids"))
     upper = [*EDGES, math.inf]
     prior = cut(fitted_prior(students, cand, seats, upper))
+    release(spark)
     best = cut(decide(cut(score(keys, cand, seats, hints, prior, upper, s))))
     chosen = override(choose_field(best, s), keys, overrides, index, seats)
     return assemble(students, keys, chosen, s)

@@ -137,16 +137,21 @@ def keep_satisfied(df: DataFrame, by: list[str], ok: Column) -> DataFrame:
 
 
 def closure(edges: DataFrame, child: str, parent: str, levels: int = 20) -> DataFrame:
-    """child, ancestors (nearest first), depth: by doubling, so ``levels`` takes log2(levels) joins.
+    """child, ancestors (nearest first), depth: by doubling, so ``levels`` takes log2(levels) joins at most.
+
+    Each doubling is written once, and the first that lengthens no path is the last. Edges from a node to itself are dropped, each child has one parent, and cycles end at ``levels``."""
+    from .. import cut
 
-    Edges from a node to itself are dropped, each child has one parent, and cycles end at ``levels``."""
     own = edges.where(F.col(child) != F.col(parent)).groupBy(child).agg(F.min(parent).alias("_p"))
-    paths = own.select(F.col(child).alias("_c"), F.array("_p").alias("_a"))
+    paths = cut(own.select(F.col(child).alias("_c"), F.array("_p").alias("_a")))
     reach = 1
     while reach < levels:
         up = paths.select(F.col("_c").alias("_t"), F.col("_a").alias("_more"))
-        longer = paths.join(up, F.element_at("_a", -1) == F.col("_t"), "left")
-        paths = longer.select("_c", F.slice(F.array_distinct(F.concat("_a", F.coalesce("_more", F.array().cast("array<bigint>")))), 1, levels).alias("_a"))
+        longer = F.slice(F.array_distinct(F.concat("_a", F.coalesce("_more", F.array().cast("array<bigint>")))), 1, levels)
+        paths = cut(paths.join(up, F.element_at("_a", -1) == F.col("_t"), "left").select("_c", longer.alias("_a"), (F.size(longer) > F.size("_a")).alias("_grew")))
+        if not paths.where("_grew").limit(1).count():
+            break
+        paths = paths.drop("_grew")
         reach *= 2
     clean = F.filter("_a", lambda x: x != F.col("_c"))
     return paths.select(F.col("_c").alias(child), clean.alias("ancestors"), F.size(clean).alias("depth"))

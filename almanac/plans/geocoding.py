@@ -37,9 +37,9 @@ def coordinates(k):
     return F.when(known, 47 + (k * 7 % 800) / 100), F.when(known, 6 + (k * 13 % 900) / 100)
 
 
-def tables(spark, d) -> dict:
-    """The gazetteer's tables, with padded flags, code terms, physical features and merged records."""
-    p, k = all_places(spark, d), F.col("k")
+def tables(p) -> dict:
+    """The gazetteer's tables of all_places(), with padded flags, code terms, physical features and merged records."""
+    k = F.col("k")
     none, term = F.lit(None).cast("string"), "TERM string, TERM_ID long, SUBJECT_ID long, PREFERRED string, VERNACULAR string, HISTORIC_FLAG string, OTHER_FLAGS string"
     own = p.select(F.col("name"), F.col("id") * 10, F.col("id"), F.lit("P "), none, none, none)
     old = p.where(k % 3 == 0).select(F.concat("name", F.lit(" Stadt")), F.col("id") * 10 + 1, F.col("id"), F.lit("N"), none, F.lit("H "), none)
@@ -73,7 +73,7 @@ WITH p AS ({PLACES}), terms AS (SELECT name AS "TERM", id * 10 AS "TERM_ID", id,
 def index(spark, d):
     from .. import cut
 
-    return cut(gazetteer.build_index(tables(spark, d)))
+    return cut(gazetteer.build_index(tables(cut(all_places(spark, d)))))
 
 
 @query(INDEX + """
@@ -218,13 +218,15 @@ def review_queue(spark, d):
 @query()
 def place_resolution(spark, d):
     """The whole chain over the gazetteer above: customers' places as they might be written, to the place that is meant."""
+    from .. import cut
+
     k = F.col("k")
-    p = all_places(spark, d)
+    p = cut(all_places(spark, d))
     up = p.where("k is null").select(F.col("id").alias("up"), F.col("name").alias("region"))
     rows = p.where("k is not null").join(F.broadcast(up), "up", "left")
     spelt = F.when(k % 3 == 0, F.col("name")).when(k % 3 == 1, F.upper("name")).otherwise(F.replace(F.col("name"), F.lit("ck"), F.lit("k")))
     students = rows.select(k.alias("student"), "region", spelt.alias("hometown"), F.element_at(F.array(F.lit("kiel"), F.lit("jena")), (k % 2 + 1).cast("int")).alias("school"))
     seats = spark.createDataFrame([("kiel", 54.3, 10.1), ("jena", 50.9, 11.6)], "school string, LAT0 double, LON0 double")
-    out = geocode.geocode(students, index(spark, d), seats)
+    out = geocode.geocode(students, gazetteer.build_index(tables(p)), seats)
     return out.select("student", "location_id", "matched", "match_method", "geo_precision", F.round("dist", 6).alias("dist"), F.round("score_margin", 6).alias("score_margin"))
 
