@@ -13,6 +13,8 @@ import numpy as np
 U = np.uint64
 #: The place of every SAMPLE-th zero is kept.
 SAMPLE = 8
+#: Queries that are searched at once: so many that what is computed for them stays in a core's cache.
+BLOCK = 16_384
 
 
 def write(path: str, arrays: dict[str, np.ndarray]) -> None:
@@ -65,6 +67,13 @@ def select_in(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return at
 
 
+def select_early(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """select_in() for ranks under SAMPLE: the set bits before are cleared one by one; 64 where there are fewer."""
+    for k in range(SAMPLE - 1):
+        word = word & (word - (rank > k))  # word & (word - 1) is word without its lowest set bit
+    return np.bitwise_count(~word & (word - U(1))).astype(np.int64)
+
+
 class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.n, self.bits = int(arrays["head"][0]), int(arrays["head"][1])
@@ -87,10 +96,14 @@ class EliasFano:
         mark = self.marks[j // SAMPLE].astype(np.int64)
         more = j % SAMPLE
         zeros = ~self.window(mark) & U((1 << 57) - 1)
-        out = mark + select_in(zeros, more)
-        far = np.flatnonzero(np.bitwise_count(zeros) <= more)  # long runs of ones
+        at = select_early(zeros, more)
+        out = mark + at
+        far = np.flatnonzero(at == 64)  # long runs of ones
         if len(far):
-            lo, hi, want = mark[far] >> 6, np.full(len(far), len(self.ones) - 2), j[far]
+            want, after = j[far], j[far] // SAMPLE + 1  # it lies before the next mark
+            lo, hi = mark[far] >> 6, np.full(len(far), len(self.ones) - 2)
+            some = np.flatnonzero(after < len(self.marks))
+            hi[some] = self.marks[after[some]].astype(np.int64) >> 6
             while (lo < hi).any():  # the last word that has at most j zeros before it
                 mid = (lo + hi + 1) >> 1
                 ok = 64 * mid - self.ones[mid] <= want
@@ -119,27 +132,32 @@ class EliasFano:
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of each query in the list, or -1."""
         out = np.full(len(x), -1, np.int64)
-        if not self.n:
-            return out
-        ask = np.flatnonzero(x < U(self.universe)) if self.universe < 1 << 64 else np.arange(len(x))
-        q = x[ask].astype(U)
+        if self.n:
+            for a in range(0, len(x), BLOCK):
+                self._find(x[a : a + BLOCK], out[a : a + BLOCK])
+        return out
+
+    def _find(self, x: np.ndarray, out: np.ndarray) -> None:
+        q, ask = x.astype(U), None
+        if self.universe < 1 << 64 and (over := q >= U(self.universe)).any():
+            ask = np.flatnonzero(~over)
+            q = q[ask]
         h = (q >> U(self.bits)).astype(np.int64)
         head = np.where(h > 0, self.select0(np.maximum(h - 1, 0)) + 1, 0)  # where the bucket's ones begin
         run = self.window(head)
         many = np.bitwise_count(run ^ (run + U(1))).astype(np.int64) - 1
-        start, end = head - h, head - h + many
+        lo, hi = head - h, head - h + many - 1
         if len(far := np.flatnonzero(many >= 56)):
-            end[far] = self.select0(h[far]) - h[far]
-        want = q & U((1 << self.bits) - 1)
-        lo, hi = start, end - 1
+            hi[far] = self.select0(h[far]) - h[far] - 1
         live = np.flatnonzero(lo <= hi)
+        lo, hi, want = lo[live], hi[live], (q & U((1 << self.bits) - 1))[live]
+        live = live if ask is None else ask[live]
         while len(live):
-            mid = (lo[live] + hi[live]) >> 1
+            mid = (lo + hi) >> 1
             v = self.lows(mid)
-            w = want[live]
-            hit = v == w
-            out[ask[live[hit]]] = mid[hit]
-            lo[live] = np.where(v < w, mid + 1, lo[live])
-            hi[live] = np.where(v > w, mid - 1, np.where(hit, lo[live] - 1, hi[live]))
-            live = live[lo[live] <= hi[live]]
-        return out
+            hit = v == want
+            out[live[hit]] = mid[hit]
+            less = v < want
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid - 1)
+            on = np.flatnonzero((lo <= hi) & ~hit)
+            lo, hi, want, live = lo[on], hi[on], want[on], live[on]

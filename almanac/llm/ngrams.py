@@ -75,7 +75,7 @@ def tokens(texts: list, size: int = 8 << 20) -> Iterator[tuple[np.ndarray, np.nd
 
 def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys with their counts summed."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
@@ -110,17 +110,16 @@ def unpacked(steps: bytes, far: bytes, counts: bytes) -> tuple[np.ndarray, np.nd
 
 
 def gathered(docs: DataFrame, keys_of, shards: int, shard_of, text: str) -> DataFrame:
-    """Rows (shard, run of keys and counts): keys_of(texts) yields arrays of keys; shard_of(keys) deals them."""
+    """Rows (shard, run of keys and counts): keys_of(texts) yields arrays of keys; shard_of(keys) deals them, in
+    ranges of keys, so that sorted keys need no sorting by shard."""
     import pyarrow as pa
 
     ship(docs.sparkSession)
     names = ["shard", "steps", "far", "counts"]
 
     def rows(keys: np.ndarray, counts: np.ndarray):
-        to = shard_of(keys)
-        order = np.argsort(to, kind="stable")
-        bounds = np.searchsorted(to[order], np.arange(shards + 1))
-        out = [(p, *packed(keys[order[a:b]], counts[order[a:b]])) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+        bounds = np.searchsorted(shard_of(keys), np.arange(shards + 1))
+        out = [(p, *packed(keys[a:b], counts[a:b])) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=names)
 
@@ -153,12 +152,13 @@ def borders(weights: np.ndarray, most: int) -> list[int]:
     return np.flatnonzero(np.append(True, np.diff(before // most) > 0)).tolist() if len(weights) else []
 
 
-def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice]]:
     """(part, places) of each part that occurs."""
-    order = np.argsort(part, kind="stable") if len(part) and (part[1:] < part[:-1]).any() else np.arange(len(part))
-    at = np.flatnonzero(np.append(True, np.diff(part[order]) != 0)) if len(part) else []
+    order = np.argsort(part, kind="stable") if len(part) and (part[1:] < part[:-1]).any() else None
+    part = part if order is None else part[order]
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() if len(part) else []
     for a, b in zip(at, [*at[1:], len(part)], strict=True):
-        yield int(part[order[a]]), order[a:b]
+        yield int(part[a]), slice(a, b) if order is None else order[a:b]
 
 
 class Lazily:
@@ -229,14 +229,16 @@ class Model:
             self.back3.bases = cuts
             self.back3.arrays = {"back": Lazily(np.diff(cuts).tolist(), lambda p: mapped(f"{f}/3p/{p}/back.npy"))}
 
-    def known_pairs(self, w: Tokens) -> np.ndarray:
-        """The item of each token with the one before it, or -1."""
-        out = np.full(len(w.numbers), -1, np.int64)
+    def known_pairs(self, w: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """The held pairs that occur, ascending, and for each token which of them it makes with the one before it, or -1."""
         ask = np.flatnonzero((w.before >= 0) & (w.numbers >= 0))
         keys = w.before[ask].astype(np.uint64) * np.uint64(self.words.n) + w.numbers[ask].astype(np.uint64)
         keys, back = np.unique(keys, return_inverse=True)
-        out[ask] = self.pairs.find(keys)[back]
-        return out
+        found = self.pairs.find(keys)
+        held = found >= 0
+        which = np.full(len(w.numbers), -1, np.int64)
+        which[ask] = np.where(held, np.cumsum(held) - 1, -1)[back]
+        return found[held], which
 
     def first_of(self, words: np.ndarray) -> np.ndarray:
         """The item of the first pair of each word."""
@@ -253,14 +255,15 @@ class Model:
             out[at] = self.back[p][words[at] - self.cuts[p]]
         return out
 
-    def triple_keys(self, pair: np.ndarray, number: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def triple_keys(self, w: Tokens, pairs: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where a triple can be held: tokens but a text's first whose pair and previous token's pair are; and its key there."""
-        ok = (pair >= 0) & (np.roll(pair, 1) >= 0)
-        ok[np.concatenate([[0], ends[:-1]])] = False
+        ok = np.empty(len(which), bool)
+        ok[:1], ok[1:] = False, (which[1:] >= 0) & (which[:-1] >= 0)
+        ok[w.ends[:-1]] = False
         at = np.flatnonzero(ok)
-        words, back = np.unique(number[at - 1], return_inverse=True)
-        relative = pair[at] - self.first_of(words)[back]
-        return at, pair[at - 1].astype(np.uint64) * np.uint64(max(1, self.about["span"])) + relative.astype(np.uint64)
+        first = w.each(self.first_of(w.distinct[w.known]), np.int64)  # of the pairs of each distinct word
+        relative = pairs[which[at]] - first[w.back[at - 1]]
+        return at, pairs[which[at - 1]].astype(np.uint64) * np.uint64(max(1, self.about["span"])) + relative.astype(np.uint64)
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + ADD) / (self.total + ADD * (self.words.n + 1))
@@ -413,7 +416,7 @@ def learn(train: DataFrame, text: str = "text", least: int = LEAST) -> dict:
         m = opened(about)
         for h, ends in tokens(texts):
             w = Tokens(m, h, ends)
-            yield m.triple_keys(m.known_pairs(w), w.numbers, ends)[1]
+            yield m.triple_keys(w, *m.known_pairs(w))[1]
 
     def level3(key, group):
         import pandas as pd
@@ -494,18 +497,16 @@ def score_texts(m: Model, texts: list) -> list[tuple]:
             base = np.log10(m.unigram(w.each(m.words.take("counts", mine), np.int64)))[w.back]
             known, score = w.numbers >= 0, base
         if "sizes2" in m.about:
-            pair = m.known_pairs(w)
-            hit = np.flatnonzero(pair >= 0)
+            pairs, which = m.known_pairs(w)
+            hit = np.flatnonzero(which >= 0)
             score = base - STEP * w.each(m.back_of(mine), np.float64)[w.place]
-            items, back = np.unique(pair[hit], return_inverse=True)
-            score[hit] = -STEP * m.pairs.take("p", items).astype(np.float64)[back]
+            score[hit] = -STEP * m.pairs.take("p", pairs).astype(np.float64)[which[hit]]
         if "sizes3" in m.about:
-            up = np.roll(pair, 1)
+            up = np.roll(which, 1)
             up[start] = -1
             has = np.flatnonzero(up >= 0)  # the two words before are a held pair
-            items, back = np.unique(up[has], return_inverse=True)
-            score[has] -= STEP * m.back3.take("back", items).astype(np.float64)[back]
-            at, keys = m.triple_keys(pair, w.numbers, ends)
+            score[has] -= STEP * m.back3.take("back", pairs).astype(np.float64)[up[has]]
+            at, keys = m.triple_keys(w, pairs, which)
             order = np.argsort(keys)  # triples seldom occur twice in a batch; in order, neighbours touch the same places
             found = m.triples.find(keys[order])
             got = np.flatnonzero(found >= 0)

@@ -62,7 +62,7 @@ def hashes(raw: bytes) -> np.ndarray:
     return spans(raw)[0]
 
 
-def chunks(texts: list, size: int = 1 << 20):
+def chunks(texts: list, size: int = 1 << 18):
     """Lower-cased texts in runs of about ``size`` bytes, each text ended by a line feed: (first text, their offsets, bytes)."""
     first, parts, total, offsets = 0, [], 0, []
     for i, t in enumerate(texts):
