@@ -74,6 +74,7 @@ def rung_hits(tries: DataFrame, index: DataFrame, s: Settings) -> DataFrame:
         keyed = keyed.join(sized(terms.where(F.col(of).isNotNull()).select(F.col(of).alias(k)).distinct().withColumn(f"_at{rung}", F.lit(rung))), k, "left")
     keyed = cut(keyed.withColumn("rung", F.coalesce(*[F.col(f"_at{i}") for i in range(len(equal))])).select(*by, "src", *[k for _, k in RUNGS], "rung"))
     told = lambda h, name: h.select(*by, "SUBJECT_ID", "TERM", "TERM_ID", "term_quality", F.lit(name).alias("match_method"), F.lit(METHODS[name]).alias("string_score"))
+    release(index.sparkSession)
     hits = None
     for rung, (name, k, of) in enumerate(equal):
         h = told(keyed.where(F.col("rung") == rung).select(*by, F.col(k).alias("_k")).join(terms.withColumn("_k", F.col(of)), "_k"), name)
@@ -145,6 +146,7 @@ def candidates(strings: DataFrame, index: DataFrame, seats: DataFrame, s: Settin
     ship(index.sparkSession)
     places = index.select("SUBJECT_ID", "n_terms", "LAT", "LON", "is_settlement", "is_sub_settlement", "geo_precision", "placetype", "ancestors", "depth", "prominence").dropDuplicates(["SUBJECT_ID"])
     cand = cut(ladder_hits(strings.where("not not_a_place"), index, s).join(places, "SUBJECT_ID"))
+    release(index.sparkSession)
     # coarse hits must be near some seat
     seat_list = F.broadcast(seats.agg(F.collect_set(F.struct("LAT0", "LON0")).alias("_seats")))
     near = F.array_min(F.transform("_seats", lambda x: geo.haversine(F.col("LAT"), F.col("LON"), x["LAT0"], x["LON0"])))

@@ -51,11 +51,13 @@ def test_pools_are_dealt_to_several_tasks(spark, monkeypatch):
         "terms": spark.createDataFrame([(f"Ort {chr(97 + i % 26)}{chr(97 + i // 26)}", i, i, "P", None, None, None) for i in range(200)], TERMS),
         "subjects": spark.createDataFrame([(i, "A", "N") for i in range(200)], "SUBJECT_ID long, RECORD_TYPE string, MERGED_STAT string"),
     })
-    seen, cut = [], geocode.cut
+    seen, cut, released = [], geocode.cut, []
+    monkeypatch.setattr(geocode, "release", released.append)
     monkeypatch.setattr(geocode, "cut", lambda df: seen.append(df) or cut(df))
     names = index.select("TERM").withColumnRenamed("TERM", "src_raw").distinct()
     strings = names.withColumns({"src": F.col("src_raw"), "corrected": F.lit(False), "not_a_place": F.lit(False), "context": F.lit(None).cast("string")})
     seats = spark.createDataFrame([("x", 50.0, 9.0)], "school string, LAT0 double, LON0 double")
     assert geocode.candidates(strings, index, seats).count() == 200
     dealt = [x for df in seen for x in re.findall(r"RepartitionByExpression \[src_raw[^\]]*\], (\d+)", df._jdf.queryExecution().optimizedPlan().toString())]
+    assert len(released) >= 2  # the driver gives memory back between long steps
     assert dealt and min(map(int, dealt)) >= 2 * spark.sparkContext.defaultParallelism
