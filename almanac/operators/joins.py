@@ -13,6 +13,8 @@ from ..functions import text
 BROADCAST_ROWS = 200_000
 #: Pairs that one task of a join within blocks makes, about.
 TASK_PAIRS = 20_000_000
+#: Rows of a key that ``gathered`` holds in one array, about.
+CHUNK = 256
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -20,22 +22,41 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def block_sizes(left: DataFrame, right: DataFrame, lkeys: list[str], rkeys: list[str]) -> tuple[DataFrame, int, int]:
-    """Pairs (_n) by key (_b0, ...) of an equi join, their sum, and the number of partitions that make them."""
+def block_sizes(left: DataFrame, right: DataFrame, lkeys: list[str], rkeys: list[str], size: str | None = None) -> tuple[DataFrame, int, int]:
+    """Rows of left (_l) and right (_r) and pairs (_n) by key (_b0, ...) of an equi join, the sum of pairs, and the number of partitions that make them.
+
+    size: the column of both sides that says for how many rows a row stands."""
     names = [f"_b{i}" for i in range(len(lkeys))]
-    count = lambda df, keys, n: df.groupBy(*[F.col(k).alias(b) for k, b in zip(keys, names, strict=True)]).agg(F.count(F.lit(1)).alias(n))
-    blocks = count(left, lkeys, "_l").join(count(right, rkeys, "_r"), names).select(*names, (F.col("_l") * F.col("_r")).alias("_n"))
+    count = lambda df, keys, n: df.groupBy(*[F.col(k).alias(b) for k, b in zip(keys, names, strict=True)]).agg((F.sum(size) if size else F.count(F.lit(1))).alias(n))
+    blocks = count(left, lkeys, "_l").join(count(right, rkeys, "_r"), names).withColumn("_n", F.col("_l") * F.col("_r"))
     total = blocks.agg(F.sum("_n")).first()[0] or 0
     return blocks, total, int(min(20_000, max(2 * left.sparkSession.sparkContext.defaultParallelism, total // TASK_PAIRS * 2)))
 
 
-def spread(left: DataFrame, right: DataFrame, lkeys: list[str], rkeys: list[str], by: str) -> tuple[DataFrame, DataFrame]:
+def gathered(left: DataFrame, right: DataFrame, on: list[str], lvalue: str, rvalue: str) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides of an equi join with arrays of lvalue and of rvalue in place of rows (CHUNK of a key at most, about), and the partitions for its pairs.
+
+    An array of left meets TASK_PAIRS / 4 rows of right at most, where it holds more than one. Keys that neither side cuts are one row of each."""
+    blocks, _, n = block_sizes(left, right, on, on)
+    fit = F.greatest(F.lit(1), F.least(F.lit(CHUNK), F.floor(F.lit(TASK_PAIRS) / 4 / F.col("_r"))))
+    hot = blocks.select(*[F.col(f"_b{i}").alias(c) for i, c in enumerate(on)], F.ceil(F.col("_l") / fit).alias("_l"), F.ceil(F.col("_r") / CHUNK).alias("_r"))
+    hot = sized(hot.where("_l > 1 or _r > 1"))
+
+    def arrays(df, value, parts):
+        # in structs, as lists are collected without nulls
+        dealt = df.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(value), F.coalesce(parts, F.lit(1))))
+        return dealt.groupBy(*on, "_part").agg(F.transform(F.collect_list(F.struct(F.col(value).alias("x"))), lambda v: v["x"]).alias(value))
+
+    return arrays(left, lvalue, "_l"), arrays(right, rvalue, "_r").drop("_part"), n
+
+
+def spread(left: DataFrame, right: DataFrame, lkeys: list[str], rkeys: list[str], by: str, size: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides of an equi join with ``_salt``, dealt so that no task makes many more than TASK_PAIRS pairs.
 
-    Keys with more pairs are cut into salts: rows of left fall into one by ``by``, rows of right go to each. Join on the keys and _salt."""
+    Keys with more pairs are cut into salts: rows of left fall into one by ``by``, rows of right go to each. Join on the keys and _salt. size: as in block_sizes."""
     known = lambda df, keys: df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
     left, right = known(left, lkeys), known(right, rkeys)
-    blocks, total, n = block_sizes(left, right, lkeys, rkeys)
+    blocks, total, n = block_sizes(left, right, lkeys, rkeys, size)
     if total <= TASK_PAIRS:
         return left.withColumn("_salt", F.lit(0)), right.withColumn("_salt", F.lit(0))
     names = [f"_b{i}" for i in range(len(lkeys))]
@@ -104,30 +125,39 @@ def fuzzy_join(left: DataFrame, right: DataFrame, lkey: str, rkey: str, prefix:
 def ladder_join(left: DataFrame, right: DataFrame, lid: str, keys: list[str], value: str) -> DataFrame:
     """(lid, value, rung) for the first key of the ladder on which a row of left meets right.
 
-    The rung is found from the keys alone; only hits on it are made, and only ids with several keys on it can have doubles."""
+    The rung is found from the keys alone; only hits on it are made, and only ids with several keys on it can have doubles.
+    Hits are made from arrays, so that runs of them share an id, and the values of one run are those of the next: writers encode them in few bytes."""
+    from .. import cut
+
     told = left.select(lid, *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
     for i, k in enumerate(keys):
         told = told.join(sized(right.select(F.col(k).alias(f"_k{i}")).where(F.col(f"_k{i}").isNotNull()).distinct().withColumn(f"_s{i}", F.col(f"_k{i}").cast("string"))), f"_k{i}", "left")
     met = F.filter(F.array(*[F.when(F.col(f"_s{i}").isNotNull(), F.struct(F.lit(i).alias("rung"), F.col(f"_s{i}").alias("k"))) for i in range(len(keys))]), lambda x: x.isNotNull())
     best = told.select(lid, F.explode(met).alias("_m")).groupBy(lid).agg(F.collect_set("_m").alias("_m"), F.min("_m.rung").alias("rung"))
-    best = best.select(lid, "rung", F.transform(F.filter("_m", lambda x: x["rung"] == F.col("rung")), lambda x: x["k"]).alias("_k"))
+    best = cut(best.select(lid, "rung", F.transform(F.filter("_m", lambda x: x["rung"] == F.col("rung")), lambda x: x["k"]).alias("_k")))
     values = None
     for i, k in enumerate(keys):
         v = right.select(F.lit(i).alias("rung"), F.col(k).cast("string").alias("_k"), value).where("_k is not null").distinct()
         values = v if values is None else values.union(v)
+    values = cut(values)
     few = values.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     def hits(rows):
         on = ["rung", "_k"]
+        a, b, n = gathered(rows, values, on, lid, value)
         if few:
-            # dealt by id, each task meets the whole of right
-            return rows.repartition(block_sizes(rows, values, on, on)[2], lid).join(F.broadcast(values), on).select(lid, value, "rung")
-        a, b = spread(rows, values, on, on, lid)
-        return a.join(b, ["rung", "_k", "_salt"]).select(lid, value, "rung")
+            # each task meets the whole of right
+            met = a.repartition(n).join(F.broadcast(b), on)
+        else:
+            a, b = spread(a.withColumn("_size", F.size(lid)), b.withColumn("_size", F.size(value)), on, on, "_part", "_size")
+            met = a.join(b, [*on, "_salt"])
+        # generated code holds all rows that it makes of one row; coalesce ends its stage, so these are CHUNK at most, about
+        ids = met.coalesce(n).select(F.explode(lid).alias(lid), value, "rung").coalesce(n)
+        return ids.select(lid, F.explode(value).alias(value), "rung")
 
     one = hits(best.where(F.size("_k") == 1).select(lid, "rung", F.col("_k")[0].alias("_k")))
-    more = hits(best.where(F.size("_k") > 1).select(lid, "rung", F.explode("_k").alias("_k"))).distinct()
-    return one.unionByName(more)
+    several = best.where(F.size("_k") > 1).select(lid, "rung", F.explode("_k").alias("_k"))
+    return one.unionByName(hits(several).distinct()) if several.limit(1).count() else one
 
 
 def keep_satisfied(df: DataFrame, by: list[str], ok: Column) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from almanac.operators import joins
 
@@ -32,6 +33,28 @@ def test_hits_of_a_ladder_are_not_shuffled(ladder):
     assert not any("Exchange" in x for x in above(joins.ladder_join(*ladder, "id", ["k1", "k2"], "v"), "HashJoin"))
 
 
+@pytest.mark.parametrize("rows", [0, 200_000])
+def test_ladder_from_arrays_has_each_hit_once(spark, monkeypatch, rows):
+    for k, v in (("BROADCAST_ROWS", rows), ("TASK_PAIRS", 40), ("CHUNK", 3)):
+        monkeypatch.setattr(joins, k, v)
+    draw = random.Random(7)
+    some = lambda x: draw.choice(x) if draw.random() < 0.8 else None
+    left = [(i if i else None, some("abcdef"), some("xyz")) for i in range(40)] + [(3, "a", "x"), (3, "b", "x"), (None, "c", "y")]
+    right = [(draw.choice([None, *range(30)]), some("abcghi"), some("xxyw")) for _ in range(50)]
+    met = {(a[0], b[0], k) for a in left for b in right for k in (0, 1) if a[1 + k] is not None and a[1 + k] == b[1 + k]}
+    want = [x for x in met if x[2] == min(y[2] for y in met if y[0] == x[0])]
+    got = joins.ladder_join(spark.createDataFrame(left, "id int, k1 string, k2 string"), spark.createDataFrame(right, "v int, k1 string, k2 string"), "id", ["k1", "k2"], "v")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_hits_of_a_ladder_are_written_in_few_bytes(spark, tmp_path):
+    left = spark.range(60).select("id", F.lit("a").alias("k"))
+    right = spark.range(30_000).select(F.col("id").alias("v"), F.lit("a").alias("k"))
+    joins.ladder_join(left, right, "id", ["k"], "v").write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).distinct().count() == 1_800_000
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 1_800_000
+
+
 @pytest.mark.parametrize("task", [5, 20_000_000])
 def test_pairs_of_several_rules_come_once_without_a_shuffle(spark, monkeypatch, task):
     monkeypatch.setattr(joins, "TASK_PAIRS", task)
